@@ -4,23 +4,55 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import bpe
+from evidentia.llm import bpe, mixing, mpegts, quality, secrets, simhash, toxicity, urls
 from evidentia.llm._common import table
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
+    """The public tokenizer file of the BPE query and stage."""
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op1(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(table(spark, sf_dir, "documents"), _tokenizer())
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op3(table(spark, sf_dir, "documents"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op4(table(spark, sf_dir, "documents"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.op5(table(spark, sf_dir, "pages"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpegts.op9(table(spark, sf_dir, "documents"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.op10(table(spark, sf_dir, "documents"))
+
+
+QUERIES = [op1_quality_rules, op2_bpe, op3_mix_sources, op4_secret_scan, op5_url_filter, op8_toxicity, op9_media_columns, op10_simhash]
 
 
 def queries() -> dict:
-    return {"op2_bpe": op2_bpe}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op3_mix_sources": mixing.mix_sql(), "op5_url_filter": urls.sql()}
