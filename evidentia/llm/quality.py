@@ -139,8 +139,10 @@ def _grow(x: dict[str, np.ndarray], y: np.ndarray, cuts: dict[str, np.ndarray])
             for above, n, p in ((False, below_n, below_p), (True, n0 - below_n, p0 - below_p)):
                 with np.errstate(divide="ignore", invalid="ignore"):
                     gain = np.where(p > 0, p * (np.log2(p / n) - math.log2(p0 / n0)), -1.0)
-                k = int(gain.argmax())
-                if gain[k] > best_gain and n[k] < n0:
+                gain[n >= n0] = -1.0
+                alike = np.flatnonzero(gain >= gain.max() - 1e-9)  # of thresholds that do alike, the middle one
+                k = int(alike[len(alike) // 2])
+                if gain[k] > best_gain:
                     best, best_gain = Condition(name, above, float(at[k])), float(gain[k])
         if best is None:
             break
@@ -149,6 +151,11 @@ def _grow(x: dict[str, np.ndarray], y: np.ndarray, cuts: dict[str, np.ndarray])
     return rule
 
 
+def _between(values: np.ndarray) -> np.ndarray:
+    """Thresholds in the middle between neighbouring values."""
+    return (values[:-1] + values[1:]) / 2
+
+
 def _prune(rule: Rule, x: dict[str, np.ndarray], y: np.ndarray) -> Rule:
     """The leading conditions that do best on rows the rule was not grown on."""
 
@@ -171,7 +178,7 @@ def learn(x: dict[str, np.ndarray], rejected: np.ndarray) -> list[Rule]:
         part = lambda m: {k: v[m] for k, v in x.items()}
         cuts = {k: np.unique(np.quantile(v[grow], np.linspace(0, 1, CUTS))) for k, v in x.items()} if grow.any() else {}
         extra = {k: np.unique(np.quantile(v[grow & rejected], np.linspace(0, 1, CUTS // 2))) for k, v in x.items()} if (grow & rejected).any() else {}
-        cuts = {k: np.union1d(v, extra.get(k, v)) for k, v in cuts.items()}
+        cuts = {k: _between(np.union1d(v, extra.get(k, v))) for k, v in cuts.items()}
         rule = _grow(part(grow), rejected[grow], cuts)
         if not rule:
             break

@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from evidentia.llm._sample import labelled
 
 #: Labelled documents trained on at most, hash bits, letters of the prefix features, passes.
-TRAIN_DOCS, HASH_BITS, STEMS, PASSES = 8000, 20, (4, 5), 3
+TRAIN_DOCS, HASH_BITS, STEMS, PASSES = 8000, 20, (4, 5), 5
 #: FTRL-proximal: rate, its smoothing, L1, L2.
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 2.0, 1.0
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.0
 #: Folds of crc32(doc_id as text); the first is held out.
 FOLDS = 5
 _MASK = (1 << HASH_BITS) - 1
