@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import bpe, lines, mixing, mpegts, quality, secrets, simhash, toxicity, urls
+from evidentia.llm import bpe, lines, mixing, mpegts, quality, secrets, simhash, suffixes, toxicity, urls
 from evidentia.llm._common import table
 
 
@@ -35,6 +35,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.op5(table(spark, sf_dir, "pages"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.op6(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.op7(table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = [op1_quality_rules, op2_bpe, op3_mix_sources, op4_secret_scan, op5_url_filter, op7_line_dedup, op8_toxicity, op9_media_columns, op10_simhash, pipeline]
+QUERIES = [op1_quality_rules, op2_bpe, op3_mix_sources, op4_secret_scan, op5_url_filter, op6_suffix_array_dedup, op7_line_dedup, op8_toxicity, op9_media_columns, op10_simhash, pipeline]
 
 
 def queries() -> dict:
@@ -65,4 +69,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op3_mix_sources": mixing.mix_sql(), "op5_url_filter": urls.sql(), "op7_line_dedup": lines.sql()}
+    return {"op3_mix_sources": mixing.mix_sql(), "op5_url_filter": urls.sql(), "op6_suffix_array_dedup": suffixes.sql(), "op7_line_dedup": lines.sql()}
