@@ -177,10 +177,10 @@ def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[int, list[tupl
     return sorted(out)
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
+def _pack(*arrays: np.ndarray, level: int = 3) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([len(arrays).to_bytes(4, "little"), *[len(x.tobytes()).to_bytes(8, "little") for x in arrays], *[x.tobytes() for x in arrays]]))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join([len(arrays).to_bytes(4, "little"), *[len(x.tobytes()).to_bytes(8, "little") for x in arrays], *[x.tobytes() for x in arrays]]))
 
 
 def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
@@ -196,6 +196,7 @@ def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+#: Element types of the packed arrays.
 _IDS, _TEXTS, _ANCHORS = ("<i8", "u1", "<i8"), ("u1",), ("<i4", "<i4", "u1", "u1")
 
 
@@ -224,7 +225,7 @@ def blocks_of(docs: DataFrame) -> DataFrame:
                         "block": [f"{TaskContext.get().partitionId()}-{number}"],
                         "n_bytes": [size],
                         "ids": [_pack(ids[at:to], known[at:to].astype("u1"), lens)],
-                        "texts": [_pack(np.frombuffer(b"".join(raw[at:to]), np.uint8))],
+                        "texts": [_pack(np.frombuffer(b"".join(raw[at:to]), np.uint8), level=6)],
                         "anchors": [_pack(text.astype("<i4"), pos.astype("<i4"), (pos - first).astype("u1"), (pos - last).astype("u1"))],
                     }
                 )
@@ -242,12 +243,17 @@ def _places(row) -> tuple[np.ndarray, ...]:
     text, pos, most, least = _unpack(row.anchors, *_ANCHORS)
     begins = np.cumsum(lens) - lens
     at = begins[text] + pos
+    return a, begins, ids, known, lens, text, pos.astype(np.int64), most.astype(np.int64), least.astype(np.int64), at, _hashes_at(a, at)
+
+
+def _hashes_at(a: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The hashes of the grams that start at some places of `a`."""
     up = _powers(1 << 18)[0][:GRAM]
     h = np.empty(len(at), np.uint64)
     for i in range(0, len(at), 1 << 16):
         grams = a[at[i : i + (1 << 16), None] + np.arange(GRAM)].astype(np.uint64) + np.uint64(1)
         h[i : i + (1 << 16)] = _mixed((grams * up).sum(1, dtype=np.uint64))
-    return a, begins, ids, known, lens, text, pos.astype(np.int64), most.astype(np.int64), least.astype(np.int64), at, h
+    return h
 
 
 def _runs(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -318,7 +324,7 @@ def contexts(blocks: DataFrame, grams: DataFrame, buckets: int) -> DataFrame:
                     some = ship[lo:hi]
                     p = pick[some]
                     body = np.frombuffer(b"".join([raw[starts[i] : ends[i]] for i in some.tolist()]), np.uint8)
-                    out.append((k, row.block, _pack(h[p], ids[text[p]].astype("<i8"), text[p].astype("<i4"), pos[p].astype("<i4"), most[p].astype("u1"), least[p].astype("u1"), body), b""))
+                    out.append((k, row.block, _pack(ids[text[p]].astype("<i8"), text[p].astype("<i4"), pos[p].astype("<i4"), most[p].astype("u1"), least[p].astype("u1"), body), b""))
                 if gone:
                     out.append((int(hashlib.md5(row.block.encode()).hexdigest()[:8], 16) % buckets, row.block, b"", np.array(gone, "<i4").tobytes()))
                 yield pd.DataFrame(out, columns=["bucket", "block", "data", "spans"])
@@ -332,14 +338,15 @@ def _bucket_spans(rows: pd.DataFrame) -> pd.DataFrame:
     out = [(b, s) for b, s in zip(rows["block"], rows["spans"], strict=True) if len(s)]
     rows = rows[[len(d) > 0 for d in rows["data"]]]
     if len(rows):
-        kinds = ("<u8", "<i8", "<i4", "<i4", "u1", "u1", "u1")
+        kinds = ("<i8", "<i4", "<i4", "u1", "u1", "u1")
         parts = [_unpack(d, *kinds) for d in rows["data"]]
-        h, ids, text, pos, most, least, body = (np.concatenate(x) for x in zip(*parts, strict=True))
+        ids, text, pos, most, least, body = (np.concatenate(x) for x in zip(*parts, strict=True))
         owner = np.repeat(np.arange(len(rows)), [len(p[0]) for p in parts])
         size = most.astype(np.int64) - least + LEAST
         end = np.cumsum(size)
+        h = _hashes_at(body, end - size + most)
         order = np.lexsort((pos, ids, h))
-        raw = body.tobytes()
+        raw, most = body.tobytes(), most.astype(np.int64)
         who, found = [], []
         for _, lo, hi in _runs(h[order]):
             if hi - lo < 2:
@@ -420,9 +427,10 @@ def sql(docs: str = "documents", least: int = LEAST) -> str:
     """The same for DuckDB, of ids that are unique."""
     return f"""
     with d as (select doc_id, hex(encode(coalesce(text, ''))) as x from {docs}),
-    b as (select doc_id, x, unnest(range(length(x) // 2)) as i from d),
-    w as (select doc_id, i, substr(x, 2 * i + 1, 2) as byte, case when i + {least} <= length(x) // 2 then hash(substr(x, 2 * i + 1, {2 * least})) end as s from b),
-    f as (select doc_id, i, byte, s is not null and row_number() over (partition by s order by doc_id, i) > 1 as late from w),
+    w as (select doc_id, unnest(range(n)) as i, unnest(list_transform(range(n), lambda i: substr(x, 2 * i + 1, 2))) as byte,
+            unnest(list_transform(range(n), lambda i: case when i + {least} <= n then hash(substr(x, 2 * i + 1, {2 * least})) end)) as s from (select *, length(x) // 2 as n from d)),
+    e as (select s, min(doc_id::hugeint * 4294967296 + i) as earliest from w where s is not null group by s having count(*) > 1),
+    f as (select doc_id, i, byte, coalesce(doc_id::hugeint * 4294967296 + i > earliest, false) as late from w left join e using (s)),
     c as (select doc_id, i, byte, bool_or(late) over (partition by doc_id order by i rows between {least - 1} preceding and current row) as gone from f),
     r as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by i), false) as opens from c),
     g as (select doc_id, count(*) filter (gone) as n_removed, count(*) filter (opens) as n_spans, string_agg(byte, '' order by i) filter (not gone) as kept from r group by doc_id)
