@@ -425,12 +425,20 @@ def op6(docs: DataFrame) -> DataFrame:
 
 def sql(docs: str = "documents", least: int = LEAST) -> str:
     """The same for DuckDB, of ids that are unique."""
+    # strings of twice the length are named by hashing the names of their halves, up to the least length
+    steps, have = ["h1 as (select doc_id, i, byte, n, hash(byte) as s from w)"], 1
+    while have < least:
+        step = min(have, least - have)
+        steps.append(f"h{have + step} as (select doc_id, i, byte, n, hash(s, lead(s, {step}) over (partition by doc_id order by i)) as s from h{have})")
+        have += step
+    names = ",\n    ".join(steps)
     return f"""
     with d as (select doc_id, hex(encode(coalesce(text, ''))) as x from {docs}),
-    w as (select doc_id, unnest(range(n)) as i, unnest(list_transform(range(n), lambda i: substr(x, 2 * i + 1, 2))) as byte,
-            unnest(list_transform(range(n), lambda i: case when i + {least} <= n then hash(substr(x, 2 * i + 1, {2 * least})) end)) as s from (select *, length(x) // 2 as n from d)),
-    e as (select s, min(doc_id::hugeint * 4294967296 + i) as earliest from w where s is not null group by s having count(*) > 1),
-    f as (select doc_id, i, byte, coalesce(doc_id::hugeint * 4294967296 + i > earliest, false) as late from w left join e using (s)),
+    w as (select doc_id, n, unnest(range(n)) as i, unnest(bytes) as byte from (select doc_id, length(x) // 2 as n, regexp_extract_all(x, '..') as bytes from d)),
+    {names},
+    k as (select doc_id, i, byte, doc_id::hugeint * 4294967296 + i as place, case when i + {least} <= n then s end as s from h{least}),
+    e as (select s, min(place) as earliest from k where s is not null group by s having count(*) > 1),
+    f as (select doc_id, i, byte, coalesce(place > earliest, false) as late from k left join e using (s)),
     c as (select doc_id, i, byte, bool_or(late) over (partition by doc_id order by i rows between {least - 1} preceding and current row) as gone from f),
     r as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by i), false) as opens from c),
     g as (select doc_id, count(*) filter (gone) as n_removed, count(*) filter (opens) as n_spans, string_agg(byte, '' order by i) filter (not gone) as kept from r group by doc_id)
