@@ -174,5 +174,6 @@ def expand(chunks: DataFrame, parents: bool = False) -> DataFrame:
         a, b = placed.alias("a"), placed.alias("b")
         pairs = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.parent") == F.col("b.parent")) & (F.col("a.chunk") != F.col("b.chunk")))
         return pairs.select("a.doc_id", "a.chunk", F.col("b.chunk").alias("supplement"), F.abs(F.col("a.place") - F.col("b.place")).alias("distance"))
-    near = placed.select("doc_id", "chunk", "place", F.explode(F.array(*[F.struct(f("chunk").over(order).alias("c"), f("place").over(order).alias("p")) for f in (F.lag, F.lead)])).alias("n"))
+    sides = placed.select("doc_id", "chunk", "place", *[f(c).over(order).alias(f"{c}_{n}") for n, f in enumerate((F.lag, F.lead)) for c in ("chunk", "place")])
+    near = sides.select("doc_id", "chunk", "place", F.explode(F.array(*[F.struct(F.col(f"chunk_{n}").alias("c"), F.col(f"place_{n}").alias("p")) for n in (0, 1)])).alias("n"))
     return near.where("n.c is not null").select("doc_id", "chunk", F.col("n.c").alias("supplement"), F.abs(F.col("place") - F.col("n.p")).alias("distance"))

@@ -174,4 +174,4 @@ def sql(select: str, needs: str) -> str:
 
     for n in needs.split():
         add(n)
-    return "with recursive " + ",\n".join(f"{n} as materialized ({CTES[n][1]})" for n in done) + "\n" + select
+    return "with recursive " + ",\n".join(f"{n} as {'' if f'from {n} ' in CTES[n][1] else 'materialized '}({CTES[n][1]})" for n in done) + "\n" + select
