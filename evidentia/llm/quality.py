@@ -132,6 +132,8 @@ def _grow(x: dict[str, np.ndarray], y: np.ndarray, cuts: dict[str, np.ndarray])
         p0, n0 = int(y[inside].sum()), int(inside.sum())
         best, best_gain = None, 1e-9
         for name, at in cuts.items():
+            if not len(at):  # one value only
+                continue
             v, yes = x[name][inside], y[inside]
             order = np.searchsorted(at, v, side="left")  # v <= at[k] for k >= order
             below_n = np.cumsum(np.bincount(order, minlength=len(at) + 1))[: len(at)]
