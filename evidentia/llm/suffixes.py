@@ -209,8 +209,7 @@ def blocks_of(docs: DataFrame) -> DataFrame:
         number = 0
         for batch in batches:
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"]]
-            known = batch["doc_id"].notna().to_numpy()
-            ids = batch["doc_id"].fillna(0).astype("int64").to_numpy()
+            known, ids = batch["known"].to_numpy(), batch["doc_id"].to_numpy(np.int64)
             at = 0
             while at < len(raw):
                 to, size = at, 0
@@ -232,7 +231,7 @@ def blocks_of(docs: DataFrame) -> DataFrame:
                 number += 1
                 at = to
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), F.col("text").cast("string").alias("text"))
     return rows.mapInPandas(pack, "block string, n_bytes long, ids binary, texts binary, anchors binary")
 
 
@@ -258,8 +257,10 @@ def _hashes_at(a: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _runs(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(key, from, to) of runs of equal neighbours."""
-    heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return zip(keys[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(keys)], strict=True)
+    if not len(keys):
+        return
+    heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    yield from zip(keys[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(keys)], strict=True)
 
 
 def repeated_grams(blocks: DataFrame, buckets: int) -> DataFrame:

@@ -91,6 +91,7 @@ def fit(rows: list[tuple[np.ndarray, int]], passes: int = PASSES) -> Weights:
 
     for _ in range(passes):
         for i, y in rows:
+            i = i.astype(np.int64)
             w = weights(i)
             g = 1 / (1 + math.exp(-max(-35.0, min(35.0, float(w.sum()))))) - y
             ni = n[i]
@@ -114,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Weights
 
     seen = labelled(docs, labels, "toxic", most, where=F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0)
     rows = sorted((zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], bytes(r["f"]), r["label"]) for r in seen.select("doc_id", "label", packed(F.col("text").cast("string")).alias("f")).collect())
-    return fit([(np.frombuffer(f, "<u4").astype(np.int64), int(y)) for _, _, f, y in rows])
+    return fit([(np.frombuffer(f, "<u4"), int(y)) for _, _, f, y in rows])
 
 
 def score(text: Column | str, weights: Weights) -> Column:
