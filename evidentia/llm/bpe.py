@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 MAX_FILE_BYTES = 64 << 20
 #: Words whose encodings a worker remembers, and characters of text in a block.
 CACHE_WORDS, BLOCK_CHARS = 500_000, 1_000_000
+#: Automaton steps and token pairs that a worker remembers.
+CACHE_STEPS = 1_500_000
 END = "</w>"
 #: The symbol of a word's end, after the 256 bytes.
 _END = 256
@@ -104,7 +106,8 @@ class TrieBpe:
                     back = fail[back]
                 fail[to] = step.get(back << 9 | c, 0) if at else 0
                 ends[to] = ((own[to],) if own[to] else ()) + ends[fail[to]]
-        self._step, self._fail, self._ends = step, fail, ends
+        self._edges, self._fail, self._ends = step, fail, ends
+        self._step = dict(step)
 
     def _next(self, state: int, symbol: int) -> int:
         """The automaton's state after one more symbol; found by failure links once, then remembered."""
@@ -145,16 +148,11 @@ class TrieBpe:
             state = states[shared]
             for end in range(shared + 1, n + 2):  # the last round reads the word's end, which takes no byte
                 symbol = word[end - 1] if end <= n else _END
+                here = step(state << 9 | symbol, -1)
+                state = here if here >= 0 else self._next(state, symbol)
                 if end == n:  # the last byte belongs to a token with the word's end
-                    state = step(state << 9 | symbol, -1)
-                    if state < 0:
-                        state = self._next(states[shared if shared == n - 1 else n - 1], symbol)
                     continue
-                here = step(state << 9 | symbol, -1)
-                if here < 0:
-                    here = self._next(state, symbol)
-                state = here
-                at = end if end < n else n
+                at = min(end, n)
                 for t, k in ends[state]:
                     if k == at:
                         break
@@ -198,6 +196,10 @@ class TrieBpe:
     def _learn(self, new: set[str]) -> None:
         if len(self._cache) + len(new) > CACHE_WORDS:
             self._cache.clear()
+        if len(self._step) > CACHE_STEPS:
+            self._step = dict(self._edges)
+        if len(self._fits) > CACHE_STEPS:
+            self._fits.clear()
         plain = {w.encode("utf-8", "surrogateescape"): w for w in new if w not in self.special}
         for word, ids in self.encode_words(list(plain)).items():
             self._cache[plain[word]] = array("I", ids).tobytes()

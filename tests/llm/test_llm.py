@@ -406,3 +406,13 @@ def test_pipeline_stages(spark, tmp_path):
     assert Counter(r["doc_id"] for r in mixed.collect()) == +plan
     final = P.tokens(spark, mixed, str(tmp_path))
     assert final.count() == mixed.count() == P.run(spark, str(tmp_path)).count()
+
+
+def test_bpe_small_caches_change_nothing(monkeypatch):
+    spec = open(tokenizer_path(), encoding="utf-8").read()
+    texts = small_words(300, 21)
+    want = list(bpe.TrieBpe(spec).encode(texts))
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 50)
+    monkeypatch.setattr(bpe, "CACHE_STEPS", 100)
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 2000)
+    assert list(bpe.TrieBpe(spec).encode(texts)) == want
