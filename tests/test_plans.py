@@ -8,7 +8,7 @@ import pytest
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHEAP = ["units_from_documents", "units_from_pages", "cross_references", "family_histogram", "normalized_text", "windows_c0", "sections_c1", "c1_scoring_windows", "packed_c2", "unit_token_counts", "dense_top10", "bm25_top10", "query_decomposition", "weighted_kappa", "balanced_threshold", "kendall_tau", "canonical_dedupe", "round_robin_sample", "canonical_json", "latency_percentiles", "stage_overhead"]
+CHEAP = ["units_from_documents", "units_from_pages", "cross_references", "family_histogram", "normalized_text", "windows_c0", "sections_c1", "c1_scoring_windows", "packed_c2", "unit_token_counts", "dense_top10", "bm25_top10", "query_decomposition", "weighted_kappa", "balanced_threshold", "kendall_tau", "canonical_dedupe", "round_robin_sample", "canonical_json", "latency_percentiles", "stage_overhead", "adjudication_diff", "quote_lines", "include_sites"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
 
