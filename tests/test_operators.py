@@ -131,3 +131,27 @@ def test_trec_files(spark, tmp_path):
     trec.write_run(run.withColumn("rank", F.col("rank") + 1), str(tmp_path / "bad"), "t")
     with pytest.raises(Exception, match="not a run"):
         trec.read_run(spark, str(tmp_path / "bad")).collect()
+
+
+def test_hard_negatives_one_of_each_class_then_by_id(spark):
+    candidates = [(1, 10, 0, 5, ["lexical_candidate"]), (1, 11, 1, 9, ["lexical_candidate", "semantic_candidate"]), (1, 12, 0, 1, ["semantic_candidate"]), (1, 9, 0, 40, ["semantic_candidate"]), (1, 13, 3, 1, ["lexical_candidate"]), (1, 14, 0, 1, ["other"])]
+    df = spark.createDataFrame([(*c, None) for c in candidates], "query_id long, item_id long, grade int, minimum_rank int, provenance array<string>, no_answer_reason string")
+    # lexical_collision takes 11 (grade 1), semantic_nearest then 12 (rank 1), and 9 is the smallest id left
+    assert rows(pooling.hard_negatives(df), "item_id") == [(1, 9, "semantic_nearest"), (1, 11, "lexical_collision"), (1, 12, "semantic_nearest")]
+    asked = df.withColumn("no_answer_reason", F.lit("wrong_version"))
+    assert {r["negative_class"] for r in pooling.hard_negatives(asked).collect()} == {"wrong_version"}
+
+
+def test_group_folds_greedy(spark):
+    rnd = random.Random(19)
+    data = [(f"g{rnd.randrange(14):02}", rnd.randrange(2)) for _ in range(90)]
+    groups = {}
+    for g, y in data:
+        groups.setdefault(g, [0, 0])[y] += 1
+    held, want = [[0, 0] for _ in range(5)], {}
+    for g in sorted(groups, key=lambda g: (-sum(groups[g]), g)):
+        major = 1 if groups[g][1] >= groups[g][0] else 0
+        f = min(range(5), key=lambda i: (held[i][major], sum(held[i]), i))
+        want[g] = f
+        held[f] = [held[f][0] + groups[g][0], held[f][1] + groups[g][1]]
+    assert dict(rows(statistics.group_folds(spark.createDataFrame(data, "group string, label int")))) == want
