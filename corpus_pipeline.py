@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import bpe, lines, mixing, simhash, toxicity
+from evidentia.llm import bpe, lines, mixing, shingles, toxicity
 from evidentia.llm._common import durable, table
 from evidentia.llm.queries import tokenizer_path
 
@@ -28,8 +28,8 @@ def boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate component, once; rows with a null id stay if their component has no other id."""
-    classes = simhash.near_duplicates(docs.select("doc_id", "text"))
+    """The document with the smallest id of each component of texts that share 0.8 or more of their five-word shingles, once; rows with a null id stay if their component has no other id."""
+    classes = shingles.near_duplicates(docs)
     kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_ev_id")).distinct()
     rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_ev_id")), "left_semi")
     with_id = rows.where("doc_id is not null").dropDuplicates(["doc_id"])

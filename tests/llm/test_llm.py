@@ -416,3 +416,39 @@ def test_bpe_small_caches_change_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_STEPS", 100)
     monkeypatch.setattr(bpe, "BLOCK_CHARS", 2000)
     assert list(bpe.TrieBpe(spec).encode(texts)) == want
+
+
+def test_pipeline_near_dedup_is_by_similarity(spark):
+    """Components of exact five-word Jaccard similarity of 0.8 or more, which SimHash links mostly miss."""
+    import corpus_pipeline as P
+    from evidentia.llm import shingles
+
+    rnd = random.Random(23)
+    texts = [" ".join(f"w{rnd.randrange(5000)}" for _ in range(rnd.randint(60, 120))) for _ in range(40)]
+    for _ in range(120):
+        words = rnd.choice(texts[:20]).split()
+        for _ in range(rnd.randint(1, 4)):
+            words[rnd.randrange(len(words))] = f"z{rnd.randrange(50)}"
+        texts.append(" ".join(words))
+    texts += [None, "", " \n", "one two", "One  two", texts[0].upper(), texts[0].replace(" ", "\n")]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    label = list(range(len(texts)))
+    while True:
+        before = list(label)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if 5 * len(a & b) >= 4 * len(a | b):
+                    label[i] = label[j] = min(label[i], label[j])
+        if label == before:
+            break
+    assert 40 < len(set(label)) < len(texts) - 20
+    docs = documents(spark, texts)
+    for block in (256, 8):
+        shingles.BLOCK, was = block, shingles.BLOCK
+        try:
+            got = {r["doc_id"]: r["component_id"] for r in shingles.near_duplicates(docs).collect()}
+        finally:
+            shingles.BLOCK = was
+        assert [got[i] for i in range(len(texts))] == label
+    assert sorted(r["doc_id"] for r in P.near_duplicates(spark, docs, "").collect()) == sorted(set(label))
+    assert shingles.near_duplicates(docs.limit(0)).count() == 0
