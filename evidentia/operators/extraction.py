@@ -11,6 +11,8 @@ from evidentia.functions import text as T
 SECTION, PARENT = 8, 32
 #: Nodes of a page that become units, in document order; the texts of scripts and styles are left out.
 NODE = r"<(h[1-6]|p|li|td|pre|figcaption)(?:\s[^>]*)?>([^<]*)"
+#: Tags that end a node's text; all others are inside it.
+BLOCK = "address|article|aside|blockquote|body|caption|dd|details|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|summary|table|tbody|td|tfoot|th|thead|title|tr|ul"
 
 
 def units_from_documents(docs: DataFrame) -> DataFrame:
@@ -25,9 +27,12 @@ def units_from_documents(docs: DataFrame) -> DataFrame:
 def units_from_pages(pages: DataFrame) -> DataFrame:
     """(page_id, ordinal, node_type, heading, text, unit_id): headings, paragraphs, items, cells and code of each page, in order.
 
+    A node's text goes to its end tag or the next block tag; tags inside it are left out, a line break is a space.
     heading is the nearest heading at or before the unit; the id is a hash of page, place and text.
     """
-    clean = F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</(script|style)>", "")
+    clean = F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->", "")
+    clean = F.regexp_replace(F.regexp_replace(clean, "<(?![A-Za-z/!?])", "&lt;"), r"(?i)<br\b[^>]*>", " ")
+    clean = F.regexp_replace(clean, rf"(?i)</?(?!/?(?:{BLOCK})[\s/>])[^>]*>", "")
     tags, texts = F.regexp_extract_all(clean, F.lit(NODE), F.lit(1)), F.regexp_extract_all(clean, F.lit(NODE), F.lit(2))
     nodes = pages.select("page_id", F.posexplode(F.arrays_zip(tags.alias("tag"), texts.alias("text"))).alias("ordinal", "node"))
     kind = node_type(F.col("node.tag"))

@@ -155,3 +155,9 @@ def test_group_folds_greedy(spark):
         want[g] = f
         held[f] = [held[f][0] + groups[g][0], held[f][1] + groups[g][1]]
     assert dict(rows(statistics.group_folds(spark.createDataFrame(data, "group string, label int")))) == want
+
+
+def test_page_units_hold_the_text_of_inline_tags(spark):
+    html = '<ul><li><a href="/x">x</a></li><li>a <i>b</i> c</li></ul><p><b>y.<br>z<p>one<!-- ad --> two 1 < 2</p><pre><code>q</code></pre><p></p>'
+    rows = sorted(X.units_from_pages(spark.createDataFrame([(1, html)], "page_id long, html string")).select("ordinal", "node_type", "text").collect())
+    assert [tuple(r)[1:] for r in rows] == [("list_item", "x"), ("list_item", "a b c"), ("paragraph", "y. z"), ("paragraph", "one two 1 &lt; 2"), ("code", "q")]
