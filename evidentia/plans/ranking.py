@@ -49,7 +49,7 @@ def dense_int8_agreement(spark, d):
     """Exact dense rankings against those of vectors of 8-bit levels, cosine similarity."""
     items, queries = D.vectors(spark, d)
     q8 = queries.select("query_id", quantize("vector").alias("qv"))
-    pairs = items.select("item_id", quantize("vector").alias("v")).join(F.broadcast(q8), F.col("item_id") != F.col("query_id"))  # DENSE_QUERIES rows
+    pairs = items.select("item_id", quantize("vector").alias("v")).join(R._near(q8), F.col("item_id") != F.col("query_id"))
     scores = pairs.select("query_id", "item_id", rounded(dot("v", "qv") / (norm("v") * norm("qv"))).alias("score"))
     return R.rank_agreement(D.dense(spark, d, 10), R.top_k(scores, 10))
 

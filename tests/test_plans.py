@@ -52,3 +52,14 @@ def test_entry_without_the_training_data_package(tmp_path):
     shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'bm25_top10' in q and not any(n.startswith('op') and n[2].isdigit() for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "r", check=True, timeout=120)
+
+
+def test_dense_search_takes_every_twentieth_row_against_all(spark):
+    from evidentia.plans import _data as D
+
+    e = spark.read.parquet(f"{DATA}/embeddings.parquet").collect()
+    wanted = {r["vec_id"] for r in e if r["vec_id"] % 20 == 0}
+    label = {r["vec_id"]: r["label"] for r in e}
+    assert {r["query_id"] for r in D.dense(spark, DATA, 1).collect()} == wanted and len(wanted) > 20
+    grades = {(r["query_id"], r["item_id"]): r["grade"] for r in D.label_qrels(spark, DATA).collect()}
+    assert grades == {(q, i): (3 - i % 2 if label[i] == label[q] else 0) for q in wanted for i in label if i != q}
