@@ -12,9 +12,12 @@ from evidentia.operators import chunking as C
 from evidentia.operators import extraction as X
 from evidentia.operators import metrics as M
 from evidentia.operators import pooling as P
+from evidentia.operators import retrieval as R
 from evidentia.plans import _data as D
 from evidentia.plans.evaluation import _labelers, metrics_sql
+from evidentia.plans.ranking import _window_texts
 from evidentia.sources import trec
+from evidentia.sources.tables import materialize
 from evidentia.streaming import windows as W
 
 _SLOTS = {"intent": {"fact": 10, "howto": 14, "compare": 6, "why": 2}, "difficulty": {"easy": 12, "medium": 12, "hard": 8}, "answerability": {"answerable": 24, "no_answer": 8}}
@@ -142,16 +145,15 @@ def event_windows_stream(spark, d):
 
 
 def evidence_cards(spark, d):
-    """Token-budgeted cards of the packed chunks of each query's best documents."""
+    """Token-budgeted cards of each query's best packed chunks, ranked by BM25 over all chunks' texts."""
     from evidentia.operators import cards as K
 
+    chunks = _window_texts(spark, d, C.packed)
+    chosen = materialize(R.top_k(R.bm25_scores(chunks.select(F.col("window_id").alias("item_id"), "text"), D.queries(spark, d)), 100))
+    ranking = chosen.select("query_id", "rank", F.floor(F.col("item_id") / 100000).alias("doc_id"), F.pmod("item_id", F.lit(100000)).cast("int").alias("chunk"))
     units = X.units_from_documents(D.table(spark, d, "documents"))
-    chosen = D.bm25(spark, d, 6)
-    near = F.broadcast(chosen.select(F.col("item_id").alias("doc_id")).distinct())  # six rows a query
-    fragments = C.packed(units.join(near, "doc_id", "left_semi"))
-    first = C.chunk_table(fragments).where("first_ordinal = 0").groupBy("doc_id").agg(F.min("chunk").alias("chunk"))
-    ranking = chosen.join(first, chosen["item_id"] == first["doc_id"]).select("query_id", "rank", "doc_id", "chunk")
-    return K.assemble(ranking, fragments, budget=600)
+    near = F.broadcast(ranking.select("doc_id").distinct())  # a hundred rows a query
+    return K.assemble(ranking, C.packed(units.join(near, "doc_id", "left_semi")))
 
 
 QUERIES = {f.__name__: f for f in [grade_projection, pool_build, depth_report, exclusive_judgments, system_order, hard_negative_selection, review_queue, round_robin_sample, canonical_dedupe, quota_slots, adjudication_diff, submission_validation, anti_join_missing, trec_roundtrip, beir_roundtrip, canonical_json, latency_percentiles, stage_overhead, determinism_check, event_windows_stream, evidence_cards]}

@@ -17,10 +17,10 @@ def bm25_top10(spark, d):
     return D.bm25(spark, d, 10)
 
 
-def _window_texts(spark, d):
-    """(window_id, item_id, text): the C0 windows of documents as texts, unit by unit."""
+def _window_texts(spark, d, policy=C.fixed):
+    """(window_id, item_id, text): the C0 windows of documents, or another policy's chunks, as texts, unit by unit."""
     units = X.units_from_documents(D.table(spark, d, "documents"))
-    pieces = C.fixed(units).join(units.select("doc_id", "ordinal", "text"), ["doc_id", "ordinal"])
+    pieces = policy(units).join(units.select("doc_id", "ordinal", "text"), ["doc_id", "ordinal"])
     tokens = F.slice(T.analyze("text", []), F.col("unit_start") + 1, F.col("unit_stop") - F.col("unit_start"))
     texts = pieces.select("doc_id", "chunk", "ordinal", F.array_join(tokens, " ").alias("piece")).groupBy("doc_id", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "piece"))), lambda x: x["piece"]), " ").alias("text"))
     return texts.select((F.col("doc_id") * 100000 + F.col("chunk")).alias("window_id"), F.col("doc_id").alias("item_id"), "text")

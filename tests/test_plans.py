@@ -5,6 +5,7 @@ import subprocess
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -63,3 +64,17 @@ def test_dense_search_takes_every_twentieth_row_against_all(spark):
     assert {r["query_id"] for r in D.dense(spark, DATA, 1).collect()} == wanted and len(wanted) > 20
     grades = {(r["query_id"], r["item_id"]): r["grade"] for r in D.label_qrels(spark, DATA).collect()}
     assert grades == {(q, i): (3 - i % 2 if label[i] == label[q] else 0) for q in wanted for i in label if i != q}
+
+
+def test_evidence_cards_reach_later_chunks(spark, tmp_path):
+    """A term that stands only after a document's first section gets a card of the chunk that holds it."""
+    from evidentia.plans import _data as D
+    from evidentia.plans import judging
+
+    term = D.queries(spark, DATA).orderBy("query_id").first()
+    lines = [f"filler number {i} of plain words" for i in range(40)]
+    lines[30] = term["text"]
+    spark.createDataFrame([(1, "\n".join(lines)), (2, "other words here")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{DATA}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    cards = judging.evidence_cards(spark, str(tmp_path)).where(F.col("query_id") == term["query_id"]).collect()
+    assert min(cards, key=lambda r: r["rank"])["chunk"] > 0
