@@ -23,7 +23,7 @@ KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{24,}")
 ASSIGN_CHARS, ACCESS_CHARS = 6, 20
-#: Candidates of the method: runs of this alphabet, this long, with a digit.
+#: Candidates of the method: runs of this alphabet, this long.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Documents whose words train the model of ordinary strings, and strings that train each model.
@@ -33,7 +33,6 @@ LEAST_TOTAL, LEAST_EACH = 10.0, 0.35
 
 _CODE = np.full(128, -1, np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
-_DIGIT = re.compile(r"[0-9]")
 
 
 def random_strings(n: int, seed: int = 11) -> list[str]:
@@ -109,7 +108,7 @@ def markov_spans(text: str, model: np.ndarray, taken: list[tuple[int, int, int]]
     spans = []
     for m in CANDIDATE.finditer(text):
         s = m.group()
-        if _DIGIT.search(s) and (r := ratio(model, s)) >= LEAST_TOTAL and r >= LEAST_EACH * len(s) and not any(a < m.end() and m.start() < b for a, _, b in taken):
+        if (r := ratio(model, s)) >= LEAST_TOTAL and r >= LEAST_EACH * len(s) and not any(a < m.end() and m.start() < b for a, _, b in taken):
             spans.append((m.start(), 3, m.end()))
     return spans
 

@@ -452,3 +452,14 @@ def test_pipeline_near_dedup_is_by_similarity(spark):
         assert [got[i] for i in range(len(texts))] == label
     assert sorted(r["doc_id"] for r in P.near_duplicates(spark, docs, "").collect()) == sorted(set(label))
     assert shingles.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_secrets_without_a_digit_are_found(spark):
+    """The ratio decides for every candidate; ordinary identifiers of letters only stay unflagged."""
+    model = secrets.train(documents(spark, small_words(50)))
+    rnd = random.Random(29)
+    keys = ["".join(rnd.choices(secrets.ALPHABET[:62].translate({ord(c): None for c in "0123456789"}), k=rnd.randint(20, 40))) for _ in range(200)]
+    assert not any(c.isdigit() for k in keys for c in k)
+    assert sum(bool(secrets.markov_spans(k, model, [])) for k in keys) >= 190
+    plain = [x for x in secrets.identifiers([w for t in small_words(20, 8) for w in t.split()], 2000, 99) if len(x) >= 16 and not any(c.isdigit() for c in x)]
+    assert len(plain) > 100 and sum(bool(secrets.markov_spans(x, model, [])) for x in plain) <= len(plain) // 50
