@@ -27,8 +27,9 @@ def ranking_violations(spark, d):
 
 
 def include_sites(spark, d):
-    """Include directives; every fifth document is given one."""
-    docs = D.table(spark, d, "documents").where("doc_id % 5 = 0").select("doc_id", F.concat("text", F.lit("\n.. include:: part/"), F.col("doc_id").cast("string"), F.lit(".rst")).alias("text"))
+    """Include directives of all documents; every fifth document is given one more."""
+    planted = F.concat("text", F.lit("\n.. include:: part/"), F.col("doc_id").cast("string"), F.lit(".rst"))
+    docs = D.table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, planted).otherwise(F.col("text")).alias("text"))
     return X.include_sites(docs)
 
 

@@ -78,3 +78,10 @@ def test_evidence_cards_reach_later_chunks(spark, tmp_path):
     spark.read.parquet(f"{DATA}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
     cards = judging.evidence_cards(spark, str(tmp_path)).where(F.col("query_id") == term["query_id"]).collect()
     assert min(cards, key=lambda r: r["rank"])["chunk"] > 0
+
+
+def test_include_sites_of_all_documents(spark, tmp_path):
+    from evidentia.plans import checks
+
+    spark.createDataFrame([(1, "a\n.. include:: x.rst\nb"), (5, "c")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(map(tuple, checks.include_sites(spark, str(tmp_path)).collect())) == [(1, 2, "x.rst"), (5, 2, "part/5.rst")]
