@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: The analyzer's token pattern, the same in Java and RE2.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
+#: One character of white space, Unicode's and the four separators below the space; the same in Java and RE2.
+SPACE = r"[\x09-\x0D\x1C-\x20\x85\p{Z}]"
 #: Words that the analyzer leaves out.
 STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with"]
 #: The clause borders of a query, the least words of a clause, and the most subqueries.
@@ -45,7 +47,7 @@ def normalize_rendered(text: Column | str) -> Column:
 
 def collapse(text: Column | str) -> Column:
     """Runs of white space become one space; none at the ends."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
 def lexical(headings: Column | str, text: Column | str) -> Column:

@@ -9,10 +9,17 @@ from evidentia.functions import text as T
 
 #: Lines in a section and in a parent section of a plain document.
 SECTION, PARENT = 8, 32
-#: Nodes of a page that become units, in document order; the texts of scripts and styles are left out.
-NODE = r"<(h[1-6]|p|li|td|pre|figcaption)(?:\s[^>]*)?>([^<]*)"
+#: Nodes of a page that become units, in document order; the texts of scripts, styles and comments are left out.
+NODE = r"(?i)<(h[1-6]|p|li|td|pre|figcaption)(?:[\s/][^>]*)?>([^<]*)"
 #: Tags that end a node's text; all others are inside it.
-BLOCK = "address|article|aside|blockquote|body|caption|dd|details|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|summary|table|tbody|td|tfoot|th|thead|title|tr|ul"
+BLOCKS = "address article aside blockquote body caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
+#: Entities that are decoded, the ampersand last.
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "nbsp": "\u00a0", "middot": "\u00b7", "copy": "\u00a9", "amp": "&"}
+
+
+def source_lines(text: Column | str) -> Column:
+    """A text's lines: a byte-order mark at its start goes, CR LF and CR end lines as LF does."""
+    return F.split(F.regexp_replace(F.regexp_replace(text, "^\ufeff", ""), r"\r\n?", "\n"), "\n")
 
 
 def units_from_documents(docs: DataFrame) -> DataFrame:
@@ -20,26 +27,46 @@ def units_from_documents(docs: DataFrame) -> DataFrame:
 
     A document has no headings, so its sections are runs of SECTION lines under parents of PARENT lines.
     """
-    lines = docs.select("doc_id", F.posexplode(F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n")).alias("ordinal", "text"))
+    lines = docs.select("doc_id", F.posexplode(source_lines("text")).alias("ordinal", "text"))
     return lines.select("doc_id", "ordinal", F.floor(F.col("ordinal") / SECTION).cast("int").alias("section"), F.floor(F.col("ordinal") / PARENT).cast("int").alias("parent"), "text", F.size(T.analyze("text", [])).alias("n_tokens"))
 
 
 def units_from_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, ordinal, node_type, heading, text, unit_id): headings, paragraphs, items, cells and code of each page, in order.
+    """(page_id, ordinal, node_type, heading, heading_path, section_id, parent_id, text, unit_id): headings, paragraphs, items, cells and code of each page, in order.
 
-    A node's text goes to its end tag or the next block tag; tags inside it are left out, a line break is a space.
-    heading is the nearest heading at or before the unit; the id is a hash of page, place and text.
+    A node's text goes to its end tag or the next block tag; tags inside it are left out, a line break is a space, entities
+    are decoded. heading is the nearest heading at or before the unit; heading_path are those open there, a heading being open
+    until one of its level or above comes. A section's id hashes its heading's place, the place -1 standing for the page itself.
     """
     clean = F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->", "")
     clean = F.regexp_replace(F.regexp_replace(clean, "<(?![A-Za-z/!?])", "&lt;"), r"(?i)<br\b[^>]*>", " ")
-    clean = F.regexp_replace(clean, rf"(?i)</?(?!/?(?:{BLOCK})[\s/>])[^>]*>", "")
+    clean = F.regexp_replace(clean, rf"(?i)</?(?!/?(?:{'|'.join(BLOCKS)})[\s/>])[^>]*>", "")
     tags, texts = F.regexp_extract_all(clean, F.lit(NODE), F.lit(1)), F.regexp_extract_all(clean, F.lit(NODE), F.lit(2))
     nodes = pages.select("page_id", F.posexplode(F.arrays_zip(tags.alias("tag"), texts.alias("text"))).alias("ordinal", "node"))
-    kind = node_type(F.col("node.tag"))
-    rows = nodes.select("page_id", "ordinal", kind.alias("node_type"), T.collapse("node.text").alias("text")).where("text <> ''")
+    tag = F.lower("node.tag")
+    rows = nodes.select("page_id", "ordinal", tag.alias("tag"), node_type(tag).alias("node_type"), T.collapse(decoded(F.col("node.text"))).alias("text")).where("text <> ''")
+    return _sections(rows).withColumn("unit_id", T.stable_id("page_id", "ordinal", "text"))
+
+
+def decoded(text: Column) -> Column:
+    """Text with its ENTITIES decoded; others stay as they are."""
+    for name, char in ENTITIES.items():
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+    return text
+
+
+def _sections(rows: DataFrame) -> DataFrame:
+    """`rows` (page_id, ordinal, tag, node_type, text) with the headings open at each row."""
     before = Window.partitionBy("page_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    heading = F.last(F.when(F.col("node_type") == "heading", F.col("text")), True).over(before)
-    return rows.withColumn("heading", heading).withColumn("unit_id", T.stable_id("page_id", "ordinal", "text"))
+    at_level = lambda k, c: F.last(F.when(F.col("tag") == f"h{k}", F.col(c)), True).over(before)
+    seen = rows.withColumn("heading", F.last(F.when(F.col("node_type") == "heading", F.col("text")), True).over(before))
+    for k in range(1, 7):
+        seen = seen.withColumn(f"_o{k}", at_level(k, "ordinal")).withColumn(f"_t{k}", at_level(k, "text"))
+    last = lambda k: F.greatest(F.lit(-1), *[F.coalesce(F.col(f"_o{j}"), F.lit(-1)) for j in range(1, k)], F.lit(-1))
+    open_ = F.array_compact(F.array(*[F.when(F.col(f"_o{k}") > last(k), F.struct(F.col(f"_o{k}").alias("at"), F.col(f"_t{k}").alias("text"))) for k in range(1, 7)]))
+    place = lambda i: F.coalesce(F.get(F.reverse(F.col("_open")), F.lit(i))["at"], F.lit(-1))
+    placed = seen.withColumn("_open", open_).withColumn("heading_path", F.when(F.size("_open") > 0, F.array_join(F.transform("_open", lambda h: h["text"]), " > ")))
+    return placed.withColumn("section_id", T.stable_id("page_id", place(0))).withColumn("parent_id", T.stable_id("page_id", place(1))).select("page_id", "ordinal", "node_type", "text", "heading", "heading_path", "section_id", "parent_id")
 
 
 def node_type(tag: Column) -> Column:
@@ -54,9 +81,9 @@ def cross_references(pages: DataFrame) -> DataFrame:
 
 
 def include_sites(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, target) of include directives, lines counted from one."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    target = F.regexp_extract("text", r"^\s*\.\.\s+include::\s*(\S+)", 1)
+    """(doc_id, line, target) of include directives, lines counted from one; quotes around a target go."""
+    lines = docs.select("doc_id", F.posexplode(source_lines("text")).alias("line", "text"))
+    target = F.regexp_replace(F.regexp_extract("text", r"^[ \t]*\.\.[ \t]+include::[ \t]*([^ \t]+)", 1), "^[\"']+|[\"']+$", "")
     return lines.select("doc_id", (F.col("line") + 1).alias("line"), target.alias("target")).where("target <> ''")
 
 
@@ -67,12 +94,48 @@ def sibling_headings(headings: DataFrame) -> DataFrame:
 
 
 def locate_lines(docs: DataFrame, quotes: DataFrame) -> DataFrame:
-    """(doc_id, quote, line): for each quote (doc_id, quote, hint) the line its exact text starts on that is nearest to the hint, counted from one."""
-    hit = quotes.join(docs.select("doc_id", "text"), "doc_id")
-    pieces = F.split("text", F.concat(F.lit(r"\Q"), F.col("quote"), F.lit(r"\E")), -1)
-    # a quote starts where a piece before it ends: lines so far are the line breaks in pieces and quotes before it
+    """(doc_id, quote, hint, line): for each quote (doc_id, quote, hint) the line on which its text starts that is nearest to the hint, counted from one.
+
+    Where the exact text is nowhere, runs of lines that equal the quote's but for white space at their ends count. Of two equally
+    near lines the first wins. Empty quotes and those found nowhere are left out. Several quotes of a document go over its text one by one.
+    """
+    asked = quotes.where("quote <> ''").distinct().join(docs.select("doc_id", F.array_join(source_lines("text"), "\n").alias("text")), "doc_id")
     breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    rows = hit.select("doc_id", "quote", "hint", F.posexplode(F.slice(pieces, F.lit(1), F.size(pieces) - 1)).alias("k", "piece"))
-    so_far = F.sum(breaks(F.col("piece"))).over(Window.partitionBy("doc_id", "quote", "hint").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)) + F.col("k") * breaks(F.col("quote"))
-    lines = rows.withColumn("line", (so_far + 1).cast("int"))
-    return lines.groupBy("doc_id", "quote", "hint").agg(F.min_by("line", F.struct(F.abs(F.col("line") - F.col("hint")), "line")).alias("line"))
+    # a quote starts where a piece before it ends: the line is one more than the breaks in pieces and quotes so far
+    pieces = F.split("text", F.concat(F.lit(r"\Q"), F.replace("quote", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")), -1)
+    starts = F.aggregate(
+        F.slice(pieces, F.lit(1), F.size(pieces) - 1),
+        F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("lines")),
+        lambda s, p: F.struct((s["at"] + breaks(p) + breaks(F.col("quote"))).alias("at"), F.concat(s["lines"], F.array(s["at"] + breaks(p))).alias("lines")),
+        lambda s: s["lines"],
+    )
+    bare = lambda c: F.transform(F.split(c, "\n"), lambda x: F.regexp_replace(x, f"^{T.SPACE}+|{T.SPACE}+$", ""))
+    rows, wanted = F.col("_rows"), F.col("_wanted")
+    loose = F.filter(F.sequence(F.lit(1), F.size(rows) - F.size(wanted) + 1), lambda i: F.slice(rows, i, F.size(wanted)) == wanted)
+    exact = asked.withColumn("_exact", starts).withColumn("_rows", F.when(F.size("_exact") == 0, bare("text"))).withColumn("_wanted", F.when(F.size("_exact") == 0, bare("quote")))
+    lines = F.when(F.size("_exact") > 0, F.col("_exact")).when(F.size(rows) >= F.size(wanted), loose).otherwise(F.array().cast("array<int>"))
+    near = F.array_min(F.transform(lines, lambda x: F.struct(F.abs(x - F.col("hint")).alias("off"), x.alias("line"))))
+    return exact.select("doc_id", "quote", "hint", near["line"].alias("line")).where("line is not null")
+
+
+def source_refs(docs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(doc_id, start_line, end_line, start_column, end_column, quote_sha256, origin) of line ranges (doc_id, start_line, end_line, origin) of documents.
+
+    Ranges that start outside their document are left out; ends are clamped to it. Columns count from one: the first line's
+    first character that isn't white space, and one past the last line's end. Equal references of one document are one.
+    """
+    n = F.size("_lines")
+    rows = ranges.join(docs.select("doc_id", source_lines("text").alias("_lines")), "doc_id").where((F.col("start_line") >= 1) & (F.col("start_line") <= n))
+    clamped = rows.withColumn("end_line", F.greatest("start_line", F.least("end_line", n)))
+    first, last = F.get("_lines", F.col("start_line") - 1), F.get("_lines", F.col("end_line") - 1)
+    quote = F.array_join(F.slice("_lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
+    return clamped.select("doc_id", "start_line", "end_line", (F.length(first) - F.length(F.regexp_replace(first, f"^{T.SPACE}+", "")) + 1).alias("start_column"), (F.length(last) + 1).alias("end_column"), F.sha2(quote, 256).alias("quote_sha256"), "origin").distinct()
+
+
+def merge_line_ranges(ranges: DataFrame) -> DataFrame:
+    """Ranges (doc_id, start_line, end_line, origin) merged where they touch, overlap or follow each other line by line, for each document and origin."""
+    order = Window.partitionBy("doc_id", "origin").orderBy("start_line", "end_line")
+    reach = F.max("end_line").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.coalesce(F.col("start_line") > reach + 1, F.lit(True)).cast("int")
+    runs = ranges.withColumn("_new", starts).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("doc_id", "origin", "_run").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line")).drop("_run")

@@ -1,7 +1,7 @@
 """The domain's tables derived from the driver's: items, queries, nuggets, judgments, rankings, and the same as SQL.
 
 Documents are items, benchmark items are queries, a benchmark item's sentences are its nuggets, and a document
-that has such a sentence hits that nugget. Embeddings with an id below 20 are the dense queries.
+that has such a sentence hits that nugget. Every twentieth row of the embeddings is a dense query.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidentia.functions.text import STOPWORDS
+from evidentia.functions.text import SPACE, STOPWORDS
 from evidentia.operators import retrieval as R
 
 SENTENCE = r"[.\n]+"
@@ -102,6 +102,11 @@ def r(x: str, digits: int = 6) -> str:
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 
 
+def collapsed(text: str) -> str:
+    """SQL for collapse()."""
+    return f"trim(regexp_replace({text}, '{SPACE}+', ' ', 'g'))"
+
+
 def analyzed(text: str, stop: bool = True) -> str:
     """SQL for analyze()."""
     tokens = rf"regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]{{2,}}')"
@@ -144,9 +149,9 @@ CTES: dict[str, tuple[str, str]] = {
     "hit": ("items nug", r"select query_id, item_id, sentence from (select distinct item_id, sentence from (select item_id, trim(unnest(regexp_split_to_array(text, '[.\n]+'))) as sentence from items)) join nug using (sentence)"),
     "pos": ("hit", "select query_id, item_id, case when count(*) >= (select count(*) from nug n where n.query_id = hit.query_id) then 3 else 2 end as grade from hit group by query_id, item_id"),
     "qr": ("pos bm100", "select * from (select * from pos union all select query_id, item_id, 0 from bm100 b where rank <= 5 and not exists (from pos p where p.query_id = b.query_id and p.item_id = b.item_id)) where query_id in (select query_id from pos)"),
-    "dn": ("", f"select q.vec_id as query_id, e.vec_id as item_id, {r('list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: p[1]::double * p[2]::double))')} as score from embeddings e join embeddings q on q.vec_id < 20 and e.vec_id <> q.vec_id"),
+    "dn": ("", f"select q.vec_id as query_id, e.vec_id as item_id, {r('list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: p[1]::double * p[2]::double))')} as score from embeddings e join embeddings q on q.vec_id % 20 = 0 and e.vec_id <> q.vec_id"),
     "dn100": ("dn", ranked("dn", 100)),
-    "lq": ("", "select q.vec_id as query_id, e.vec_id as item_id, case when e.label = q.label and e.vec_id % 2 = 0 then 3 when e.label = q.label then 2 else 0 end as grade from embeddings e join embeddings q on q.vec_id < 20 and e.vec_id <> q.vec_id where e.label = q.label or e.vec_id % 10 = 0"),
+    "lq": ("", "select q.vec_id as query_id, e.vec_id as item_id, case when e.label = q.label and e.vec_id % 2 = 0 then 3 when e.label = q.label then 2 else 0 end as grade from embeddings e join embeddings q on q.vec_id % 20 = 0 and e.vec_id <> q.vec_id"),
     "ans": ("bm hit qs", "select query_id as id, (query_id in (select query_id from hit))::int as label, coalesce((select max(score) from bm where bm.query_id = qs.query_id), 0)::double as score from qs"),
     "units": (
         "",

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.functions import text as T
 from evidentia.functions.numeric import rounded
 from evidentia.operators import extraction as X
 from evidentia.operators import metrics as M
@@ -33,11 +34,25 @@ def include_sites(spark, d):
     return X.include_sites(docs)
 
 
+def _quotes(spark, d):
+    """Whole lines of every document with their own numbers: the first, the middle and the last that aren't blank."""
+    lines = X.source_lines("text")
+    rows = D.table(spark, d, "documents").select("doc_id", F.posexplode(lines).alias("ordinal", "quote")).where("trim(quote) <> ''")
+    order = D.Window.partitionBy("doc_id").orderBy("ordinal")
+    k, n = F.row_number().over(order), F.count("*").over(D.Window.partitionBy("doc_id"))
+    chosen = rows.withColumn("k", k).withColumn("n", n).where((F.col("k") == 1) | (F.col("k") == F.col("n")) | (F.col("k") == F.floor((F.col("n") + 1) / 2)))
+    return chosen.select("doc_id", "quote", (F.col("ordinal") + 1).alias("hint"))
+
+
 def quote_lines(spark, d):
-    """The line on which each labelled document's third line's first words stand, nearest to the end."""
-    docs = D.table(spark, d, "documents").join(D.table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
-    quotes = docs.select("doc_id", F.substring(F.get(F.split("text", "\n"), F.lit(2)), 1, 12).alias("quote"), F.lit(1_000_000).alias("hint")).where("length(quote) = 12")
-    return X.locate_lines(docs, quotes)
+    """Where the quotes of every document are found, nearest to the line they were taken from."""
+    return X.locate_lines(D.table(spark, d, "documents"), _quotes(spark, d))
+
+
+def source_refs(spark, d):
+    """References to each document's quotes with the line after them, neighbouring ranges merged."""
+    ranges = quote_lines(spark, d).select("doc_id", F.col("line").alias("start_line"), (F.col("line") + 1).alias("end_line"), F.lit("direct").alias("origin"))
+    return X.source_refs(D.table(spark, d, "documents"), X.merge_line_ranges(ranges))
 
 
 def pool_stability(spark, d):
@@ -60,7 +75,7 @@ def pool_stability(spark, d):
     return pairs.groupBy(F.col("x.held").alias("held_out")).agg(rounded(F.avg(sign)).alias("tau"))
 
 
-QUERIES = {f.__name__: f for f in [table_digest, ranking_violations, include_sites, quote_lines, pool_stability]}
+QUERIES = {f.__name__: f for f in [table_digest, ranking_violations, include_sites, quote_lines, source_refs, pool_stability]}
 
 
 def _stability() -> str:
@@ -79,12 +94,22 @@ def _stability() -> str:
     )
 
 
+_FOUND = """with l as (select doc_id, unnest(ls) as x, unnest(range(1, len(ls) + 1)) as n from (select doc_id, string_split(text, chr(10)) as ls from documents)),
+      k as (select *, row_number() over (partition by doc_id order by n) as k, count(*) over (partition by doc_id) as c from l where trim(x) <> ''),
+      q as (select distinct doc_id, x as quote, n as hint from k where k = 1 or k = c or k = (c + 1) // 2),
+      found as (select q.doc_id, quote, hint::int as hint, arg_min(l.n, abs(l.n - hint) * 1000000000 + l.n)::int as line from q join l on l.doc_id = q.doc_id and contains(l.x, q.quote) group by all)
+      """
 ORACLE = {
     "table_digest": "select count(*) as n, coalesce(sum(('0x' || substr(md5(doc_id || chr(31) || quality || chr(31) || toxic), 1, 12))::bigint), 0)::bigint as digest from labels",
     "ranking_violations": "select unnest(['rank', 'item', 'score']) as rule, 0::bigint as broken",
-    "include_sites": "select doc_id, (len(string_split(text, chr(10))) + 1)::int as line, 'part/' || doc_id || '.rst' as target from documents where doc_id % 5 = 0",
-    "quote_lines": """with l as (select doc_id, string_split(text, chr(10)) as ls, text from documents semi join labels using (doc_id)), q as (select doc_id, substr(ls[3], 1, 12) as quote, text from l where length(substr(ls[3], 1, 12)) = 12),
-      p as (select doc_id, quote, substr(text, 1, length(text) - length(string_split(text, quote)[-1]) - length(quote)) as before from q)
-      select doc_id, quote, 1000000 as hint, len(string_split(before, chr(10)))::int as line from p""",
+    "include_sites": r"""select doc_id, line::int as line, regexp_replace(target, '^["'']+|["'']+$', '', 'g') as target
+      from (select doc_id, line, regexp_extract(x, '^[ \t]*\.\.[ \t]+include::[ \t]*([^ \t]+)', 1) as target from (select doc_id, unnest(ls) as x, unnest(range(1, len(ls) + 1)) as line from (select doc_id, string_split(text || case when doc_id % 5 = 0 then chr(10) || '.. include:: part/' || doc_id || '.rst' else '' end, chr(10)) as ls from documents))) where target <> ''""",
+    # a whole line is found at each line that contains it
+    "quote_lines": _FOUND + "select doc_id, quote, hint, line from found",
+    "source_refs": _FOUND + """, r as (select distinct doc_id, line as a, line + 1 as b from found),
+      o as (select *, coalesce(a > max(b) over (partition by doc_id order by a rows between unbounded preceding and 1 preceding) + 1, true) as new from r),
+      m as (select doc_id, min(a) as a, max(b) as b from (select *, sum(new::int) over (partition by doc_id order by a) as run from o) group by doc_id, run),
+      t as (select m.doc_id, a, least(b, len(ls))::int as b, ls from m join (select doc_id, string_split(text, chr(10)) as ls from documents) using (doc_id))
+      select doc_id, a::int as start_line, b as end_line, (length(ls[a]) - length(regexp_replace(ls[a], '^SPACE+', '')) + 1)::int as start_column, (length(ls[b]) + 1)::int as end_column, sha256(array_to_string(ls[a:b], chr(10))) as quote_sha256, 'direct' as origin from t""".replace("SPACE", T.SPACE),
     "pool_stability": _stability(),
 }

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from evidentia.functions.numeric import rounded
@@ -17,17 +15,12 @@ from evidentia.plans import _data as D
 from evidentia.plans.evaluation import _labelers, metrics_sql
 from evidentia.plans.ranking import _window_texts
 from evidentia.sources import trec
-from evidentia.sources.tables import materialize
+from evidentia.sources.tables import materialize, scratch
 from evidentia.streaming import windows as W
 
 _SLOTS = {"intent": {"fact": 10, "howto": 14, "compare": 6, "why": 2}, "difficulty": {"easy": 12, "medium": 12, "hard": 8}, "answerability": {"answerable": 24, "no_answer": 8}}
 
 
-def _scratch(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/evidentia-{uuid.uuid4().hex}"
-
-
 def _runs(spark, d, k=50):
     return {"bm25": D.bm25(spark, d, k), "dense": D.overlap(spark, d, k), "hybrid": D.hybrid(spark, d, k)}
 
@@ -105,13 +98,13 @@ def anti_join_missing(spark, d):
 
 
 def trec_roundtrip(spark, d):
-    path = _scratch(spark)
+    path = scratch(spark)
     trec.write_run(D.bm25(spark, d, 10), path, "bm25")
     return trec.read_run(spark, path).select(F.col("query_id").cast("long").alias("query_id"), F.col("item_id").cast("long").alias("item_id"), "rank", "score", "tag")
 
 
 def beir_roundtrip(spark, d):
-    path = _scratch(spark)
+    path = scratch(spark)
     corpus = D.items(spark, d).select(F.col("item_id").cast("string").alias("_id"), F.lit("").alias("title"), "text")
     trec.write_beir(corpus, D.queries(spark, d).select(F.col("query_id").cast("string").alias("_id"), "text"), D.qrels(spark, d), path)
     back, queries, qrels = trec.read_beir(spark, path)
@@ -195,7 +188,7 @@ ORACLE = {
         "lb",
     ),
     "round_robin_sample": "select doc_id, lang, quality, stratum from (select doc_id, lang, quality, lang || '/' || quality as stratum, row_number() over (partition by lang || '/' || quality order by doc_id) as turn from documents join labels using (doc_id)) order by turn, stratum limit 60",
-    "canonical_dedupe": r"select substr(sha256(k), 1, 32) as canonical_id, min(doc_id) as item_id, array_to_string(list_transform(list_sort(list_distinct(list(doc_id))), lambda x: x::varchar), ',') as aliases, string_agg(distinct source, ',' order by source) as sources from (select doc_id, source, sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) as k from documents) group by k",
+    "canonical_dedupe": r"select substr(sha256(k), 1, 32) as canonical_id, min(doc_id) as item_id, array_to_string(list_transform(list_sort(list_distinct(list(doc_id))), lambda x: x::varchar), ',') as aliases, string_agg(distinct source, ',' order by source) as sources from (select doc_id, source, sha256(lower(COLLAPSED)) as k from documents) group by k".replace("COLLAPSED", D.collapsed("text")),
     "quota_slots": _slots(),
     "adjudication_diff": D.sql(f"select id, a.grade as grade_a, a.relevant as relevant_a, b.grade as grade_b, b.relevant as relevant_b from ({_LG.format('l')}) a join ({_LG.format('r')}) b using (id) where a.grade is distinct from b.grade or a.relevant is distinct from b.relevant", "lb"),
     "submission_validation": "with r as (select * from labels join documents using (doc_id)) " + " union all ".join(f"select '{n}' as rule, count(*) filter (not ({c})) as broken from r" for n, c in {"quality_known": "quality in (0, 1)", "text_present": "length(text) > 0", "chars_match": "length(text) = n_chars", "long_enough": "n_chars >= 100", "source_named": "regexp_matches(source, '^src[0-9]+$')"}.items()),

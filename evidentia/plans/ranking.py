@@ -140,7 +140,7 @@ D.CTES |= {
         f"select query_id, item_id, {D.r('sum(ln(1 + ((select count(*) from documents) - df + 0.5) / (df + 0.5)) * 2.5 * wtf / (1.5 + wtf))')} as score from (select item_id, term, wtf, count(*) over (partition by term) as df from (select item_id, term, sum(w) as wtf from fp group by all)) join qt using (term) group by query_id, item_id",
     ),
     "e8": ("", "select vec_id, list_transform(embedding, lambda x: floor(x::double * 127 / greatest(list_max(list_transform(embedding, lambda y: abs(y::double))), 1e-12) + 0.5)::int) as v from embeddings"),
-    "d8": ("e8", f"select q.vec_id as query_id, e.vec_id as item_id, {D.r('list_sum(list_transform(list_zip(e.v, q.v), lambda p: (p[1] * p[2])::double)) / (sqrt(list_sum(list_transform(e.v, lambda x: (x * x)::double))) * sqrt(list_sum(list_transform(q.v, lambda x: (x * x)::double))))')} as score from e8 e join e8 q on q.vec_id < 20 and e.vec_id <> q.vec_id"),
+    "d8": ("e8", f"select q.vec_id as query_id, e.vec_id as item_id, {D.r('list_sum(list_transform(list_zip(e.v, q.v), lambda p: (p[1] * p[2])::double)) / (sqrt(list_sum(list_transform(e.v, lambda x: (x * x)::double))) * sqrt(list_sum(list_transform(q.v, lambda x: (x * x)::double))))')} as score from e8 e join e8 q on q.vec_id % 20 = 0 and e.vec_id <> q.vec_id"),
     "cx": ("", "select doc_id as item_id, 'corpus | module=' || source || ' | page=' || lang || chr(10) || text as text from documents"),
     "cbm": ("cx qs", D.bm25_sql("cx", "qs")),
     "dq": ("qs", r"select distinct query_id as of, query_id || '|' || text as query_id, text from (select query_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '[.\n]+'), lambda s: trim(s)), lambda s: length(s) >= 10)[1:3]) as text from qs)"),
@@ -174,12 +174,12 @@ ORACLE = {
         "select query_id, item_id, (count(*) over (partition by query_id) - rank + 1)::double as score, rerank_score, rank from (select *, (row_number() over (partition by query_id order by rerank_score desc nulls last, prior, item_id))::int as rank from (select b.query_id, b.item_id, b.rank as prior, case when rank <= 20 then coalesce(ov.score, 0)::double end as rerank_score from bm100 b left join ov using (query_id, item_id)))",
         "bm100 ov",
     ),
-    "query_decomposition": r"""with n as (select conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) as q from conversations),
+    "query_decomposition": r"""with n as (select conv_id, turn, COLLAPSED as q from conversations),
       c as (select *, list_filter(list_transform(regexp_split_to_array(q, '(?i)\s*(?:;|,\s*(?:and\s+|then\s+)?|\bthen\b)\s*'), lambda x: regexp_replace(x, '^[ ,;?.]+|[ ,;?.]+$', '', 'g')), lambda x: len(string_split(x, ' ')) >= 2) as cs from n),
       e as (select conv_id, turn, case when len(cs) < 2 then [q] else list_concat([q, cs[1]], list_transform(cs[2:], lambda x: cs[1] || ' ' || x)) end as es from c),
       f as (select conv_id, turn, unnest(es) as s, unnest(range(len(es))) as i from e),
       g as (select conv_id, turn, s, i, row_number() over (partition by conv_id, turn, lower(s) order by i) as k from f)
-      select conv_id, turn, position, subquery from (select conv_id, turn, (row_number() over (partition by conv_id, turn order by i) - 1)::int as position, s as subquery from g where k = 1) where position < 4""",
+      select conv_id, turn, position, subquery from (select conv_id, turn, (row_number() over (partition by conv_id, turn order by i) - 1)::int as position, s as subquery from g where k = 1) where position < 4""".replace("COLLAPSED", D.collapsed("text")),
     "decomposed_bm25_top10": D.sql(D.ranked("(" + _FUSED.format(r=D.r("sum(w / (60 + rank))", 9), parts=f"select query_id, item_id, rank, 1.0::double as w from bm100 union all select dq.of, k.item_id, k.rank, 0.5 from ({D.ranked('dqs', 100)}) k join dq using (query_id)") + ")", 10), "bm100 dqs dq"),
     "contextual_bm25_top10": D.sql(D.ranked("cbm", 10), "cbm"),
     "rank_agreement": D.sql(_agreement("bm100", "ov100").replace("from bm100 union", "from bm100 where rank <= 10 union"), "bm100 ov100"),

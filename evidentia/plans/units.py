@@ -129,15 +129,34 @@ def sibling_headings(spark, d):
 QUERIES = {f.__name__: f for f in [units_from_documents, units_from_pages, cross_references, family_histogram, context_header, analyzer_term_stats, token_set_overlap, normalized_text, windows_c0, sections_c1, c1_scoring_windows, packed_c2, merged_c3, chunk_token_stats, chunk_integrity, unit_token_counts, interval_overlap, neighbor_expansion, parent_expansion, sibling_headings]}
 
 _ID = "substr(sha256({}), 1, {})"
+_BLOCKS = ", ".join(f"'{b}'" for b in X.BLOCKS)
+_DECODED = "raw"
+for _name, _char in X.ENTITIES.items():
+    _DECODED = f"replace({_DECODED}, '&{_name};', chr({ord(_char)}))"
 D.CTES |= {
-    "pu": (
+    # a page as its text between tags: pieces begin with a tag's name; a block tag opens a segment, tags inside add their text to it
+    "pc": (
         "",
-        rf"""select page_id, ordinal::int as ordinal, node_type, text, last_value(case when node_type = 'heading' then text end ignore nulls) over (partition by page_id order by ordinal rows between unbounded preceding and current row) as heading,
-        {_ID.format("page_id || chr(0) || ordinal || chr(0) || text", 32)} as unit_id
-        from (select page_id, ordinal, case when regexp_matches(tag, '^h[1-6]$') then 'heading' when tag = 'li' then 'list_item' when tag = 'td' then 'table_row' when tag = 'pre' then 'code' when tag = 'figcaption' then 'image_alt' else 'paragraph' end as node_type, trim(regexp_replace(text, '\s+', ' ', 'g')) as text
-          from (select page_id, unnest(range(len(tags))) as ordinal, unnest(tags) as tag, unnest(texts) as text from (
-            select page_id, regexp_extract_all(h, '<(h[1-6]|p|li|td|pre|figcaption)(?:\s[^>]*)?>([^<]*)', 1) as tags, regexp_extract_all(h, '<(h[1-6]|p|li|td|pre|figcaption)(?:\s[^>]*)?>([^<]*)', 2) as texts
-            from (select page_id, regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', '', 'gis') as h from pages)))) where text <> ''""",
+        f"""select page_id, i, case when tag then lower(regexp_extract(p, '^/?([A-Za-z][A-Za-z0-9]*)', 1)) end as name, tag and not starts_with(p, '/') as opens, lower(regexp_extract(p, '^/?([A-Za-z][A-Za-z0-9]*)', 1)) in ({_BLOCKS}) and tag as block,
+          case when i = 0 then p when not tag then '<' || p when regexp_matches(p, '^[bB][rR][^A-Za-z0-9]') then ' ' || substr(p, instr(p, '>') + 1) else substr(p, instr(p, '>') + 1) end as after
+        from (select page_id, i, p, i > 0 and regexp_matches(p, '^[A-Za-z/!?]') as tag from (select page_id, unnest(ps) as p, unnest(range(len(ps))) as i
+          from (select page_id, string_split(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', '', 'gis'), '<!--.*?-->', '', 'gs'), '<') as ps from pages)))""",
+    ),
+    "nd": (
+        "pc",
+        f"""select page_id, (row_number() over (partition by page_id order by seg) - 1)::int as ordinal, tag, {_DECODED} as raw
+        from (select page_id, seg, arg_min(name, i) as tag, arg_min(opens, i) as opens, string_agg(after, '' order by i) as raw from (select *, sum(block::int) over (partition by page_id order by i) as seg from pc) group by page_id, seg)
+        where seg > 0 and opens and regexp_matches(tag, '^(h[1-6]|p|li|td|pre|figcaption)$')""",
+    ),
+    "nt": ("nd", f"""select page_id, ordinal, case when tag[1] = 'h' and length(tag) = 2 then 'heading' when tag = 'li' then 'list_item' when tag = 'td' then 'table_row' when tag = 'pre' then 'code' when tag = 'figcaption' then 'image_alt' else 'paragraph' end as node_type,
+        case when regexp_matches(tag, '^h[1-6]$') then tag[2]::int end as level, text from (select page_id, ordinal, tag, {D.collapsed("raw")} as text from nd) where text <> ''"""),
+    # a heading is open at a unit unless one of its level or above has come since
+    "pu": (
+        "nt",
+        f"""select u.page_id, u.ordinal, u.node_type, u.text, last_value(case when node_type = 'heading' then text end ignore nulls) over (partition by u.page_id order by u.ordinal) as heading, o.heading_path,
+          {_ID.format("u.page_id || chr(0) || coalesce(o.at, -1)", 32)} as section_id, {_ID.format("u.page_id || chr(0) || coalesce(o.above, -1)", 32)} as parent_id, {_ID.format("u.page_id || chr(0) || u.ordinal || chr(0) || u.text", 32)} as unit_id
+        from nt u left join (select u.page_id, u.ordinal, string_agg(h.text, ' > ' order by h.ordinal) as heading_path, max(h.ordinal) as at, max(h.ordinal, 2)[2] as above from nt u join nt h on h.page_id = u.page_id and h.level is not null and h.ordinal <= u.ordinal
+          where not exists (from nt g where g.page_id = u.page_id and g.level <= h.level and g.ordinal > h.ordinal and g.ordinal <= u.ordinal) group by u.page_id, u.ordinal) o on o.page_id = u.page_id and o.ordinal = u.ordinal""",
     ),
     "isl": ("units", "select *, (sum((case when prev is distinct from section or pos = 1 then 1 else 0 end)) over (partition by doc_id order by ordinal) - 1)::int as run from (select *, lag(section) over (partition by doc_id order by ordinal) as prev, row_number() over (partition by doc_id order by ordinal) as pos from units)"),
     "ord": ("isl", "select *, row_number() over (partition by doc_id, run order by ordinal) as k from isl"),
@@ -166,7 +185,7 @@ _ZERO = "select 0::bigint as uncovered_units, 0::bigint as unknown_units, 0::big
 _WORDS = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'))"
 ORACLE = {
     "units_from_documents": D.sql(f"select doc_id, ordinal, section, parent, n_tokens, {_ID.format('doc_id || chr(0) || ordinal || chr(0) || text', 32)} as unit_id, sha256(text) as text_sha256 from units", "units"),
-    "units_from_pages": D.sql("select page_id, ordinal, node_type, text, heading, unit_id from pu", "pu"),
+    "units_from_pages": D.sql("select * from pu", "pu"),
     "cross_references": r"""select page_id, position::int as position, text, target from (select page_id, unnest(range(len(ts))) as position, unnest(ts) as text, unnest(gs) as target from (select page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) as ts, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) as gs from pages))""",
     "family_histogram": "select regexp_extract(url, '^[a-z]+://[^/]+/([^/?#]+)', 1) as family, regexp_extract(url, '^([a-z]+)://', 1) as scheme, count(*) as pages from pages group by all",
     "context_header": D.sql(
@@ -182,7 +201,7 @@ ORACLE = {
     "normalized_text": r"""with t as (select doc_id, chr(13) || chr(10) || replace(text, chr(10), '  ' || chr(13) || chr(10) || chr(13) || chr(10) || chr(13) || chr(10)) as text from documents),
       l as (select doc_id, text, list_transform(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), lambda x: rtrim(x)) as ls from t),
       n as (select doc_id, text, regexp_replace(regexp_replace(array_to_string(ls, chr(10)), '^\n+|\n+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g') as n from l)
-      select doc_id, sha256(n) as normalized_sha256, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) as collapsed_chars, substr(sha256(doc_id || chr(0) || n), 1, 16) as id from n""",
+      select doc_id, sha256(n) as normalized_sha256, length(COLLAPSED) as collapsed_chars, substr(sha256(doc_id || chr(0) || n), 1, 16) as id from n""".replace("COLLAPSED", D.collapsed("text")),
     "windows_c0": D.sql("select * from c0", "c0"),
     "sections_c1": D.sql(_ISL_AGG, "isl"),
     "c1_scoring_windows": D.sql(

@@ -158,6 +158,28 @@ def test_group_folds_greedy(spark):
 
 
 def test_page_units_hold_the_text_of_inline_tags(spark):
-    html = '<ul><li><a href="/x">x</a></li><li>a <i>b</i> c</li></ul><p><b>y.<br>z<p>one<!-- ad --> two 1 < 2</p><pre><code>q</code></pre><p></p>'
+    html = '<ul><li><a href="/x">x</a></li><li>a <i>b</i> c</li></ul><p><b>y.<br>z<p>one<!-- ad --> two 1 < 2 &amp;lt;</p><PRE><code>q</code></PRE><p></p>'
     rows = sorted(X.units_from_pages(spark.createDataFrame([(1, html)], "page_id long, html string")).select("ordinal", "node_type", "text").collect())
-    assert [tuple(r)[1:] for r in rows] == [("list_item", "x"), ("list_item", "a b c"), ("paragraph", "y. z"), ("paragraph", "one two 1 &lt; 2"), ("code", "q")]
+    assert [tuple(r)[1:] for r in rows] == [("list_item", "x"), ("list_item", "a b c"), ("paragraph", "y. z"), ("paragraph", "one two 1 < 2 &lt;"), ("code", "q")]
+
+
+def test_sections_of_nested_headings(spark):
+    html = "<p>o</p><h1>A</h1><p>a</p><h3>B</h3><p>b</p><h2>C</h2><p>c</p><h1>D</h1><p>d</p>"
+    rows = {r["text"]: r for r in X.units_from_pages(spark.createDataFrame([(1, html)], "page_id long, html string")).collect()}
+    assert {k: rows[k]["heading_path"] for k in "oabcd"} == {"o": None, "a": "A", "b": "A > B", "c": "A > C", "d": "D"}
+    assert rows["b"]["parent_id"] == rows["a"]["section_id"] == rows["c"]["parent_id"] and rows["d"]["parent_id"] == rows["o"]["section_id"]
+
+
+def test_lines_references_and_ranges(spark):
+    docs = spark.createDataFrame([(1, "\ufeffa\r\n  b x \rc\n b x"), (2, "q\\Er\nq")], "doc_id int, text string")
+    quotes = [(1, "b x", 4), (1, "b x \nc", 1), (1, "  b x\nc ", 9), (1, "none", 1), (1, "", 1), (2, "q\\Er", 2), (2, "q", 2)]
+    got = X.locate_lines(docs, spark.createDataFrame(quotes, "doc_id int, quote string, hint int"))
+    assert {(r["doc_id"], r["quote"]): r["line"] for r in got.collect()} == {(1, "b x"): 4, (1, "b x \nc"): 2, (1, "  b x\nc "): 2, (2, "q\\Er"): 1, (2, "q"): 2}
+    refs = X.source_refs(docs, spark.createDataFrame([(1, 2, 9, "direct"), (1, 5, 6, "direct"), (1, 0, 1, "direct")], "doc_id int, start_line int, end_line int, origin string")).collect()
+    assert [(r["start_line"], r["end_line"], r["start_column"], r["end_column"]) for r in refs] == [(2, 4, 3, 5)]
+    ranges = spark.createDataFrame([(1, 1, 2, "a"), (1, 3, 3, "a"), (1, 2, 2, "a"), (1, 6, 7, "a"), (1, 3, 4, "b")], "doc_id int, start_line int, end_line int, origin string")
+    assert rows_of(X.merge_line_ranges(ranges)) == [(1, "a", 1, 3), (1, "a", 6, 7), (1, "b", 3, 4)]
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()))
