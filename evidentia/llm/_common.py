@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.sources.tables import drop, materialize, release, tidy
+
+__all__ = ["WORD", "durable", "drop", "forget", "n_words", "release", "table", "tidy"]
+
 #: A word, for every operator of this package: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Write a table once to the shared folder and read it back. A reliable checkpoint() would compute the rows twice.
+durable = materialize
+#: Delete the durable tables that nothing reads any more.
+forget = release
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,29 +25,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def n_words(text: Column) -> Column:
     """Words in a text, null counted as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; only where the session names none, one for tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Write `df` once to the shared folder and read it back: lineage ends here, and a lost executor costs nothing.
-
-    A reliable checkpoint() would compute the rows twice; a written table computes them once
-    and carries its true size to the planner.
-    """
-    path = f"{shared_dir(df.sparkSession)}/evidentia-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the files behind a durable() table that nothing reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for f in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        if path.getName().startswith("evidentia-"):
-            path.getFileSystem(conf).delete(path, True)

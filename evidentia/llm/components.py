@@ -35,8 +35,8 @@ def _state(links: DataFrame) -> tuple:
 def components(links: DataFrame, most: int = 60) -> DataFrame:
     """(node, root) for every node of `links` (columns a, b) but the roots, root being its component's smallest node.
 
-    Each step is a join and an aggregation over the links, so a hub's links are never gathered
-    in one task; links are counted, never collected. Links of a node to itself and repeated links
+    Each step is an aggregation, which combines before it shuffles, and a join of all links on their node: a hub's links
+    meet in one join key, which the engine's skew handling splits when it is large. Links are counted, never collected. Links of a node to itself and repeated links
     change nothing; nulls are dropped; no links give an empty table.
     """
     links = durable(links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm._common import durable
+from evidentia.llm._common import durable, forget, tidy
 
 #: Sites that make a line boilerplate, sketch size (log2 of its registers), and the band around the threshold that is counted exactly.
 SITES, LOG_K, BAND = 10, 12, 0.25
@@ -43,9 +43,12 @@ def boilerplate(every: DataFrame, sites: int = SITES) -> DataFrame:
     near = candidates.where(F.col("about") <= sites * (1 + BAND)).select("hash", "keeper")
     near = F.broadcast(near) if near.count() <= MAX_BROADCAST else near
     counted = every.select("hash", "site").join(near, "hash").groupBy("hash", "keeper", "site").agg(F.lit(1).alias("one")).groupBy("hash", "keeper").agg(F.count("*").alias("exact"))
-    return sure.unionByName(counted.where(F.col("exact") >= sites).select("hash", "keeper"))
+    found = durable(sure.unionByName(counted.where(F.col("exact") >= sites).select("hash", "keeper")))
+    forget(candidates)
+    return found
 
 
+@tidy
 def drop_boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     """`docs` without boilerplate lines, with the number of lines removed in n_removed_lines, which replaces a column of that name.
 
@@ -54,7 +57,7 @@ def drop_boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     keep or lose a line together; repeated rows stay. An empty table stays empty.
     """
     every = durable(lines(docs))
-    found = durable(boilerplate(every, sites))
+    found = boilerplate(every, sites)
     found = F.broadcast(found) if found.count() <= MAX_BROADCAST else found
     gone = every.join(found, "hash").where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy(F.col("doc_id").alias("_ev_id")).agg(F.collect_set("hash").alias("_ev_gone"))
     rows = docs.drop("n_removed_lines").join(gone, F.col("doc_id").eqNullSafe(F.col("_ev_id")), "left")
@@ -70,7 +73,11 @@ def drop_boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
 
 
 def op7(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines left, n_removed, text_sha256 of the text left."""
+    """doc_id, n_lines left, n_removed, text_sha256 of the text left.
+
+    Nulls, empty texts, repeated rows, other columns and empty tables are treated as drop_boilerplate() says; a null text has
+    no lines and the digest of an empty one.
+    """
     cleaned = drop_boilerplate(docs.select("doc_id", "text", "source"))
     return cleaned.select(
         "doc_id",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import importlib.util
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 from evidentia.llm import bpe, lines, mixing, mpegts, quality, secrets, simhash, suffixes, toxicity, urls
@@ -56,9 +59,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return _pipeline().run(spark, sf_dir)
+
+
+def _pipeline():
+    """corpus_pipeline, from the folder beside this package wherever the process was started."""
+    try:
+        import corpus_pipeline
+    except ModuleNotFoundError as e:
+        if e.name != "corpus_pipeline":
+            raise
+        path = Path(__file__).resolve().parents[2] / "corpus_pipeline.py"
+        spec = importlib.util.spec_from_file_location("corpus_pipeline", path)
+        corpus_pipeline = importlib.util.module_from_spec(spec)
+        spec.loader.exec_module(corpus_pipeline)
+    return corpus_pipeline
 
 
 QUERIES = [op1_quality_rules, op2_bpe, op3_mix_sources, op4_secret_scan, op5_url_filter, op6_suffix_array_dedup, op7_line_dedup, op8_toxicity, op9_media_columns, op10_simhash, pipeline]

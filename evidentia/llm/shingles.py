@@ -1,10 +1,14 @@
-"""Near-duplicates by word shingles: MinHash bands find candidates, the exact Jaccard similarity of the shingle sets decides.
+"""Near-duplicates by word shingles: SimHash balls and MinHash bands find candidates, the exact Jaccard similarity of the shingle sets decides.
 
-Texts with the same set of shingles are one node. A node has BANDS keys, each of ROWS minimum hashes; a pair
-of similarity s shares a key with probability 1 - (1 - s^ROWS)^BANDS, which leaves out 3 in a million at 0.8.
-Nodes that share keys are dealt into blocks of about BLOCK nodes, a node with others of its most common key, and
-each two blocks that have a key in common are compared whole: a set travels once a pair of blocks, not once a
-pair of nodes, and no task holds more than two blocks.
+Texts with the same set of shingles are one node. Each node has a SimHash fingerprint of its shingles, linked by ball hashing
+as in simhash.py, and BANDS keys of ROWS minimum hashes each: fingerprints of texts of similarity 0.8 differ in some 10 of 64
+bits, further than a ball reaches, while such a pair shares a key with probability 1 - (1 - 0.8^ROWS)^BANDS, all but 3 in a million.
+
+Every two nodes that share a key are compared or known to be connected already, in three steps. First the pairs that ball
+hashing gives are verified. Then, twice, each node is compared with one pivot of each of its keys; most members of a group
+of copies are connected after that, at a cost in proportion to the nodes. What is left are keys with nodes of different
+components: all others are compared with the component that has most of the key's nodes, and with each other. They are
+dealt into blocks, a set travels once for each two blocks, not for each two nodes, and no task holds more than two blocks.
 """
 
 from __future__ import annotations
@@ -17,9 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm._common import durable
+from evidentia.llm._common import durable, forget, tidy
 from evidentia.llm.components import components
-from evidentia.llm.simhash import _forest
+from evidentia.llm.simhash import _forest, ball_links
 
 #: Words of a shingle, and the similarity from which two texts are linked, in fifths (4 of 5).
 SIZE, FIFTHS = 5, 4
@@ -60,6 +64,20 @@ def bands(shingles: np.ndarray) -> np.ndarray:
     return keys
 
 
+def print_of(shingles: np.ndarray) -> int:
+    """The unsigned 64-bit SimHash of a shingle set; zero without shingles."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), 1 << 16):
+        mixed = _mix(shingles[at : at + (1 << 16)], np.uint64(SEED))
+        counts += np.unpackbits(mixed.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(shingles)).tobytes(), "big")
+
+
+def _alike(both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes a and b that share so many shingles are similar enough; two empty sets are."""
+    return 5 * both >= FIFTHS * (a + b - both)
+
+
 def similar(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, j) of the sets whose Jaccard similarity is FIFTHS / 5 or more; two empty sets are alike."""
     sets = [*left, *right]
@@ -74,15 +92,15 @@ def similar(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray
         has = np.zeros((len(sets), COLUMNS), np.float32)
         has[row[a:b], column[a:b] - at] = 1
         both += (has[: len(left)] @ has[len(left) :].T).astype(np.int64)
-    either = sizes[: len(left), None] + sizes[None, len(left) :] - both
-    return np.nonzero(5 * both >= FIFTHS * either)
+    return np.nonzero(_alike(both, sizes[: len(left), None], sizes[None, len(left) :]))
 
 
 def _prints(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for block in texts:
         sets = [shingle_set(t) for t in block]
         nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-        yield pd.DataFrame({"node": nodes, "bands": [bands(s).view(np.int64) for s in sets]})
+        prints = np.array([print_of(s) for s in sets], np.uint64).view(np.int64)
+        yield pd.DataFrame({"node": nodes, "fp": prints, "bands": [bands(s).view(np.int64) for s in sets]})
 
 
 def _sets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -90,6 +108,17 @@ def _sets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([shingle_set(t).tobytes() for t in block])
 
 
+def _with_pivot(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Links (a, b) of the pivot, key's first part, with the nodes that are similar to it."""
+    sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
+    nodes = rows["node"].to_numpy(np.int64)
+    at = int(np.flatnonzero(nodes == key[0])[0])
+    pivot, sizes = sets[at], np.array([len(s) for s in sets], np.int64)
+    both = np.array([np.isin(s, pivot, assume_unique=True).sum() if 5 * min(len(s), len(pivot)) >= FIFTHS * max(len(s), len(pivot)) else 0 for s in sets], np.int64)
+    found = nodes[_alike(both, sizes, np.int64(len(pivot))) & (nodes != key[0])]
+    return pd.DataFrame({"a": found, "b": np.full(len(found), key[0], np.int64)})
+
+
 def _compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Links between the two blocks of `key`, or inside one, as few as keep them connected."""
     parts = [rows[rows["block"] == k].drop_duplicates("node") for k in key]
@@ -97,43 +126,129 @@ def _compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     nodes = np.concatenate([p["node"].to_numpy(np.int64) for p in parts])
     i, j = similar(*sets)
     j = j + len(sets[0])
-    _, same = np.unique(nodes, return_inverse=True)
-    names = np.unique(nodes)
+    names, same = np.unique(nodes, return_inverse=True)
     label = _forest(len(names), np.stack([same[i], same[j]], 1)) if len(i) else np.arange(len(names))
     linked = label != np.arange(len(names))
     return pd.DataFrame({"a": names[linked], "b": names[label[linked]]})
 
 
-def links(docs: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
-    """Links (a, b) that connect every two of `nodes` (node, print) that share a key of `keys` (node, key) and are similar."""
-    common = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+_LINKS = "a long, b long"
+
+
+def _star_links(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
+    """Links (a, b) among the pairs (node, pivot) whose sets are similar. A pivot's nodes are dealt into parts of about BLOCK, the pivot goes to each."""
+    parts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    dealt = pairs.join(parts, "pivot").select("pivot", F.pmod(F.xxhash64("node"), "parts").alias("part"), "node")
+    every = dealt.unionByName(dealt.select("pivot", "part", F.col("pivot").alias("node")).distinct())
+    return every.join(shingles, "node").groupBy("pivot", "part").applyInPandas(_with_pivot, _LINKS)
+
+
+def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label): the component of each node so far."""
+    roots = components(links)
+    out = durable(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label")))
+    forget(roots)
+    return out
+
+
+def _rest_links(members: DataFrame, shingles: DataFrame) -> DataFrame:
+    """Links that connect every two similar nodes of different components that share a key. members: (node, key, label).
+
+    In each key the component with most nodes is the main one, the other nodes are strays. Strays of a main component are
+    compared with all its nodes and with each other, block by block.
+    """
+    held = members.groupBy("key", "label").agg(F.count("*").alias("n"))
+    main = held.groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("labels")).where("labels > 1").select("key", "main")
+    strays = durable(members.join(main, "key").where("label <> main").select("main", "node").distinct())
+    mains = strays.select(F.col("main").alias("label")).distinct()
+    cores = members.join(mains, "label", "left_semi").select(F.col("label").alias("main"), "node").distinct()
+    sides = durable(cores.withColumn("stray", F.lit(0)).unionByName(strays.withColumn("stray", F.lit(1))))
+    parts = durable(sides.groupBy("main", "stray").agg(F.ceil(F.count("*") / BLOCK).alias("parts")))
+    blocks = durable(sides.join(parts, ["main", "stray"]).select("node", F.xxhash64("main", "stray", F.pmod(F.xxhash64("node"), "parts")).alias("block")))
+    names = parts.select("main", "stray", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("main", "stray", F.xxhash64("main", "stray", F.col("part").cast("long")).alias("block"))
+    left, right = names.where("stray = 1").select("main", F.col("block").alias("x")), names.select("main", F.col("block").alias("y"), "stray")
+    pairs = durable(left.join(right, "main").where("stray = 0 or x <= y").select("x", "y").distinct())
+    sides_of = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    found = durable(sides_of.join(blocks, "block").join(shingles, "node").groupBy("x", "y").applyInPandas(_compare, _LINKS).distinct())
+    forget(strays, sides, parts, blocks, pairs)
+    return found
+
+
+def _links(docs: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """Links (a, b) that connect every two similar ones of `nodes` (node, first, fp) that share a key of `keys` (node, key) or whose fingerprints meet in a ball."""
+    prints = durable(nodes.select("fp").distinct())
+    balls = ball_links(prints, prints.count())
+    same = nodes.groupBy("fp").agg(F.min("node").alias("pivot"))
+    chains = nodes.select("fp", "node").join(same, "fp").where("node <> pivot").select("node", "pivot")
+    named = same.select(F.col("fp").alias("a"), F.col("pivot").alias("node")).join(balls, "a").join(same.select(F.col("fp").alias("b"), "pivot"), "b").select("node", "pivot")
+    near = durable(chains.unionByName(named).distinct())
+    forget(prints)
+
+    common = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = durable(keys.join(common, "key"))
-    home = durable(members.groupBy("node").agg(F.max(F.struct("n", "key"))["key"].alias("home")))
-    parts = home.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    blocks = durable(home.join(parts, "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), "parts")).alias("block")))
-    at = durable(members.join(blocks, "node").select("key", "block").distinct())
-    pairs = durable(at.withColumnRenamed("block", "x").join(at.withColumnRenamed("block", "y"), "key").where("x <= y").select("x", "y").distinct())
-    sides = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
-    wanted = nodes.join(blocks.select("node"), "node", "left_semi")
-    texts = docs.select(F.xxhash64("text").alias("print"), "text").join(wanted, "print").select("node", "text")
+    wanted = members.select("node").unionByName(near.select("node")).unionByName(near.select(F.col("pivot").alias("node"))).distinct()
+    # one row's text for each node, found by its id and print, so that many copies of a text don't meet in one task
+    wanted = nodes.select("node", "first.*").join(wanted, "node", "left_semi")
+    texts = _identified(docs).join(wanted, ["none", "id", "print"]).groupBy("node").agg(F.min("text").alias("text"))
     shingles = durable(texts.select("node", F.pandas_udf(_sets, "binary")("text").alias("shingles")))
-    shipped = sides.join(blocks, "block").join(shingles.dropDuplicates(["node"]), "node")
-    return shipped.groupBy("x", "y").applyInPandas(_compare, "a long, b long").distinct()
-
 
+    found = durable(_star_links(near, shingles))
+    forget(near)
+    for turn in (1, 2):
+        labels = _labelled(nodes, found)
+        open_ = members.join(labels, "node")
+        pivots = open_.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("p"))
+        pairs = open_.join(pivots, "key").where(F.col("label") != F.col("p.label")).select("node", F.col("p.node").alias("pivot")).distinct()
+        more = durable(found.unionByName(_star_links(pairs, shingles)))
+        forget(found, labels)
+        found = more
+    labels = _labelled(nodes, found)
+    rest = _rest_links(members.join(labels, "node"), shingles)
+    every = durable(found.unionByName(rest))
+    forget(found, rest, labels, members, shingles)
+    return every
+
+
+def _identified(rows: DataFrame) -> DataFrame:
+    """`rows` (doc_id, text) with (none, id, print), by which rows are told apart: whether the id is null, the id, and a hash of the text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return rows.withColumn("none", F.col("doc_id").isNull()).withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("print", F.xxhash64(text))
+
+
+@tidy
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of `docs`: doc_id and component_id, the smallest doc_id reachable by links of similarity FIFTHS / 5 or more.
+    """Per row of `docs`: doc_id, print (a hash of its text), component_id, the smallest doc_id reachable by links of
+    similarity FIFTHS / 5 or more, and `first`, the print of the text that stands for the component.
 
     Null, empty and blank texts are one node. A null doc_id is never a component_id unless no row of the component
-    has another. Repeated rows stay; an empty table gives an empty result; other columns are ignored.
+    has another. Repeated rows stay; an empty table gives an empty result; other columns are ignored. The text that stands for
+    a component is that of its smallest doc_id, of several texts of that id the one with the smallest print.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    prints = docs.select("doc_id", F.xxhash64("text").alias("print"), F.pandas_udf(_prints, "node long, bands array<long>")("text").alias("p"))
-    prints = durable(prints.select("doc_id", "print", "p.node", "p.bands"))
-    nodes = durable(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("print").alias("print")))
-    keys = durable(prints.select("node", F.explode("bands").alias("key")).distinct())
-    roots = components(durable(links(docs, nodes.select("node", "print"), keys)))
+    prints = _identified(docs).select("doc_id", "none", "id", "print", F.pandas_udf(_prints, "node long, fp long, bands array<long>")("text").alias("p"))
+    prints = durable(prints.select("doc_id", "none", "id", "print", "p.*"))
+    nodes = durable(prints.groupBy("node").agg(F.min(F.struct("none", "id", "print")).alias("first"), F.min("fp").alias("fp")))
+    keys = durable(prints.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("key")))
+    links = _links(docs, nodes, keys)
+    roots = components(links)
     named = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = durable(named.join(smallest, "root").select("node", "component_id"))
-    return prints.join(classes, "node").select("doc_id", "component_id")
+    smallest = named.groupBy("root").agg(F.min("first").alias("least"))
+    component = F.when(~F.col("least.none"), F.col("least.id"))
+    classes = durable(named.join(smallest, "root").select("node", component.alias("component_id"), F.col("least.print").alias("first")))
+    forget(nodes, keys, links, roots)
+    return prints.join(classes, "node").select("doc_id", "print", "component_id", "first")
+
+
+@tidy
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """`docs` with one row for each component of near_duplicates(): a row of the text that stands for it, under its smallest doc_id.
+
+    Rows are told apart by id and text: several texts of one id are rows of their own, and so are those without an id.
+    Equal rows are one; which one of them stays is open where their other columns differ. Columns stay as they are.
+    """
+    classes = near_duplicates(docs)
+    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("print") == F.col("first"))).select(F.col("doc_id").isNull().alias("_ev_none"), F.coalesce("doc_id", F.lit(0)).alias("_ev_id"), F.col("print").alias("_ev_print")).distinct()
+    keys = ["_ev_none", "_ev_id", "_ev_print"]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.withColumn("_ev_none", F.col("doc_id").isNull()).withColumn("_ev_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("_ev_print", F.xxhash64(text))
+    return rows.join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys)

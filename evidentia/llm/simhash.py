@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm._common import durable
+from evidentia.llm._common import durable, forget, tidy
 from evidentia.llm.components import components
 
 BITS, SEED = 64, 42
@@ -166,6 +166,7 @@ def ball_links(prints: DataFrame, n_prints: int, half: int = 2) -> DataFrame:
     return buckets.groupBy("bucket").applyInPandas(meet, "a long, b long").distinct()
 
 
+@tidy
 def near_duplicates(docs: DataFrame, size: int = 4, half: int = 2) -> DataFrame:
     """Per row of `docs`: doc_id, fp (bigint) and component_id, the smallest doc_id reachable by links of at most 2 * half bits.
 
@@ -180,6 +181,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, half: int = 2) -> DataFrame:
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = durable(named.join(smallest, "root").select("fp", "component_id"))
+    forget(nodes, links, roots)
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
