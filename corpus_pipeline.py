@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm import bpe, lines, mixing, shingles, toxicity
-from evidentia.llm._common import durable, table
+from evidentia.llm._common import durable, release, table
 from evidentia.llm.queries import tokenizer_path
 
 #: Columns that pass from stage to stage.
@@ -28,19 +28,18 @@ def boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of texts that share 0.8 or more of their five-word shingles, once; rows with a null id stay if their component has no other id."""
-    classes = shingles.near_duplicates(docs)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_ev_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_ev_id")), "left_semi")
-    with_id = rows.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return with_id.unionByName(rows.where("doc_id is null")).select(COLUMNS)
+    """One document of each component of texts that share 0.8 or more of their five-word shingles: the one with the smallest id.
+
+    Candidates come from balls around SimHash fingerprints, and from bands for the pairs that a ball does not reach;
+    links are verified by exact similarity. Texts are told apart by their own hashes, so several texts of one id stay as long
+    as they differ, and a row without an id stays if no row with one is like it.
+    """
+    return shingles.one_of_each(docs).select(COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, none to twice: sampled documents go, epochs repeat."""
-    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("_ev_id")).agg(F.max("copies").alias("_ev_copies")).where("_ev_copies > 0")
-    rows = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_ev_id")))
-    return rows.withColumn("_ev_copy", F.explode(F.sequence(F.lit(1), F.col("_ev_copies")))).select(COLUMNS)
+    return mixing.repeat(docs).select(COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +54,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again before the next."""
+    """All stages over documents, each written and read again before the next; what a stage no longer needs is deleted.
+
+    Null texts count as empty, and leave as one empty document at most after near-dedup; null ids and sources stay null.
+    Rows of one id are rows of their own where their texts differ. Repeated rows are one after near-dedup. Columns other than
+    COLUMNS go. An empty table gives an empty result; without labels no document is toxic.
+    """
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = durable(docs)
+        rows = stage(spark, docs, sf_dir)
+        if i == len(STAGES) - 1:
+            return rows
+        docs = durable(rows)
+        release(rows)
     return docs
