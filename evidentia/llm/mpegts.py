@@ -4,7 +4,7 @@ A payload becomes one private data stream: access units of UNIT bytes, one PES p
 presentation timestamp, cut into 188-byte packets after a program association table and a program
 map table. Every PES starts in a packet with a clock reference; every KEY-th is a random-access point. Reading parses the
 tables (with their checksums), checks the continuity counter of every packet, reassembles the
-PES packets and returns the samples with timestamps and random-access points.
+PES packets and returns the samples with timestamps and random-access points. What is lost or damaged is counted and left out.
 """
 
 from __future__ import annotations
@@ -30,13 +30,22 @@ PES_HEAD = 14
 
 
 class Stream(NamedTuple):
-    """What reading a stream gives; offsets are bytes into the samples, timestamps 90 kHz ticks."""
+    """What reading a stream gives; offsets are bytes into the samples, timestamps 90 kHz ticks.
+
+    samples, timestamps and random-access points are those of the units that arrived whole; damaged counts the others.
+    discontinuities are places where the continuity counter jumps, lost the packets that are missing there at least,
+    repeated packets sent twice, which the format allows, unsynced bytes that belong to no packet.
+    """
 
     samples: bytes
     packets: int
     units: int
     programs: int
     discontinuities: int
+    lost: int
+    repeated: int
+    damaged: int
+    unsynced: int
     timestamps: list[int]
     random_access: list[int]
 
@@ -144,14 +153,8 @@ def _sections(packets: np.ndarray, table: int) -> list[bytes]:
     return found
 
 
-def demux(stream: bytes) -> Stream:
-    """Read a stream; a stream that isn't whole packets, lacks its tables or loses sync raises ValueError."""
-    if not stream or len(stream) % PACKET:
-        raise ValueError("not whole packets")
-    p = np.frombuffer(stream, np.uint8).reshape(-1, PACKET)
-    if (p[:, 0] != SYNC).any():
-        raise ValueError("sync lost")
-    pid = (p[:, 1] & 0x1F).astype(np.int32) << 8 | p[:, 2]
+def _data_pid(p: np.ndarray, pid: np.ndarray) -> tuple[int, int | None]:
+    """(number of programs, PID of the first private data stream that a program map names, if any)."""
     programs = {}
     for body in _sections(p[pid == 0], PAT_ID):
         for i in range(0, len(body), 4):
@@ -163,33 +166,63 @@ def demux(stream: bytes) -> Stream:
             while at < len(body):
                 streams.append((body[at], int.from_bytes(body[at + 1 : at + 3], "big") & 0x1FFF))
                 at += 5 + (int.from_bytes(body[at + 3 : at + 5], "big") & 0xFFF)
-    data = next((s for kind, s in streams if kind == PRIVATE_TYPE), None)
-    if data is None:
-        raise ValueError("no program map names a data stream")
-    d = p[pid == data]
+    return len(programs), next((s for kind, s in streams if kind == PRIVATE_TYPE), None)
+
+
+def _packets(stream: bytes) -> np.ndarray:
+    """The stream's packets, one a row. Where a sync byte is missing, reading goes on at the next place from which two packets are in step."""
+    whole = len(stream) // PACKET * PACKET
+    p = np.frombuffer(stream[:whole], np.uint8).reshape(-1, PACKET)
+    if whole == len(stream) and (p[:, 0] == SYNC).all():
+        return p
+    rows, at, in_step = [], 0, True
+    while at + PACKET <= len(stream):
+        if stream[at] == SYNC and (in_step or at + PACKET == len(stream) or stream[at + PACKET] == SYNC):
+            rows.append(stream[at : at + PACKET])
+            at, in_step = at + PACKET, True
+        else:
+            at, in_step = stream.find(SYNC, at + 1), False
+            if at < 0:
+                break
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, PACKET)
+
+
+def demux(stream: bytes) -> Stream:
+    """Read a stream. Damage is counted, never raised: a unit with a missing packet or a wrong head is left out, and a
+    stream without readable tables gives no units."""
+    p = _packets(stream)
+    unsynced = len(stream) - p.size
+    pid = (p[:, 1] & 0x1F).astype(np.int32) << 8 | p[:, 2]
+    programs, data = _data_pid(p, pid)
+    d = p[pid == data] if data is not None else p[:0]
+    d = d[d[:, 3] & 0x10 > 0]  # packets without a payload don't count
+    again = np.zeros(len(d), bool)
+    again[1:] = (d[1:] == d[:-1]).all(1)
+    d = d[~again]
+    step = (d[1:, 3].astype(np.int32) - d[:-1, 3]) & 15
+    gap = np.concatenate(([False], step != 1)) if len(d) else np.zeros(0, bool)
+    lost = int(((step - 1) & 15).sum())
     field = d[:, 3] & 0x20 > 0
-    carries = d[:, 3] & 0x10 > 0
-    counters = d[carries, 3] & 15
-    lost = int(((counters[1:] - counters[:-1] & 15) != 1).sum())
     size = np.where(field, d[:, 4].astype(np.int32) + 1, 0)
     starts = 4 + size
-    new = (d[:, 1] & 0x40 > 0) & carries
-    key = new & field & (size > 1) & (d[:, 5] & 0x40 > 0)
+    new = (d[:, 1] & 0x40 > 0) & (starts + PES_HEAD <= PACKET)
+    unit = np.cumsum(new) - 1
     heads = d[new]
-    at = starts[new][:, None] + np.arange(PES_HEAD)
-    head = heads[np.arange(len(heads))[:, None], np.minimum(at, PACKET - 1)].astype(np.int64)
-    if len(head) and not (head[:, :4] == [0, 0, 1, PRIVATE_ID]).all():
-        raise ValueError("a unit has no start code")
+    head = heads[np.arange(len(heads))[:, None], starts[new][:, None] + np.arange(PES_HEAD)].astype(np.int64).reshape(-1, PES_HEAD)
     pts = (head[:, 9] >> 1 & 7) << 30 | head[:, 10] << 22 | head[:, 11] >> 1 << 15 | head[:, 12] << 7 | head[:, 13] >> 1
     length = (head[:, 4] << 8 | head[:, 5]) - 3 - head[:, 8]
-    skip = starts + np.where(new, 0, 0)
+    skip = starts.copy()
     skip[new] += 9 + head[:, 8].astype(np.int32)
-    keep = (np.arange(PACKET)[None, :] >= skip[:, None]) & carries[:, None]
-    samples = d[keep].tobytes()
-    offsets = np.concatenate(([0], np.cumsum(length)))
-    if int(offsets[-1]) != len(samples):
-        raise ValueError("units' lengths don't match their samples")
-    return Stream(samples, len(p), len(head), len(programs), lost, pts.tolist(), offsets[:-1][key[new]].tolist())
+    carried = np.bincount(unit[unit >= 0], np.maximum(PACKET - skip, 0)[unit >= 0], minlength=len(head)).astype(np.int64)
+    good = (head[:, :4] == [0, 0, 1, PRIVATE_ID]).all(1) & (carried == length)
+    good[np.unique(unit[gap & ~new & (unit >= 0)])] = False
+    orphans = int((unit < 0).any())
+    in_good = np.zeros(len(d), bool)
+    in_good[unit >= 0] = good[unit[unit >= 0]]
+    keep = (np.arange(PACKET)[None, :] >= skip[:, None]) & in_good[:, None]
+    key = (field & (size > 1) & (d[:, 5] & 0x40 > 0))[new]
+    offsets = np.concatenate(([0], np.cumsum(length[good])))
+    return Stream(d[keep].tobytes(), len(p), int(good.sum()), programs, int(gap.sum()), lost, int(again.sum()), int((~good).sum()) + orphans, unsynced, pts[good].tolist(), offsets[:-1][key[good]].tolist())
 
 
 def payload_of(text: str | None) -> bytes:
@@ -220,17 +253,17 @@ def media_of_text(text: Column | str) -> Column:
     return store(text)
 
 
-_READ = "payload binary, packets int, units int, programs int, discontinuities int, timestamps array<long>, random_access array<long>"
-_DIGEST = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_READ = "payload binary, packets int, units int, programs int, discontinuities int, lost int, repeated int, damaged int, unsynced int, timestamps array<long>, random_access array<long>"
+_DIGEST = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, timestamps array<long>, random_access array<long>"
 
 
 def read(stream: Column | str) -> Column:
-    """struct of the stored payload, packet counts, timestamps and random-access points of a media column."""
+    """struct of the stored payload, counts of packets, units and damage, timestamps and random-access points of a media column; a null cell reads as an empty stream."""
 
     @F.pandas_udf(_READ)
     def parse(blocks: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in blocks:
-            yield pd.DataFrame([demux(bytes(x))._asdict() for x in s], columns=list(Stream._fields)).rename(columns={"samples": "payload"})
+            yield pd.DataFrame([demux(b"" if x is None else bytes(x))._asdict() for x in s], columns=list(Stream._fields)).rename(columns={"samples": "payload"})
 
     return parse(stream)
 
@@ -238,7 +271,7 @@ def read(stream: Column | str) -> Column:
 def feature_of(s: Stream, payload: np.ndarray) -> str:
     """One line on a stream: its packets, units, lost packets, span of timestamps, random-access points, and its samples' mean and spread."""
     seek = zlib.crc32(np.array([*s.timestamps, *s.random_access], "<i8").tobytes())
-    return f"ts packets={s.packets} units={s.units} programs={s.programs} lost={s.discontinuities} pts={s.timestamps[0]}-{s.timestamps[-1]} raps={len(s.random_access)} index={seek:08x} mean={payload.mean():.4f} std={payload.std():.4f}"
+    return f"ts packets={s.packets} units={s.units} programs={s.programs} lost={s.lost} damaged={s.damaged} pts={min(s.timestamps, default=0)}-{max(s.timestamps, default=0)} raps={len(s.random_access)} index={seek:08x} mean={payload.mean() if len(payload) else 0:.4f} std={payload.std() if len(payload) else 0:.4f}"
 
 
 def digests(stream: Column | str) -> Column:
@@ -249,16 +282,16 @@ def digests(stream: Column | str) -> Column:
         for s in blocks:
             rows = []
             for x in s:
-                raw = bytes(x)
+                raw = b"" if x is None else bytes(x)
                 got = demux(raw)
-                rows.append((len(got.samples), hashlib.sha256(got.samples).hexdigest(), zlib.crc32(got.samples[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), feature_of(got, np.frombuffer(got.samples, np.uint8))))
-            yield pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                rows.append((len(got.samples), hashlib.sha256(got.samples).hexdigest(), zlib.crc32(got.samples[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), feature_of(got, np.frombuffer(got.samples, np.uint8)), got.timestamps, got.random_access))
+            yield pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "timestamps", "random_access"])
 
     return digest(stream)
 
 
 def op9(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and the digests of every text stored as a stream and read back.
+    """doc_id, n_bytes, and digests, timestamps and random-access points of every text stored as a stream and read back.
 
     Null and empty texts store one frame of padding; repeated rows and null ids stay; equal texts give equal values;
     other columns are ignored; an empty table gives an empty result. Texts of any length are stored whole.

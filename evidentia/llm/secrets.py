@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and character Markov models of random strings against identifiers.
 
-Two first-order models over character classes of a token's alphabet, one trained on random
-strings, one on ordinary identifiers and words, give each candidate the log-likelihood ratio of its
-character transitions. Candidates above both a total and a per-character threshold are secrets.
+Two first-order models over the characters of a token's alphabet, one trained on random strings, one on ordinary
+identifiers and words, give each candidate, a run of 8 characters or more, the log-likelihood ratio of its
+character transitions. Candidates above both a total and a per-character threshold are secrets. Hexadecimal
+strings below the base rule's length read like parts of UUIDs to the models and are left alone.
 """
 
 from __future__ import annotations
@@ -24,12 +25,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{24,}")
 ASSIGN_CHARS, ACCESS_CHARS = 6, 20
 #: Candidates of the method: runs of this alphabet, this long.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Documents whose words train the model of ordinary strings, and strings that train each model.
 TRAIN_DOCS, TRAIN_STRINGS = 2000, 20_000
 #: Least log-likelihood ratio in all and for each character, in nats.
-LEAST_TOTAL, LEAST_EACH = 10.0, 0.35
+LEAST_TOTAL, LEAST_EACH = 12.0, 0.35
 
 _CODE = np.full(128, -1, np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
@@ -42,14 +43,35 @@ def random_strings(n: int, seed: int = 11) -> list[str]:
     return ["".join(rnd.choices(kinds[i % len(kinds)], k=rnd.choice((20, 24, 32, 40)))) for i in range(n)]
 
 
+#: Words of names in programs and paths, beside the corpus's own.
+TECHNICAL = (
+    "access account active address admin alpha amount android apache app application archive array assets async audio auth backend backup base batch beta binary bin block "
+    "blog board body boolean bootstrap branch browser bucket buffer build bundle button bytes cache calendar call cart category channel chart check child class client clock cloud "
+    "cluster code column command comment commit common compile component compose config connect console const container content context control cookie core count country cron "
+    "current custom dashboard data database date debug default delete deploy deployment design desktop dev device dialog dictionary digest directory dist docker docs document domain "
+    "download driver edit editor element email enable encode endpoint engine entity env error event example exception execute export express extension factory feature field file filter "
+    "final find flag folder font footer form format frame framework function gateway generator git github global google graph grid group guest handler hash header height hidden history "
+    "home hook host html http https icon image import include index info init input install instance int interface internal invoice item java javascript job join json kernel key kubernetes "
+    "label lambda language last layer layout level lib library limit line link linux list listener load local location lock log login logger long loop mac main manager map markdown master "
+    "match max media member memory menu merge message meta method metric middleware min mobile mode model modules monitor mount name native network next node note null number object offset "
+    "online open option order org origin output owner package page panel param parent parse part password path payment pdf photo php pipeline platform player plugin point policy port post "
+    "prefix press print private process product profile project promise protocol provider proxy public python query queue random read record redirect reference release remote render report "
+    "request reset resource response rest result role root route router row rule run sample save scan schema scope screen script search section secret secure select send serial server service "
+    "session set settings setup shell shop short show sign site size socket sort source spec sql src stage start state static status storage store stream string style submit summary super "
+    "support sync system tab table tag target task template term test text theme thread time timeout title token tool total track transaction transfer type ubuntu unit update upload url user "
+    "util valid value variable vendor version video view virtual visible watch web webpack width wiki window worker wrapper write www xml yaml year youtube zip zone"
+).split()
+
+
 def identifiers(words: list[str], n: int, seed: int = 12) -> list[str]:
-    """Labelled samples of ordinary strings: words, and names, paths and numbered names built of them."""
+    """Labelled samples of ordinary strings: words, and names, paths, slugs, numbered, dated and versioned names and addresses built of them, UUIDs, and rulers of one character."""
     rnd = random.Random(seed)
     words = sorted({w for w in words if w.isascii() and w.isalpha()}) or ["name", "value", "index", "count", "user", "page"]
+    version = lambda: rnd.choice([f"v{rnd.randint(1, 20)}", f"v{rnd.randint(1, 9)}{rnd.choice(['beta', 'alpha', 'rc'])}{rnd.randint(1, 9)}", f"x{rnd.choice([64, 86])}_64", f"{rnd.randint(0, 20)}-{rnd.randint(0, 99)}-{rnd.randint(0, 99)}"])
     out = []
     for i in range(n):
-        some = [rnd.choice(words) for _ in range(rnd.randint(2, 4))]
-        match i % 6:
+        some = [rnd.choice(TECHNICAL if rnd.random() < 0.5 else words) for _ in range(rnd.randint(2, 5))]
+        match i % 10:
             case 0:
                 out.append("".join(some))
             case 1:
@@ -60,6 +82,15 @@ def identifiers(words: list[str], n: int, seed: int = 12) -> list[str]:
                 out.append("/".join(some) + f"/{rnd.randint(0, 9999)}")
             case 4:
                 out.append("-".join(some).upper() + f"-{rnd.randint(1900, 2030)}-{rnd.randint(1, 12):02d}-{rnd.randint(1, 28):02d}")
+            case 5:
+                out.append("-".join(some).lower() + f"-{version()}")
+            case 6:
+                out.append("_".join([some[0], version(), *some[1:]]).lower())
+            case 7:
+                h = f"{rnd.getrandbits(128):032x}"
+                out.append(f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}")
+            case 8:
+                out.append("_".join(some).upper() if rnd.random() < 0.7 else rnd.choice("-=_+/ax0") * rnd.randint(8, 40))
             case _:
                 out.append("".join(w.capitalize() for w in some) + str(rnd.randint(0, 99999)))
     return out

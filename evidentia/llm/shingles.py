@@ -28,6 +28,8 @@ from evidentia.llm.simhash import _forest, ball_links
 #: Words of a shingle, and the similarity from which two texts are linked, in fifths (4 of 5).
 SIZE, FIFTHS = 5, 4
 BANDS, ROWS, SEED, BLOCK = 32, 5, 42, 256
+#: Nodes that are compared with one pivot in one task.
+PART = 64
 #: Shingles hashed, and columns multiplied, at once.
 STEP, COLUMNS = 1 << 10, 1 << 12
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -136,8 +138,8 @@ _LINKS = "a long, b long"
 
 
 def _star_links(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
-    """Links (a, b) among the pairs (node, pivot) whose sets are similar. A pivot's nodes are dealt into parts of about BLOCK, the pivot goes to each."""
-    parts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    """Links (a, b) among the pairs (node, pivot) whose sets are similar. A pivot's nodes are dealt into parts of about PART, the pivot goes to each."""
+    parts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / PART).alias("parts"))
     dealt = pairs.join(parts, "pivot").select("pivot", F.pmod(F.xxhash64("node"), "parts").alias("part"), "node")
     every = dealt.unionByName(dealt.select("pivot", "part", F.col("pivot").alias("node")).distinct())
     return every.join(shingles, "node").groupBy("pivot", "part").applyInPandas(_with_pivot, _LINKS)

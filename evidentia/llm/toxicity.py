@@ -22,6 +22,8 @@ from evidentia.llm._sample import labelled
 
 #: Labelled documents trained on at most, hash bits, letters of the prefix features, passes.
 TRAIN_DOCS, HASH_BITS, STEMS, PASSES = 8000, 20, (4, 5), 5
+#: Features of a document trained on at most, so that what reaches the driver is bounded (4 bytes each): of a text with more, those with the smallest hashes.
+TRAIN_FEATURES = 20_000
 #: FTRL-proximal: rate, its smoothing, L1, L2.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.0
 #: Folds of crc32(doc_id as text); the first is held out.
@@ -44,6 +46,11 @@ def features(text: str | None) -> np.ndarray:
     return np.unique(np.concatenate(([_MASK], *_parts(text))))
 
 
+def _bounded(numbers: np.ndarray, most: int = TRAIN_FEATURES) -> np.ndarray:
+    """At most about `most` of a training text's features, the constant among them; they are hashes already, so the smallest are a sample."""
+    return numbers if len(numbers) <= most else np.concatenate((numbers[: most - 1], [_MASK]))
+
+
 def _parts(text: str | None) -> list[np.ndarray]:
     words = (text or "").lower().encode("utf-8", "surrogatepass").split()
     if not words:
@@ -111,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Weights
     @F.pandas_udf("binary")
     def packed(blocks: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in blocks:
-            yield pd.Series([features(t).astype("<u4").tobytes() for t in s], dtype=object)
+            yield pd.Series([_bounded(features(t)).astype("<u4").tobytes() for t in s], dtype=object)
 
     seen = labelled(docs, labels, "toxic", most, where=F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0)
     rows = sorted((zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], bytes(r["f"]), r["label"]) for r in seen.select("doc_id", "label", packed(F.col("text").cast("string")).alias("f")).collect())
