@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import accumulate
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.functions.numeric import scoring_windows
+from evidentia.functions import text as T
+from evidentia.functions.numeric import common_prefix, intervals_length, scoring_windows
 
 #: Fixed values of the policies: hard limit, target and minimum of a chunk; overlaps of fixed windows and of an overlong unit's.
 LIMIT, TARGET, MINIMUM, FIXED_OVERLAP, UNIT_OVERLAP = 512, 384, 128, 100, 64
+#: Chunks of a parent section that expansion looks at before and after a chunk; a parent of our documents has 32 lines.
+REACH = 64
 
 
 def _placed(units: DataFrame) -> DataFrame:
@@ -101,20 +107,28 @@ def chunk_table(fragments: DataFrame) -> DataFrame:
 
 def best_partition(sizes: list[int]) -> list[int]:
     """Ends of the bins that put `sizes`, in order, into bins of at most LIMIT: fewest below MINIMUM, then nearest to
-    TARGET in sum, then fewest, then the earliest cuts."""
-    best: list[tuple[int, int, int, tuple[int, ...]] | None] = [(0, 0, 0, ())]
-    for end in range(1, len(sizes) + 1):
-        total, options = 0, []
-        for start in range(end - 1, -1, -1):
-            total += sizes[start]
-            if total > LIMIT:
-                break
-            if (b := best[start]) is not None:
-                options.append((b[0] + (total < MINIMUM), b[1] + abs(total - TARGET), b[2] + 1, (*b[3], end)))
-        best.append(min(options, default=None))
-    if best[-1] is None:
+    TARGET in sum, then fewest, then the earliest cuts.
+
+    Costs add up over bins, so the least cost of what is left after a cut does not depend on what came before it: those are
+    found from the end backwards, and the bins are then read off from the front, the nearest end first where several do alike.
+    """
+    edges = [0, *accumulate(sizes)]
+    rest: dict[int, tuple[tuple[int, int, int], int]] = {len(sizes): ((0, 0, 0), 0)}
+    for begin in reversed(range(len(sizes))):
+        ends = range(begin + 1, bisect_right(edges, edges[begin] + LIMIT))
+        costs = []
+        for end in filter(rest.__contains__, ends):
+            n, (short, off, bins) = edges[end] - edges[begin], rest[end][0]
+            costs.append(((short + (n < MINIMUM), off + abs(n - TARGET), bins + 1), end))
+        if costs:
+            rest[begin] = min(costs)
+    if 0 not in rest:
         raise ValueError(f"a size is above {LIMIT}")
-    return list(best[-1][3])
+    out, at = [], 0
+    while at < len(sizes):
+        at = rest[at][1]
+        out.append(at)
+    return out
 
 
 def merged(chunks: DataFrame) -> DataFrame:
@@ -140,19 +154,58 @@ def merged(chunks: DataFrame) -> DataFrame:
     return bins.withColumn("chunk", chunk).select("doc_id", "chunk", "parent", "component", "n_tokens")
 
 
+def piece(start: Column, stop: Column, tokens: Column) -> Column:
+    """Tokens start to stop of a unit, as text."""
+    return F.array_join(F.slice(tokens, start + 1, stop - start), " ")
+
+
+def _in_order(order: list[str], text: str, sep: str) -> Column:
+    """Texts of a group joined in order, an empty or null one leaving no separator."""
+    rows = F.array_sort(F.collect_list(F.struct(*order, text)))
+    return F.array_join(F.filter(F.transform(rows, lambda r: r[text]), lambda t: t.isNotNull() & (t != "")), sep)
+
+
+def chunk_records(fragments: DataFrame, units: DataFrame, policy: str) -> DataFrame:
+    """(doc_id, chunk, id, title, text, text_sha256, lexical, body, n_tokens) of a policy's fragments.
+
+    units: (doc_id, ordinal, text, n_tokens, heading, is_heading), heading being the unit's heading path or null. text joins the
+    fragments; title is the path that all the chunk's units share, or the first one's; lexical starts with the title
+    and has a whole unit's heading and text, of a part of a unit its heading and that part alone; body leaves headings out. A fragment
+    found twice in a chunk counts once. The id hashes the policy, the document, the text's digest and the fragments.
+    """
+    parts = fragments.select("doc_id", "chunk", "ordinal", "unit_start", "unit_stop").distinct().join(units, ["doc_id", "ordinal"])
+    whole = (F.col("unit_start") == 0) & (F.col("unit_stop") == F.col("n_tokens"))
+    cut = F.when(whole, F.col("text")).otherwise(piece(F.col("unit_start"), F.col("unit_stop"), T.analyze("text", [])))
+    rows = parts.withColumn("part", cut).withColumn("lexical", T.collapse(F.concat_ws(" ", "heading", "part"))).withColumn("body", F.when(~F.col("is_heading"), F.col("part")))
+    place = ["ordinal", "unit_start"]
+    trail = F.concat_ws(";", F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "unit_start", "unit_stop"))), lambda f: F.concat_ws(":", f["ordinal"].cast("string"), f["unit_start"].cast("string"), f["unit_stop"].cast("string"))))
+    paths = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", F.split(F.coalesce("heading", F.lit("")), " > ").alias("path")))), lambda p: p["path"])
+    made = rows.groupBy("doc_id", "chunk").agg(_in_order(place, "part", "\n").alias("text"), _in_order(place, "lexical", "\n").alias("inner"), _in_order(place, "body", "\n").alias("body"), F.sum(F.col("unit_stop") - F.col("unit_start")).cast("int").alias("n_tokens"), trail.alias("trail"), F.array_join(common_prefix(paths), " > ").alias("title"))
+    digest = F.sha2("text", 256)
+    return made.select("doc_id", "chunk", T.stable_id(F.lit(policy), "doc_id", digest, "trail").alias("id"), "title", "text", digest.alias("text_sha256"), F.concat_ws("\n", F.when(F.col("title") != "", F.col("title")), "inner").alias("lexical"), "body", "n_tokens")
+
+
 def integrity(fragments: DataFrame, units: DataFrame, limit: int | None = LIMIT) -> DataFrame:
     """One row of checks that must all be zero: units without a fragment, fragments of no unit, fragments out of bounds,
-    chunks above the limit, repeated fragments, documents without a chunk."""
+    chunks above the limit, repeated fragments, documents without a chunk, tokens of a unit that no fragment of it has,
+    chunk numbers that leave a gap in their document, chunks whose fragments leave a gap or overlap in the chunk."""
     known = units.where("n_tokens > 0")
     ids = ["doc_id", "ordinal"]
     one = lambda df, name: df.agg(F.count("*").alias(name))
+    size = F.col("unit_stop") - F.col("unit_start")
+    merged = fragments.groupBy(*ids).agg(intervals_length(F.collect_list(F.struct(F.col("unit_start").alias("start"), F.col("unit_stop").alias("stop")))).alias("held"))
+    numbers = fragments.groupBy("doc_id").agg(F.max("chunk").alias("last"), F.countDistinct("chunk").alias("n"))
+    chunks = fragments.groupBy("doc_id", "chunk").agg(F.max(F.col("chunk_start") + size).alias("end"), F.sum(size).alias("sum"), F.min("chunk_start").alias("begin"))
     checks = [
         one(known.join(fragments, ids, "left_anti"), "uncovered_units"),
         one(fragments.join(units, ids, "left_anti"), "unknown_units"),
-        one(fragments.join(units.select(*ids, "n_tokens"), ids).where("unit_start < 0 or unit_stop > n_tokens or unit_start > unit_stop"), "out_of_bounds"),
+        one(fragments.join(units.select(*ids, "n_tokens"), ids).where("unit_start < 0 or unit_stop > n_tokens or unit_start >= unit_stop and n_tokens > 0"), "out_of_bounds"),
         one(chunk_table(fragments).where(F.col("n_tokens") > (1 << 30 if limit is None else limit)), "overlong_chunks"),
         one(fragments.groupBy("doc_id", "chunk", "ordinal", "unit_start").count().where("count > 1"), "repeated_fragments"),
         one(known.select("doc_id").distinct().join(fragments.select("doc_id").distinct(), "doc_id", "left_anti"), "uncovered_documents"),
+        one(known.join(merged, ids).where("held <> n_tokens"), "uncovered_tokens"),
+        one(numbers.where("n <> last + 1"), "chunk_number_gaps"),
+        one(chunks.where("begin <> 0 or end <> sum"), "chunk_token_gaps"),
     ]
     out = checks[0]
     for c in checks[1:]:
@@ -160,18 +213,46 @@ def integrity(fragments: DataFrame, units: DataFrame, limit: int | None = LIMIT)
     return out
 
 
-def expand(chunks: DataFrame, parents: bool = False) -> DataFrame:
-    """(doc_id, chunk, supplement, distance): neighbours before and after under the same parent, or all chunks of the parent.
+def section_windows_ok(chunks: DataFrame, overlap: int = 64, size: int = 480) -> DataFrame:
+    """One row (broken) of a section policy's chunks (n_tokens, windows) whose scoring windows do not cover them, are too long, or overlap otherwise than they should."""
+    w, n = F.col("windows"), F.size("windows")
+    steps = F.zip_with(F.slice(w, 1, n - 1), F.slice(w, 2, n), lambda a, b: a["stop"] - b["start"] == overlap)
+    long = (n > 1) & (F.get(w, F.lit(0))["start"] == 0) & (F.get(w, n - 1)["stop"] == F.col("n_tokens")) & F.forall(w, lambda x: x["stop"] - x["start"] <= size) & F.forall(steps, lambda ok: ok)
+    one = (n == 1) & (F.get(w, F.lit(0))["start"] == 0) & (F.get(w, F.lit(0))["stop"] == F.col("n_tokens"))
+    return chunks.where("n_tokens > 0").where(~F.coalesce(F.when(F.col("n_tokens") <= LIMIT, one).otherwise(long), F.lit(False))).agg(F.count("*").alias("broken"))
+
+
+def merged_ok(merged_rows: DataFrame, components: DataFrame) -> DataFrame:
+    """One row of checks on merged() of `components` that must be zero: chunks of several parents, components lost or repeated, chunks above LIMIT."""
+    per = merged_rows.groupBy("doc_id", "chunk").agg(F.countDistinct("parent").alias("parents"), F.sum("n_tokens").alias("n"))
+    ids = components.select("doc_id", F.col("chunk").alias("component"))
+    lost = ids.exceptAll(merged_rows.select("doc_id", "component")).agg(F.count("*").alias("lost_components"))
+    extra = merged_rows.select("doc_id", "component").exceptAll(ids).agg(F.count("*").alias("extra_components"))
+    return per.agg(F.count(F.when(F.col("parents") > 1, 1)).alias("several_parents"), F.count(F.when(F.col("n") > LIMIT, 1)).alias("overlong")).crossJoin(lost).crossJoin(extra)  # one row each
 
-    Distance counts chunks in source order.
+
+def expand(chunks: DataFrame, mode: str = "neighbor") -> DataFrame:
+    """(doc_id, chunk, supplement, distance) of a `mode`: neighbor, the chunks before and after under the same parent; parent, all chunks of the parent
+    within REACH places; parent_neighbor, both; leaf, none.
+
+    Distance counts chunks in source order; a parent section is a bounded run of units, and REACH bounds its chunks where it isn't.
     """
     order = Window.partitionBy("doc_id", "parent").orderBy("first_ordinal", "chunk")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("first_ordinal", "chunk"))
     placed = chunks.select("doc_id", "chunk", "parent", "first_ordinal", place.alias("place"))
-    if parents:
-        a, b = placed.alias("a"), placed.alias("b")
-        pairs = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.parent") == F.col("b.parent")) & (F.col("a.chunk") != F.col("b.chunk")))
-        return pairs.select("a.doc_id", "a.chunk", F.col("b.chunk").alias("supplement"), F.abs(F.col("a.place") - F.col("b.place")).alias("distance"))
-    sides = placed.select("doc_id", "chunk", "place", *[f(c).over(order).alias(f"{c}_{n}") for n, f in enumerate((F.lag, F.lead)) for c in ("chunk", "place")])
-    near = sides.select("doc_id", "chunk", "place", F.explode(F.array(*[F.struct(F.col(f"chunk_{n}").alias("c"), F.col(f"place_{n}").alias("p")) for n in (0, 1)])).alias("n"))
-    return near.where("n.c is not null").select("doc_id", "chunk", F.col("n.c").alias("supplement"), F.abs(F.col("place") - F.col("n.p")).alias("distance"))
+    within = placed.withColumn("at", F.row_number().over(order))
+    reach = {"leaf": 0, "neighbor": 1, "parent": REACH, "parent_neighbor": REACH}[mode]
+    offsets = F.array(*[F.lit(k) for k in range(-reach, reach + 1) if k]) if reach else F.array().cast("array<int>")
+    asked = within.select("doc_id", "parent", "chunk", "place", F.explode(offsets).alias("k"), "at").select("doc_id", "parent", "chunk", "place", (F.col("at") + F.col("k")).alias("at"))
+    found = within.select("doc_id", "parent", F.col("chunk").alias("supplement"), F.col("place").alias("there"), "at")
+    return asked.join(found, ["doc_id", "parent", "at"]).select("doc_id", "chunk", "supplement", F.abs(F.col("place") - F.col("there")).alias("distance"))
+
+
+def expanded_fragments(fragments: DataFrame, supplements: DataFrame) -> DataFrame:
+    """(doc_id, chunk, place, ordinal, unit_start, unit_stop): a chunk's fragments, then those of its supplements by distance and source order, each fragment once, at its first place."""
+    own = fragments.select("doc_id", "chunk", F.lit(0).alias("distance"), F.col("chunk").alias("of"), "ordinal", "unit_start", "unit_stop")
+    theirs = supplements.join(fragments.select("doc_id", F.col("chunk").alias("supplement"), "ordinal", "unit_start", "unit_stop"), ["doc_id", "supplement"])
+    rows = own.unionByName(theirs.select("doc_id", "chunk", "distance", F.col("supplement").alias("of"), "ordinal", "unit_start", "unit_stop"))
+    first = rows.groupBy("doc_id", "chunk", "ordinal", "unit_start", "unit_stop").agg(F.min(F.struct("distance", "of")).alias("f"))
+    order = Window.partitionBy("doc_id", "chunk").orderBy("f", "ordinal", "unit_start", "unit_stop")
+    return first.select("doc_id", "chunk", (F.row_number().over(order) - 1).alias("place"), "ordinal", "unit_start", "unit_stop")

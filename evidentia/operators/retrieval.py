@@ -7,16 +7,20 @@ Scores are rounded before they are ranked, so that ties are ties on every engine
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
 from evidentia.functions.numeric import dot, idf, rounded
+from evidentia.sources.tables import materialize
 
 K1, B, RRF_K, DEPTH = 1.5, 0.75, 60, 100
-#: Query terms broadcast to the scan of documents at most; a benchmark's query set is far below.
+#: Query-side rows broadcast at most; a benchmark's query set is far below.
 MAX_QUERY_TERMS = 200_000
+#: Query terms that become part of the plan at most.
+MAX_LITERALS = 10_000
 
 
 def top_k(scores: DataFrame, k: int | None = None, tie: Column | None = None) -> DataFrame:
@@ -31,7 +35,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(T.analyze("text"))).alias("term"))
 
 
-def _near(small: DataFrame) -> DataFrame:
+def near(small: DataFrame) -> DataFrame:
     """A query-side table, broadcast if its rows are few enough."""
     return F.broadcast(small) if small.limit(MAX_QUERY_TERMS + 1).count() <= MAX_QUERY_TERMS else small
 
@@ -39,19 +43,45 @@ def _near(small: DataFrame) -> DataFrame:
 def postings(items: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
     """(item_id, term, tf, length) for the given terms only; length counts all of an item's tokens."""
     tokens = items.select("item_id", T.analyze(text).alias("tokens")).withColumn("length", F.size("tokens"))
-    hits = tokens.select("item_id", "length", F.explode("tokens").alias("term")).join(_near(terms.select("term").distinct()), "term", "left_semi")
+    hits = tokens.select("item_id", "length", F.explode("tokens").alias("term")).join(near(terms.select("term").distinct()), "term", "left_semi")
     return hits.groupBy("item_id", "term", "length").agg(F.count("*").alias("tf"))
 
 
-def bm25_scores(items: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, item_id, score) of items (item_id, text) that share a term with a query (query_id, text)."""
+class Matches(NamedTuple):
+    """Items read once for a set of queries: terms (query_id, term), hits (item_id, length, term, tf, df), totals, one row (n, average)."""
+
+    terms: DataFrame
+    hits: DataFrame
+    totals: DataFrame
+
+
+def matches(items: DataFrame, queries: DataFrame) -> Matches:
+    """What items (item_id, text) and queries (query_id, text) have in common. Every ranking of the same two can use it.
+
+    Items are analysed once. Where the queries' terms are few, an item's other tokens go before its tokens become rows.
+    """
     terms = query_terms(queries)
-    hits = postings(items, terms)
-    totals = items.agg(F.count("*").alias("n"), F.avg(F.size(T.analyze("text"))).alias("average"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = hits.join(df, "term").crossJoin(F.broadcast(totals))  # one row
+    wanted = [r["term"] for r in terms.select("term").distinct().limit(MAX_LITERALS + 1).collect()]
+    tokens = items.select("item_id", T.analyze("text").alias("tokens"))
+    found = F.filter("tokens", lambda t: t.isin(wanted)) if 0 < len(wanted) <= MAX_LITERALS else F.col("tokens")
+    base = materialize(tokens.select("item_id", F.size("tokens").alias("length"), found.alias("found")))
+    rows = base.select("item_id", "length", F.explode("found").alias("term"))
+    if len(wanted) > MAX_LITERALS:
+        rows = rows.join(near(terms.select("term").distinct()), "term", "left_semi")
+    counted = materialize(rows.groupBy("item_id", "length", "term").agg(F.count("*").alias("tf")))
+    df = counted.groupBy("term").agg(F.count("*").alias("df"))
+    return Matches(terms, counted.join(near(df), "term"), base.agg(F.count("*").alias("n"), F.avg("length").alias("average")))
+
+
+def bm25_of(m: Matches) -> DataFrame:
+    """(query_id, item_id, score) of items that share a term with a query."""
+    weighted = m.hits.crossJoin(F.broadcast(m.totals))  # one row
     part = idf(F.col("n"), F.col("df")) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
-    return weighted.select("item_id", "term", part.alias("part")).join(_near(terms), "term").groupBy("query_id", "item_id").agg(rounded(F.sum("part")).alias("score"))
+    return weighted.select("item_id", "term", part.alias("part")).join(near(m.terms), "term").groupBy("query_id", "item_id").agg(rounded(F.sum("part")).alias("score"))
+
+
+def bm25_scores(items: DataFrame, queries: DataFrame) -> DataFrame:
+    return bm25_of(matches(items, queries))
 
 
 def bm25f_scores(items: DataFrame, queries: DataFrame, boosts: dict[str, float], b: dict[str, float]) -> DataFrame:
@@ -64,7 +94,7 @@ def bm25f_scores(items: DataFrame, queries: DataFrame, boosts: dict[str, float],
     wtf = every.groupBy("item_id", "term", "n").agg(F.sum(weight).alias("wtf"))
     df = wtf.groupBy("term").agg(F.count("*").alias("df"))
     part = idf(F.col("n"), F.col("df")) * (K1 + 1) * F.col("wtf") / (K1 + F.col("wtf"))
-    return wtf.join(df, "term").select("item_id", "term", part.alias("part")).join(_near(terms), "term").groupBy("query_id", "item_id").agg(rounded(F.sum("part")).alias("score"))
+    return wtf.join(df, "term").select("item_id", "term", part.alias("part")).join(near(terms), "term").groupBy("query_id", "item_id").agg(rounded(F.sum("part")).alias("score"))
 
 
 def dense_scores(items: DataFrame, queries: DataFrame) -> DataFrame:
@@ -73,7 +103,7 @@ def dense_scores(items: DataFrame, queries: DataFrame) -> DataFrame:
     The query side is a benchmark's query set; it is sent to the items while it is small.
     """
     q = queries.select("query_id", F.col("vector").alias("query_vector"))
-    pairs = items.select("item_id", "vector").join(_near(q), F.col("item_id") != F.col("query_id"))
+    pairs = items.select("item_id", "vector").join(near(q), F.col("item_id") != F.col("query_id"))
     return pairs.select("query_id", "item_id", rounded(dot("vector", "query_vector")).alias("score"))
 
 
@@ -123,12 +153,15 @@ def rerank(ranking: DataFrame, scores: DataFrame, pool: int, tail: bool = False)
     return ranked.withColumn("score", (n - F.col("rank") + 1).cast("double")).select("query_id", "item_id", "score", "rerank_score", "rank")
 
 
-def overlap_scores(items: DataFrame, queries: DataFrame) -> DataFrame:
+def overlap_of(m: Matches) -> DataFrame:
     """A transparent reranking score: share of a query's distinct terms that an item has."""
-    terms = query_terms(queries)
-    n = terms.groupBy("query_id").agg(F.count("*").alias("n"))
-    hits = postings(items, terms).select("item_id", "term").join(_near(terms), "term").groupBy("query_id", "item_id").agg(F.count("*").alias("hits"))
-    return hits.join(F.broadcast(n), "query_id").select("query_id", "item_id", rounded(F.col("hits") / F.col("n")).alias("score"))
+    n = m.terms.groupBy("query_id").agg(F.count("*").alias("n"))
+    hits = m.hits.select("item_id", "term").join(near(m.terms), "term").groupBy("query_id", "item_id").agg(F.count("*").alias("hits"))
+    return hits.join(near(n), "query_id").select("query_id", "item_id", rounded(F.col("hits") / F.col("n")).alias("score"))
+
+
+def overlap_scores(items: DataFrame, queries: DataFrame) -> DataFrame:
+    return overlap_of(matches(items, queries))
 
 
 def rank_agreement(left: DataFrame, right: DataFrame, depth: int = 10) -> DataFrame:

@@ -42,25 +42,31 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sentences(items(spark, sf_dir), "item_id").join(nuggets(spark, sf_dir), "sentence")
 
 
-def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def qrels(spark: SparkSession, sf_dir: str, m: R.Matches | None = None) -> DataFrame:
     """(query_id, item_id, grade): 3 with all nuggets, 2 with some, 0 for documents of BM25's first five without any."""
     need = nuggets(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("need"))
-    found = hits(spark, sf_dir).groupBy("query_id", "item_id").agg(F.count("*").alias("have")).join(F.broadcast(need), "query_id")  # one row a query
+    found = hits(spark, sf_dir).groupBy("query_id", "item_id").agg(F.count("*").alias("have")).join(R.near(need), "query_id")
     positive = found.select("query_id", "item_id", F.when(F.col("have") >= F.col("need"), 3).otherwise(2).alias("grade"))
-    rest = bm25(spark, sf_dir, 5).select("query_id", "item_id").join(positive, ["query_id", "item_id"], "left_anti").withColumn("grade", F.lit(0))
+    rest = bm25(spark, sf_dir, 5, m).select("query_id", "item_id").join(positive, ["query_id", "item_id"], "left_anti").withColumn("grade", F.lit(0))
     return positive.unionByName(rest).join(positive.select("query_id").distinct(), "query_id", "left_semi")
 
 
-def bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return R.top_k(R.bm25_scores(items(spark, sf_dir), queries(spark, sf_dir)), k)
+def matched(spark: SparkSession, sf_dir: str) -> R.Matches:
+    """Documents read once for the benchmark's queries; give it to every ranking of one query."""
+    return R.matches(items(spark, sf_dir), queries(spark, sf_dir))
 
 
-def overlap(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return R.top_k(R.overlap_scores(items(spark, sf_dir), queries(spark, sf_dir)), k)
+def bm25(spark: SparkSession, sf_dir: str, k: int, m: R.Matches | None = None) -> DataFrame:
+    return R.top_k(R.bm25_of(m or matched(spark, sf_dir)), k)
 
 
-def hybrid(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return R.top_k(R.rrf([bm25(spark, sf_dir, 100), overlap(spark, sf_dir, 100)]), k)
+def overlap(spark: SparkSession, sf_dir: str, k: int, m: R.Matches | None = None) -> DataFrame:
+    return R.top_k(R.overlap_of(m or matched(spark, sf_dir)), k)
+
+
+def hybrid(spark: SparkSession, sf_dir: str, k: int, m: R.Matches | None = None) -> DataFrame:
+    m = m or matched(spark, sf_dir)
+    return R.top_k(R.rrf([bm25(spark, sf_dir, 100, m), overlap(spark, sf_dir, 100, m)]), k)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -77,7 +83,7 @@ def label_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense judgments: an item of the query's label has grade 2, of an even id grade 3; all other items have grade 0."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
     q = e.where(F.col("vec_id") % DENSE_EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"))
-    pairs = e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))  # a twentieth of the rows, two numbers each
+    pairs = e.join(R.near(q), F.col("vec_id") != F.col("query_id"))  # all rows against a stated query set
     same = F.col("label") == F.col("wanted")
     return pairs.select("query_id", F.col("vec_id").alias("item_id"), F.when(same & (F.col("vec_id") % 2 == 0), 3).when(same, 2).otherwise(0).alias("grade"))
 

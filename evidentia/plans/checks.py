@@ -57,7 +57,8 @@ def source_refs(spark, d):
 
 def pool_stability(spark, d):
     """For each held-out run Kendall's tau of the systems' order without the judgments that it alone found, against the order with all."""
-    runs, qrels, depth = {s: materialize(r) for s, r in _runs(spark, d).items()}, materialize(D.qrels(spark, d)), 20
+    m = D.matched(spark, d)
+    runs, qrels, depth = {s: materialize(r) for s, r in _runs(spark, d, m=m).items()}, materialize(D.qrels(spark, d, m)), 20
     alone = P.exclusive(runs, depth)
     names = sorted(runs)
     key = lambda held, s: F.concat_ws("|", F.lit(held), F.lit(s), F.col("query_id").cast("string")).alias("query_id")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.numeric import rounded
 from evidentia.operators import metrics as M
+from evidentia.operators import retrieval as R
 from evidentia.operators import statistics as S
 from evidentia.plans import _data as D
 
@@ -19,7 +20,8 @@ def ir_metrics_macro(spark, d):
 
 
 def bm25_metrics(spark, d):
-    return M.ranking_metrics(D.bm25(spark, d, 100), D.qrels(spark, d))
+    m = D.matched(spark, d)
+    return M.ranking_metrics(D.bm25(spark, d, 100, m), D.qrels(spark, d, m))
 
 
 def hard_negative_exposure(spark, d):
@@ -35,7 +37,7 @@ def evidence_metrics(spark, d):
     """Nuggets covered by each query's first four documents, tokens counted by sentence."""
     gold = D.hits(spark, d)
     top = D.bm25(spark, d, 4).select("query_id", "item_id")
-    cards = D._sentences(D.items(spark, d), "item_id").join(F.broadcast(top), "item_id")  # four rows a query
+    cards = D._sentences(D.items(spark, d), "item_id").join(R.near(top), "item_id")
     fragments = cards.select("query_id", F.col("sentence").alias("span_id"), F.length("sentence").alias("tokens"), F.lit(True).alias("is_full"))
     need = D.nuggets(spark, d).join(gold.select("query_id").distinct(), "query_id", "left_semi")
     return M.evidence(fragments, gold.select("query_id", F.col("sentence").alias("span_id")), need.select("query_id", F.col("sentence").alias("nugget_id"), F.col("sentence").alias("span_id")))
@@ -116,7 +118,9 @@ def kendall_tau(spark, d):
 
 
 def _deltas(spark, d):
-    a, b = (M.ranking_metrics(run, D.qrels(spark, d)).select("query_id", "ndcg_10") for run in (D.bm25(spark, d, 100), D.overlap(spark, d, 100)))
+    m = D.matched(spark, d)
+    qrels = D.qrels(spark, d, m)
+    a, b = (M.ranking_metrics(run, qrels).select("query_id", "ndcg_10") for run in (D.bm25(spark, d, 100, m), D.overlap(spark, d, 100, m)))
     both = a.withColumnRenamed("ndcg_10", "x").join(b, "query_id")
     return both.select((F.col("query_id") % 8).alias("group"), rounded(F.col("ndcg_10") - F.col("x")).alias("delta"))
 
@@ -126,8 +130,9 @@ def paired_resampling(spark, d):
 
 
 def oof_select(spark, d):
-    runs = {"bm25": D.bm25(spark, d, 100), "overlap": D.overlap(spark, d, 100)}
-    rows = [M.ranking_metrics(r, D.qrels(spark, d)).select((F.col("query_id") % 5).alias("fold"), F.lit(n).alias("candidate"), F.col("recall_5").alias("m1"), F.col("recall_10").alias("m2"), F.col("ndcg_10").alias("m3")) for n, r in runs.items()]
+    m = D.matched(spark, d)
+    runs, qrels = {"bm25": D.bm25(spark, d, 100, m), "overlap": D.overlap(spark, d, 100, m)}, D.qrels(spark, d, m)
+    rows = [M.ranking_metrics(r, qrels).select((F.col("query_id") % 5).alias("fold"), F.lit(n).alias("candidate"), F.col("recall_5").alias("m1"), F.col("recall_10").alias("m2"), F.col("ndcg_10").alias("m3")) for n, r in runs.items()]
     return S.select_out_of_fold(rows[0].unionByName(rows[1]))
 
 

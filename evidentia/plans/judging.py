@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.numeric import rounded
 from evidentia.functions.text import duplicate_key
+from evidentia.operators import cards as K
 from evidentia.operators import chunking as C
 from evidentia.operators import extraction as X
 from evidentia.operators import metrics as M
@@ -21,8 +22,9 @@ from evidentia.streaming import windows as W
 _SLOTS = {"intent": {"fact": 10, "howto": 14, "compare": 6, "why": 2}, "difficulty": {"easy": 12, "medium": 12, "hard": 8}, "answerability": {"answerable": 24, "no_answer": 8}}
 
 
-def _runs(spark, d, k=50):
-    return {"bm25": D.bm25(spark, d, k), "dense": D.overlap(spark, d, k), "hybrid": D.hybrid(spark, d, k)}
+def _runs(spark, d, k=50, m=None):
+    m = m or D.matched(spark, d)
+    return {"bm25": D.bm25(spark, d, k, m), "dense": D.overlap(spark, d, k, m), "hybrid": D.hybrid(spark, d, k, m)}
 
 
 def grade_projection(spark, d):
@@ -42,7 +44,8 @@ def pool_build(spark, d):
 
 
 def depth_report(spark, d):
-    return P.depth_report(P.pool(_runs(spark, d)), D.qrels(spark, d))
+    m = D.matched(spark, d)
+    return P.depth_report(P.pool(_runs(spark, d, m=m)), D.qrels(spark, d, m))
 
 
 def exclusive_judgments(spark, d):
@@ -51,14 +54,16 @@ def exclusive_judgments(spark, d):
 
 def system_order(spark, d):
     """Systems by mean nDCG@10, then name."""
-    q = D.qrels(spark, d)
-    rows = [M.ranking_metrics(r, q).agg(rounded(F.avg("ndcg_10")).alias("score")).select(F.lit(s).alias("system"), "score") for s, r in _runs(spark, d).items()]
+    m = D.matched(spark, d)
+    q = D.qrels(spark, d, m)
+    rows = [M.ranking_metrics(r, q).agg(rounded(F.avg("ndcg_10")).alias("score")).select(F.lit(s).alias("system"), "score") for s, r in _runs(spark, d, m=m).items()]
     both = rows[0].unionByName(rows[1]).unionByName(rows[2])
     return both.withColumn("place", F.row_number().over(D.Window.orderBy(F.col("score").desc(), "system")))
 
 
 def hard_negative_selection(spark, d):
-    pooled = P.pool(_runs(spark, d)).join(D.qrels(spark, d), ["query_id", "item_id"])
+    m = D.matched(spark, d)
+    pooled = P.pool(_runs(spark, d, m=m)).join(D.qrels(spark, d, m), ["query_id", "item_id"])
     return P.hard_negatives(pooled.select("query_id", "item_id", "grade", "minimum_rank", F.split("provenance", ",").alias("provenance"), F.lit(None).cast("string").alias("no_answer_reason")))
 
 
@@ -127,9 +132,12 @@ def stage_overhead(spark, d):
 
 
 def determinism_check(spark, d):
-    """For each query the number of different first tens that two runs give; one everywhere."""
-    runs = [D.bm25(spark, d, 10).withColumn("run", F.lit(i)) for i in (0, 1)]
-    tops = runs[0].unionByName(runs[1]).groupBy("query_id", "run").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id"))).alias("top"))
+    """For each query the number of different first tens that two runs give, the documents dealt into partitions otherwise in each; one everywhere."""
+    queries, runs = D.queries(spark, d), []
+    for i, parts in enumerate((3, 7)):
+        run = R.top_k(R.bm25_scores(D.items(spark, d).repartition(parts), queries.repartition(parts)), 10)
+        runs.append(materialize(run.withColumn("run", F.lit(i))))
+    tops = runs[0].unionByName(runs[1]).groupBy("query_id", "run").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id", "score"))).alias("top"))
     return tops.groupBy("query_id").agg(F.countDistinct("top").alias("different"))
 
 
@@ -137,19 +145,54 @@ def event_windows_stream(spark, d):
     return W.tumbling_counts(spark, f"{d}/events.parquet")
 
 
+def chunk_ranking(spark, d):
+    """(query_id, rank, doc_id, chunk) of each query's hundred best packed chunks by BM25 over all chunks' texts."""
+    chunks = _window_texts(spark, d, C.packed)
+    chosen = R.top_k(R.bm25_scores(chunks.select(F.col("window_id").alias("item_id"), "text"), D.queries(spark, d)), 100)
+    return materialize(chosen.select("query_id", "rank", "item_id.doc_id", "item_id.chunk"))
+
+
+def card_inputs(spark, d, mode="leaf"):
+    """The chunk ranking, and the fragments of its documents' chunks with those that expansion adds."""
+    ranking = chunk_ranking(spark, d)
+    units = materialize(X.units_from_documents(D.table(spark, d, "documents")).join(R.near(ranking.select("doc_id").distinct()), "doc_id", "left_semi"))
+    fragments = C.packed(units)
+    placed = C.expanded_fragments(fragments, C.expand(C.chunk_table(fragments), mode)) if mode != "leaf" else fragments
+    return ranking, placed.join(units.select("doc_id", "ordinal", K.sentence_stops("text").alias("stops")), ["doc_id", "ordinal"]), units
+
+
 def evidence_cards(spark, d):
-    """Token-budgeted cards of each query's best packed chunks, ranked by BM25 over all chunks' texts."""
-    from evidentia.operators import cards as K
+    """Token-budgeted cards of each query's best packed chunks."""
+    ranking, fragments, _ = card_inputs(spark, d)
+    return K.assemble(ranking, fragments)
 
-    chunks = _window_texts(spark, d, C.packed)
-    chosen = materialize(R.top_k(R.bm25_scores(chunks.select(F.col("window_id").alias("item_id"), "text"), D.queries(spark, d)), 100))
-    ranking = chosen.select("query_id", "rank", F.floor(F.col("item_id") / 100000).alias("doc_id"), F.pmod("item_id", F.lit(100000)).cast("int").alias("chunk"))
-    units = X.units_from_documents(D.table(spark, d, "documents"))
-    near = F.broadcast(ranking.select("doc_id").distinct())  # a hundred rows a query
-    return K.assemble(ranking, C.packed(units.join(near, "doc_id", "left_semi")))
+
+def card_diagnostics(spark, d):
+    return K.diagnostics(evidence_cards(spark, d))
+
+
+def expanded_cards(spark, d):
+    """Diagnostics of the cards that each way of expanding a chunk gives."""
+    rows = [K.diagnostics(K.assemble(*card_inputs(spark, d, mode)[:2])).withColumn("mode", F.lit(mode)) for mode in ("leaf", "neighbor", "parent_neighbor")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def evidence_at_budget(spark, d):
+    """Evidence and nugget recall, completeness and waste of each query's cards, sentences in whole units as gold, with the cards' duplicate rate."""
+    ranking, fragments, units = card_inputs(spark, d)
+    cards = materialize(K.assemble(ranking, fragments))
+    shown = cards.select("query_id", "doc_id", F.explode("fragments").alias("f")).select("query_id", "doc_id", "f.*")
+    nuggets = D.nuggets(spark, d)
+    spans = D._sentences(units.select("doc_id", "ordinal", "text"), "doc_id", "ordinal").join(nuggets, "sentence")
+    whole = shown.join(units.select("doc_id", "ordinal", "n_tokens"), ["doc_id", "ordinal"]).withColumn("is_full", (F.col("start") == 0) & (F.col("stop") == F.col("n_tokens")))
+    marked = whole.join(spans, ["query_id", "doc_id", "ordinal"], "left").select("query_id", F.coalesce("sentence", F.lit("")).alias("span_id"), (F.col("stop") - F.col("start")).alias("tokens"), "is_full")
+    gold = D.hits(spark, d).select("query_id", F.col("sentence").alias("span_id")).distinct()
+    need = nuggets.join(gold.select("query_id").distinct(), "query_id", "left_semi")
+    scored = M.evidence(marked, gold, need.select("query_id", F.col("sentence").alias("nugget_id"), F.col("sentence").alias("span_id")))
+    return scored.join(K.diagnostics(cards).select("query_id", "cards", "tokens", "duplicate_rate"), "query_id", "left")
 
 
-QUERIES = {f.__name__: f for f in [grade_projection, pool_build, depth_report, exclusive_judgments, system_order, hard_negative_selection, review_queue, round_robin_sample, canonical_dedupe, quota_slots, adjudication_diff, submission_validation, anti_join_missing, trec_roundtrip, beir_roundtrip, canonical_json, latency_percentiles, stage_overhead, determinism_check, event_windows_stream, evidence_cards]}
+QUERIES = {f.__name__: f for f in [grade_projection, pool_build, depth_report, exclusive_judgments, system_order, hard_negative_selection, review_queue, round_robin_sample, canonical_dedupe, quota_slots, adjudication_diff, submission_validation, anti_join_missing, trec_roundtrip, beir_roundtrip, canonical_json, latency_percentiles, stage_overhead, determinism_check, event_windows_stream, evidence_cards, card_diagnostics, expanded_cards, evidence_at_budget]}
 
 D.CTES |= {
     "rn": ("bm100 ov100 rf100", "select query_id, item_id, rank, 'bm25' as system, 'lexical_candidate' as prov from bm100 where rank <= 50 union all select query_id, item_id, rank, 'dense', 'semantic_candidate' from ov100 where rank <= 50 union all select query_id, item_id, rank, 'hybrid', 'hybrid_candidate' from rf100 where rank <= 50"),

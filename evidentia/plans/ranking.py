@@ -23,7 +23,7 @@ def _window_texts(spark, d, policy=C.fixed):
     pieces = policy(units).join(units.select("doc_id", "ordinal", "text"), ["doc_id", "ordinal"])
     tokens = F.slice(T.analyze("text", []), F.col("unit_start") + 1, F.col("unit_stop") - F.col("unit_start"))
     texts = pieces.select("doc_id", "chunk", "ordinal", F.array_join(tokens, " ").alias("piece")).groupBy("doc_id", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "piece"))), lambda x: x["piece"]), " ").alias("text"))
-    return texts.select((F.col("doc_id") * 100000 + F.col("chunk")).alias("window_id"), F.col("doc_id").alias("item_id"), "text")
+    return texts.select(F.struct("doc_id", "chunk").alias("window_id"), F.col("doc_id").alias("item_id"), "text")
 
 
 def bm25_window_max(spark, d):
@@ -49,7 +49,7 @@ def dense_int8_agreement(spark, d):
     """Exact dense rankings against those of vectors of 8-bit levels, cosine similarity."""
     items, queries = D.vectors(spark, d)
     q8 = queries.select("query_id", quantize("vector").alias("qv"))
-    pairs = items.select("item_id", quantize("vector").alias("v")).join(R._near(q8), F.col("item_id") != F.col("query_id"))
+    pairs = items.select("item_id", quantize("vector").alias("v")).join(R.near(q8), F.col("item_id") != F.col("query_id"))
     scores = pairs.select("query_id", "item_id", rounded(dot("v", "qv") / (norm("v") * norm("qv"))).alias("score"))
     return R.rank_agreement(D.dense(spark, d, 10), R.top_k(scores, 10))
 
@@ -59,25 +59,28 @@ def rrf_top10(spark, d):
 
 
 def weighted_rrf_top10(spark, d):
-    return R.top_k(R.rrf([D.bm25(spark, d, 50), D.overlap(spark, d, 50)], [2.0, 1.0], 10, 50), 10)
+    m = D.matched(spark, d)
+    return R.top_k(R.rrf([D.bm25(spark, d, 50, m), D.overlap(spark, d, 50, m)], [2.0, 1.0], 10, 50), 10)
 
 
 def nway_rrf_top10(spark, d):
-    window = bm25_window_max(spark, d)
-    return R.top_k(R.rrf_many([D.bm25(spark, d, 100), D.overlap(spark, d, 100), window]), 10)
+    m, window = D.matched(spark, d), bm25_window_max(spark, d)
+    return R.top_k(R.rrf_many([D.bm25(spark, d, 100, m), D.overlap(spark, d, 100, m), window]), 10)
 
 
 def tmm_convex_top10(spark, d):
-    items, queries = D.items(spark, d), D.queries(spark, d)
-    return R.top_k(R.tmm(R.bm25_scores(items, queries), R.overlap_scores(items, queries), 0.8), 10)
+    m = D.matched(spark, d)
+    return R.top_k(R.tmm(R.bm25_of(m), R.overlap_of(m), 0.8), 10)
 
 
 def rerank_top50(spark, d):
-    return R.rerank(D.bm25(spark, d, 100), R.overlap_scores(D.items(spark, d), D.queries(spark, d)), 50)
+    m = D.matched(spark, d)
+    return R.rerank(D.bm25(spark, d, 100, m), R.overlap_of(m), 50)
 
 
 def rerank_with_tail(spark, d):
-    return R.rerank(D.bm25(spark, d, 100), R.overlap_scores(D.items(spark, d), D.queries(spark, d)), 20, True)
+    m = D.matched(spark, d)
+    return R.rerank(D.bm25(spark, d, 100, m), R.overlap_of(m), 20, True)
 
 
 def query_decomposition(spark, d):
@@ -86,13 +89,15 @@ def query_decomposition(spark, d):
 
 
 def decomposed_bm25_top10(spark, d):
-    """BM25 for each sentence of a query and for the whole, fused."""
-    whole = D.queries(spark, d)
-    parts = whole.select("query_id", F.explode(F.slice(F.filter(F.transform(F.split("text", D.SENTENCE), lambda s: F.trim(s)), lambda s: F.length(s) >= 10), 1, 3)).alias("text"))
-    asked = parts.distinct().withColumn("key", F.concat_ws("|", F.col("query_id").cast("string"), "text"))
-    scores = R.bm25_scores(D.items(spark, d), asked.select(F.col("key").alias("query_id"), "text"))
-    part = R.top_k(scores, 100).join(asked.select(F.col("key").alias("query_id"), F.col("query_id").alias("of")), "query_id").select(F.col("of").alias("query_id"), "item_id", "rank")
-    return R.top_k(R.rrf([D.bm25(spark, d, 100), part], [1.0, 0.5]), 10)
+    """BM25 for each part of a decomposed query, the whole included, the first list counting as much as the others together."""
+    asked = D.queries(spark, d).select("query_id", F.posexplode(T.subqueries("text")).alias("position", "text"))
+    key = F.struct("query_id", "position").alias("key")
+    scores = R.bm25_scores(D.items(spark, d), asked.select(key.alias("query_id"), "text"))
+    n = asked.groupBy("query_id").agg(F.count("*").alias("parts"))
+    ranked = R.top_k(scores, 100).select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.position").alias("position"), "item_id", "rank").join(R.near(n), "query_id")
+    weight = F.when(F.col("position") == 0, 1.0).otherwise(1.0 / F.greatest(F.col("parts") - 1, F.lit(1)))
+    fused = ranked.groupBy("query_id", "item_id").agg(rounded(F.sum(weight / (R.RRF_K + F.col("rank"))), 9).alias("score"))
+    return R.top_k(fused, 10)
 
 
 def contextual_bm25_top10(spark, d):
@@ -102,7 +107,8 @@ def contextual_bm25_top10(spark, d):
 
 
 def rank_agreement(spark, d):
-    return R.rank_agreement(D.bm25(spark, d, 10), D.overlap(spark, d, 10))
+    m = D.matched(spark, d)
+    return R.rank_agreement(D.bm25(spark, d, 10, m), D.overlap(spark, d, 10, m))
 
 
 def ranking_features(spark, d):
@@ -143,7 +149,14 @@ D.CTES |= {
     "d8": ("e8", f"select q.vec_id as query_id, e.vec_id as item_id, {D.r('list_sum(list_transform(list_zip(e.v, q.v), lambda p: (p[1] * p[2])::double)) / (sqrt(list_sum(list_transform(e.v, lambda x: (x * x)::double))) * sqrt(list_sum(list_transform(q.v, lambda x: (x * x)::double))))')} as score from e8 e join e8 q on q.vec_id % 20 = 0 and e.vec_id <> q.vec_id"),
     "cx": ("", "select doc_id as item_id, 'corpus | module=' || source || ' | page=' || lang || chr(10) || text as text from documents"),
     "cbm": ("cx qs", D.bm25_sql("cx", "qs")),
-    "dq": ("qs", r"select distinct query_id as of, query_id || '|' || text as query_id, text from (select query_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '[.\n]+'), lambda s: trim(s)), lambda s: length(s) >= 10)[1:3]) as text from qs)"),
+    "dq": (
+        "qs",
+        r"""select query_id as of, position, query_id * 16 + position as query_id, text from (select query_id, (row_number() over (partition by query_id order by i) - 1)::int as position, s as text from (
+          select query_id, s, i, row_number() over (partition by query_id, lower(s) order by i) as k from (select query_id, unnest(es) as s, unnest(range(len(es))) as i from (
+            select query_id, case when len(cs) < 2 then [q] else list_concat([q, cs[1]], list_transform(cs[2:], lambda x: cs[1] || ' ' || x)) end as es from (
+              select *, list_filter(list_transform(regexp_split_to_array(q, '(?i)\s*(?:;|,\s*(?:and\s+|then\s+)?|\bthen\b)\s*'), lambda x: regexp_replace(x, '^[ ,;?.]+|[ ,;?.]+$', '', 'g')), lambda x: len(string_split(x, ' ')) >= 2) as cs
+              from (select query_id, COLLAPSED as q from qs))))) where k = 1) where position < 4""".replace("COLLAPSED", D.collapsed("text")),
+    ),
     "dqs": ("items dq", D.bm25_sql("items", "dq")),
 }
 
@@ -180,7 +193,9 @@ ORACLE = {
       f as (select conv_id, turn, unnest(es) as s, unnest(range(len(es))) as i from e),
       g as (select conv_id, turn, s, i, row_number() over (partition by conv_id, turn, lower(s) order by i) as k from f)
       select conv_id, turn, position, subquery from (select conv_id, turn, (row_number() over (partition by conv_id, turn order by i) - 1)::int as position, s as subquery from g where k = 1) where position < 4""".replace("COLLAPSED", D.collapsed("text")),
-    "decomposed_bm25_top10": D.sql(D.ranked("(" + _FUSED.format(r=D.r("sum(w / (60 + rank))", 9), parts=f"select query_id, item_id, rank, 1.0::double as w from bm100 union all select dq.of, k.item_id, k.rank, 0.5 from ({D.ranked('dqs', 100)}) k join dq using (query_id)") + ")", 10), "bm100 dqs dq"),
+    "decomposed_bm25_top10": D.sql(
+        D.ranked("(" + _FUSED.format(r=D.r("sum(w / (60 + rank))", 9), parts=f"select dq.of as query_id, k.item_id, k.rank, case when position = 0 then 1 else 1.0::double / greatest(1, n - 1) end as w from ({D.ranked('dqs', 100)}) k join dq using (query_id) join (select of, count(*) as n from dq group by of) using (of)") + ")", 10), "dqs dq"
+    ),
     "contextual_bm25_top10": D.sql(D.ranked("cbm", 10), "cbm"),
     "rank_agreement": D.sql(_agreement("bm100", "ov100").replace("from bm100 union", "from bm100 where rank <= 10 union"), "bm100 ov100"),
     "ranking_features": D.sql(f"select query_id, max(score) filter (rank = 1) as top_score, {D.r('max(score) filter (rank = 1) - coalesce(max(score) filter (rank = 2), 0)')} as margin from bm100 where rank <= 2 group by query_id", "bm100"),

@@ -8,6 +8,7 @@ from evidentia.functions import numeric as N
 from evidentia.functions import text as T
 from evidentia.operators import chunking as C
 from evidentia.operators import extraction as X
+from evidentia.operators import retrieval as R
 from evidentia.plans import _data as D
 
 
@@ -52,7 +53,7 @@ def analyzer_term_stats(spark, d):
 def token_set_overlap(spark, d):
     """For each query's best document, share of the query's word tokens that it has, and their Jaccard similarity."""
     best = D.bm25(spark, d, 1).select("query_id", "item_id")
-    rows = best.join(F.broadcast(D.queries(spark, d).select("query_id", T.token_set("text").alias("q"))), "query_id").join(D.items(spark, d), "item_id")  # one row a query
+    rows = best.join(R.near(D.queries(spark, d).select("query_id", T.token_set("text").alias("q"))), "query_id").join(D.items(spark, d), "item_id")
     found = rows.select("query_id", "item_id", "q", T.token_set("text").alias("found"))
     ratio = T.overlap_ratio("q", "found")
     return found.select("query_id", "item_id", N.rounded(ratio).alias("ratio"), N.rounded(T.jaccard("q", "found")).alias("jaccard"), (ratio >= 0.8).alias("passes"))
@@ -117,7 +118,7 @@ def neighbor_expansion(spark, d):
 
 
 def parent_expansion(spark, d):
-    return C.expand(C.chunk_table(C.packed(_units(spark, d))), parents=True)
+    return C.expand(C.chunk_table(C.packed(_units(spark, d))), "parent")
 
 
 def sibling_headings(spark, d):
@@ -181,7 +182,7 @@ D.CTES |= {
 }
 
 _ISL_AGG = "select doc_id, run as chunk, section, min(ordinal) as first_ordinal, count(*) as n_units, sum(n_tokens)::int as n_tokens from isl group by doc_id, run, section"
-_ZERO = "select 0::bigint as uncovered_units, 0::bigint as unknown_units, 0::bigint as out_of_bounds, {}::bigint as overlong_chunks, 0::bigint as repeated_fragments, 0::bigint as uncovered_documents"
+_ZERO = "select 0::bigint as uncovered_units, 0::bigint as unknown_units, 0::bigint as out_of_bounds, {}::bigint as overlong_chunks, 0::bigint as repeated_fragments, 0::bigint as uncovered_documents, 0::bigint as uncovered_tokens, 0::bigint as chunk_number_gaps, 0::bigint as chunk_token_gaps"
 _WORDS = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'))"
 ORACLE = {
     "units_from_documents": D.sql(f"select doc_id, ordinal, section, parent, n_tokens, {_ID.format('doc_id || chr(0) || ordinal || chr(0) || text', 32)} as unit_id, sha256(text) as text_sha256 from units", "units"),

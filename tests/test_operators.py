@@ -85,10 +85,104 @@ def test_packing_and_integrity(spark):
     assert rows(packed.select("doc_id", "chunk", "ordinal", "unit_start", "unit_stop")) == sorted(expected)
 
 
-def test_cards():
-    assert [c[4] for c in cards.cards_of([(1, 1, 0, [(0, 0, 2)]), (2, 1, 1, [(0, 0, 2)])], budget=2)] == [2]
-    made = cards.cards_of([(1, 1, 0, [(0, 0, 5), (1, 0, 9)]), (2, 2, 0, [(0, 0, 1)])], budget=10)
-    assert [(m[1], m[4], m[7]) for m in made] == [(1, 5, True)]
+def card_twin(ranked, stops, most=4, budget=2048):
+    """Cards by intervals: ranked (rank, doc, chunk, [(unit, start, stop)])."""
+    seen, exact, used, out = {}, [], 0, []
+    for rank, doc, chunk, fragments in ranked:
+        cover = {}
+        for u, a, b in fragments:
+            cover.setdefault(u, set()).update(range(a, b))
+        size = sum(map(len, cover.values()))
+        shared = sum(len(c & seen.get((doc, u), set())) for u, c in cover.items())
+        if size and shared / size > 0.8:
+            continue
+        left, taken, cut = budget - used, [], None
+        for u, a, b in [f for f in fragments if (doc, *f) not in exact]:
+            if b - a <= left:
+                taken.append((u, a, b))
+                left -= b - a
+                continue
+            ends = [e for e in stops[doc, u] if a < e <= min(a + left, b)]
+            if taken:
+                cut = "unit"
+            elif ends:
+                taken, cut = [(u, a, ends[-1])], "sentence"
+            break
+        if taken:
+            n = sum(b - a for _, a, b in taken)
+            used += n
+            out.append((rank, doc, chunk, len(taken), n, used, shared, size, cut, taken))
+            for u, a, b in taken:
+                seen.setdefault((doc, u), set()).update(range(a, b))
+                exact.append((doc, u, a, b))
+        if cut or len(out) == most:
+            break
+    return out
+
+
+def test_cards_match_a_plain_version(spark):
+    rnd = random.Random(31)
+    kinds = set()
+    for _ in range(400):
+        stops = {(d, u): sorted(rnd.sample(range(1, 60), rnd.randint(0, 4))) for d in range(2) for u in range(12)}
+        ranked = []
+        for rank in range(1, rnd.randint(2, 9)):
+            d, first = rnd.randrange(2), rnd.randrange(10)
+            fragments = [(u, a := rnd.choice([0, 0, 10]), a + rnd.randint(1, 50)) for u in range(first, min(12, first + rnd.randint(1, 4)))]
+            ranked.append((rank, d, rank, fragments))
+        if ranked and rnd.random() < 0.5:
+            ranked.append((len(ranked) + 1, *ranked[0][1:]))
+        made = cards.cards_of([(r, d, c, [cards.Fragment(d, u, a, b, tuple(stops[d, u])) for u, a, b in f]) for r, d, c, f in ranked], budget=(budget := rnd.choice([5, 40, 90, 400])))
+        assert made == card_twin(ranked, stops, budget=budget)
+        kinds |= {m[8] for m in made}
+    assert kinds == {None, "unit", "sentence"}
+    ranking = spark.createDataFrame([(7, r, d, c) for r, d, c, _ in ranked], "query_id long, rank int, doc_id long, chunk int")
+    fragments = spark.createDataFrame([(d, c, u, a, b, stops[d, u]) for _, d, c, f in {x[2]: x for x in ranked}.values() for u, a, b in f], "doc_id long, chunk int, ordinal int, unit_start int, unit_stop int, stops array<int>")
+    got = cards.assemble(ranking, fragments, budget=budget).orderBy("rank").collect()
+    assert [(*tuple(r)[1:10], [tuple(f) for f in r["fragments"]]) for r in got] == made
+    total = cards.diagnostics(cards.assemble(ranking, fragments, budget=budget)).first()
+    assert (total["cards"], total["tokens"], total["overlap"], total["raw"]) == (len(made), made[-1][5], sum(m[6] for m in made), sum(m[7] for m in made))
+
+
+def test_sentence_stops(spark):
+    got = spark.createDataFrame([("One two. three four! five\nsix seven",), ("no stop here",), ("v1.5 is. x",)], "text string").select(cards.sentence_stops("text").alias("s")).collect()
+    assert [r["s"] for r in got] == [[2, 4, 5, 7], [3], [2]]
+
+
+def test_expansion(spark):
+    chunks = spark.createDataFrame([(1, i, i // 3, i, i) for i in range(6)] + [(2, 0, 0, 0, 0)], "doc_id long, chunk int, parent int, first_ordinal int, last_ordinal int")
+    pairs = {m: {(r["chunk"], r["supplement"], r["distance"]) for r in chunking.expand(chunks, m).collect()} for m in ("leaf", "neighbor", "parent", "parent_neighbor")}
+    near = {(a, b, 1) for a in range(6) for b in (a - 1, a + 1) if 0 <= b < 6 and a // 3 == b // 3}
+    assert pairs["leaf"] == set() and pairs["neighbor"] == near
+    assert pairs["parent"] == pairs["parent_neighbor"] == {(a, b, abs(a - b)) for a in range(6) for b in range(6) if a != b and a // 3 == b // 3}
+    fragments = spark.createDataFrame([(1, i, i // 2, 0, 5) for i in range(6)], "doc_id long, chunk int, ordinal int, unit_start int, unit_stop int")
+    got = chunking.expanded_fragments(fragments, chunking.expand(chunks, "neighbor")).where("chunk = 1").orderBy("place").collect()
+    assert [(r["place"], r["ordinal"]) for r in got] == [(0, 0), (1, 1)]
+
+
+def test_integrity_finds_faults(spark):
+    units = spark.createDataFrame([(1, o, 0, 0, 10) for o in range(3)], "doc_id long, ordinal int, section int, parent int, n_tokens int")
+    schema = "doc_id long, chunk int, ordinal int, section int, parent int, unit_start int, unit_stop int, chunk_start int"
+    check = lambda rows: {k: v for k, v in chunking.integrity(spark.createDataFrame(rows, schema), units).first().asDict().items() if v}
+    good = [(1, 0, o, 0, 0, 0, 10, 10 * o) for o in range(3)]
+    assert check(good) == {}
+    assert check(good[:2]) == {"uncovered_units": 1}
+    assert check([*good[:2], (1, 0, 2, 0, 0, 0, 9, 20)]) == {"uncovered_tokens": 1}
+    assert check([*good[:2], (1, 2, 2, 0, 0, 0, 10, 0)]) == {"chunk_number_gaps": 1}
+    assert check([*good[:2], (1, 0, 2, 0, 0, 0, 10, 21)]) == {"chunk_token_gaps": 1}
+    assert check([*good, (1, 1, 9, 0, 0, 0, 10, 0)]) == {"unknown_units": 1}
+    sections = chunking.sections(units)
+    assert chunking.section_windows_ok(sections).first()[0] == 0
+    assert chunking.section_windows_ok(sections.withColumn("windows", F.array(F.struct(F.lit(0).alias("start"), F.lit(29).alias("stop"))))).first()[0] == 1
+
+
+def test_chunk_records(spark):
+    units = spark.createDataFrame([(1, 0, "Head one", 2, "Head one", True), (1, 1, "alpha beta  gamma", 3, "Head one", False), (1, 2, "delta", 1, None, False)], "doc_id long, ordinal int, text string, n_tokens int, heading string, is_heading boolean")
+    fragments = spark.createDataFrame([(1, 0, 0, 0, 2), (1, 0, 1, 0, 3), (1, 0, 1, 0, 3), (1, 1, 1, 1, 3), (1, 1, 2, 0, 1)], "doc_id long, chunk int, ordinal int, unit_start int, unit_stop int")
+    a, b = chunking.chunk_records(fragments, units, "p").orderBy("chunk").collect()
+    assert (a["title"], a["text"], a["body"], a["n_tokens"]) == ("Head one", "Head one\nalpha beta  gamma", "alpha beta  gamma", 5)
+    assert a["lexical"] == "Head one\nHead one Head one\nHead one alpha beta gamma"
+    assert (b["lexical"], b["body"]) == ("Head one\nHead one beta gamma\ndelta", "beta gamma\ndelta") and a["id"] != b["id"]
 
 
 def test_statistics(spark):
