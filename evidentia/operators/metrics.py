@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.functions.judging import grade
 from evidentia.functions.numeric import rounded
 
 RELEVANT = 2
@@ -132,3 +133,30 @@ def percentiles(values: Column) -> list[Column]:
     """p50, p90, p95, p99 by linear interpolation, and the same by nearest rank."""
     names = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
     return [rounded(F.percentile(values, F.lit(p))).alias(n) for n, p in names.items()]
+
+
+def source_document_qrels(judgments: DataFrame, nuggets: DataFrame) -> DataFrame:
+    """(query_id, item_id, grade) of documents from span judgments (query_id, document_id, topical, hits array) and nuggets (query_id, nugget_id): a document has what its spans have."""
+    need = nuggets.groupBy("query_id").agg(F.array_sort(F.collect_set("nugget_id")).alias("need"))
+    state = judgments.groupBy("query_id", F.col("document_id").alias("item_id")).agg(F.bool_or("topical").alias("topical"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("got"))
+    return state.join(need, "query_id").select("query_id", "item_id", grade(F.col("topical"), F.col("got"), F.col("need")).alias("grade"))
+
+
+def hit_rates(run: DataFrame, negatives: DataFrame, spans: DataFrame, depths: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """(provenance, negatives, hit_rate_k for each depth): share of hard negatives (query_id, span_id, provenance) some item of which stands in the first k; provenance null is all of them.
+
+    spans: (item_id, span_id).
+    """
+    top = run.where(F.col("rank") <= max(depths)).select("query_id", "item_id", "rank").join(spans, "item_id").groupBy("query_id", "span_id").agg(F.min("rank").alias("best"))
+    rows = negatives.join(top, ["query_id", "span_id"], "left")
+    rates = [rounded(F.count(F.when(F.col("best") <= k, 1)) / F.count("*")).alias(f"hit_rate_{k}") for k in depths]
+    return rows.rollup("provenance").agg(F.count("*").alias("negatives"), *rates)
+
+
+def bundle(run: DataFrame, qrels: DataFrame, negatives: DataFrame, spans: DataFrame, label: str) -> DataFrame:
+    """One row of a run's macro metrics and its hard-negative exposure at five, under `label`."""
+    per_query = ranking_metrics(run, qrels)
+    names = [c for c in per_query.columns if c != "query_id"]
+    means = per_query.agg(F.count("*").alias("queries"), *[rounded(F.avg(c)).alias(c) for c in names])
+    risk = exposure(run, negatives, spans, 5).agg(rounded(F.avg("exposure")).alias("exposure_5"))
+    return means.crossJoin(risk).select(F.lit(label).alias("system"), *means.columns, "exposure_5")  # one row each

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions.numeric import rounded
+from evidentia.operators.metrics import auroc_ap
 
 
 def weighted_kappa(pairs: DataFrame, size: int = 4) -> DataFrame:
@@ -141,3 +142,56 @@ def promotion(metrics: DataFrame, guards: dict[str, float], gains: dict[str, flo
     for c, least in gains.items():
         improved = improved | (F.col(c) >= least)
     return metrics.select("candidate", guarded.alias("guarded"), improved.alias("improved"), (guarded & improved).alias("promoted"))
+
+
+def backend_gate(metrics: DataFrame, guards: dict[str, float]) -> DataFrame:
+    """(candidate, guarded, passes): a backend has to keep the guarded metrics, it need not gain."""
+    return promotion(metrics, guards, {}).select("candidate", "guarded", F.col("guarded").alias("passes"))
+
+
+def answerability_oof(rows: DataFrame, names: list[str], coverage: float, rounds: int = 200) -> DataFrame:
+    """One row on rows (id, group, label, fold, features `names`): AUROC, tie-aware average precision, coverage, selective risk and
+    abstention precision out of fold, and the errors at a fixed coverage with their bootstrap interval.
+
+    Features are scaled and the threshold is learned on the other folds. Fixed coverage takes the best round(n * coverage) rows
+    by score, then id, half to even. A bootstrap round draws n rows with replacement by hashes of round and place.
+    """
+    scored = scaled_features(rows, names).join(rows.select("id", "label"), "id").withColumnRenamed("z", "score")
+    every = scored.select(F.col("fold").alias("test")).distinct()
+    train = scaled_for(rows, names, every)
+    cut = balanced_thresholds(train, ["test"])
+    judged = scored.join(F.broadcast(cut), F.col("fold") == F.col("test")).withColumn("yes", F.col("score") >= F.col("threshold"))
+    n = lambda c: F.count(F.when(c, 1))
+    risk = judged.agg(rounded(n(F.col("yes")) / F.count("*")).alias("coverage"), rounded(F.try_divide(n(F.col("yes") & (F.col("label") == 0)), n(F.col("yes")))).alias("selective_risk"), rounded(F.try_divide(n(~F.col("yes") & (F.col("label") == 0)), n(~F.col("yes")))).alias("abstention_precision"))
+    order = Window.orderBy(F.col("score").desc(), "id")
+    total = F.count("*").over(Window.partitionBy())
+    placed = scored.withColumn("k", F.row_number().over(order)).withColumn("n", total)  # one row a query of a benchmark
+    take = F.bround(F.col("n") * F.lit(coverage))
+    fixed = placed.where(F.col("k") <= take).agg(n(F.col("label") == 0).alias("fixed_errors"))
+    draws = rows.sparkSession.range(rounds).select(F.col("id").alias("round")).crossJoin(placed.select((F.col("k") - 1).alias("slot"), "n"))  # rounds times queries, both fixed by the experiment
+    picks = draws.withColumn("pick", F.pmod(_draw(F.lit("c"), F.col("round"), F.col("slot")), F.col("n")) + 1).select("round", "slot", "pick", take.alias("take"))
+    ranked = picks.withColumn("at", F.row_number().over(Window.partitionBy("round").orderBy("pick", "slot"))).where("at <= take").join(placed.select(F.col("k").alias("pick"), "label"), "pick")
+    rates = ranked.groupBy("round").agg((F.sum(1 - F.col("label")) / F.max("take")).alias("m")).agg(*[rounded(F.percentile("m", F.lit(p))).alias(c) for c, p in (("low", 0.025), ("high", 0.975))])
+    return auroc_ap(scored.select("id", "label", "score")).select("auroc", "ap").crossJoin(risk).crossJoin(fixed).crossJoin(rates)  # one row each
+
+
+def scaled_for(rows: DataFrame, names: list[str], numbers: DataFrame) -> DataFrame:
+    """(test, label, score) of every row outside fold `test`, scaled by the mean and population deviation of those rows."""
+    train = rows.join(F.broadcast(numbers), F.col("fold") != F.col("test"))  # a few folds
+    by = Window.partitionBy("test")
+    z = F.lit(0.0)
+    for c in names:
+        mean, dev = F.avg(c).over(by), F.stddev_pop(c).over(by)
+        z = z + (F.col(c) - mean) / F.when(F.abs(dev) < 1e-12, 1.0).otherwise(dev)
+    return train.select("test", "label", rounded(z).alias("score"))
+
+
+def comparisons(scores: DataFrame, baseline: str, rounds: int = 200) -> DataFrame:
+    """(name, mean, low, high, p, effect, adjusted): resample() of every system's scores (name, query_id, group, score) less the baseline's, the p adjusted over all."""
+    base = scores.where(F.col("name") == baseline).select("query_id", F.col("score").alias("base"))
+    names = sorted(r["name"] for r in scores.where(F.col("name") != baseline).select("name").distinct().collect())  # an experiment's systems
+    rows = [resample(scores.where(F.col("name") == name).join(base, "query_id").select("group", rounded(F.col("score") - F.col("base")).alias("delta")), rounds).withColumn("name", F.lit(name)) for name in names]
+    every = rows[0]
+    for r in rows[1:]:
+        every = every.unionByName(r)
+    return every.join(holm(every.select("name", "p")).select("name", "adjusted"), "name")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this package that define QUERIES (name -> function) and ORACLE (name -> SQL).
-FAMILIES = ("units", "ranking", "evaluation", "judging", "checks")
+FAMILIES = ("units", "ranking", "evaluation", "judging", "checks", "bundles", "workflow")
 
 
 def _merged(attribute: str) -> dict:

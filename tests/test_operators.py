@@ -277,3 +277,34 @@ def test_lines_references_and_ranges(spark):
 
 def rows_of(df):
     return sorted(map(tuple, df.collect()))
+
+
+def test_index_saves_loads_and_finds_damage(spark, tmp_path):
+    from evidentia.operators import index
+
+    items = spark.createDataFrame([(1, "red apple apple"), (2, "green apple tree"), (3, ""), (4, None)], "item_id long, text string")
+    queries = spark.createDataFrame([(7, "the apple"), (8, "tree nothing"), (9, "")], "query_id long, text string")
+    path = str(tmp_path / "index")
+    index.save(items, path)
+    got = retrieval.bm25_of(index.matches(index.load(spark, path), queries))
+    assert rows(got) == rows(retrieval.bm25_scores(items, queries)) and got.count() == 3
+    spark.read.parquet(f"{path}/lengths").limit(2).write.parquet(f"{path}/other")
+    spark.read.parquet(f"{path}/other").write.mode("overwrite").parquet(f"{path}/lengths")
+    with pytest.raises(ValueError, match="lengths"):
+        index.load(spark, path)
+
+
+def test_fixed_coverage_and_gates(spark):
+    rnd = random.Random(41)
+    data = [(i, i % 6, i % 6 % 5, int(rnd.random() < 0.6), rnd.random()) for i in range(30)]
+    df = spark.createDataFrame(data, "id long, group int, fold int, label int, x double")
+    got = statistics.answerability_oof(df, ["x"], 0.75, 20).first()
+    z = {}
+    for i, _, f, _, x in data:
+        other = [r[4] for r in data if r[2] != f]
+        mean = sum(other) / len(other)
+        z[i] = round((x - mean) / (sum((o - mean) ** 2 for o in other) / len(other)) ** 0.5, 6)
+    best = sorted(data, key=lambda r: (-z[r[0]], r[0]))[:22]  # 22.5, half to even
+    assert got["fixed_errors"] == sum(1 - r[3] for r in best) and 0 <= got["low"] <= got["high"] <= 1
+    m = spark.createDataFrame([("a", 0.1, -0.3), ("b", -0.2, 0.4)], "candidate string, gain double, loss double")
+    assert rows(statistics.backend_gate(m, {"loss": -0.1})) == [("a", False, False), ("b", True, True)]
