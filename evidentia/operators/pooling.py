@@ -9,9 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.functions.judging import grade, negative_classes, provenance
+from evidentia.functions.judging import grade, negative_classes, provenance, wrong_version
 from evidentia.functions.numeric import rounded
 from evidentia.functions.text import stable_id
+from evidentia.operators.metrics import ranking_metrics
+from evidentia.sources.tables import materialize
 
 #: Pool depths, and what makes a pool stable.
 DEPTHS, LEAST_YIELD, LEAST_TAU = (20, 30, 40, 50), 0.01, 0.95
@@ -115,8 +117,109 @@ def review_queue(pairs: DataFrame, no_answer: DataFrame, least: int = 15) -> Dat
 
 
 def canonical(rows: DataFrame, key: Column) -> DataFrame:
-    """(canonical_id, item_id, aliases, sources): rows (item_id, source) of one key under their smallest id, other ids and sources listed in order."""
-    return rows.withColumn("_k", key).groupBy("_k").agg(F.min("item_id").alias("item_id"), F.array_join(F.transform(F.array_sort(F.collect_set("item_id")), lambda x: x.cast("string")), ",").alias("aliases"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources")).select(stable_id("_k").alias("canonical_id"), "item_id", "aliases", "sources")
+    """(canonical_id, item_id, first_id, items, sources): every row (item_id, source) with its group: the smallest id of one key, its members and their sources counted.
+
+    Members are rows, never lists, so a group may have any number of them.
+    """
+    named = rows.withColumn("_k", key)
+    groups = named.groupBy("_k").agg(F.min("item_id").alias("first_id"), F.countDistinct("item_id").alias("items"), F.countDistinct("source").alias("sources"))
+    return named.join(groups, "_k").select(stable_id("_k").alias("canonical_id"), "item_id", "first_id", "items", "sources")
+
+
+def expert_candidates(judgments: DataFrame, siblings: DataFrame, reasons: DataFrame) -> DataFrame:
+    """(query_id, span_id, grade, provenance) of judged spans (query_id, span_id, grade), and of those before and after a positive one: siblings (span_id, before, after).
+
+    provenance joins sorted labels; a span judged 0 or 1 of a query (query_id, reason) without an answer for its version is marked.
+    """
+    seeded = judgments.select("query_id", "span_id", F.when(F.col("grade") >= 2, "seeded_positive").otherwise("seeded_agent_candidate").alias("label"))
+    around = judgments.where("grade >= 2").join(siblings, "span_id").select("query_id", F.explode(F.array_compact(F.array("before", "after"))).alias("span_id")).withColumn("label", F.lit("sibling_heading"))
+    known = judgments.select("query_id", "span_id", "grade")
+    rows = seeded.unionByName(around).distinct().join(known, ["query_id", "span_id"], "left").join(reasons, "query_id", "left")
+    marked = rows.unionByName(rows.where(wrong_version(F.col("reason"), F.col("grade"))).withColumn("label", F.lit("wrong_version")))
+    return marked.groupBy("query_id", "span_id").agg(F.max("grade").alias("grade"), F.array_join(F.array_sort(F.collect_set("label")), ",").alias("provenance"))
+
+
+def annotation_templates(pooled: DataFrame, judgments: DataFrame, depth: int = DEPTHS[0]) -> DataFrame:
+    """(query_id, item_id, topical, grade, hits, status) to annotate: a pool's items of one frontier, filled in where judgments (query_id, item_id, grade, hits array) know them."""
+    rows = frontier(pooled, depth).join(judgments, ["query_id", "item_id"], "left")
+    on = F.col("grade") >= 1
+    return rows.select("query_id", "item_id", on.alias("topical"), "grade", F.when(on, F.array_join(F.array_sort("hits"), ";")).otherwise("").alias("hits"), F.when(F.col("grade").isNull(), "pending").otherwise("prepopulated").alias("status"))
+
+
+def frontier(pooled: DataFrame, depth: int) -> DataFrame:
+    """A pool's items that one depth adds."""
+    return pooled.where(F.col("first_depth") == depth)
+
+
+def annotation_row_checks(rows: DataFrame, needs: DataFrame) -> DataFrame:
+    """(query_id, item_id, rule) of broken rules of pool annotations (query_id, item_id, topical, hits, nuggets, grade, spans, visible); needs: (query_id, need array).
+
+    The grade is derived, both nugget fields agree, a grade of 0 binds no span and any other does, and all spans were visible.
+    """
+    joined = rows.join(needs, "query_id", "left").withColumn("need", F.coalesce("need", F.array().cast("array<string>")))
+    sound = (F.size(F.array_except("hits", "need")) == 0) & (F.col("topical") | (F.size("hits") == 0))
+    derived = F.when(sound, grade(F.col("topical"), F.col("hits"), F.col("need")))
+    rules = {
+        "grade": F.col("grade") == derived,
+        "nugget_fields": F.array_sort("hits") == F.array_sort("nuggets"),
+        "span_off_topic": ~F.coalesce(derived == 0, F.lit(False)) | (F.size("spans") == 0),
+        "no_span": ~F.coalesce(derived >= 1, F.lit(False)) | (F.size("spans") > 0),
+        "invisible_span": F.size(F.array_except("spans", "visible")) == 0,
+    }
+    names = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(n)) for n, ok in rules.items()]))
+    return joined.select("query_id", "item_id", F.explode(names).alias("rule"))
+
+
+def seal(expected: DataFrame, submitted: DataFrame, keys: list[str]) -> DataFrame:
+    """One row (expected, submitted, missing, extra, repeated, complete): whether an annotation package has each expected row exactly once."""
+    held = submitted.groupBy(*keys).agg(F.count("*").alias("n"))
+    both = expected.select(*keys).distinct().withColumn("known", F.lit(1)).join(held, keys, "full_outer")
+    count = lambda c: F.count(F.when(c, 1))
+    rows = both.agg(F.count("known").alias("expected"), F.coalesce(F.sum("n"), F.lit(0)).alias("submitted"), count(F.col("n").isNull()).alias("missing"), count(F.col("known").isNull()).alias("extra"), count(F.col("n") > 1).alias("repeated"))
+    return rows.withColumn("complete", (F.col("missing") == 0) & (F.col("extra") == 0) & (F.col("repeated") == 0))
+
+
+def depth_counts(pooled: DataFrame) -> DataFrame:
+    """(query_id, one column depth_k for each depth): a query's pool items up to each depth."""
+    return pooled.groupBy("query_id").agg(*[F.count(F.when(F.col("first_depth") <= k, 1)).alias(f"depth_{k}") for k in DEPTHS])
+
+
+def negative_coverage(candidates: DataFrame, chosen: DataFrame, queries: DataFrame, least: int = 3, classes: int = 2, unanswered: int = 5) -> DataFrame:
+    """(query_id, nonpositive, chosen, classes, negatives_met, judgments_met) for queries (query_id, answerable): whether a query with an answer has enough hard
+    negatives of enough classes, and one without enough judged items; null where a rule does not apply."""
+    held = candidates.where("grade <= 1").groupBy("query_id").agg(F.count("*").alias("nonpositive"))
+    picked = chosen.groupBy("query_id").agg(F.count("*").alias("chosen"), F.countDistinct("negative_class").alias("classes"))
+    rows = queries.join(held, "query_id", "left").join(picked, "query_id", "left").fillna(0, ["nonpositive", "chosen", "classes"])
+    return rows.select("query_id", "nonpositive", "chosen", "classes", F.when(F.col("answerable"), (F.col("chosen") >= least) & (F.col("classes") >= classes)).alias("negatives_met"), F.when(~F.col("answerable"), F.col("nonpositive") >= unanswered).alias("judgments_met"))
+
+
+def stability(runs: dict[str, DataFrame], pooled: DataFrame, qrels: DataFrame, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
+    """(depth, judged, positive, yield, tau): for each depth the judged items it adds, the relevant ones' share, and the least Kendall tau between the
+    systems' order by nDCG@10 over the judgments so far and over those without what one run alone found.
+
+    All depths and held-out runs are scored in one plan: a query's name carries depth, held-out run and system, which are a few each.
+    """
+    names = sorted(runs)
+    held = ["none", *names]
+    levels = qrels.sparkSession.createDataFrame([(k,) for k in depths], "depth int")
+    known = qrels.join(pooled.select("query_id", "item_id", "first_depth"), ["query_id", "item_id"])
+    rows = reduce(DataFrame.unionByName, [r.where(F.col("rank") <= max(depths)).select("query_id", "item_id", "rank", F.lit(s).alias("system")) for s, r in runs.items()])
+    found = rows.join(F.broadcast(levels), F.col("rank") <= F.col("depth")).groupBy("depth", "query_id", "item_id").agg(F.count("*").alias("n"), F.min("system").alias("alone")).where("n = 1")
+    judged = known.join(F.broadcast(levels), F.col("first_depth") <= F.col("depth")).join(found.select("depth", "query_id", "item_id", "alone"), ["depth", "query_id", "item_id"], "left")
+    out = judged.withColumn("held", F.explode(F.array(*map(F.lit, held)))).where(~F.coalesce(F.col("alone") == F.col("held"), F.lit(False)))
+    named = lambda df: df.withColumn("query_id", F.concat_ws("|", F.col("depth").cast("string"), "held", "name", F.col("query_id").cast("string")))
+    rels = named(out.withColumn("name", F.explode(F.array(*map(F.lit, names))))).select("query_id", "item_id", "grade")
+    run = named(rows.withColumnRenamed("system", "name").withColumn("held", F.explode(F.array(*map(F.lit, held)))).crossJoin(F.broadcast(levels))).select("query_id", "item_id", "rank")  # a few depths
+    part = F.split("query_id", r"\|")
+    scores = ranking_metrics(run, materialize(rels)).groupBy(part[0].cast("int").alias("depth"), part[1].alias("held"), part[2].alias("name")).agg(rounded(F.avg("ndcg_10")).alias("score"))
+    placed = materialize(scores.withColumn("place", F.row_number().over(Window.partitionBy("depth", "held").orderBy(F.col("score").desc(), "name"))))
+    full = placed.where("held = 'none'").select("depth", "name", F.col("place").alias("full"))
+    x, y = (placed.where("held <> 'none'").join(full, ["depth", "name"]).alias(a) for a in "xy")
+    pairs = x.join(y, (F.col("x.depth") == F.col("y.depth")) & (F.col("x.held") == F.col("y.held")) & (F.col("x.name") < F.col("y.name")))  # a few systems
+    sign = F.signum(F.col("x.place") - F.col("y.place")) * F.signum(F.col("x.full") - F.col("y.full"))
+    taus = pairs.groupBy(F.col("x.depth").alias("depth"), F.col("x.held").alias("held")).agg(rounded(F.avg(sign)).alias("t")).groupBy("depth").agg(F.min("t").alias("tau"))
+    new = known.groupBy(F.col("first_depth").alias("depth")).agg(F.count("*").alias("judged"), F.count(F.when(F.col("grade") >= 2, 1)).alias("positive"))
+    return new.join(taus, "depth").select("depth", "judged", "positive", rounded(F.col("positive") / F.col("judged")).alias("yield"), "tau")
 
 
 def quota_slots(spark, quotas: dict[str, dict[str, int]], split: str) -> DataFrame:

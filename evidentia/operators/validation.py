@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.functions.text import overlap_ratio, token_set
+
 #: Rules for record kinds: column -> condition that every row must meet.
 RECORDS: dict[str, dict[str, Column | str]] = {
     "query": {"id": "id is not null", "text": "length(text) > 0", "answerability": "answerability in ('answerable', 'no_answer')", "reason": "(no_answer_reason is null) = (answerability = 'answerable')"},
@@ -63,3 +65,33 @@ def require_approval(approval: dict, subject: dict) -> None:
     """Raise unless the approval is given and bound to exactly this subject."""
     if approval.get("status") != "approved" or approval.get("subject_sha256") != approval_id(subject):
         raise PermissionError("no approval for this subject")
+
+
+def extraction_checks(pages: DataFrame, units: DataFrame, excluded: DataFrame, types: list[str], least: float = 0.8) -> DataFrame:
+    """(rule, broken) on units (page_id, ordinal, node_type, text, unit_id) of pages (page_id, html): repeated ids and places, units of no page, pages
+    without units that aren't excluded (page_id), types that never occur, headings that share fewer than `least` of their words with their page, empty texts."""
+    count = lambda rows, rule: rows.agg(F.count("*").alias("broken")).select(F.lit(rule).alias("rule"), "broken")
+    twice = lambda *keys: units.groupBy(*keys).count().where("count > 1")
+    lacking = pages.select("page_id").join(units.select("page_id").distinct(), "page_id", "left_anti").join(excluded.select("page_id"), "page_id", "left_anti")
+    kinds = units.select(F.substring_index("node_type", ":", 1).alias("t")).distinct()
+    unseen = units.sparkSession.createDataFrame([(t,) for t in types], "t string").join(kinds, "t", "left_anti")
+    headings = units.where("node_type = 'heading'").join(pages.select("page_id", token_set("html").alias("known")), "page_id")
+    poor = headings.where(overlap_ratio(token_set("text"), "known") < least)
+    rows = [count(twice("unit_id"), "repeated_id"), count(twice("page_id", "ordinal"), "repeated_place"), count(units.join(pages, "page_id", "left_anti"), "unknown_page"), count(lacking, "page_without_units"), count(unseen, "missing_type"), count(poor, "heading_off_source"), count(units.where("trim(text) = ''"), "empty_text")]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def same_rows(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two tables hold the same rows, each as often."""
+    return a.exceptAll(b.select(a.columns)).isEmpty() and b.select(a.columns).exceptAll(a).isEmpty()
+
+
+def reported_digest(report: Column) -> Column:
+    """The annotation's digest in a report's JSON text: under one of four names, or that of the adjudicator's file among the bound outputs; null if none has it."""
+    at = lambda p: F.get_json_object(report, p)
+    outputs = F.from_json(at("$.bound_outputs"), "array<struct<path:string,sha256:string>>")
+    bound = F.get(F.filter(outputs, lambda o: o["path"].endswith("/adjudicator.jsonl")), F.lit(0))["sha256"]
+    return F.coalesce(at("$.annotation_sha256"), at("$.annotation_file_sha256"), at("$.adjudicator_sha256"), at("$.input_hashes.annotation"), bound)

@@ -15,10 +15,12 @@ from evidentia.operators import index as I
 from evidentia.operators import metrics as M
 from evidentia.operators import retrieval as R
 from evidentia.operators import statistics as S
+from evidentia.operators import validation as V
 from evidentia.plans import _data as D
 from evidentia.plans import units as _units  # noqa: F401 -- its SQL relations
 from evidentia.plans.evaluation import _hash, metrics_sql
 from evidentia.plans.judging import _runs
+from evidentia.sources import files, trec
 from evidentia.sources.tables import materialize, scratch
 
 
@@ -130,9 +132,44 @@ def backend_gate(spark, d):
     return S.backend_gate(rows, {"size": -0.2, "rows": -0.1})
 
 
-QUERIES = {f.__name__: f for f in [index_build, bm25_from_index_top10, chunk_texts, policy_integrity, hybrid_dense_top10, source_doc_ndcg, hit_rate_by_provenance, evaluation_bundle, answerability_oof, system_comparisons, backend_gate]}
+def run_bundle(spark, d):
+    """The run of a written bundle, read back by its matrix entry, with the grades that its first ten items were written with."""
+    m = D.matched(spark, d)
+    run, qrels = materialize(D.bm25(spark, d, 20, m)), materialize(D.qrels(spark, d, m))
+    root = scratch(spark)
+    manifest = files.write_run_bundle(run, qrels, M.macro(M.ranking_metrics(run, qrels)), {"k1": R.K1, "b": R.B}, "bm25", root)
+    matrix = files.matrix_manifest([manifest])
+    back = files.read_matrix(spark, root, matrix, run.select("query_id").distinct())["bm25"]
+    top = trec.read_json_lines(spark, f"{root}/{manifest['id']}/top10", "query_id long, item_id long, rank int, score double, grade int")
+    rows = back.select(F.col("query_id").cast("long").alias("query_id"), F.col("item_id").cast("long").alias("item_id"), "rank", "score", "tag")
+    return rows.join(top.select("query_id", "item_id", "grade"), ["query_id", "item_id"], "left")
+
+
+def qrels_last_line(spark, d):
+    """Judgments read from two files, of which the later one lowers every third grade: the last line counts."""
+    q, path = D.qrels(spark, d), scratch(spark)
+    q = materialize(q)
+    trec.write_qrels(q.coalesce(1), f"{path}/a")
+    trec.write_qrels(q.where("item_id % 3 = 0").withColumn("grade", F.lit(0)).coalesce(1), f"{path}/b")
+    rows = trec.read_qrels(spark, [f"{path}/a", f"{path}/b"])
+    return rows.select(F.col("query_id").cast("long").alias("query_id"), F.col("item_id").cast("long").alias("item_id"), "grade")
+
+
+def json_lines_roundtrip(spark, d):
+    path = scratch(spark)
+    trec.write_json_lines(D.table(spark, d, "conversations").select("conv_id", "turn", "role", "text"), path, "conv_id")
+    return trec.read_json_lines(spark, path, "conv_id long, turn long, role string, text string").select("conv_id", "turn", "role", F.sha2("text", 256).alias("text_sha256"))
+
+
+def extraction_checks(spark, d):
+    pages = D.table(spark, d, "pages")
+    return V.extraction_checks(pages, X.units_from_pages(pages), pages.select("page_id").limit(0), ["heading", "paragraph", "list_item", "table_row", "code", "image_alt"])
+
+
+QUERIES = {f.__name__: f for f in [index_build, bm25_from_index_top10, chunk_texts, policy_integrity, hybrid_dense_top10, source_doc_ndcg, hit_rate_by_provenance, evaluation_bundle, answerability_oof, system_comparisons, backend_gate, run_bundle, qrels_last_line, json_lines_roundtrip, extraction_checks]}
 
 D.CTES |= {
+    "hw": ("pu", r"select pu.page_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) as t, list_distinct(regexp_extract_all(lower(html), '[\p{L}\p{N}_]+')) as known from pu join pages using (page_id) where node_type = 'heading'"),
     "tk": ("items", f"select item_id, {D.analyzed('text')} as toks from items"),
     "po": ("tk", "select term, item_id, length, count(*) as tf, count(*) over (partition by term) as df from (select item_id, len(toks)::int as length, unnest(toks) as term from tk) group by term, item_id, length"),
     "hu": ("units", f"select *, first_value({D.collapsed('text')}) over (partition by doc_id, section order by ordinal) as h from units"),
@@ -209,4 +246,13 @@ ORACLE = {
     ),
     "system_comparisons": D.sql(f"select name, mean, low, high, p, effect, {D.r('max(a) over (order by p, name rows unbounded preceding)')} as adjusted from (select *, least(1.0::double, p * (count(*) over () - row_number() over (order by p, name) + 1)) as a from ({_compare('dense', 'ovm')} union all {_compare('hybrid', 'rfm')}))", "bmm ovm rfm"),
     "backend_gate": f"with m as (select source as candidate, {D.r('avg(n_chars) / 2400 - 1', 4)} as size, {D.r('count(*) / 50.0 - 1', 4)} as n from documents group by source) select candidate, size >= -0.2 and n >= -0.1 as guarded, size >= -0.2 and n >= -0.1 as passes from m",
+    "run_bundle": D.sql("select b.query_id, b.item_id, b.rank, b.score, 'bm25' as tag, case when b.rank <= 10 then grade end as grade from bm100 b left join qr using (query_id, item_id) where b.rank <= 20", "bm100 qr"),
+    "qrels_last_line": D.sql("select query_id, item_id, case when item_id % 3 = 0 then 0 else grade end as grade from qr", "qr"),
+    "json_lines_roundtrip": "select conv_id, turn, role, sha256(text) as text_sha256 from conversations",
+    "extraction_checks": D.sql(
+        """select unnest(['repeated_id', 'repeated_place', 'unknown_page', 'page_without_units', 'missing_type', 'heading_off_source', 'empty_text']) as rule, unnest([(select count(*) - count(distinct unit_id) from pu), (select count(*) - count(distinct page_id || ':' || ordinal) from pu), 0,
+          (select count(*) from pages where page_id not in (select page_id from pu)), (select count(*) from (select unnest(['heading', 'paragraph', 'list_item', 'table_row', 'code', 'image_alt']) as t) where t not in (select node_type from pu)),
+          (select count(*) from hw where len(list_intersect(t, known)) / greatest(1, len(t))::double < 0.8), 0])::bigint as broken""",
+        "pu hw",
+    ),
 }

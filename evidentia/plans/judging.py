@@ -231,7 +231,7 @@ ORACLE = {
         "lb",
     ),
     "round_robin_sample": "select doc_id, lang, quality, stratum from (select doc_id, lang, quality, lang || '/' || quality as stratum, row_number() over (partition by lang || '/' || quality order by doc_id) as turn from documents join labels using (doc_id)) order by turn, stratum limit 60",
-    "canonical_dedupe": r"select substr(sha256(k), 1, 32) as canonical_id, min(doc_id) as item_id, array_to_string(list_transform(list_sort(list_distinct(list(doc_id))), lambda x: x::varchar), ',') as aliases, string_agg(distinct source, ',' order by source) as sources from (select doc_id, source, sha256(lower(COLLAPSED)) as k from documents) group by k".replace("COLLAPSED", D.collapsed("text")),
+    "canonical_dedupe": "select substr(sha256(k), 1, 32) as canonical_id, doc_id as item_id, min(doc_id) over (partition by k) as first_id, count(distinct doc_id) over (partition by k) as items, count(distinct source) over (partition by k) as sources from (select doc_id, source, sha256(lower(COLLAPSED)) as k from documents)".replace("COLLAPSED", D.collapsed("text")),
     "quota_slots": _slots(),
     "adjudication_diff": D.sql(f"select id, a.grade as grade_a, a.relevant as relevant_a, b.grade as grade_b, b.relevant as relevant_b from ({_LG.format('l')}) a join ({_LG.format('r')}) b using (id) where a.grade is distinct from b.grade or a.relevant is distinct from b.relevant", "lb"),
     "submission_validation": "with r as (select * from labels join documents using (doc_id)) " + " union all ".join(f"select '{n}' as rule, count(*) filter (not ({c})) as broken from r" for n, c in {"quality_known": "quality in (0, 1)", "text_present": "length(text) > 0", "chars_match": "length(text) = n_chars", "long_enough": "n_chars >= 100", "source_named": "regexp_matches(source, '^src[0-9]+$')"}.items()),

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions.text import canonical_json
 
 
+def nine_digits(score: Column) -> Column:
+    """A score as text of at most nine significant digits."""
+    return F.format_string("%.8e", score.cast("double")).cast("double").cast("string")
+
+
 def write_run(run: DataFrame, path: str, tag: str) -> None:
     """`query Q0 item rank score tag` lines of (query_id, item_id, rank, score), in order of query and rank, in as many files as there are partitions."""
-    line = F.concat_ws(" ", F.col("query_id").cast("string"), F.lit("Q0"), F.col("item_id").cast("string"), F.col("rank").cast("string"), F.col("score").cast("string"), F.lit(tag))
+    line = F.concat_ws(" ", F.col("query_id").cast("string"), F.lit("Q0"), F.col("item_id").cast("string"), F.col("rank").cast("string"), nine_digits(F.col("score")), F.lit(tag))
     run.repartitionByRange("query_id").sortWithinPartitions("query_id", "rank").select(line).write.mode("overwrite").text(path)
 
 
@@ -30,9 +35,9 @@ def write_qrels(qrels: DataFrame, path: str) -> None:
 
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
-    """(query_id, item_id, grade); of repeated judgments the last line of the last file counts."""
+    """(query_id, item_id, grade); of repeated judgments the last line of the last file counts. A line of other than four fields raises."""
     p = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).where("trim(value) <> ''").select(p[0].alias("query_id"), p[2].alias("item_id"), p[3].cast("int").alias("grade"), F.struct(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i")).alias("place"))
+    rows = spark.read.text(path).where("trim(value) <> ''").select(p[0].alias("query_id"), p[2].alias("item_id"), F.when(F.size(p) == 4, p[3]).otherwise(F.raise_error(F.lit("not a judgment: fields"))).cast("int").alias("grade"), F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("place"))
     return rows.groupBy("query_id", "item_id").agg(F.max_by("grade", "place").alias("grade"))
 
 
@@ -44,21 +49,32 @@ def write_beir(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, path: st
 
 
 def read_beir(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """corpus, queries with a judgment, qrels."""
+    """corpus, queries with a judgment, qrels. check_beir() compares them with what was written."""
     corpus = spark.read.schema("_id string, title string, text string").option("mode", "FAILFAST").json(f"{path}/corpus")
     qrels = spark.read.schema("`query-id` string, `corpus-id` string, score int").option("sep", "\t").option("header", True).csv(f"{path}/qrels").toDF("query_id", "item_id", "grade")
     queries = spark.read.schema("_id string, text string").option("mode", "FAILFAST").json(f"{path}/queries")
     return corpus, queries.join(qrels.select(F.col("query_id").alias("_id")).distinct(), "_id", "left_semi"), qrels
 
 
+def check_beir(spark: SparkSession, path: str, corpus: DataFrame, queries: DataFrame, qrels: DataFrame) -> None:
+    """Raise unless the files below `path` have exactly these ids: corpus (_id), judged queries (_id), qrels (query_id, item_id, grade)."""
+    back, asked, judged = read_beir(spark, path)
+    wanted = queries.join(qrels.select(F.col("query_id").cast("string").alias("_id")).distinct(), "_id", "left_semi")
+    as_text = lambda q: q.select(F.col("query_id").cast("string"), F.col("item_id").cast("string"), F.col("grade").cast("int"))
+    for name, a, b in (("corpus", back.select("_id"), corpus.select("_id")), ("queries", asked.select("_id"), wanted.select("_id")), ("qrels", as_text(judged), as_text(qrels))):
+        if not a.exceptAll(b).isEmpty() or not b.exceptAll(a).isEmpty():
+            raise ValueError(f"{name} differ from what was read back")
+
+
 def json_lines(rows: DataFrame) -> DataFrame:
     """(value): each row as canonical JSON."""
     return rows.select(canonical_json(**{c: F.col(c) for c in rows.columns}).alias("value"))
 
 
 def write_json_lines(rows: DataFrame, path: str, sort_key: str) -> None:
-    """Canonical JSON lines in order of `sort_key` as text, in one or more files in that order."""
-    rows.repartitionByRange(F.col(sort_key).cast("string")).sortWithinPartitions(F.col(sort_key).cast("string")).transform(json_lines).write.mode("overwrite").text(path)
+    """Canonical JSON lines in order of `sort_key` as text, then of the line, in one or more files in that order."""
+    lines = rows.select(F.col(sort_key).cast("string").alias("k"), canonical_json(**{c: F.col(c) for c in rows.columns}).alias("value"))
+    lines.repartitionByRange("k").sortWithinPartitions("k", "value").select("value").write.mode("overwrite").text(path)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
