@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm._common import durable
+from evidentia.llm._common import durable, tidy
 
 #: Bytes of a repeat and of a gram; bytes of text in a block, in an array pass, and in a bucket.
 LEAST, GRAM = 100, 24
@@ -70,7 +70,9 @@ def anchors(texts: list[bytes], least: int = LEAST, gram: int = GRAM) -> tuple[n
             size += len(texts[to])
             to += 1
         lens = np.array([len(t) for t in texts[at:to]], np.int64)
-        if (lens >= least).any():
+        if size > PASS + least:
+            parts.append([np.full(len(p), at, np.int64) if i == 0 else p for i, p in enumerate(_long_anchors(texts[at], least, gram))])
+        elif (lens >= least).any():
             a = np.frombuffer(b"".join(texts[at:to]), np.uint8)
             h = _gram_hashes(a, gram)
             m = h & np.uint64(0xFFFFFFFF00000000) | np.arange(len(h), dtype=np.uint64)
@@ -105,6 +107,19 @@ def anchors(texts: list[bytes], least: int = LEAST, gram: int = GRAM) -> tuple[n
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def _long_anchors(text: bytes, least: int, gram: int) -> list[np.ndarray]:
+    """anchors() of one text longer than a pass, slice by slice: a string's sample hangs on its own bytes only, so slices that share all
+    but a byte of a string find the same ones, and a position found in two slices is one whose ranges follow each other."""
+    found = []
+    for begin in range(0, len(text) - least + 1, PASS):
+        n, pos, first, last, h = anchors([text[begin : begin + PASS + least - 1]], least, gram)
+        found.append([n, pos + begin, first + begin, last + begin, h])
+    n, pos, first, last, h = (np.concatenate(x) for x in zip(*found, strict=True))
+    new = np.concatenate(([True], pos[1:] != pos[:-1]))
+    ends = np.append(np.flatnonzero(new)[1:], len(pos)) - 1
+    return [n[new], pos[new], first[new], last[ends], h[new]]
+
+
 def _common(x: bytes, y: bytes) -> int:
     """Length of the common prefix."""
     n = min(len(x), len(y))
@@ -374,6 +389,7 @@ def _bucket_spans(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["block", "spans"])
 
 
+@tidy
 def dedup(docs: DataFrame) -> DataFrame:
     """Per row of `docs`: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans, the removed runs as start:end of bytes.
 
@@ -420,7 +436,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 
 def op6(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256. Nulls, repeated rows, other columns and empty tables are treated as dedup() says."""
     return dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
