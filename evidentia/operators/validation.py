@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.text import overlap_ratio, token_set
 
+#: Digests of tables are below this number.
+DIGESTS = (1 << 61) - 1
 #: Rules for record kinds: column -> condition that every row must meet.
 RECORDS: dict[str, dict[str, Column | str]] = {
     "query": {"id": "id is not null", "text": "length(text) > 0", "answerability": "answerability in ('answerable', 'no_answer')", "reason": "(no_answer_reason is null) = (answerability = 'answerable')"},
@@ -29,10 +31,10 @@ def violations(rows: DataFrame, kind: str) -> DataFrame:
 
 
 def digest(rows: DataFrame) -> DataFrame:
-    """One row (n, digest) that doesn't depend on the order of rows: sums of 48 bits of each row's MD5, columns in order of name, nulls marked."""
+    """One row (n, digest) that doesn't depend on the order of rows: the sum of 48 bits of each row's MD5, modulo DIGESTS, columns in order of name, nulls marked."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in sorted(rows.columns)]
-    bits = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *parts)), 1, 12), 16, 10).cast("long")
-    return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(bits), F.lit(0)).alias("digest"))
+    bits = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *parts)), 1, 12), 16, 10).cast("decimal(20,0)")
+    return rows.agg(F.count("*").alias("n"), F.coalesce((F.sum(bits) % F.lit(DIGESTS).cast("decimal(20,0)")).cast("long"), F.lit(0)).alias("digest"))
 
 
 def same_twice(run: Callable[[], DataFrame]) -> bool:

@@ -220,12 +220,12 @@ def _compare(name: str, table: str) -> str:
       {D.r(f"((select count(*) from {flips} where abs(m) >= abs((select avg(delta) from {delta})) - 1e-12) + 1) / 201.0::double")} as p, {D.r(f"coalesce((select avg(delta) / nullif(stddev_samp(delta), 0) from {delta}), 0)")} as effect"""
 
 
-_DIGEST = "('0x' || substr(md5({}), 1, 12))::bigint"
+_DIGEST = "sum(('0x' || substr(md5({}), 1, 12))::hugeint) % 2305843009213693951"
 _MACRO = ["ndcg_3", "ndcg_10", "p_3", *[f"recall_{k}" for k in (1, 3, 5, 10, 20, 100)], "rr_10", "ap", "judged_10", "bpref"]
 _EXPOSED = "(select avg(x) from (select q.query_id, " + D.r("count(r.rank) / count(*)::double") + " as x from (select * from qr where grade <= 1) q left join (select * from {} where rank <= 5) r using (query_id, item_id) group by q.query_id))"
 ORACLE = {
     "index_build": D.sql(
-        f"select 'postings' as name, count(*) as n, sum({_DIGEST.format('concat_ws(chr(31), df, item_id, length, term, tf)')})::bigint as digest from po union all select 'lengths', count(*), sum({_DIGEST.format('concat_ws(chr(31), item_id, len(toks))')})::bigint from tk", "po tk"
+        f"select 'postings' as name, count(*) as n, ({_DIGEST.format('concat_ws(chr(31), df, item_id, length, term, tf)')})::bigint as digest from po union all select 'lengths', count(*), ({_DIGEST.format('concat_ws(chr(31), item_id, len(toks))')})::bigint from tk", "po tk"
     ),
     "bm25_from_index_top10": D.sql("select * from bm100 where rank <= 10", "bm100"),
     "chunk_texts": D.sql(

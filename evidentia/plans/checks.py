@@ -101,7 +101,7 @@ _FOUND = """with l as (select doc_id, unnest(ls) as x, unnest(range(1, len(ls) +
       found as (select q.doc_id, quote, hint::int as hint, arg_min(l.n, abs(l.n - hint) * 1000000000 + l.n)::int as line from q join l on l.doc_id = q.doc_id and contains(l.x, q.quote) group by all)
       """
 ORACLE = {
-    "table_digest": "select count(*) as n, coalesce(sum(('0x' || substr(md5(doc_id || chr(31) || quality || chr(31) || toxic), 1, 12))::bigint), 0)::bigint as digest from labels",
+    "table_digest": "select count(*) as n, coalesce(sum(('0x' || substr(md5(doc_id || chr(31) || quality || chr(31) || toxic), 1, 12))::hugeint) % 2305843009213693951, 0)::bigint as digest from labels",
     "ranking_violations": "select unnest(['rank', 'item', 'score']) as rule, 0::bigint as broken",
     "include_sites": r"""select doc_id, line::int as line, regexp_replace(target, '^["'']+|["'']+$', '', 'g') as target
       from (select doc_id, line, regexp_extract(x, '^[ \t]*\.\.[ \t]+include::[ \t]*([^ \t]+)', 1) as target from (select doc_id, unnest(ls) as x, unnest(range(1, len(ls) + 1)) as line from (select doc_id, string_split(text || case when doc_id % 5 = 0 then chr(10) || '.. include:: part/' || doc_id || '.rst' else '' end, chr(10)) as ls from documents))) where target <> ''""",

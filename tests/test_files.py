@@ -114,6 +114,8 @@ def test_gates_manifests_and_doubles(spark, tmp_path):
     for wrong in ({"status": "pending", "subject_sha256": V.approval_id(subject)}, {"status": "approved", "subject_sha256": V.approval_id({"a": "x"})}, {}):
         with pytest.raises(PermissionError):
             V.require_approval(wrong, subject)
+    many = V.digest(spark.range(200_000)).first()  # beyond a long's sum
+    assert many["n"] == 200_000 and 0 <= many["digest"] < V.DIGESTS and V.digest(spark.range(0)).first()["digest"] == 0
     assert V.same_twice(lambda: spark.range(9).repartition(3)) and not V.same_twice(lambda it=iter((1, 2)): spark.range(next(it)))
     assert [r["id"] for r in V.missing(spark.range(4), spark.range(3), "id").collect()] == [3]
     assert V.same_rows(spark.range(3), spark.range(3).repartition(2)) and not V.same_rows(spark.range(3), spark.range(2))
