@@ -145,6 +145,13 @@ def _star_links(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
     return every.join(shingles, "node").groupBy("pivot", "part").applyInPandas(_with_pivot, _LINKS)
 
 
+def _hopped(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label): nodes with one label are connected by `links`; a node's label is two hops away at most, so one component may still have several."""
+    to = links.groupBy("a").agg(F.min("b").alias("b"))
+    once = nodes.select("node").join(to.withColumnRenamed("a", "node"), "node", "left").select("node", F.coalesce("b", "node").alias("label"))
+    return once.join(to.withColumnRenamed("a", "label"), "label", "left").select("node", F.coalesce("b", "label").alias("label"))
+
+
 def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, label): the component of each node so far."""
     roots = components(links)
@@ -197,12 +204,11 @@ def _links(docs: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
     found = durable(_star_links(near, shingles))
     forget(near)
     for turn in (1, 2):
-        labels = _labelled(nodes, found)
-        open_ = members.join(labels, "node")
+        open_ = members.join(_hopped(nodes, found), "node")
         pivots = open_.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("p"))
         pairs = open_.join(pivots, "key").where(F.col("label") != F.col("p.label")).select("node", F.col("p.node").alias("pivot")).distinct()
         more = durable(found.unionByName(_star_links(pairs, shingles)))
-        forget(found, labels)
+        forget(found)
         found = more
     labels = _labelled(nodes, found)
     rest = _rest_links(members.join(labels, "node"), shingles)
