@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 #: Largest tokenizer file that is broadcast.
 MAX_FILE_BYTES = 64 << 20
 #: Words whose encodings a worker remembers, and characters of text in a block.
-CACHE_WORDS, BLOCK_CHARS = 500_000, 1_000_000
+CACHE_WORDS, BLOCK_CHARS = 300_000, 1_000_000
 #: Automaton steps and token pairs that a worker remembers.
-CACHE_STEPS = 1_500_000
+CACHE_STEPS = 800_000
 END = "</w>"
 #: The symbol of a word's end, after the 256 bytes.
 _END = 256
@@ -51,10 +51,8 @@ class TrieBpe:
     """Encoder and decoder for a byte-level BPE file with word ends, as the tokenizers library reads it."""
 
     def __init__(self, spec: str):
-        from tokenizers import Tokenizer
-
         model = json.loads(spec)
-        self._library = Tokenizer.from_str(spec)
+        self._spec, self._loaded = spec, None
         vocab = model["model"]["vocab"]
         chars = _byte_chars()
         self._byte_of = {c: b for b, c in enumerate(chars)}
@@ -81,6 +79,15 @@ class TrieBpe:
         self._fits: dict[int, bool] = {}
         self._cache: dict[str, bytes] = {}
 
+    @property
+    def _library(self):
+        """The library's own tokenizer, for text beyond Latin-1; loaded when there is any."""
+        if self._loaded is None:
+            from tokenizers import Tokenizer
+
+            self._loaded = Tokenizer.from_str(self._spec)
+        return self._loaded
+
     def _build(self, patterns: dict[tuple[int, ...], int]) -> None:
         """An automaton over all tokens: its state knows every token that ends the text read so far, longest first."""
         step: dict[int, int] = {}

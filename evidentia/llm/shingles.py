@@ -5,8 +5,8 @@ as in simhash.py, and BANDS keys of ROWS minimum hashes each: fingerprints of te
 bits, further than a ball reaches, while such a pair shares a key with probability 1 - (1 - 0.8^ROWS)^BANDS, all but 3 in a million.
 
 Every two nodes that share a key are compared or known to be connected already, in three steps. First the pairs that ball
-hashing gives are verified. Then, twice, each node is compared with one pivot of each of its keys; most members of a group
-of copies are connected after that, at a cost in proportion to the nodes. What is left are keys with nodes of different
+hashing gives are verified. Then each node is compared with one pivot of each of its keys, the one with the smallest hash, so that
+keys of one group mostly share it; many members of a group of copies are connected after that, at a cost in proportion to the nodes. What is left are keys with nodes of different
 components: all others are compared with the component that has most of the key's nodes, and with each other. They are
 dealt into blocks, a set travels once for each two blocks, not for each two nodes, and no task holds more than two blocks.
 """
@@ -29,7 +29,7 @@ from evidentia.llm.simhash import _forest, ball_links
 SIZE, FIFTHS = 5, 4
 BANDS, ROWS, SEED, BLOCK = 32, 5, 42, 256
 #: Nodes that are compared with one pivot in one task.
-PART = 64
+PART = 256
 #: Shingles hashed, and columns multiplied, at once.
 STEP, COLUMNS = 1 << 10, 1 << 12
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -99,10 +99,13 @@ def similar(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray
 
 def _prints(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for block in texts:
-        sets = [shingle_set(t) for t in block]
-        nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-        prints = np.array([print_of(s) for s in sets], np.uint64).view(np.int64)
-        yield pd.DataFrame({"node": nodes, "fp": prints, "bands": [bands(s).view(np.int64) for s in sets]})
+        nodes, prints, keys = np.zeros(len(block), np.uint64), np.zeros(len(block), np.uint64), []
+        for i, text in enumerate(block):  # one set at a time: a block holds many texts
+            s = shingle_set(text)
+            nodes[i] = xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0
+            prints[i] = print_of(s)
+            keys.append(bands(s).view(np.int64))
+        yield pd.DataFrame({"node": nodes.view(np.int64), "fp": prints.view(np.int64), "bands": keys})
 
 
 def _sets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -203,13 +206,12 @@ def _links(docs: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
 
     found = durable(_star_links(near, shingles))
     forget(near)
-    for turn in (1, 2):
-        open_ = members.join(_hopped(nodes, found), "node")
-        pivots = open_.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("p"))
-        pairs = open_.join(pivots, "key").where(F.col("label") != F.col("p.label")).select("node", F.col("p.node").alias("pivot")).distinct()
-        more = durable(found.unionByName(_star_links(pairs, shingles)))
-        forget(found)
-        found = more
+    open_ = members.join(_hopped(nodes, found), "node")
+    pivots = open_.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(SEED))).alias("p"))
+    pairs = open_.join(pivots, "key").where(F.col("label") != F.col("p.label")).select("node", F.col("p.node").alias("pivot")).distinct()
+    more = durable(found.unionByName(_star_links(pairs, shingles)))
+    forget(found)
+    found = more
     labels = _labelled(nodes, found)
     rest = _rest_links(members.join(labels, "node"), shingles)
     every = durable(found.unionByName(rest))

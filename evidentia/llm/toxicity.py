@@ -31,7 +31,7 @@ FOLDS = 5
 _MASK = (1 << HASH_BITS) - 1
 _STRIP = b".,;:!?\"'()[]{}*#$%&|<>-_"
 _MEMORY: dict[bytes, tuple[int, ...]] = {}
-_REMEMBERED = 400_000
+_REMEMBERED = 250_000
 
 
 def _hashes(word: bytes) -> tuple[int, ...]:
