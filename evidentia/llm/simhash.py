@@ -24,8 +24,8 @@ from evidentia.llm._common import durable, forget, tidy
 from evidentia.llm.components import components
 
 BITS, SEED = 64, 42
-#: Fingerprints that a bucket should hold before its neighbours' entries, and variants expanded at once.
-BUCKET, EXPAND = 1024, 1 << 20
+#: Fingerprints that a bucket should hold before its neighbours' entries, variants expanded at once, and pairs kept before they are reduced to a forest.
+BUCKET, EXPAND, PAIRS = 1024, 1 << 19, 1 << 17
 #: Shingles hashed and counted at once, so that very long texts need bounded memory.
 BLOCK = 1 << 16
 
@@ -72,8 +72,33 @@ def _ball(bits: int, most: int) -> int:
     return sum(1 if k == 0 else bits if k == 1 else bits * (bits - 1) // 2 for k in range(most + 1))
 
 
-def _meet(origin: np.ndarray, value: np.ndarray, left: np.ndarray, low: int, found: list) -> None:
-    """Pairs of origins with an equal variant; `left` bits may still be flipped among the bits from `low` on."""
+class _Links:
+    """Pairs of n numbers, reduced to a forest that connects the same ones whenever they are many: a tight group of copies meets in very many variants."""
+
+    def __init__(self, prints: np.ndarray, most: int) -> None:
+        self.prints, self.most, self.n, self.size, self.parts = prints, most, len(prints), 0, []
+
+    def add(self, pairs: np.ndarray) -> None:
+        """Pairs count once they are verified to differ in at most `most` bits."""
+        pairs = pairs[np.bitwise_count(self.prints[pairs[:, 0]] ^ self.prints[pairs[:, 1]]) <= self.most]
+        self.parts.append(pairs)
+        self.size += len(pairs)
+        if self.size > max(PAIRS, 4 * self.n):
+            label = self.labels()
+            linked = np.flatnonzero(label != np.arange(self.n))
+            self.parts = [np.stack([label[linked], linked], 1)]
+            self.size = len(linked)
+
+    def labels(self) -> np.ndarray:
+        """The smallest number connected to each."""
+        return _forest(self.n, np.concatenate(self.parts)) if self.parts else np.arange(self.n)
+
+
+def _meet(origin: np.ndarray, value: np.ndarray, left: np.ndarray, low: int, found: _Links) -> None:
+    """Pairs of origins with an equal variant; `left` bits may still be flipped among the bits from `low` on.
+
+    Each is within its own flips of the variant, so the two are within twice as many of each other.
+    """
     counts = np.bincount(left, minlength=3)
     if len(origin) < 2:
         return
@@ -103,7 +128,9 @@ def _meet(origin: np.ndarray, value: np.ndarray, left: np.ndarray, low: int, fou
     v, o = v[order], o[order]
     same = v[1:] == v[:-1]
     if same.any():
-        found.append(np.unique(np.stack([o[:-1][same], o[1:][same]], 1), axis=0))
+        a, b = o[:-1][same], o[1:][same]
+        pairs = np.unique(np.minimum(a, b) << 32 | np.maximum(a, b))
+        found.add(np.stack([pairs >> 32, pairs & 0xFFFFFFFF], 1))
 
 
 def _forest(n: int, pairs: np.ndarray) -> np.ndarray:
@@ -127,13 +154,9 @@ def link_bucket(prints: np.ndarray, bucket: int, bits: int, half: int) -> tuple[
     prints = np.unique(prints)
     used = np.bitwise_count((prints ^ np.uint64(bucket)) & np.uint64((1 << bits) - 1)).astype(np.int64)
     value = (prints & ~np.uint64((1 << bits) - 1)) | np.uint64(bucket)
-    found: list[np.ndarray] = []
+    found = _Links(prints, 2 * half)
     _meet(np.arange(len(prints)), value, half - used, bits, found)
-    if not found:
-        return prints[:0], prints[:0]
-    pairs = np.concatenate(found)
-    pairs = pairs[np.bitwise_count(prints[pairs[:, 0]] ^ prints[pairs[:, 1]]) <= 2 * half]  # verified
-    label = _forest(len(prints), pairs)
+    label = found.labels()
     linked = label != np.arange(len(prints))
     return prints[linked], prints[label[linked]]
 

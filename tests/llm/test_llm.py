@@ -393,6 +393,7 @@ def test_links_of_planted_fingerprints(spark, monkeypatch, expand):
     prints = list(dict.fromkeys(prints))
     label = linked(prints)
     monkeypatch.setattr(simhash, "EXPAND", expand)
+    monkeypatch.setattr(simhash, "PAIRS", expand >> 8)
     pairs = []
     for bucket in range(16):  # the buckets of four low bits, as tasks would see them
         near = [p for p in prints if ((p ^ bucket) & 15).bit_count() <= 2]
