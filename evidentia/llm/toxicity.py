@@ -121,7 +121,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Weights
             yield pd.Series([_bounded(features(t)).astype("<u4").tobytes() for t in s], dtype=object)
 
     seen = labelled(docs, labels, "toxic", most, where=F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0)
-    rows = sorted((zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], bytes(r["f"]), r["label"]) for r in seen.select("doc_id", "label", packed(F.col("text").cast("string")).alias("f")).collect())
+    # part by part, so that the driver holds the features once
+    found = seen.select("doc_id", "label", packed(F.col("text")).alias("f")).toLocalIterator(prefetchPartitions=True)
+    rows = sorted((zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], bytes(r["f"]), r["label"]) for r in found)
     return fit([(np.frombuffer(f, "<u4"), int(y)) for _, _, f, y in rows])
 
 
