@@ -11,6 +11,9 @@ occurrences; all but an occurrence's earliest equals are removed.
 Texts are written once as compressed blocks with their sampled positions; only grams (8 bytes for each 39
 bytes of text), the context of repeated grams, and spans are shuffled beyond the blocks themselves.
 Within a block equal contexts collapse first, so a line in a third of all documents arrives once a block.
+A gram of HOT occurrences or more (a short line between ever different neighbours) isn't one group: its strings of LEAST bytes, which are the
+intervals of that depth, are groups of their own, named by 128-bit hashes. Each block sends the oldest of each, and the oldest of a
+string are found for SALT blocks at a time, then among those.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from evidentia.llm._common import durable, tidy
 #: Bytes of a repeat and of a gram; bytes of text in a block, in an array pass, and in a bucket.
 LEAST, GRAM = 100, 24
 BLOCK, PASS, BUCKET = 8 << 20, 1 << 18, 16 << 20
+#: Occurrences from which a gram is divided into strings; strings taken at once in a block; blocks whose oldest strings meet first.
+HOT, STRINGS, SALT = 1 << 14, 1 << 18, 1 << 12
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -212,7 +217,7 @@ def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
 
 
 #: Element types of the packed arrays.
-_IDS, _TEXTS, _ANCHORS = ("<i8", "u1", "<i8"), ("u1",), ("<i4", "<i4", "u1", "u1")
+_IDS, _TEXTS, _ANCHORS, _STRINGS = ("<i8", "u1", "<i8"), ("u1",), ("<i4", "<i4", "u1", "u1"), ("<u8", "<i8", "<i4", "<i4")
 
 
 def blocks_of(docs: DataFrame) -> DataFrame:
@@ -278,8 +283,8 @@ def _runs(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
     yield from zip(keys[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(keys)], strict=True)
 
 
-def repeated_grams(blocks: DataFrame, buckets: int) -> DataFrame:
-    """(block, grams): for each block its gram hashes that occur twice or more anywhere."""
+def repeated_grams(blocks: DataFrame, buckets: int, hot: int) -> DataFrame:
+    """(block, grams, hot): for each block its gram hashes that occur twice or more anywhere, and apart from them those of `hot` occurrences or more."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -288,37 +293,88 @@ def repeated_grams(blocks: DataFrame, buckets: int) -> DataFrame:
                 keys = (grams % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(keys, kind="stable")
                 keys, grams, counts = keys[order], grams[order], counts[order]
-                rows = [(k, row.block, grams[a:b].tobytes(), np.packbits(counts[a:b] > 1).tobytes()) for k, a, b in _runs(keys)]
-                yield pd.DataFrame(rows, columns=["bucket", "block", "grams", "twice"])
+                rows = []
+                for k, a, b in _runs(keys):
+                    twice = counts[a:b] > 1
+                    rows.append((k, row.block, grams[a:b].tobytes(), np.packbits(twice).tobytes(), counts[a:b][twice].astype("<u4").tobytes()))
+                yield pd.DataFrame(rows, columns=["bucket", "block", "grams", "twice", "counts"])
 
     def find(rows: pd.DataFrame) -> pd.DataFrame:
         grams = [np.frombuffer(g, np.uint64) for g in rows["grams"]]
         twice = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8))[: len(g)] for t, g in zip(rows["twice"], grams, strict=True)])
+        times = np.ones(len(twice), np.int64)
+        times[twice > 0] = np.concatenate([np.frombuffer(c, "<u4") for c in rows["counts"]])
         owner = np.repeat(np.arange(len(rows)), list(map(len, grams)))
         grams = np.concatenate(grams)
         order = np.argsort(grams, kind="stable")
         g = grams[order]
-        same = np.concatenate(([False], g[1:] == g[:-1]))
-        many = np.zeros(len(g), bool)
-        many[order] = same | np.concatenate((same[1:], [False]))
-        many |= twice > 0
-        names = rows["block"].tolist()
-        return pd.DataFrame([(names[o], grams[a:b][many[a:b]].tobytes()) for o, a, b in _runs(owner) if many[a:b].any()], columns=["block", "grams"])
-
-    sent = blocks.mapInPandas(emit, "bucket long, block string, grams binary, twice binary")
-    found = sent.groupBy("bucket").applyInPandas(find, "block string, grams binary")
-    return found.groupBy("block").agg(F.collect_list("grams").alias("grams"))
-
-
-def contexts(blocks: DataFrame, grams: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, block, data, spans): contexts of repeated grams, equal ones of a block collapsed to the oldest; and, in any bucket, spans of the collapsed."""
+        heads = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+        total = np.empty(len(g), np.int64)
+        total[order] = np.repeat(np.add.reduceat(times[order], heads), np.diff(np.append(heads, len(g))))
+        names, out = rows["block"].tolist(), []
+        for o, a, b in _runs(owner):
+            mine, n = grams[a:b], total[a:b]
+            if (n > 1).any():
+                out.append((names[o], mine[(n > 1) & (n < hot)].tobytes(), mine[n >= hot].tobytes()))
+        return pd.DataFrame(out, columns=["block", "grams", "hot"])
+
+    sent = blocks.mapInPandas(emit, "bucket long, block string, grams binary, twice binary, counts binary")
+    found = sent.groupBy("bucket").applyInPandas(find, "block string, grams binary, hot binary")
+    return found.groupBy("block").agg(F.collect_list("grams").alias("grams"), F.collect_list("hot").alias("hot"))
+
+
+def _all_of(arrays: list[bytes]) -> np.ndarray:
+    return np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in arrays]))
+
+
+def _late(keys: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether an older string has the same key."""
+    order = np.lexsort((starts, ids, keys[:, 1], keys[:, 0]))
+    k = keys[order]
+    new = np.concatenate(([True], (k[1:] != k[:-1]).any(1)))[: len(k)]
+    oldest = order[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
+    late = np.empty(len(k), bool)
+    late[order] = (ids[order] != ids[oldest]) | (starts[order] != starts[oldest])
+    return late
+
+
+def _covered(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(text, start, end) of the runs that strings of LEAST bytes at these starts cover, start by start."""
+    order = np.lexsort((starts, text))
+    text, starts = text[order], starts[order]
+    heads = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (starts[1:] > starts[:-1] + 1)))[: len(text)])
+    ends = np.append(heads[1:], len(text))[: len(heads)] - 1
+    return np.stack([text[heads], starts[heads], starts[ends] + LEAST], 1).astype("<i4")
+
+
+def _strings(raw: bytes, begin: np.ndarray, count: np.ndarray, text: np.ndarray, ids: np.ndarray, starts: np.ndarray, grams: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(keys, ids, texts, starts) of all strings of LEAST bytes of some contexts, at most about STRINGS at once, equal ones together."""
+    import xxhash
+
+    digest = xxhash.xxh3_128_digest
+    slices = -(-int(count.sum()) // STRINGS)
+    part = (grams >> np.uint64(32)) % np.uint64(max(1, slices))
+    for k in range(slices):
+        some = np.flatnonzero(part == k)
+        if not len(some):
+            continue
+        n = count[some]
+        places = [i for b, c in zip(begin[some].tolist(), n.tolist(), strict=True) for i in range(b, b + c)]
+        keys = np.frombuffer(b"".join([digest(raw[i : i + LEAST]) for i in places]), "<u8").reshape(-1, 2)
+        step = np.arange(len(places)) - np.repeat(np.cumsum(n) - n, n)
+        yield keys, np.repeat(ids[some], n), np.repeat(text[some], n), np.repeat(starts[some], n) + step
+
+
+def contexts(blocks: DataFrame, grams: DataFrame, buckets: int, salts: int) -> DataFrame:
+    """(bucket, salt, block, data, strings, spans): contexts of repeated grams, equal ones of a block collapsed to the oldest; the oldest strings
+    of grams that are hot; and, in any bucket, spans of the collapsed."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 a, begins, ids, _, _, text, pos, most, least, at, h = _places(row)
-                wanted = np.unique(np.concatenate([np.frombuffer(g, np.uint64) for g in row.grams]))
-                pick = np.flatnonzero(np.isin(h, wanted))
+                hot = _all_of(row.hot)
+                pick = np.flatnonzero(np.isin(h, np.concatenate((_all_of(row.grams), hot))))
                 pick = pick[np.lexsort((pos[pick], ids[text[pick]]))]
                 raw = a.tobytes()
                 starts, ends = (at[pick] - most[pick]).tolist(), (at[pick] - least[pick] + LEAST).tolist()
@@ -332,26 +388,72 @@ def contexts(blocks: DataFrame, grams: DataFrame, buckets: int) -> DataFrame:
                         ship.append(i)
                     else:
                         gone.append((text[p], pos[p] - most[p], pos[p] - least[p] + LEAST))
-                out = []
-                keys = (h[pick[ship]] % np.uint64(buckets)).astype(np.int64) if ship else np.zeros(0, np.int64)
+                del oldest
+                own = int(hashlib.md5(row.block.encode()).hexdigest()[:8], 16)
+                out, spans = [], [np.array(gone, "<i4").reshape(-1, 3)]
+                ship = np.array(ship, np.int64)
+                divided = np.isin(h[pick[ship]], hot)
+                p = pick[ship[divided]]
+                for keys, d, t, s in _strings(raw, at[p] - most[p], most[p] - least[p] + 1, text[p], ids[text[p]], pos[p] - most[p], h[p]):
+                    late = _late(keys, d, s)
+                    spans.append(_covered(t[late], s[late]))
+                    some = np.flatnonzero(~late)
+                    where = (keys[some, 0] % np.uint64(buckets)).astype(np.int64)
+                    order = np.argsort(where, kind="stable")
+                    some = some[order]
+                    for k, lo, hi in _runs(where[order]):
+                        few = some[lo:hi]
+                        out.append((k, own % salts, row.block, b"", _pack(keys[few].reshape(-1), d[few].astype("<i8"), t[few].astype("<i4"), s[few].astype("<i4")), b""))
+                ship = ship[~divided]
+                keys = (h[pick[ship]] % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(keys, kind="stable")
-                ship = np.array(ship, np.int64)[order]
+                ship = ship[order]
                 for k, lo, hi in _runs(keys[order]):
                     some = ship[lo:hi]
                     p = pick[some]
                     body = np.frombuffer(b"".join([raw[starts[i] : ends[i]] for i in some.tolist()]), np.uint8)
-                    out.append((k, row.block, _pack(ids[text[p]].astype("<i8"), text[p].astype("<i4"), pos[p].astype("<i4"), most[p].astype("u1"), least[p].astype("u1"), body), b""))
-                if gone:
-                    out.append((int(hashlib.md5(row.block.encode()).hexdigest()[:8], 16) % buckets, row.block, b"", np.array(gone, "<i4").tobytes()))
-                yield pd.DataFrame(out, columns=["bucket", "block", "data", "spans"])
-
-    joined = blocks.join(grams, "block").select("block", "ids", "texts", "anchors", "grams")
-    return joined.mapInPandas(emit, "bucket long, block string, data binary, spans binary")
-
-
-def _bucket_spans(rows: pd.DataFrame) -> pd.DataFrame:
-    """(block, spans) of a bucket: what is covered by older strings."""
+                    data = _pack(ids[text[p]].astype("<i8"), text[p].astype("<i4"), pos[p].astype("<i4"), most[p].astype("u1"), least[p].astype("u1"), body)
+                    out.append((k, 0, row.block, data, b"", b""))
+                found = np.concatenate(spans)
+                if len(found):
+                    out.append((own % buckets, 0, row.block, b"", b"", found.tobytes()))
+                yield pd.DataFrame(out, columns=["bucket", "salt", "block", "data", "strings", "spans"])
+
+    joined = blocks.join(grams, "block").select("block", "ids", "texts", "anchors", "grams", "hot")
+    return joined.mapInPandas(emit, "bucket long, salt long, block string, data binary, strings binary, spans binary")
+
+
+def _by_owner(names: list[str], owner: np.ndarray, spans: np.ndarray) -> list[tuple[str, bytes]]:
+    order = np.argsort(owner, kind="stable")
+    return [(names[o], spans[order[a:b]].tobytes()) for o, a, b in _runs(owner[order])]
+
+
+def _string_spans(rows: pd.DataFrame, keep: bool) -> tuple[list[tuple[str, bytes]], list[tuple[str, bytes]]]:
+    """Of rows with strings: (block, spans) of those with an older equal, and if they are to be kept, (block, strings) of the others."""
+    parts = [_unpack(d, *_STRINGS) for d in rows["strings"]]
+    keys, ids, text, starts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    keys = keys.reshape(-1, 2)
+    owner = np.repeat(np.arange(len(rows)), [len(p[1]) for p in parts])
+    names, late = rows["block"].tolist(), _late(keys, ids, starts)
+    spans, kept = [], []
+    for o, a, b in _runs(owner):
+        gone = np.arange(a, b)[late[a:b]]
+        if len(gone):
+            spans.append((names[o], _covered(text[gone], starts[gone]).tobytes()))
+        stay = np.arange(a, b)[~late[a:b]]
+        if keep and len(stay):
+            kept.append((names[o], _pack(keys[stay].reshape(-1), ids[stay], text[stay], starts[stay])))
+    return spans, kept
+
+
+def _bucket_spans(rows: pd.DataFrame, keep: bool) -> pd.DataFrame:
+    """(bucket, block, strings, data, spans) of a bucket: what is covered by older strings; the oldest strings too if they are to meet others."""
+    bucket = int(rows["bucket"].iloc[0])
     out = [(b, s) for b, s in zip(rows["block"], rows["spans"], strict=True) if len(s)]
+    hot, kept = rows[[len(d) > 0 for d in rows["strings"]]], []
+    if len(hot):
+        spans, kept = _string_spans(hot, keep)
+        out += spans
     rows = rows[[len(d) > 0 for d in rows["data"]]]
     if len(rows):
         kinds = ("<i8", "<i4", "<i4", "u1", "u1", "u1")
@@ -382,11 +484,17 @@ def _bucket_spans(rows: pd.DataFrame) -> pd.DataFrame:
                 who.append(owner[i])
                 found.append((text[i], pos[i] - left, pos[i] + right))
         if found:
-            who, found = np.array(who), np.array(found, "<i4")
-            order = np.argsort(who, kind="stable")
-            names = rows["block"].tolist()
-            out += [(names[o], found[order[a:b]].tobytes()) for o, a, b in _runs(who[order])]
-    return pd.DataFrame(out, columns=["block", "spans"])
+            out += _by_owner(rows["block"].tolist(), np.array(who), np.array(found, "<i4"))
+    made = [(bucket, b, b"", s, b"") for b, s in kept] + [(bucket, b, b"", b"", s) for b, s in out]
+    return pd.DataFrame(made, columns=["bucket", "block", "data", "strings", "spans"])
+
+
+def _spans_of(sent: DataFrame, salts: int) -> DataFrame:
+    """(block, spans) of all buckets; with several salts, strings meet by salt first and their oldest again."""
+    made = "bucket long, block string, data binary, strings binary, spans binary"
+    if salts > 1:
+        sent = sent.groupBy("bucket", "salt").applyInPandas(lambda rows: _bucket_spans(rows, keep=True), made)
+    return sent.groupBy("bucket").applyInPandas(lambda rows: _bucket_spans(rows, keep=False), made).groupBy("block").agg(F.collect_list("spans").alias("spans"))
 
 
 @tidy
@@ -398,11 +506,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     doc_id with equal texts are the same document. Other columns are ignored; an empty table gives an empty result.
     """
     blocks = durable(blocks_of(docs))
-    total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(64, -(-total // BUCKET))
-    grams = repeated_grams(blocks.select("block", "ids", "texts", "anchors"), buckets)
-    sent = contexts(blocks, grams, buckets)
-    spans = sent.groupBy("bucket").applyInPandas(_bucket_spans, "block string, spans binary").groupBy("block").agg(F.collect_list("spans").alias("spans"))
+    total, count = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
+    buckets, salts = max(64, -(-total // BUCKET)), max(1, -(-count // SALT))
+    grams = repeated_grams(blocks.select("block", "ids", "texts", "anchors"), buckets, HOT)
+    spans = _spans_of(contexts(blocks, grams, buckets, salts), salts)
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -242,6 +242,38 @@ def test_suffix_dedup_matches_brute_force(spark):
     assert suffixes.op6(documents(spark, texts).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot,salt", [(2, 1), (2, 100), (6, 1)])
+def test_suffix_dedup_of_divided_grams_matches_brute_force(spark, monkeypatch, hot, salt):
+    """The same spans if grams count as hot early and strings meet salt by salt."""
+    rnd = random.Random(41)
+    word = lambda: "".join(rnd.choices("abcdé ", k=rnd.randint(40, 260)))
+    stock = [word() for _ in range(8)]
+    texts = ["".join(rnd.choice([rnd.choice(stock), word()]) for _ in range(rnd.randint(0, 6))) for _ in range(60)]
+    texts += ["q" * 400, "ab" * 300, "q" * 150, "", None, "z" * 100, "z" * 100, texts[3], texts[5][:90]]
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "SALT", salt)
+    got = by_id(suffixes.dedup(documents(spark, texts).repartition(5)))
+    want = removed([(i, (t or "").encode()) for i, t in enumerate(texts)])
+    assert [got[i]["n_removed"] for i in range(len(texts))] == [int(want[i].sum()) for i in range(len(texts))]
+
+
+def test_a_short_line_in_every_document_is_divided(spark, monkeypatch):
+    """A line shorter than a repeat between ever different neighbours: no group holds more contexts than a hot gram needs, nothing goes."""
+    rnd = random.Random(42)
+    line = "".join(rnd.choices("abcdefgh", k=60))
+    texts = ["".join(rnd.choices("ijklmnop ", k=150)) + line + "".join(rnd.choices("ijklmnop ", k=150)) for _ in range(400)]
+    texts[399] = "x" + texts[7][120:320]
+    docs = documents(spark, texts).repartition(4)
+    blocks = suffixes.durable(suffixes.blocks_of(docs))
+    grams = suffixes.repeated_grams(blocks.select("block", "ids", "texts", "anchors"), 64, 100)
+    sent = suffixes.contexts(blocks, grams, 64, 1).collect()
+    most = max((len(suffixes._unpack(r["data"], "<i8", "<i4", "<i4", "u1", "u1", "u1")[0]) for r in sent if r["data"]), default=0)
+    assert most < 100 and any(r["strings"] for r in sent)
+    monkeypatch.setattr(suffixes, "HOT", 100)
+    got = by_id(suffixes.dedup(docs))
+    assert [got[i]["n_removed"] for i in range(400)] == [200 if i == 399 else 0 for i in range(400)]
+
+
 def test_suffix_dedup_null_and_repeated_ids(spark):
     t = "".join(random.Random(1).choices("abcdef", k=300))
     got = suffixes.op6(documents(spark, [t, t, t, t], ids=[5, 5, None, 9])).collect()
