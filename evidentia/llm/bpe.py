@@ -23,10 +23,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.llm._common import give_back
+
 #: Largest tokenizer file that is broadcast.
 MAX_FILE_BYTES = 64 << 20
 #: Words whose encodings a worker remembers, and characters of text in a block.
-CACHE_WORDS, BLOCK_CHARS = 300_000, 1_000_000
+CACHE_WORDS, BLOCK_CHARS = 150_000, 250_000
 #: Automaton steps and token pairs that a worker remembers.
 CACHE_STEPS = 800_000
 END = "</w>"
@@ -289,6 +291,7 @@ def digests(spark: SparkSession, path: str, text: Column | str) -> Column:
     def digest(blocks: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = _codec(spec.value)
         for s in blocks:
+            give_back()
             rows = [(len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(codec.decode_bytes(i)).hexdigest()) for i in codec.encode([t or "" for t in s])]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 

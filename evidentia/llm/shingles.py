@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm._common import durable, forget, tidy
+from evidentia.llm._common import durable, forget, give_back, tidy
 from evidentia.llm.components import components
 from evidentia.llm.simhash import _forest, ball_links
 
@@ -106,15 +106,18 @@ def _prints(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             prints[i] = print_of(s)
             keys.append(bands(s).view(np.int64))
         yield pd.DataFrame({"node": nodes.view(np.int64), "fp": prints.view(np.int64), "bands": keys})
+    give_back()
 
 
 def _sets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for block in texts:
         yield pd.Series([shingle_set(t).tobytes() for t in block])
+    give_back()
 
 
 def _with_pivot(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Links (a, b) of the pivot, key's first part, with the nodes that are similar to it."""
+    give_back()
     sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
     nodes = rows["node"].to_numpy(np.int64)
     at = int(np.flatnonzero(nodes == key[0])[0])
@@ -126,6 +129,7 @@ def _with_pivot(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 def _compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Links between the two blocks of `key`, or inside one, as few as keep them connected."""
+    give_back()
     parts = [rows[rows["block"] == k].drop_duplicates("node") for k in key]
     sets = [[np.frombuffer(s, np.uint64) for s in p["shingles"]] for p in parts]
     nodes = np.concatenate([p["node"].to_numpy(np.int64) for p in parts])

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.llm._common import give_back
 from evidentia.llm._sample import labelled
 
 #: Labelled documents trained on at most, hash bits, letters of the prefix features, passes.
@@ -119,6 +120,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Weights
     def packed(blocks: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in blocks:
             yield pd.Series([_bounded(features(t)).astype("<u4").tobytes() for t in s], dtype=object)
+        _MEMORY.clear()
+        give_back()
 
     seen = labelled(docs, labels, "toxic", most, where=F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0)
     # part by part, so that the driver holds the features once
@@ -145,6 +148,8 @@ def score(text: Column | str, weights: Weights) -> Column:
                         total += float(table[used[used != _MASK]].sum())
                 out.append(1 / (1 + math.exp(-max(-35.0, min(35.0, total)))))
             yield pd.Series(out, dtype="float64")
+        _MEMORY.clear()
+        give_back()
 
     return scores(text)
 
