@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from evidentia.llm._common import durable, forget, tidy
 from evidentia.llm.components import components
+from evidentia.llm.components import forest as _forest
 
 BITS, SEED = 64, 42
 #: Fingerprints that a bucket should hold before its neighbours' entries, variants expanded at once, and pairs kept before they are reduced to a forest.
@@ -133,22 +134,6 @@ def _meet(origin: np.ndarray, value: np.ndarray, left: np.ndarray, low: int, fou
         found.add(np.stack([pairs >> 32, pairs & 0xFFFFFFFF], 1))
 
 
-def _forest(n: int, pairs: np.ndarray) -> np.ndarray:
-    """The smallest index linked to each index, directly or not."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[pairs[:, 0]], label[pairs[:, 1]])
-        new = label.copy()
-        np.minimum.at(new, pairs[:, 0], low)
-        np.minimum.at(new, pairs[:, 1], low)
-        np.minimum.at(new, label[pairs[:, 0]], low)
-        np.minimum.at(new, label[pairs[:, 1]], low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def link_bucket(prints: np.ndarray, bucket: int, bits: int, half: int) -> tuple[np.ndarray, np.ndarray]:
     """Links among the fingerprints whose variants have `bucket` as their lowest bits, as few as keep them connected."""
     prints = np.unique(prints)

@@ -448,6 +448,25 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))).count() == 0
 
 
+@pytest.mark.parametrize("part,most", [(1 << 18, 2), (60, 20)])
+def test_components_by_parts(spark, monkeypatch, part, most):
+    """A long chain and a hub: links of one part take two tables instead of a round of jobs for each doubling, several parts are joined to the same result."""
+    rnd = random.Random(61)
+    names = [rnd.getrandbits(62) * rnd.choice((-1, 1)) for _ in range(700)]
+    edges = list(zip(names[:300], names[1:300], strict=False)) + [(names[300], n) for n in names[301:500]] + [tuple(rnd.sample(names[500:], 2)) for _ in range(90)]
+    rnd.shuffle(edges)
+    label = {x: x for e in edges for x in e}
+    while any(label[a] != label[b] for a, b in edges):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    written, durable = [], components.durable
+    monkeypatch.setattr(components, "PART", part, raising=False)
+    monkeypatch.setattr(components, "durable", lambda df: written.append(1) or durable(df))
+    got = [(r["node"], r["root"]) for r in components.components(spark.createDataFrame(edges + edges[:9], "a long, b long").repartition(5)).collect()]
+    assert sorted(got) == sorted((x, r) for x, r in label.items() if x != r)
+    assert len(written) <= most
+
+
 # pipeline
 
 
