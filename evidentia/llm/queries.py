@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import bpe, lines, mixing, mpegts, quality, secrets, simhash, suffixes, toxicity, urls
+from evidentia.llm import alignment, bpe, divergence, lines, mixing, mpegts, ngrams, quality, secrets, simhash, suffixes, toxicity, urls
 from evidentia.llm._common import table
 
 
@@ -58,6 +58,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.op11(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.op12(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.op13(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pipeline().run(spark, sf_dir)
 
@@ -76,7 +90,7 @@ def _pipeline():
     return corpus_pipeline
 
 
-QUERIES = [op1_quality_rules, op2_bpe, op3_mix_sources, op4_secret_scan, op5_url_filter, op6_suffix_array_dedup, op7_line_dedup, op8_toxicity, op9_media_columns, op10_simhash, pipeline]
+QUERIES = [op1_quality_rules, op2_bpe, op3_mix_sources, op4_secret_scan, op5_url_filter, op6_suffix_array_dedup, op7_line_dedup, op8_toxicity, op9_media_columns, op10_simhash, op11_ngram_join, op12_source_divergence, op13_token_alignment, pipeline]
 
 
 def queries() -> dict:
@@ -84,4 +98,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op3_mix_sources": mixing.mix_sql(), "op5_url_filter": urls.sql(), "op6_suffix_array_dedup": suffixes.sql(), "op7_line_dedup": lines.sql()}
+    return {"op3_mix_sources": mixing.mix_sql(), "op5_url_filter": urls.sql(), "op6_suffix_array_dedup": suffixes.sql(), "op7_line_dedup": lines.sql(), "op11_ngram_join": ngrams.sql(), "op12_source_divergence": divergence.sql()}

@@ -144,12 +144,12 @@ def _compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 _LINKS = "a long, b long"
 
 
-def _star_links(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
+def _star_links(pairs: DataFrame, shingles: DataFrame, with_pivot=_with_pivot) -> DataFrame:
     """Links (a, b) among the pairs (node, pivot) whose sets are similar. A pivot's nodes are dealt into parts of about PART, the pivot goes to each."""
     parts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / PART).alias("parts"))
     dealt = pairs.join(parts, "pivot").select("pivot", F.pmod(F.xxhash64("node"), "parts").alias("part"), "node")
     every = dealt.unionByName(dealt.select("pivot", "part", F.col("pivot").alias("node")).distinct())
-    return every.join(shingles, "node").groupBy("pivot", "part").applyInPandas(_with_pivot, _LINKS)
+    return every.join(shingles, "node").groupBy("pivot", "part").applyInPandas(with_pivot, _LINKS)
 
 
 def _hopped(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def _rest_links(members: DataFrame, shingles: DataFrame) -> DataFrame:
+def _rest_links(members: DataFrame, shingles: DataFrame, compare=_compare) -> DataFrame:
     """Links that connect every two similar nodes of different components that share a key. members: (node, key, label).
 
     In each key the component with most nodes is the main one, the other nodes are strays. Strays of a main component are
@@ -185,7 +185,7 @@ def _rest_links(members: DataFrame, shingles: DataFrame) -> DataFrame:
     left, right = names.where("stray = 1").select("main", F.col("block").alias("x")), names.select("main", F.col("block").alias("y"), "stray")
     pairs = durable(left.join(right, "main").where("stray = 0 or x <= y").select("x", "y").distinct())
     sides_of = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
-    found = durable(sides_of.join(blocks, "block").join(shingles, "node").groupBy("x", "y").applyInPandas(_compare, _LINKS).distinct())
+    found = durable(sides_of.join(blocks, "block").join(shingles, "node").groupBy("x", "y").applyInPandas(compare, _LINKS).distinct())
     forget(strays, sides, parts, blocks, pairs)
     return found
 
