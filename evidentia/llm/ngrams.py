@@ -331,7 +331,7 @@ def sql() -> str:
 WITH RECURSIVE d AS (SELECT doc_id, translate(coalesce(text, ''), '{upper}', '{lower}') AS text FROM documents),
 t AS (SELECT row_number() OVER () AS t, text, regexp_extract_all(text, '[^ 	-]+') AS w FROM (SELECT DISTINCT text FROM d)),
 s AS (SELECT DISTINCT t, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SIZE} THEN [array_to_string(w, ' ')]
-  ELSE list_transform(range(1, len(w) - {SIZE} + 2), i -> array_to_string(w[i:i + {SIZE - 1}], ' ')) END) AS shingle FROM t),
+  ELSE list_transform(range(1, len(w) - {SIZE} + 2), lambda i: array_to_string(w[i:i + {SIZE - 1}], ' ')) END) AS shingle FROM t),
 n AS (SELECT t, count(*) AS n FROM s GROUP BY t),
 shared AS (SELECT a.t AS a, b.t AS b, count(*) AS n FROM s a JOIN s b ON a.shingle = b.shingle AND a.t <> b.t GROUP BY ALL),
 links AS MATERIALIZED (SELECT shared.a, shared.b FROM shared JOIN n x ON x.t = a JOIN n y ON y.t = b WHERE 100 * shared.n >= {LEAST} * (x.n + y.n - shared.n)),
