@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidentia.llm import bpe, components, lines, mixing, mpegts, quality, secrets, simhash, suffixes, toxicity, urls
+from evidentia.llm import alignment, bpe, components, divergence, lines, mixing, mpegts, ngrams, quality, secrets, simhash, suffixes, toxicity, urls
 from evidentia.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, kept string, hash string"
@@ -801,3 +801,223 @@ def test_pipeline_matches_a_plain_version(spark, tmp_path):
         taken[sources[r["doc_id"]]] += size[r["doc_id"]]
     longest = max(size.values())
     assert all(abs(taken[s] - want[s]) <= longest for s in want) and max(Counter(r["doc_id"] for r in got).values()) <= 2
+
+
+# n-gram join
+
+
+def jaccard_classes(texts, ids, size=4, least=85):
+    sets = []
+    for t in texts:
+        w = WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets.append({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set())
+    label = list(range(len(texts)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= least * (len(sets[i]) + len(sets[j]) - both):
+                label[root(i)] = root(j)
+    classes = defaultdict(list)
+    for i in range(len(sets)):
+        classes[root(i)].append(i)
+    out = {}
+    for members in classes.values():
+        known = [ids[i] for i in members if ids[i] is not None]
+        for i in members:
+            out[i] = (ids[i], len(sets[i]), min(known) if known else None)
+    return sorted(out.values(), key=repr)
+
+
+def near_texts(n, seed):
+    rnd = random.Random(seed)
+    stock = small_words(1, seed)[0].split() + [f"w{i}" for i in range(150)]
+    line = " ".join(rnd.choices(stock, k=30))
+    out = []
+    for _ in range(n):
+        words = rnd.choices(stock, k=rnd.randint(1, 90))
+        if rnd.random() < 0.3:
+            words += line.split()
+        for _ in range(rnd.choice([1, 1, 2, 5])):
+            copy = list(words)
+            for _ in range(rnd.randint(0, 3)):
+                copy[rnd.randrange(len(copy))] = rnd.choice(stock)
+            out.append(" ".join(copy).title() if rnd.random() < 0.2 else " ".join(copy))
+    return out
+
+
+def test_prefix_tree_equals_all_pairs():
+    rnd = random.Random(7)
+    for trial in range(300):
+        base = [frozenset(rnd.sample(range(60), rnd.randint(0, 30))) for _ in range(5)]
+        sets = []
+        for _ in range(rnd.randint(0, 25)):
+            s = set(rnd.choice(base))
+            for _ in range(rnd.randint(0, 4)):
+                s ^= {rnd.randrange(60)}
+            sets.append(np.array(sorted(s), np.uint64))
+        k, least = rnd.randint(0, len(sets)), rnd.choice([50, 85, 100])
+        as_sets = [set(s.tolist()) for s in sets]
+        want = [(i, j) for i, a in enumerate(as_sets[:k]) for j, b in enumerate(as_sets[k:]) if a and b and 100 * len(a & b) >= least * len(a | b)]
+        assert sorted(ngrams.similar(sets[:k], sets[k:], least)) == want
+
+
+def test_prefix_tree_leaves_subtrees_early():
+    far = [np.arange(k * 1000, k * 1000 + 500, dtype=np.uint64) for k in range(40)]
+    near = [np.append(far[3][:-1], np.uint64(10**6))]
+    assert ngrams.similar(far, near) == [(3, 0)]
+
+
+def test_shingle_slices_equal_whole(monkeypatch):
+    texts = [*near_texts(20, 4), *[t or "" for t in EDGE]]
+    whole = [ngrams.shingle_set(t, ngrams._Hashes()) for t in texts]
+    monkeypatch.setattr(ngrams, "SLICE", 7)
+    for t, w in zip(texts, whole, strict=True):
+        assert np.array_equal(ngrams.shingle_set(t, ngrams._Hashes()), w)
+
+
+@pytest.mark.parametrize("hot", [None, 3])
+def test_ngram_join_equals_brute_force(spark, monkeypatch, hot):
+    if hot:  # every shingle of many texts is dealt into parts
+        monkeypatch.setattr(ngrams, "HOT", hot)
+        monkeypatch.setattr(ngrams, "OFTEN", 0)
+    texts = [*near_texts(60, 5), *EDGE, *EDGE]
+    ids = [None if i % 17 == 3 else i // 2 if i % 5 == 0 else 1000 - i for i in range(len(texts))]
+    got = ngrams.op11(documents(spark, texts, ids=ids))
+    assert got.columns == ["doc_id", "n_shingles", "component_id"]
+    assert sorted(map(tuple, got.collect()), key=repr) == jaccard_classes(texts, ids)
+    assert ngrams.op11(documents(spark, texts).limit(0)).count() == 0
+
+
+# source divergence
+
+
+def divergence_by_hand(rows, least, top=50):
+    found = [(lang or "", source or "", [w.translate({c: c + 32 for c in range(65, 91)}) for w in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text or "")]) for text, lang, source in rows]
+    out = []
+    for lang in {r[0] for r in found}:
+        mine = [r for r in found if r[0] == lang]
+        df = Counter(t for r in mine for t in set(r[2]))
+        kept = sorted((t for t, n in df.items() if n >= least), key=lambda t: t.encode())
+        sources = sorted({r[1] for r in mine}, key=str.encode)
+        counts = {s: Counter(t for r in mine if r[1] == s for t in r[2] if t in set(kept)) for s in sources}
+        every = sum(counts.values(), Counter())
+        share = lambda c: {t: 1 + 10**9 * (c[t] + 5) // (sum(c.values()) + 5 * len(kept)) for t in kept}
+        p, q = {s: share(counts[s]) for s in sources}, share(every)
+        for s in sources:
+            pairs = [(-sum(abs(p[s][t] - p[o][t]) for t in kept), o.encode(), o) for o in sources if o != s]
+            terms = [(q[t] - p[s][t], t.encode(), t) for t in kept if counts[s][t] and p[s][t] > q[t]]
+            out += [(lang, s, "pair", o, -v, i) for i, (v, _, o) in enumerate(sorted(pairs), 1)]
+            out += [(lang, s, "term", t, -v, i) for i, (v, _, t) in enumerate(sorted(terms)[:top], 1)]
+    return sorted(out)
+
+
+def divergence_rows(n, seed):
+    rnd = random.Random(seed)
+    stock = ["The", "the", "ab", "Éa", "éa", "zz", "x", "日本", "a1b", "q" * 300, *[f"{a}{b}{c}" for a in "abc" for b in "de" for c in "fgh"]]
+    rows = []
+    for _ in range(n):
+        source = rnd.choice(["s1", "s2", "s10", "Ünit", None, ""])
+        words = rnd.choices(stock, k=rnd.randint(0, 40), weights=[3 + (i * 7 + len(source or "")) % 5 for i in range(len(stock))])
+        rows.append((rnd.choice([", ", " ", "\x00", "1", "\n"]).join(words), rnd.choice(["en", "en", "de", None, "fr"]) if rnd.random() < 0.9 else "only", source))
+    return [*rows, (None, "en", "s1"), ("", "empty", "s9"), ("", "empty", "s8"), ("b c " * 20_000, "en", "s2")]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_divergence_equals_brute_force(spark, monkeypatch, small):
+    if small:
+        for name, value in (("COUNTERS", 20), ("SLICE", 9), ("BATCH", 3), ("CELLS", 5), ("SOURCES", 2)):
+            monkeypatch.setattr(divergence, name, value)
+    rows = divergence_rows(250, 3)
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "text string, lang string, source string, rank int, term int").repartition(3)
+    got = divergence.divergence(docs, 5, 7)
+    assert got.columns == ["lang", "source", "part", "item", "value", "rank"]
+    assert sorted(map(tuple, got.collect())) == divergence_by_hand(rows, 5, 7)
+    assert divergence.op12(docs.limit(0)).count() == 0
+    assert sorted(map(tuple, divergence.op12(docs).collect())) == divergence_by_hand(rows, 30)
+
+
+def test_radix_tries_merge():
+    rnd = random.Random(2)
+    tries, want = [divergence.RadixTrie() for _ in range(4)], defaultdict(Counter)
+    for _ in range(2000):
+        term, source = "".join(rnd.choices("ab é", k=rnd.randint(1, 6))).encode(), rnd.choice("xy")
+        rnd.choice(tries).add(term, source, 2, 1)
+        want[term][source] += 2
+    for t in tries[1:]:
+        tries[0].merge(t)
+    got = list(tries[0].walk())
+    assert [t for t, _ in got] == sorted(want) and tries[0].size == len(want)
+    assert all(counts == want[t] and docs == sum(counts.values()) // 2 for t, (docs, counts) in got)
+
+
+# token alignment
+
+
+def alignment_by_hand(aligner, texts):
+    rows = []
+    for text in texts:
+        whole = " " + (text or "")
+        a, b = (aligner.a.encode(whole, add_special_tokens=False).ids, aligner.b.encode(text)) if text else ([], [])
+        left, right = [aligner.a_bytes[i] for i in a], [aligner.b_bytes[i] for i in b]
+        if not text or b"".join(left) != whole.encode() or b"".join(right) != whole.encode():
+            rows.append((0, 0, [], Counter()))
+            continue
+        ends = [np.cumsum([len(x) for x in side]).tolist() for side in (left, right)]
+        groups, before = [], 0
+        for cut in sorted(set(ends[0]) & set(ends[1])):
+            groups.append(tuple([t for t, end in zip(ids, e, strict=True) if before < end <= cut] for ids, e in zip((a, b), ends, strict=True)))
+            before = cut
+        rows.append((len(a), len(b), groups, Counter((p, q) for x, y in groups for p in x for q in y)))
+    held = Counter(pair for r in rows for pair in r[3])
+    most = {}
+    for (p, _), n in held.items():
+        most[p] = max(most.get(p, 0), n)
+    out = []
+    for n_a, n_b, groups, links in rows:
+        text = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
+        best, total = sum(n for k, n in links.items() if held[k] == most[k[0]]), sum(n * held[k] for k, n in links.items())
+        out.append((n_a, n_b, len(groups), sum(links.values()), best, total, hashlib.sha256(text.encode()).hexdigest() if text else ""))
+    return out
+
+
+def alignment_files():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+def test_alignment_equals_libraries():
+    spec, model = alignment_files()
+    aligner = alignment.Aligner(open(spec, encoding="utf-8").read(), open(model, "rb").read())
+    assert aligner.by_words
+    rnd = random.Random(3)
+    alphabet = [*"abéß×#&,Z9.!\n\t\r\x0b\x0c  \x1c\x1d\x85\xa0 　é中😀▁́'\x00\x7f​﻿", "<s>", "<|endoftext|>", "<0x41>", "'s", " the", "\n\n", "   "]
+    texts = ["".join(rnd.choices([c for c in alphabet if c != "▁" or i % 9 == 0], k=rnd.randint(0, 40))) for i in range(3000)]
+    want = alignment_by_hand(aligner, texts)
+    for block in (1 << 20, 30):
+        alignment.BLOCK, kept = block, alignment.BLOCK
+        try:
+            got = list(aligner.documents(texts))
+        finally:
+            alignment.BLOCK = kept
+        assert [(*r[:4], r[4]) for r in got] == [(*w[:4], w[6]) for w in want]
+        assert all(len(set(zip(r[5].tolist(), r[6].tolist(), strict=True))) == len(r[5]) and r[7].sum() == r[3] for r in got)
+
+
+@pytest.mark.parametrize("part", [None, 3])
+def test_alignment_equals_brute_force(spark, monkeypatch, part):
+    if part:  # every frequent token is dealt into parts
+        monkeypatch.setattr(alignment, "PART", part)
+    paths = alignment_files()
+    texts = [*small_words(60), *EDGE, *EDGE, "a▁b", "Hello, world! naïve x\r\n\r\n y"]
+    aligner = alignment.Aligner(open(paths[0], encoding="utf-8").read(), open(paths[1], "rb").read())
+    got = alignment.op13(documents(spark, texts), *paths)
+    want = alignment_by_hand(aligner, texts)
+    assert [tuple(r) for r in got.orderBy("doc_id").collect()] == [(i, *w) for i, w in enumerate(want)]
+    assert alignment.op13(documents(spark, texts).limit(0), *paths).count() == 0
