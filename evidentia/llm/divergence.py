@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,8 +23,8 @@ from evidentia.llm._common import durable, forget, give_back, tidy
 
 #: Documents of a language that a kept term is in, the smoothing count, the unit of a share, terms given for a source.
 LEAST_DOCS, SMOOTH, SCALE, TOP = 30, 5, 1_000_000_000, 50
-#: Distinct (source, term) counters of a partition until its tries are emitted, bytes of text split at once, leaves of a batch.
-COUNTERS, SLICE, BATCH = 1 << 18, 1 << 20, 1 << 14
+#: Distinct (source, term) counters of a partition until its tries are emitted, bytes of text split at once, leaves of a batch, terms of a dict in a trie.
+COUNTERS, SLICE, BATCH, FEW = 1 << 18, 1 << 20, 1 << 14, 1 << 10
 #: Sources compared with all others in one task; a task holds that many times the sources of a language, 8 bytes each.
 SOURCES = 256
 #: Numbers of a block of terms times sources.
@@ -53,35 +54,45 @@ def slices(data: bytes, size: int = SLICE) -> Iterator[list[bytes]]:
 
 
 class Node:
-    __slots__ = ("label", "children", "leaf")
+    """An inner node: the bytes of its edge, the leaf of the term that ends here, and by the next byte a node or a dict of what follows that byte and its leaf."""
+
+    __slots__ = ("label", "leaf", "children")
 
     def __init__(self, label: bytes) -> None:
-        self.label, self.children, self.leaf = label, None, None
+        self.label, self.leaf, self.children = label, None, {}
 
 
 class RadixTrie:
-    """Terms by their bytes, with edges of several bytes. A term's leaf is [documents, {source: occurrences}]."""
+    """Terms by their bytes, with edges of several bytes, and unordered dicts for subtries of few terms. A term's leaf is [documents, {source: occurrences}]."""
 
     def __init__(self) -> None:
         self.root, self.size = Node(b""), 0
 
     def leaf(self, term: bytes) -> list:
         """The leaf of `term`, an empty one if it is new."""
-        node, at = self.root, 0
-        while at < len(term):
-            if node.children is None:
-                node.children = {}
-            child = node.children.get(term[at])
-            if child is None:
-                child = node.children[term[at]] = Node(term[at:])
-            elif not term.startswith(child.label, at):
-                child = node.children[term[at]] = _split(child, _common(child.label, term, at))
-            at += len(child.label)
-            node = child
-        if node.leaf is None:
-            node.leaf = [0, {}]
+        above, byte, node, at = None, 0, self.root, 0
+        while type(node) is Node:
+            if node.label and not term.startswith(node.label, at):
+                node = above.children[byte] = _split(node, _common(node.label, term[at:]))
+            at += len(node.label)
+            if at == len(term):
+                if node.leaf is None:
+                    node.leaf = [0, {}]
+                    self.size += 1
+                return node.leaf
+            above, byte = node, term[at]
+            node = above.children.get(byte)
+            if node is None:
+                node = above.children[byte] = {}
+            at += 1
+        rest = term[at:]
+        found = node.get(rest)
+        if found is None:
+            found = node[rest] = [0, {}]
             self.size += 1
-        return node.leaf
+            if len(node) > FEW:
+                above.children[byte] = _grown(node)
+        return found
 
     def add(self, term: bytes, source: str, count: int, docs: int = 0) -> None:
         leaf = self.leaf(term)
@@ -97,59 +108,81 @@ class RadixTrie:
 
     def walk(self) -> Iterator[tuple[bytes, list]]:
         """Terms and leaves by bytes, ascending: the order of their code points too."""
-        stack = [(b"", self.root)]
+        stack: list[tuple[bytes, Node | dict]] = [(b"", self.root)]
         while stack:
             prefix, node = stack.pop()
+            if type(node) is dict:
+                for rest in sorted(node):
+                    yield prefix + rest, node[rest]
+                continue
             prefix += node.label
             if node.leaf is not None:
                 yield prefix, node.leaf
-            if node.children:
-                stack.extend((prefix, node.children[b]) for b in sorted(node.children, reverse=True))
+            stack.extend((prefix + bytes((b,)), node.children[b]) for b in sorted(node.children, reverse=True))
 
 
-def _common(label: bytes, term: bytes, at: int) -> int:
-    n = 0
-    for a, b in zip(label, term[at : at + len(label)], strict=False):
-        if a != b:
-            break
-        n += 1
-    return n
+def _common(a: bytes, b: bytes) -> int:
+    """How many first bytes are equal."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    differ = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+    return n - (differ.bit_length() + 7) // 8
 
 
 def _split(node: Node, at: int) -> Node:
     """A node over the first `at` bytes of `node`'s label, with node below it."""
     upper = Node(node.label[:at])
-    node.label = node.label[at:]
-    upper.children = {node.label[0]: node}
+    upper.children[node.label[at]] = node
+    node.label = node.label[at + 1 :]
     return upper
 
 
+def _grown(rests: dict[bytes, list]) -> Node:
+    """A node for a dict of many terms: what they share is its edge."""
+    shared = _common(min(rests), max(rests))
+    node = Node(next(iter(rests))[:shared])
+    for rest, leaf in rests.items():
+        if len(rest) == shared:
+            node.leaf = leaf
+        else:
+            node.children.setdefault(rest[shared], {})[rest[shared + 1 :]] = leaf
+    return node
+
+
 def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
     """Leaves (lang, term, [docs, {source: count}]) as Arrow batches of _LEAVES."""
-    names, types = ("lang", "term", "docs", "sources", "counts"), (pa.string(), pa.binary(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))
-    block: list[tuple] = []
+    langs, terms, docs, sources, counts, ends = [], [], [], [], [], [0]
 
     def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*block, strict=True), types, strict=True)], names=list(names))
-
-    for lang, term, (docs, counts) in rows:
-        block.append((lang, term, docs, list(counts), list(counts.values())))
-        if len(block) >= BATCH:
+        at = pa.array(ends, pa.int32())
+        lists = [pa.ListArray.from_arrays(at, pa.array(values, kind)) for values, kind in ((sources, pa.string()), (counts, pa.int64()))]
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(terms, pa.binary()), pa.array(docs, pa.int64()), *lists], names=["lang", "term", "docs", "sources", "counts"])
+
+    for lang, term, (n, held) in rows:
+        langs.append(lang)
+        terms.append(term)
+        docs.append(n)
+        sources.extend(held)
+        counts.extend(held.values())
+        ends.append(len(sources))
+        if len(terms) >= BATCH:
             yield batch()
-            block = []
-    if block:
+            langs, terms, docs, sources, counts, ends = [], [], [], [], [], [0]
+    if terms:
         yield batch()
 
 
 def _emptied(terms: dict, docs: dict) -> Iterator[tuple]:
     """The counters as tries, one language after the other, leaf by leaf; the counters are empty after that."""
     for lang in sorted(docs):
-        trie, found = RadixTrie(), docs.pop(lang)
-        for term, n in found.items():
-            trie.leaf(term)[0] += n
-        for key in [k for k in terms if k[0] == lang]:
+        trie, leaves = RadixTrie(), {}
+        for term, n in docs.pop(lang).items():
+            leaves[term] = leaf = trie.leaf(term)
+            leaf[0] = n
+        for key in sorted(k for k in terms if k[0] == lang):
             for term, n in terms.pop(key).items():
-                trie.add(term, key[1], n)
+                leaves[term][1][key[1]] = n
         for term, leaf in trie.walk():
             yield lang, term, leaf
 
@@ -179,7 +212,7 @@ def _merge(least: int):
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         lang, trie = None, RadixTrie()
-        for batch in batches:
+        for batch in map(_mergeable, batches):
             last = None
             for here, term, docs, sources, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if here != lang:
@@ -201,6 +234,17 @@ def _merge(least: int):
         for found in trie.walk():
             yield lang, *found
 
+    def _mergeable(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The rows whose term may be kept: enough documents in this batch, or it may go on in the next one or have begun in the last."""
+        if batch.num_rows < 2:
+            return batch
+        lang, term, docs = batch.column(0), batch.column(1), batch.column(2).to_numpy()
+        new = np.concatenate(([True], pc.or_(pc.not_equal(lang[1:], lang[:-1]), pc.not_equal(term[1:], term[:-1])).to_numpy(zero_copy_only=False)))
+        heads = np.flatnonzero(new)
+        enough = np.add.reduceat(docs, heads) >= least
+        enough[[0, -1]] = True
+        return batch.filter(pa.array(np.repeat(enough, np.diff(np.append(heads, len(new))))))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for batch in _batches(row for row in merged(batches) if row[2][0] >= least):
