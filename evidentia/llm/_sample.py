@@ -16,6 +16,6 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, where: C
     rows = rows if where is None else rows.where(where)
     share = min(1.0, most / max(1, rows.count()))
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), F.lit(1 << 30))
-    chosen = rows.where(draw < F.lit(int(share * (1 << 30)))).groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).limit(2 * most)
+    chosen = rows.where(draw < F.lit(int(share * (1 << 30)))).groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(draw, "doc_id").limit(2 * most)
     found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))

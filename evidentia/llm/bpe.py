@@ -16,7 +16,7 @@ import hashlib
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -42,6 +42,9 @@ _LATIN = re.compile(
 )
 
 
+_SPACE = re.compile(r"[\x09-\x0d\x20]")
+
+
 def _byte_chars() -> list[str]:
     """The printable stand-in for every byte in byte-level vocabularies."""
     keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -49,6 +52,15 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in set(keep) else chr(next(spare)) for b in range(256)]
 
 
+def pieces(text: str) -> Iterator[str]:
+    """A text cut before white space, which no token holds, about every BLOCK_CHARS characters."""
+    at = 0
+    while len(text) - at > BLOCK_CHARS and (border := _SPACE.search(text, at + BLOCK_CHARS)):
+        yield text[at : border.start()]
+        at = border.start()
+    yield text[at:]
+
+
 class TrieBpe:
     """Encoder and decoder for a byte-level BPE file with word ends, as the tokenizers library reads it."""
 
@@ -232,6 +244,11 @@ class TrieBpe:
                 yield b"".join(map(get, words))
             at = to
 
+    def encode_long(self, text: str) -> Iterator[bytes]:
+        """The ids of a text of any length, some at a time."""
+        for piece in pieces(text):
+            yield from self.encode([piece])
+
     def decode_bytes(self, ids: bytes) -> bytes:
         """The UTF-8 text of encode()'s ids, decoded as decode() does."""
         return b" ".join(map(self._utf8.__getitem__, memoryview(ids).cast("I")))
@@ -265,7 +282,7 @@ def encode(spark: SparkSession, path: str, text: Column | str) -> Column:
 
         codec = _codec(spec.value)
         for s in blocks:
-            yield pd.Series([np.frombuffer(x, "<u4").astype("int32") for x in codec.encode([t or "" for t in s])], dtype=object)
+            yield pd.Series([np.frombuffer(b"".join(codec.encode_long(t or "")), "<u4").astype("int32") for t in s], dtype=object)
 
     return ids(text)
 
@@ -283,6 +300,17 @@ def decode(spark: SparkSession, path: str, ids: Column | str) -> Column:
     return text(ids)
 
 
+def _digested(codec: TrieBpe, parts: Iterable[bytes]) -> tuple[int, str, str]:
+    """Number of tokens, digest of the ids and of the decoded text of ids given in parts."""
+    n, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
+    for part in parts:
+        if part:
+            ids.update(part)
+            decoded.update((b" " if n else b"") + codec.decode_bytes(part))
+            n += len(part) // 4
+    return n, ids.hexdigest(), decoded.hexdigest()
+
+
 def digests(spark: SparkSession, path: str, text: Column | str) -> Column:
     """struct<n_tokens, ids_sha256, decoded_sha256> of `text`, in one pass that keeps neither ids nor decoded text."""
     spec = _spec(spark, path)
@@ -292,7 +320,9 @@ def digests(spark: SparkSession, path: str, text: Column | str) -> Column:
         codec = _codec(spec.value)
         for s in blocks:
             give_back()
-            rows = [(len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(codec.decode_bytes(i)).hexdigest()) for i in codec.encode([t or "" for t in s])]
+            texts = [t or "" for t in s]
+            short = codec.encode([t for t in texts if len(t) <= BLOCK_CHARS])
+            rows = [_digested(codec, [next(short)] if len(t) <= BLOCK_CHARS else codec.encode_long(t)) for t in texts]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return digest(text)

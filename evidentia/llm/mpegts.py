@@ -146,9 +146,9 @@ def _sections(packets: np.ndarray, table: int) -> list[bytes]:
         raw = p.tobytes()[4:]
         if p[3] & 0x20:
             raw = raw[1 + raw[0] :]
-        raw = raw[1 + raw[0] :]
+        raw = raw[1 + raw[0] :] if raw else raw  # an adaptation field may leave no room
         size = 3 + (int.from_bytes(raw[1:3], "big") & 0xFFF)
-        if raw[0] == table and size <= len(raw) and _crc32(raw[: size - 4]) == int.from_bytes(raw[size - 4 : size], "big"):
+        if len(raw) > 2 and raw[0] == table and 12 <= size <= len(raw) and _crc32(raw[: size - 4]) == int.from_bytes(raw[size - 4 : size], "big"):
             found.append(raw[8 : size - 4])
     return found
 

@@ -135,11 +135,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def markov_spans(text: str, model: np.ndarray, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of candidates that read like random strings and touch no base span."""
-    spans = []
+    """(start, kind, end) of candidates that read like random strings and touch no base span; both come in order, so each is looked at once."""
+    spans, at, reach = [], 0, -1  # reach: the furthest end of the base spans that start before the candidate ends
     for m in CANDIDATE.finditer(text):
+        while at < len(taken) and taken[at][0] < m.end():
+            reach = max(reach, taken[at][2])
+            at += 1
         s = m.group()
-        if (r := ratio(model, s)) >= LEAST_TOTAL and r >= LEAST_EACH * len(s) and not any(a < m.end() and m.start() < b for a, _, b in taken):
+        if reach <= m.start() and (r := ratio(model, s)) >= LEAST_TOTAL and r >= LEAST_EACH * len(s):
             spans.append((m.start(), 3, m.end()))
     return spans
 

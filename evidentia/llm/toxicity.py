@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,13 +18,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm._common import give_back
+from evidentia.llm._common import durable, forget, give_back
 from evidentia.llm._sample import labelled
 
 #: Labelled documents trained on at most, hash bits, letters of the prefix features, passes.
 TRAIN_DOCS, HASH_BITS, STEMS, PASSES = 8000, 20, (4, 5), 5
-#: Features of a document trained on at most, so that what reaches the driver is bounded (4 bytes each): of a text with more, those with the smallest hashes.
-TRAIN_FEATURES = 20_000
+#: Bytes of the sample's features that are in the driver at once, about.
+PART_BYTES = 32 << 20
 #: FTRL-proximal: rate, its smoothing, L1, L2.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.0
 #: Folds of crc32(doc_id as text); the first is held out.
@@ -47,11 +47,6 @@ def features(text: str | None) -> np.ndarray:
     return np.unique(np.concatenate(([_MASK], *_parts(text))))
 
 
-def _bounded(numbers: np.ndarray, most: int = TRAIN_FEATURES) -> np.ndarray:
-    """At most about `most` of a training text's features, the constant among them; they are hashes already, so the smallest are a sample."""
-    return numbers if len(numbers) <= most else np.concatenate((numbers[: most - 1], [_MASK]))
-
-
 def _parts(text: str | None) -> list[np.ndarray]:
     words = (text or "").lower().encode("utf-8", "surrogatepass").split()
     if not words:
@@ -88,8 +83,8 @@ class Weights:
         return out
 
 
-def fit(rows: list[tuple[np.ndarray, int]], passes: int = PASSES) -> Weights:
-    """Weights from (features, label) rows in the given order; the same rows give the same weights. No rows score all alike, low."""
+def fit(rows: Callable[[], Iterable[tuple[np.ndarray, int]]], passes: int = PASSES) -> Weights:
+    """Weights from (features, label) rows, asked for once a pass, in their order; the same rows give the same weights. No rows score all alike, low."""
     z, n = np.zeros(1 << HASH_BITS), np.zeros(1 << HASH_BITS)
 
     def weights(i: np.ndarray) -> np.ndarray:
@@ -97,8 +92,10 @@ def fit(rows: list[tuple[np.ndarray, int]], passes: int = PASSES) -> Weights:
         l1 = np.where(i == _MASK, 0.0, L1)
         return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
 
+    seen = False
     for _ in range(passes):
-        for i, y in rows:
+        for i, y in rows():
+            seen = True
             i = i.astype(np.int64)
             w = weights(i)
             g = 1 / (1 + math.exp(-max(-35.0, min(35.0, float(w.sum()))))) - y
@@ -107,7 +104,7 @@ def fit(rows: list[tuple[np.ndarray, int]], passes: int = PASSES) -> Weights:
             n[i] = ni + g * g
     every = np.arange(1 << HASH_BITS)
     w = weights(every)
-    if not rows:
+    if not seen:
         w[_MASK] = -2.0
     keep = np.flatnonzero(w)
     return Weights(keep, w[keep])
@@ -119,15 +116,20 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Weights
     @F.pandas_udf("binary")
     def packed(blocks: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in blocks:
-            yield pd.Series([_bounded(features(t)).astype("<u4").tobytes() for t in s], dtype=object)
+            yield pd.Series([features(t).astype("<u4").tobytes() for t in s], dtype=object)
         _MEMORY.clear()
         give_back()
 
     seen = labelled(docs, labels, "toxic", most, where=F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0)
-    # part by part, so that the driver holds the features once
-    found = seen.select("doc_id", "label", packed(F.col("text")).alias("f")).toLocalIterator(prefetchPartitions=True)
-    rows = sorted((zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], bytes(r["f"]), r["label"]) for r in found)
-    return fit([(np.frombuffer(f, "<u4"), int(y)) for _, _, f, y in rows])
+    packs = durable(seen.select(F.crc32(F.col("doc_id").cast("string")).alias("at"), "doc_id", "label", packed(F.col("text")).alias("f")))
+    try:
+        parts = -(-(packs.agg(F.sum(F.length("f"))).first()[0] or 0) // PART_BYTES)
+        # the driver holds the model and one part of the sample at a time, whatever its texts' lengths
+        part = lambda i: packs.where(F.floor(F.col("at") * parts / (1 << 32)) == i).collect()
+        rows = lambda: (r for i in range(parts) for r in sorted(part(i), key=lambda r: (r["at"], r["doc_id"])))
+        return fit(lambda: ((np.frombuffer(r["f"], "<u4"), int(r["label"])) for r in rows()))
+    finally:
+        forget(packs)
 
 
 def score(text: Column | str, weights: Weights) -> Column:

@@ -688,7 +688,7 @@ def test_ftrl_matches_plain_loops():
                 sigma = ((n[f] + g * g) ** 0.5 - n[f] ** 0.5) / toxicity.ALPHA
                 z[f] += g - sigma * wf
                 n[f] += g * g
-    got = toxicity.fit(rows, 3)
+    got = toxicity.fit(lambda: rows, 3)
     want = {f: weight(f) for f in z if weight(f)}
     assert dict(zip(got.numbers.tolist(), got.values.tolist(), strict=True)) == pytest.approx(want)
 
@@ -696,9 +696,58 @@ def test_ftrl_matches_plain_loops():
 def test_training_rows_are_bounded(spark, monkeypatch):
     docs = documents(spark, ["a b c"] * 50 + ["d e"] * 50, ids=[7] * 100)
     assert toxicity.labelled(docs, labels_of(spark), "toxic", 10).count() <= 1
-    monkeypatch.setattr(toxicity, "TRAIN_FEATURES", 5)
-    f = toxicity._bounded(np.arange(100), 5)
-    assert f.tolist() == [0, 1, 2, 3, toxicity._MASK]
+    texts = small_words(40) + [" ".join(f"w{i}" for i in range(30_000))]
+    rows = documents(spark, texts)
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(41)], "doc_id long, quality int, toxic int")
+    whole = toxicity.train(rows, labels)
+    seen = sorted((zlib.crc32(str(i).encode()), i) for i in range(41) if zlib.crc32(str(i).encode()) % 5)
+    want = toxicity.fit(lambda: [(toxicity.features(texts[i]), i % 2) for _, i in seen])
+    monkeypatch.setattr(toxicity, "PART_BYTES", 10_000)  # the sample comes part by part, long texts with all their features
+    parts = toxicity.train(rows, labels)
+    for got in (whole, parts):
+        assert np.array_equal(got.numbers, want.numbers) and np.array_equal(got.values, want.values)
+
+
+def test_damaged_headers_never_raise():
+    stream = mpegts.mux(bytes(range(256)) * 9)
+    rnd = random.Random(4)
+    hurt = bytearray(stream)
+    hurt[3:5] = bytes((0x30, 183))
+    mpegts.demux(bytes(hurt))
+    for _ in range(10_000):
+        hurt = bytearray(stream)
+        for _ in range(rnd.randint(1, 6)):
+            at = rnd.randrange(len(stream) // mpegts.PACKET) * mpegts.PACKET + rnd.randrange(24)
+            hurt[at] = rnd.choice([0, 0x10, 0x30, 0x47, 183, 184, 255, rnd.randrange(256)])
+        mpegts.demux(bytes(hurt))
+
+
+def test_secret_spans_merge_in_order():
+    import time
+
+    text = " ".join(f"password=abc{i:06d} {s}" for i, s in zip(range(40_000), secrets.random_strings(3000) * 20, strict=False))
+    words = sorted(set(" ".join(small_words(50)).split()))
+    model = secrets.fit(secrets.random_strings(2000)) - secrets.fit([*secrets.identifiers(words, 2000), *words])
+    began = time.perf_counter()
+    base = secrets.base_spans(text)
+    found = secrets.markov_spans(text, model, base)
+    assert time.perf_counter() - began < 20
+    some = text[:20_000]
+    base = secrets.base_spans(some)
+    plain = [s for s in secrets.markov_spans(some, model, []) if not any(a < s[2] and s[0] < b for a, _, b in base)]
+    assert secrets.markov_spans(some, model, base) == plain and len(found) > 20_000
+
+
+def test_bpe_of_a_long_text_in_pieces(monkeypatch):
+    spec = open(tokenizer_path(), encoding="utf-8").read()
+    codec = bpe.TrieBpe(spec)
+    texts = [*small_words(20), "é ü x\u0301 <|endoftext|> a\u00a0b Σ ΑΣ 'S\n\nfoo's 12 ", "x" * 300, " \n a"]
+    whole = [next(codec.encode([t])) for t in texts]
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 7)
+    for t, ids in zip(texts, whole, strict=True):
+        assert "".join(bpe.pieces(t)) == t and b"".join(codec.encode_long(t)) == ids
+        got = bpe._digested(codec, codec.encode_long(t))
+        assert got == (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(codec.decode_bytes(ids)).hexdigest())
 
 
 def test_rules_cover_what_they_say():
