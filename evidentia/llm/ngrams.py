@@ -28,6 +28,8 @@ from evidentia.llm.shingles import _identified, _labelled, _mix, _rest_links, _s
 SIZE, LEAST = 4, 85
 #: Counters of the order, as bits of a hash; bytes of a text split at once; shingles of an edge taken at once.
 COUNTERS, SLICE, STEP = 20, 1 << 20, 64
+#: Counters that reach the driver in one row.
+STRIP = 1 << 14
 #: A shingle counted this often, and so many times more often than the mean of all counters, is dealt into parts of about that size.
 HOT, OFTEN = 1 << 16, 4
 #: Words and sets remembered by a worker.
@@ -218,11 +220,20 @@ def _counted(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     give_back()
 
 
+def _strip(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """STRIP counters in one row."""
+    counts = np.zeros(STRIP, np.int64)
+    counts[rows["slot"].to_numpy(np.int64) % STRIP] = rows["times"].to_numpy(np.int64)
+    return pd.DataFrame({"strip": [key[0]], "counts": [counts.tobytes()]})
+
+
 def _order(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The class of each counter, and into how many parts its shingles are dealt (none: 0). 2^COUNTERS rows at most come to the driver."""
-    found = docs.select("text").mapInPandas(_counted, "slot long, times long").groupBy("slot").agg(F.sum("times").alias("times")).toPandas()
+    """The class of each counter, and into how many parts its shingles are dealt (none: 0). The driver gets 2^COUNTERS counters of 8 bytes."""
+    found = docs.select("text").mapInPandas(_counted, "slot long, times long").groupBy("slot").agg(F.sum("times").alias("times"))
+    strips = found.groupBy(F.floor(F.col("slot") / STRIP).alias("strip")).applyInPandas(_strip, "strip long, counts binary")
     counts = np.zeros(1 << COUNTERS, np.int64)
-    counts[found["slot"].to_numpy(np.int64)] = found["times"].to_numpy(np.int64)
+    for row in strips.collect():
+        counts[row["strip"] * STRIP : (row["strip"] + 1) * STRIP] = np.frombuffer(row["counts"], np.int64)
     hot = (counts >= HOT) & (counts > OFTEN * counts.mean())
     return np.minimum(255, np.rint(8 * np.log2(1 + counts))).astype(np.uint8), np.where(hot, np.minimum(counts // HOT + 1, 1 << 15), 0).astype(np.int16)
 
@@ -329,7 +340,8 @@ def sql() -> str:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return rf"""
 WITH RECURSIVE d AS (SELECT doc_id, translate(coalesce(text, ''), '{upper}', '{lower}') AS text FROM documents),
-t AS (SELECT row_number() OVER () AS t, text, regexp_extract_all(text, '[^ 	-]+') AS w FROM (SELECT DISTINCT text FROM d)),
+t AS (SELECT row_number() OVER () AS t, text, regexp_extract_all(text, '[^ 	-
+]+') AS w FROM (SELECT DISTINCT text FROM d)),
 s AS (SELECT DISTINCT t, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SIZE} THEN [array_to_string(w, ' ')]
   ELSE list_transform(range(1, len(w) - {SIZE} + 2), lambda i: array_to_string(w[i:i + {SIZE - 1}], ' ')) END) AS shingle FROM t),
 n AS (SELECT t, count(*) AS n FROM s GROUP BY t),
