@@ -24,7 +24,9 @@ from evidentia.llm._common import durable, forget, give_back, tidy
 #: Documents of a language that a kept term is in, the smoothing count, the unit of a share, terms given for a source.
 LEAST_DOCS, SMOOTH, SCALE, TOP = 30, 5, 1_000_000_000, 50
 #: Distinct (source, term) counters of a partition until its tries are emitted, bytes of text split at once, leaves of a batch, terms of a dict in a trie.
-COUNTERS, SLICE, BATCH, FEW = 1 << 18, 1 << 20, 1 << 14, 1 << 10
+COUNTERS, SLICE, BATCH, FEW = 1 << 17, 1 << 20, 1 << 13, 1 << 10
+#: Rows whose texts are taken out of a batch at once.
+ROWS = 256
 #: Sources compared with all others in one task; a task holds that many times the sources of a language, 8 bytes each.
 SOURCES = 256
 #: Numbers of a block of terms times sources.
@@ -191,18 +193,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Leaves of the tries of a partition's rows (lang, source, text)."""
     terms: dict[tuple[str, str], Counter] = {}
     docs: dict[str, Counter] = {}
+    size = 0
     for batch in batches:
-        for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            data = text.encode("utf-8", "surrogatepass")
-            if not data:
-                continue
-            group, seen = terms.setdefault((lang, source), Counter()), set()
-            for some in slices(data):
-                group.update(some)
-                seen.update(some)
-            docs.setdefault(lang, Counter()).update(seen)
-        if sum(map(len, terms.values())) >= COUNTERS:
-            yield from _batches(_emptied(terms, docs))
+        for at in range(0, batch.num_rows, ROWS):
+            for lang, source, text in zip(*(c.to_pylist() for c in batch.slice(at, ROWS).columns), strict=True):
+                data = text.encode("utf-8", "surrogatepass")
+                if not data:
+                    continue
+                group, seen = terms.setdefault((lang, source), Counter()), set()
+                for some in slices(data):
+                    group.update(some)
+                    seen.update(some)
+                docs.setdefault(lang, Counter()).update(seen)
+                size += len(data)
+            if size >= SLICE and sum(map(len, terms.values())) >= COUNTERS:
+                yield from _batches(_emptied(terms, docs))
+                give_back()
+                size = 0
     yield from _batches(_emptied(terms, docs))
     give_back()
 

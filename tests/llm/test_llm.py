@@ -980,7 +980,7 @@ def divergence_rows(n, seed):
 @pytest.mark.parametrize("small", [False, True])
 def test_divergence_equals_brute_force(spark, monkeypatch, small):
     if small:
-        for name, value in (("COUNTERS", 200), ("SLICE", 9), ("BATCH", 50), ("CELLS", 50), ("SOURCES", 2), ("FEW", 2)):
+        for name, value in (("COUNTERS", 200), ("ROWS", 10), ("SLICE", 9), ("BATCH", 50), ("CELLS", 50), ("SOURCES", 2), ("FEW", 2)):
             monkeypatch.setattr(divergence, name, value)
     rows = divergence_rows(250, 3)
     docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "text string, lang string, source string, rank int, term int").repartition(3)
