@@ -14,8 +14,6 @@ from evidentia.functions.numeric import common_prefix, intervals_length, scoring
 
 #: Fixed values of the policies: hard limit, target and minimum of a chunk; overlaps of fixed windows and of an overlong unit's.
 LIMIT, TARGET, MINIMUM, FIXED_OVERLAP, UNIT_OVERLAP = 512, 384, 128, 100, 64
-#: Chunks of a parent section that expansion looks at before and after a chunk; a parent of our documents has 32 lines.
-REACH = 64
 
 
 def _placed(units: DataFrame) -> DataFrame:
@@ -231,21 +229,37 @@ def merged_ok(merged_rows: DataFrame, components: DataFrame) -> DataFrame:
     return per.agg(F.count(F.when(F.col("parents") > 1, 1)).alias("several_parents"), F.count(F.when(F.col("n") > LIMIT, 1)).alias("overlong")).crossJoin(lost).crossJoin(extra)  # one row each
 
 
-def expand(chunks: DataFrame, mode: str = "neighbor") -> DataFrame:
-    """(doc_id, chunk, supplement, distance) of a `mode`: neighbor, the chunks before and after under the same parent; parent, all chunks of the parent
-    within REACH places; parent_neighbor, both; leaf, none.
+def owned_sections(fragments: DataFrame) -> DataFrame:
+    """(doc_id, chunk, section): the sections that a chunk's fragments are in."""
+    return fragments.select("doc_id", "chunk", "section").distinct()
 
-    Distance counts chunks in source order; a parent section is a bounded run of units, and REACH bounds its chunks where it isn't.
+
+def expand(chunks: DataFrame, owned: DataFrame, mode: str = "neighbor", asked: DataFrame | None = None) -> DataFrame:
+    """(doc_id, chunk, supplement, distance) of a `mode`: neighbor, the chunks before and after under the same parent; parent, the chunks of the parent
+    section itself; parent_neighbor, both; leaf, none.
+
+    chunks: (doc_id, chunk, parent, first_ordinal), parent being the section that a chunk's first section is in, or null; owned: owned_sections().
+    With `asked` (doc_id, chunk) only these chunks are expanded. Both modes are joins on (document, section) and on (document, parent,
+    place), so a parent may have any number of chunks. Distance counts the document's chunks in source order.
     """
-    order = Window.partitionBy("doc_id", "parent").orderBy("first_ordinal", "chunk")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("first_ordinal", "chunk"))
-    placed = chunks.select("doc_id", "chunk", "parent", "first_ordinal", place.alias("place"))
-    within = placed.withColumn("at", F.row_number().over(order))
-    reach = {"leaf": 0, "neighbor": 1, "parent": REACH, "parent_neighbor": REACH}[mode]
-    offsets = F.array(*[F.lit(k) for k in range(-reach, reach + 1) if k]) if reach else F.array().cast("array<int>")
-    asked = within.select("doc_id", "parent", "chunk", "place", F.explode(offsets).alias("k"), "at").select("doc_id", "parent", "chunk", "place", (F.col("at") + F.col("k")).alias("at"))
-    found = within.select("doc_id", "parent", F.col("chunk").alias("supplement"), F.col("place").alias("there"), "at")
-    return asked.join(found, ["doc_id", "parent", "at"]).select("doc_id", "chunk", "supplement", F.abs(F.col("place") - F.col("there")).alias("distance"))
+    by_source = ("first_ordinal", "chunk")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*by_source))
+    among = F.row_number().over(Window.partitionBy("doc_id", "parent").orderBy(*by_source))
+    placed = chunks.select("doc_id", "chunk", "parent", place.alias("place"), among.alias("among"))
+    leaves = placed.where("parent is not null")
+    leaves = leaves if asked is None else leaves.join(asked.select("doc_id", "chunk").distinct(), ["doc_id", "chunk"], "left_semi")
+    found = []
+    if mode in ("parent", "parent_neighbor"):
+        own = owned.select("doc_id", F.col("section").alias("parent"), F.col("chunk").alias("supplement"))
+        found.append(leaves.select("doc_id", "chunk", "parent").join(own, ["doc_id", "parent"]).where("chunk <> supplement").select("doc_id", "chunk", "supplement"))
+    if mode in ("neighbor", "parent_neighbor"):
+        beside = leaves.select("doc_id", "chunk", "parent", F.explode(F.array(F.col("among") - 1, F.col("among") + 1)).alias("among"))
+        found.append(beside.join(placed.select("doc_id", "parent", "among", F.col("chunk").alias("supplement")), ["doc_id", "parent", "among"]).select("doc_id", "chunk", "supplement"))
+    every = found[0] if found else leaves.select("doc_id", "chunk", F.col("chunk").alias("supplement")).where("false")
+    for more in found[1:]:
+        every = every.unionByName(more).distinct()
+    here, there = placed.select("doc_id", "chunk", "place"), placed.select("doc_id", F.col("chunk").alias("supplement"), F.col("place").alias("there"))
+    return every.join(here, ["doc_id", "chunk"]).join(there, ["doc_id", "supplement"]).select("doc_id", "chunk", "supplement", F.abs(F.col("place") - F.col("there")).alias("distance"))
 
 
 def expanded_fragments(fragments: DataFrame, supplements: DataFrame) -> DataFrame:

@@ -22,6 +22,11 @@ def source_lines(text: Column | str) -> Column:
     return F.split(F.regexp_replace(F.regexp_replace(text, "^\ufeff", ""), r"\r\n?", "\n"), "\n")
 
 
+def parent_section(parent: Column | str) -> Column:
+    """The section that stands for a parent of units_from_documents(): its first one."""
+    return (F.col(parent) if isinstance(parent, str) else parent) * (PARENT // SECTION)
+
+
 def units_from_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, ordinal, section, parent, text, n_tokens): the lines of each document, in order.
 

@@ -6,19 +6,25 @@ Scores are rounded before they are ranked, so that ties are ties on every engine
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from evidentia.functions import text as T
-from evidentia.functions.numeric import dot, idf, rounded
+from evidentia.functions.numeric import idf, rounded
 from evidentia.sources.tables import materialize
 
 K1, B, RRF_K, DEPTH = 1.5, 0.75, 60, 100
 #: Query-side rows broadcast at most; a benchmark's query set is far below.
 MAX_QUERY_TERMS = 200_000
+#: Vectors of a block of items and of queries.
+ITEM_BLOCK, QUERY_BLOCK = 1024, 2048
 #: Query terms that become part of the plan at most.
 MAX_LITERALS = 10_000
 
@@ -97,14 +103,74 @@ def bm25f_scores(items: DataFrame, queries: DataFrame, boosts: dict[str, float],
     return wtf.join(df, "term").select("item_id", "term", part.alias("part")).join(near(terms), "term").groupBy("query_id", "item_id").agg(rounded(F.sum("part")).alias("score"))
 
 
-def dense_scores(items: DataFrame, queries: DataFrame) -> DataFrame:
-    """Exact inner products of (item_id, vector) with a stated set of queries (query_id, vector), an item not with itself.
-
-    The query side is a benchmark's query set; it is sent to the items while it is small.
+def _blocks(rows: DataFrame, id_: str, name: str, size: int) -> tuple[DataFrame, int]:
+    """Rows (id, vector) in blocks of about `size`, one a row: (name, name_ids, name_vectors), and how many blocks there are."""
+    blocks = max(1, -(-rows.count() // size))
+    dealt = rows.groupBy(F.pmod(F.xxhash64(id_), F.lit(blocks)).alias(name)).agg(F.collect_list(F.struct(F.col(id_).alias("id"), F.col("vector").cast("array<double>").alias("vector"))).alias("r"))
+    return dealt.select(name, F.col("r.id").alias(f"{name}_ids"), F.col("r.vector").alias(f"{name}_vectors")), blocks
+
+
+def _matrix(vectors: pa.Array, rows: int) -> np.ndarray:
+    """Vectors as rows, shorter ones filled with zeros; a null vector counts as zeros."""
+    lengths = np.diff(vectors.offsets.to_numpy())
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if rows and (lengths == lengths[0]).all():
+        return flat.reshape(rows, -1)
+    out, at = np.zeros((rows, int(lengths.max(initial=0)))), np.concatenate(([0], np.cumsum(lengths)))
+    for i, n in enumerate(lengths):
+        out[i, :n] = flat[at[i] : at[i + 1]]
+    return out
+
+
+def _best(scores: np.ndarray, k: int, ids: list) -> np.ndarray:
+    """Which scores (queries times items) are among the k highest of their query, equal ones by item id where ids have an order."""
+    if scores.shape[1] <= k:
+        return np.isfinite(scores)
+    least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k][:, None]
+    above, equal = scores > least, (scores == least) & np.isfinite(scores)
+    if isinstance(ids[0], int | str):
+        order = np.array(sorted(range(len(ids)), key=ids.__getitem__))
+        some = np.zeros_like(equal)
+        some[:, order] = equal[:, order] & (np.cumsum(equal[:, order], 1) <= k - above.sum(1)[:, None])
+        equal = some
+    return above | equal
+
+
+def dense_scores(items: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
+    """Exact inner products (query_id, item_id, score) of items (item_id, vector) and queries (query_id, vector), an item not with itself; with k only those that
+    can be among a query's best k. A null vector counts as zeros; scores that are not finite are left out.
+
+    Blocks of items meet blocks of queries in a join on the query block; each pair of blocks is one matrix product, and with k its best k of each query
+    are all that leaves it. A block of queries is sent to several groups of item blocks, so that few query blocks still keep all cores busy.
     """
-    q = queries.select("query_id", F.col("vector").alias("query_vector"))
-    pairs = items.select("item_id", "vector").join(near(q), F.col("item_id") != F.col("query_id"))
-    return pairs.select("query_id", "item_id", rounded(dot("vector", "query_vector")).alias("score"))
+    spark, ids = items.sparkSession, (queries.schema["query_id"].dataType, items.schema["item_id"].dataType)
+    left, _ = _blocks(items.select("item_id", "vector"), "item_id", "i", ITEM_BLOCK)
+    right, n = _blocks(queries.select("query_id", "vector"), "query_id", "q", QUERY_BLOCK)
+    salts = max(1, 4 * spark.sparkContext.defaultParallelism // n)
+    left = left.withColumn("salt", F.pmod("i", F.lit(salts))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")))
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
+    schema = StructType([StructField("query_id", ids[0]), StructField("item_id", ids[1]), StructField("raw", DoubleType())])
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one = batch.slice(row, 1)
+                item_ids, item_vectors, query_ids, query_vectors = (one.column(c).flatten() for c in ("i_ids", "i_vectors", "q_ids", "q_vectors"))
+                x, y = _matrix(query_vectors, len(query_ids)), _matrix(item_vectors, len(item_ids))
+                width = min(x.shape[1], y.shape[1])
+                scores = x[:, :width] @ y[:, :width].T
+                names = item_ids.to_pylist()
+                if query_ids.type == item_ids.type and not pa.types.is_nested(item_ids.type):
+                    place = {name: j for j, name in enumerate(names)}
+                    for i, name in enumerate(query_ids.to_pylist()):
+                        if (j := place.get(name)) is not None:
+                            scores[i, j] = -np.inf
+                kept = np.isfinite(scores) if k is None else _best(np.floor(scores * 1e6 + 0.5), k, names)
+                i, j = np.nonzero(kept)
+                yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(i)), item_ids.take(pa.array(j)), pa.array(scores[i, j])], names=["query_id", "item_id", "raw"])
+
+    met = left.join(right, ["q", "salt"]).select("i_ids", "i_vectors", "q_ids", "q_vectors").mapInArrow(products, schema)
+    return met.select("query_id", "item_id", rounded(F.col("raw")).alias("score"))
 
 
 def max_over_windows(scores: DataFrame, windows: DataFrame) -> DataFrame:

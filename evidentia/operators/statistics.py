@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+from hashlib import md5
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions.numeric import rounded
@@ -98,29 +103,52 @@ def kendall_tau(orders: DataFrame) -> DataFrame:
     return x.join(y, F.col("x.name") < F.col("y.name")).agg(rounded(F.avg(sign)).alias("tau"))
 
 
-def _draw(*parts: Column) -> Column:
-    """A number below 2^52 that hangs on the parts alone."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 13), 16, 10).cast("long")
+#: Rounds of a resampling, and those that a task draws at once.
+ROUNDS, TOGETHER = 10_000, 64
+
+
+def draws(kind: str, first: int, rounds: int, size: int) -> np.ndarray:
+    """Numbers below 2^52 that hang on (kind, round, place) alone, of `rounds` rounds from `first` on, a row each, for the places below `size`."""
+    found = (int(md5(f"{kind}:{r}:{k}".encode()).hexdigest()[:13], 16) for r in range(first, first + rounds) for k in range(size))
+    return np.fromiter(found, np.int64, rounds * size).reshape(rounds, size)
+
+
+def in_rounds(row: DataFrame, rounds: int, drawn: Callable[[pd.Series, int, int], pd.DataFrame], schema: str) -> DataFrame:
+    """Rounds dealt over tasks: `drawn` gets the one row and the first and the number of some rounds, and gives a row for each of them."""
+    spark = row.sparkSession
+    dealt = spark.range(0, rounds, TOGETHER, max(1, min(spark.sparkContext.defaultParallelism, rounds // TOGETHER))).withColumnRenamed("id", "first").crossJoin(F.broadcast(row))  # one row
+
+    def run(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block in blocks:
+            for _, r in block.iterrows():
+                yield drawn(r, int(r["first"]), min(TOGETHER, rounds - int(r["first"])))
 
+    return dealt.mapInPandas(run, schema)
 
-def resample(deltas: DataFrame, rounds: int = 200) -> DataFrame:
+
+def _resampled(row: pd.Series, first: int, rounds: int) -> pd.DataFrame:
+    """Mean of a bootstrap and of a sign flip of clusters (s, n), for each round."""
+    s, n = np.asarray(row["s"], np.float64), np.asarray(row["n"], np.int64)
+    if not len(s):
+        return pd.DataFrame({"boot": [], "flip": []}, dtype="float64")
+    picks = draws("b", first, rounds, len(s)) % len(s)
+    signs = np.where(draws("p", first, rounds, len(s)) % 2 == 0, 1.0, -1.0)
+    return pd.DataFrame({"boot": s[picks].sum(1) / n[picks].sum(1), "flip": (signs * s).sum(1) / n.sum()})
+
+
+def resample(deltas: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """One row on (group, delta): mean, cluster bootstrap interval, p of a sign-flip permutation by cluster, effect size.
 
-    Draws are hashes of round and cluster, not a generator's, so they are the same on every engine.
+    Draws are hashes of round and cluster, not a generator's, so they are the same on every engine. A task has the clusters' sums
+    once for each TOGETHER rounds, and draws a matrix of rounds times clusters.
     """
     groups = deltas.groupBy("group").agg(F.sum("delta").alias("s"), F.count("*").alias("n"))
-    numbered = groups.withColumn("k", F.row_number().over(Window.orderBy("group")) - 1)
-    times = deltas.sparkSession.range(rounds).select(F.col("id").alias("round"))
-    slots = numbered.crossJoin(times)  # clusters times rounds, both fixed by the experiment
-    total = F.count("*").over(Window.partitionBy("round"))
-    picks = slots.withColumn("pick", F.pmod(_draw(F.lit("b"), F.col("round"), F.col("k")), total)).select("round", "pick")
-    boot = picks.join(numbered, F.col("pick") == F.col("k")).groupBy("round").agg((F.sum("s") / F.sum("n")).alias("m"))
-    sign = F.when(_draw(F.lit("p"), F.col("round"), F.col("k")) % 2 == 0, 1.0).otherwise(-1.0)
-    flips = slots.groupBy("round").agg((F.sum(sign * F.col("s")) / F.sum("n")).alias("m"))
+    clusters = groups.agg(F.array_sort(F.collect_list(F.struct("group", "s", "n"))).alias("c")).select(F.col("c.s").alias("s"), F.col("c.n").alias("n"))
+    drawn = in_rounds(clusters, rounds, _resampled, "boot double, flip double")
     mean = deltas.agg(F.avg("delta").alias("mean"), F.stddev_samp("delta").alias("sd"))
-    low_high = boot.agg(*[rounded(F.percentile("m", F.lit(p))).alias(n) for n, p in (("low", 0.025), ("high", 0.975))])
-    p = flips.crossJoin(mean).agg(((F.count(F.when(F.abs("m") >= F.abs("mean") - 1e-12, 1)) + 1) / F.lit(rounds + 1.0)).alias("p"))  # one row
-    return mean.crossJoin(low_high).crossJoin(p).select(rounded(F.col("mean")).alias("mean"), "low", "high", rounded(F.col("p")).alias("p"), rounded(F.coalesce(F.try_divide("mean", "sd"), F.lit(0.0))).alias("effect"))  # one row each
+    both = drawn.crossJoin(F.broadcast(mean.select(F.abs("mean").alias("least"))))  # one row
+    found = both.agg(*[rounded(F.percentile("boot", F.lit(p))).alias(n) for n, p in (("low", 0.025), ("high", 0.975))], ((F.count(F.when(F.abs("flip") >= F.col("least") - 1e-12, 1)) + 1) / F.lit(rounds + 1.0)).alias("p"))
+    return mean.crossJoin(found).select(rounded(F.col("mean")).alias("mean"), "low", "high", rounded(F.col("p")).alias("p"), rounded(F.coalesce(F.try_divide("mean", "sd"), F.lit(0.0))).alias("effect"))  # one row each
 
 
 def select_out_of_fold(scores: DataFrame) -> DataFrame:
@@ -149,7 +177,16 @@ def backend_gate(metrics: DataFrame, guards: dict[str, float]) -> DataFrame:
     return promotion(metrics, guards, {}).select("candidate", "guarded", F.col("guarded").alias("passes"))
 
 
-def answerability_oof(rows: DataFrame, names: list[str], coverage: float, rounds: int = 200) -> DataFrame:
+def _fixed_coverage(row: pd.Series, first: int, rounds: int) -> pd.DataFrame:
+    """Share of wrong labels among the best `take` rows drawn, for each round."""
+    wrong = 1 - np.asarray(row["labels"], np.int64)
+    if not len(wrong) or not row["take"]:
+        return pd.DataFrame({"m": []}, dtype="float64")
+    best = np.sort(draws("c", first, rounds, len(wrong)) % len(wrong), 1)[:, : row["take"]]
+    return pd.DataFrame({"m": wrong[best].sum(1) / row["take"]})
+
+
+def answerability_oof(rows: DataFrame, names: list[str], coverage: float, rounds: int = ROUNDS) -> DataFrame:
     """One row on rows (id, group, label, fold, features `names`): AUROC, tie-aware average precision, coverage, selective risk and
     abstention precision out of fold, and the errors at a fixed coverage with their bootstrap interval.
 
@@ -168,10 +205,8 @@ def answerability_oof(rows: DataFrame, names: list[str], coverage: float, rounds
     placed = scored.withColumn("k", F.row_number().over(order)).withColumn("n", total)  # one row a query of a benchmark
     take = F.bround(F.col("n") * F.lit(coverage))
     fixed = placed.where(F.col("k") <= take).agg(n(F.col("label") == 0).alias("fixed_errors"))
-    draws = rows.sparkSession.range(rounds).select(F.col("id").alias("round")).crossJoin(placed.select((F.col("k") - 1).alias("slot"), "n"))  # rounds times queries, both fixed by the experiment
-    picks = draws.withColumn("pick", F.pmod(_draw(F.lit("c"), F.col("round"), F.col("slot")), F.col("n")) + 1).select("round", "slot", "pick", take.alias("take"))
-    ranked = picks.withColumn("at", F.row_number().over(Window.partitionBy("round").orderBy("pick", "slot"))).where("at <= take").join(placed.select(F.col("k").alias("pick"), "label"), "pick")
-    rates = ranked.groupBy("round").agg((F.sum(1 - F.col("label")) / F.max("take")).alias("m")).agg(*[rounded(F.percentile("m", F.lit(p))).alias(c) for c, p in (("low", 0.025), ("high", 0.975))])
+    labels = placed.agg(F.array_sort(F.collect_list(F.struct("k", "label"))).alias("l"), F.first(take).cast("int").alias("take")).select(F.col("l.label").alias("labels"), "take")
+    rates = in_rounds(labels, rounds, _fixed_coverage, "m double").agg(*[rounded(F.percentile("m", F.lit(p))).alias(c) for c, p in (("low", 0.025), ("high", 0.975))])
     return auroc_ap(scored.select("id", "label", "score")).select("auroc", "ap").crossJoin(risk).crossJoin(fixed).crossJoin(rates)  # one row each
 
 
@@ -186,7 +221,7 @@ def scaled_for(rows: DataFrame, names: list[str], numbers: DataFrame) -> DataFra
     return train.select("test", "label", rounded(z).alias("score"))
 
 
-def comparisons(scores: DataFrame, baseline: str, rounds: int = 200) -> DataFrame:
+def comparisons(scores: DataFrame, baseline: str, rounds: int = ROUNDS) -> DataFrame:
     """(name, mean, low, high, p, effect, adjusted): resample() of every system's scores (name, query_id, group, score) less the baseline's, the p adjusted over all."""
     base = scores.where(F.col("name") == baseline).select("query_id", F.col("score").alias("base"))
     names = sorted(r["name"] for r in scores.where(F.col("name") != baseline).select("name").distinct().collect())  # an experiment's systems

@@ -76,7 +76,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def dense(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return R.top_k(R.dense_scores(*vectors(spark, sf_dir)), k)
+    return R.top_k(R.dense_scores(*vectors(spark, sf_dir), k), k)
 
 
 def label_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:

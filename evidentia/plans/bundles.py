@@ -62,7 +62,7 @@ def _dense_for_benchmark(spark, d, k):
     """Items of the embeddings table for every benchmark item, whose vector is the one of its number."""
     e = D.table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
     q = e.join(R.near(D.queries(spark, d).select(F.col("query_id").alias("item_id"))), "item_id", "left_semi").withColumnRenamed("item_id", "query_id")
-    return R.top_k(R.dense_scores(e, q), k)
+    return R.top_k(R.dense_scores(e, q, k), k)
 
 
 def hybrid_dense_top10(spark, d):
@@ -204,7 +204,7 @@ D.CTES |= {
     "oc": ("ob", f"select test, -b.t as threshold from (select test, max({{'a': {D.r('((tp - lp) / tp::double + lq / tq::double) / 2', 12)}, 's': tp - lp + tq - lq, 't': -t}}) as b from (select test, tp, tq, coalesce((score + nx) / 2, score + 1) as t, lp, lq from ob union all select test, tp, tq, score - 1, 0, 0 from ob where pr is null) group by test)"),
     "os": ("oz", "select id, label, score, fold, row_number() over (order by score desc, id) as k, count(*) over () as n from oz where fold = test"),
     "oj": ("os oc", "select os.*, score >= threshold as yes from os join oc on fold = test"),
-    "ox": ("os", "select round, slot, ('0x' || substr(md5('c:' || round || ':' || slot), 1, 13))::bigint % n + 1 as pick, round_even(n * 0.75, 0) as take from (select k - 1 as slot, n from os), (select unnest(range(200)) as round)"),
+    "ox": ("os", "select round, slot, ('0x' || substr(md5('c:' || round || ':' || slot), 1, 13))::bigint % n + 1 as pick, round_even(n * 0.75, 0) as take from (select k - 1 as slot, n from os), (select unnest(range(10000)) as round)"),
     "or1": ("ox os", "select x.round, sum(1 - label) / max(take)::double as m from (select *, row_number() over (partition by round order by pick, slot) as place from ox) x join os on os.k = x.pick where place <= take group by x.round"),
 }
 
@@ -213,11 +213,11 @@ def _compare(name: str, table: str) -> str:
     """SQL for a row of comparisons()."""
     delta = f"(select b.query_id % 8 as g, {D.r('o.ndcg_10 - b.ndcg_10')} as delta from bmm b join {table} o using (query_id))"
     groups = f"(select g, sum(delta) as s, count(*) as n, row_number() over (order by g) - 1 as k from {delta} group by g)"
-    slots = f"(select *, count(*) over (partition by round) as total from {groups}, (select unnest(range(200)) as round))"
+    slots = f"(select *, count(*) over (partition by round) as total from {groups}, (select unnest(range(10000)) as round))"
     boot = f"(select c.round, sum(x.s) / sum(x.n) as m from (select round, {_hash('b')} % total as pick from {slots}) c join {groups} x on x.k = c.pick group by c.round)"
     flips = f"(select round, sum(case when {_hash('p')} % 2 = 0 then 1 else -1 end * s) / sum(n) as m from {slots} group by round)"
     return f"""select '{name}' as name, {D.r(f"(select avg(delta) from {delta})")} as mean, {D.r(f"(select quantile_cont(m, 0.025) from {boot})")} as low, {D.r(f"(select quantile_cont(m, 0.975) from {boot})")} as high,
-      {D.r(f"((select count(*) from {flips} where abs(m) >= abs((select avg(delta) from {delta})) - 1e-12) + 1) / 201.0::double")} as p, {D.r(f"coalesce((select avg(delta) / nullif(stddev_samp(delta), 0) from {delta}), 0)")} as effect"""
+      {D.r(f"((select count(*) from {flips} where abs(m) >= abs((select avg(delta) from {delta})) - 1e-12) + 1) / 10001.0::double")} as p, {D.r(f"coalesce((select avg(delta) / nullif(stddev_samp(delta), 0) from {delta}), 0)")} as effect"""
 
 
 _DIGEST = "sum(('0x' || substr(md5({}), 1, 12))::hugeint) % 2305843009213693951"

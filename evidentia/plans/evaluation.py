@@ -179,7 +179,7 @@ D.CTES |= {
     "gs": ("dl", "select g, sum(delta) as s, count(*) as n, row_number() over (order by g) - 1 as k from dl group by g"),
     "cd": ("items bm100", r"select query_id, item_id, sentence from (select distinct item_id, sentence from (select item_id, trim(unnest(regexp_split_to_array(text, '[.\n]+'))) as sentence from items) where length(sentence) >= 10) join bm100 using (item_id) where rank <= 4"),
     "bt": ("sl gs", f"select c.round, sum(g.s) / sum(g.n) as m from (select round, {_hash('b')} % total as pick from sl) c join gs g on g.k = c.pick group by c.round"),
-    "sl": ("gs", "select *, count(*) over (partition by round) as total from gs, (select unnest(range(200)) as round)"),
+    "sl": ("gs", "select *, count(*) over (partition by round) as total from gs, (select unnest(range(10000)) as round)"),
 }
 
 
@@ -230,7 +230,7 @@ ORACLE = {
     "kendall_tau": f"with s as (select source, row_number() over (order by min(doc_id), source) as a, row_number() over (order by sum(n_chars) desc, source) as b from documents group by source) select {D.r('avg(sign(x.a - y.a) * sign(x.b - y.b))')} as tau from s x join s y on x.source < y.source",
     "paired_resampling": D.sql(
         f"""select {D.r("(select avg(delta) from dl)")} as mean, {D.r("(select quantile_cont(m, 0.025) from bt)")} as low, {D.r("(select quantile_cont(m, 0.975) from bt)")} as high,
-        {D.r("((select count(*) from (select round, sum(case when " + _hash("p") + " % 2 = 0 then 1 else -1 end * s) / sum(n) as m from sl group by round) where abs(m) >= abs((select avg(delta) from dl)) - 1e-12) + 1) / 201.0::double")} as p,
+        {D.r("((select count(*) from (select round, sum(case when " + _hash("p") + " % 2 = 0 then 1 else -1 end * s) / sum(n) as m from sl group by round) where abs(m) >= abs((select avg(delta) from dl)) - 1e-12) + 1) / 10001.0::double")} as p,
         {D.r("coalesce((select avg(delta) / nullif(stddev_samp(delta), 0) from dl), 0)")} as effect""",
         "dl sl bt",
     ),

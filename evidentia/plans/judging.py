@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions.numeric import rounded
@@ -152,19 +155,27 @@ def chunk_ranking(spark, d):
     return materialize(chosen.select("query_id", "rank", "item_id.doc_id", "item_id.chunk"))
 
 
-def card_inputs(spark, d, mode="leaf"):
-    """The chunk ranking, and the fragments of its documents' chunks with those that expansion adds."""
+def card_inputs(spark, d):
+    """The chunk ranking, its documents' fragments and their units."""
     ranking = chunk_ranking(spark, d)
     units = materialize(X.units_from_documents(D.table(spark, d, "documents")).join(R.near(ranking.select("doc_id").distinct()), "doc_id", "left_semi"))
-    fragments = C.packed(units)
-    placed = C.expanded_fragments(fragments, C.expand(C.chunk_table(fragments), mode)) if mode != "leaf" else fragments
-    return ranking, placed.join(units.select("doc_id", "ordinal", K.sentence_stops("text").alias("stops")), ["doc_id", "ordinal"]), units
+    return ranking, materialize(C.packed(units)), units
+
+
+def with_stops(fragments, units):
+    return fragments.join(units.select("doc_id", "ordinal", K.sentence_stops("text").alias("stops")), ["doc_id", "ordinal"])
+
+
+def expanded(ranking, fragments, mode):
+    """The ranked chunks' fragments, with those that a mode of expansion adds."""
+    chunks = C.chunk_table(fragments).withColumn("parent", X.parent_section("parent"))
+    return C.expanded_fragments(fragments, C.expand(chunks, C.owned_sections(fragments), mode, ranking))
 
 
 def evidence_cards(spark, d):
     """Token-budgeted cards of each query's best packed chunks."""
-    ranking, fragments, _ = card_inputs(spark, d)
-    return K.assemble(ranking, fragments)
+    ranking, fragments, units = card_inputs(spark, d)
+    return K.assemble(ranking, with_stops(fragments, units))
 
 
 def card_diagnostics(spark, d):
@@ -172,15 +183,16 @@ def card_diagnostics(spark, d):
 
 
 def expanded_cards(spark, d):
-    """Diagnostics of the cards that each way of expanding a chunk gives."""
-    rows = [K.diagnostics(K.assemble(*card_inputs(spark, d, mode)[:2])).withColumn("mode", F.lit(mode)) for mode in ("leaf", "neighbor", "parent_neighbor")]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    """Diagnostics of the cards that each way of expanding a chunk gives, over one ranking."""
+    ranking, fragments, units = card_inputs(spark, d)
+    rows = [K.diagnostics(K.assemble(ranking, with_stops(expanded(ranking, fragments, mode), units))).withColumn("mode", F.lit(mode)) for mode in ("leaf", "neighbor", "parent", "parent_neighbor")]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def evidence_at_budget(spark, d):
     """Evidence and nugget recall, completeness and waste of each query's cards, sentences in whole units as gold, with the cards' duplicate rate."""
     ranking, fragments, units = card_inputs(spark, d)
-    cards = materialize(K.assemble(ranking, fragments))
+    cards = materialize(K.assemble(ranking, with_stops(fragments, units)))
     shown = cards.select("query_id", "doc_id", F.explode("fragments").alias("f")).select("query_id", "doc_id", "f.*")
     nuggets = D.nuggets(spark, d)
     spans = D._sentences(units.select("doc_id", "ordinal", "text"), "doc_id", "ordinal").join(nuggets, "sentence")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
-from evidentia.functions.numeric import dot, norm, quantize, rounded
+from evidentia.functions.numeric import norm, quantize, rounded
 from evidentia.operators import chunking as C
 from evidentia.operators import extraction as X
 from evidentia.operators import metrics as M
@@ -48,9 +48,8 @@ def dense_top10(spark, d):
 def dense_int8_agreement(spark, d):
     """Exact dense rankings against those of vectors of 8-bit levels, cosine similarity."""
     items, queries = D.vectors(spark, d)
-    q8 = queries.select("query_id", quantize("vector").alias("qv"))
-    pairs = items.select("item_id", quantize("vector").alias("v")).join(R.near(q8), F.col("item_id") != F.col("query_id"))
-    scores = pairs.select("query_id", "item_id", rounded(dot("v", "qv") / (norm("v") * norm("qv"))).alias("score"))
+    unit = lambda rows, id_: rows.select(id_, quantize("vector").alias("v")).select(id_, F.transform("v", lambda x: x / norm("v")).alias("vector"))
+    scores = R.dense_scores(unit(items, "item_id"), unit(queries, "query_id"), 10)
     return R.rank_agreement(D.dense(spark, d, 10), R.top_k(scores, 10))
 
 

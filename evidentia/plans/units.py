@@ -8,6 +8,7 @@ from evidentia.functions import numeric as N
 from evidentia.functions import text as T
 from evidentia.operators import chunking as C
 from evidentia.operators import extraction as X
+from evidentia.operators import intervals as I
 from evidentia.operators import retrieval as R
 from evidentia.plans import _data as D
 
@@ -113,12 +114,33 @@ def interval_overlap(spark, d):
     return total.join(overlap, "doc_id", "left").select("doc_id", "merged", "plain", F.coalesce("shared", F.lit(0)).cast("long").alias("shared"))
 
 
+def _expansion(spark, d, mode):
+    fragments = C.packed(_units(spark, d))
+    chunks = C.chunk_table(fragments).withColumn("parent", X.parent_section("parent"))
+    return C.expand(chunks, C.owned_sections(fragments), mode)
+
+
 def neighbor_expansion(spark, d):
-    return C.expand(C.chunk_table(C.packed(_units(spark, d))))
+    return _expansion(spark, d, "neighbor")
 
 
 def parent_expansion(spark, d):
-    return C.expand(C.chunk_table(C.packed(_units(spark, d))), "parent")
+    """For each chunk the chunks of its parent's own section, however many."""
+    return _expansion(spark, d, "parent")
+
+
+def parent_neighbor_expansion(spark, d):
+    return _expansion(spark, d, "parent_neighbor")
+
+
+def policy_overlap(spark, d):
+    """Tokens that each window of the fixed policy shares with each packed chunk, as ranges of the document's tokens."""
+    units = _units(spark, d)
+    placed = C._placed(units).select("doc_id", "ordinal", "first")
+    ranges = [policy(units).join(placed, ["doc_id", "ordinal"]).groupBy("doc_id", "chunk").agg(F.min(F.col("first") + F.col("unit_start")).alias("start"), F.max(F.col("first") + F.col("unit_stop")).alias("stop")) for policy in (C.fixed, C.packed)]
+    pairs = I.overlap_join(ranges[0], ranges[1], ["doc_id"])
+    shared = F.least("left.stop", "right.stop") - F.greatest("left.start", "right.start")
+    return pairs.select("doc_id", F.col("left.chunk").alias("window"), F.col("right.chunk").alias("chunk"), shared.alias("shared"))
 
 
 def sibling_headings(spark, d):
@@ -127,7 +149,7 @@ def sibling_headings(spark, d):
     return X.sibling_headings(u.select(F.col("page_id").alias("doc_id"), F.col("heading").alias("parent"), "ordinal", F.col("unit_id").alias("heading_id"))).select("doc_id", "ordinal", "before", "after")
 
 
-QUERIES = {f.__name__: f for f in [units_from_documents, units_from_pages, cross_references, family_histogram, context_header, analyzer_term_stats, token_set_overlap, normalized_text, windows_c0, sections_c1, c1_scoring_windows, packed_c2, merged_c3, chunk_token_stats, chunk_integrity, unit_token_counts, interval_overlap, neighbor_expansion, parent_expansion, sibling_headings]}
+QUERIES = {f.__name__: f for f in [units_from_documents, units_from_pages, cross_references, family_histogram, context_header, analyzer_term_stats, token_set_overlap, normalized_text, windows_c0, sections_c1, c1_scoring_windows, packed_c2, merged_c3, chunk_token_stats, chunk_integrity, unit_token_counts, interval_overlap, policy_overlap, neighbor_expansion, parent_expansion, parent_neighbor_expansion, sibling_headings]}
 
 _ID = "substr(sha256({}), 1, {})"
 _BLOCKS = ", ".join(f"'{b}'" for b in X.BLOCKS)
@@ -179,8 +201,14 @@ D.CTES |= {
     "ct0": ("c0", "select doc_id, chunk, sum(unit_stop - unit_start)::int as n_tokens from c0 group by all"),
     "ct2": ("c2", "select doc_id, chunk, arg_min(parent, ordinal) as parent, min(ordinal) as first_ordinal, max(ordinal) as last_ordinal, sum(unit_stop - unit_start)::int as n_tokens from c2 group by doc_id, chunk"),
     "pl2": ("ct2", "select *, row_number() over (partition by doc_id order by first_ordinal, chunk) as place from ct2"),
+    # a parent of 32 lines is the section of its first 8
+    "px": ("pl2 c2", "select distinct a.doc_id, a.chunk, o.chunk as supplement from pl2 a join c2 o on o.doc_id = a.doc_id and o.section = a.parent * 4 and o.chunk <> a.chunk"),
+    "nx": ("pl2", "select a.doc_id, a.chunk, b.chunk as supplement from (select *, row_number() over (partition by doc_id, parent order by first_ordinal, chunk) as k from pl2) a join (select *, row_number() over (partition by doc_id, parent order by first_ordinal, chunk) as k from pl2) b on a.doc_id = b.doc_id and a.parent = b.parent and abs(a.k - b.k) = 1"),
+    "wr0": ("c0 placed", "select c.doc_id, c.chunk, min(first + unit_start) as start, max(first + unit_stop) as stop from c0 c join placed p using (doc_id, ordinal) group by all"),
+    "wr2": ("c2 placed", "select c.doc_id, c.chunk, min(first + unit_start) as start, max(first + unit_stop) as stop from c2 c join placed p using (doc_id, ordinal) group by all"),
 }
 
+_AWAY = "abs((select place from pl2 p where p.doc_id = e.doc_id and p.chunk = e.chunk) - (select place from pl2 p where p.doc_id = e.doc_id and p.chunk = e.supplement))::int"
 _ISL_AGG = "select doc_id, run as chunk, section, min(ordinal) as first_ordinal, count(*) as n_units, sum(n_tokens)::int as n_tokens from isl group by doc_id, run, section"
 _ZERO = "select 0::bigint as uncovered_units, 0::bigint as unknown_units, 0::bigint as out_of_bounds, {}::bigint as overlong_chunks, 0::bigint as repeated_fragments, 0::bigint as uncovered_documents, 0::bigint as uncovered_tokens, 0::bigint as chunk_number_gaps, 0::bigint as chunk_token_gaps"
 _WORDS = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'))"
@@ -217,9 +245,11 @@ ORACLE = {
         "select doc_id, merged, plain, coalesce(shared, 0)::bigint as shared from (select doc_id, sum(n_tokens)::bigint as merged from units where n_tokens > 0 group by doc_id) join (select doc_id, sum(n_tokens)::bigint as plain from ct0 group by doc_id) using (doc_id) left join (select a.doc_id, sum(greatest(0, least(a.unit_stop, b.unit_stop) - greatest(a.unit_start, b.unit_start))) as shared from c0 a join c0 b on a.doc_id = b.doc_id and a.ordinal = b.ordinal and b.chunk = a.chunk + 1 group by a.doc_id) using (doc_id)",
         "units ct0 c0",
     ),
-    "neighbor_expansion": D.sql(
-        "select a.doc_id, a.chunk, b.chunk as supplement, abs(a.place - b.place)::int as distance from (select *, row_number() over (partition by doc_id, parent order by first_ordinal, chunk) as k from pl2) a join (select *, row_number() over (partition by doc_id, parent order by first_ordinal, chunk) as k from pl2) b on a.doc_id = b.doc_id and a.parent = b.parent and abs(a.k - b.k) = 1", "pl2"
+    "policy_overlap": D.sql(
+        "select a.doc_id, a.chunk as window, b.chunk, least(a.stop, b.stop) - greatest(a.start, b.start) as shared from wr0 a join wr2 b on a.doc_id = b.doc_id and a.start < b.stop and b.start < a.stop", "wr0 wr2"
     ),
-    "parent_expansion": D.sql("select a.doc_id, a.chunk, b.chunk as supplement, abs(a.place - b.place)::int as distance from pl2 a join pl2 b on a.doc_id = b.doc_id and a.parent = b.parent and a.chunk <> b.chunk", "pl2"),
+    "neighbor_expansion": D.sql(f"select doc_id, chunk, supplement, {_AWAY} as distance from nx e", "nx pl2"),
+    "parent_expansion": D.sql(f"select doc_id, chunk, supplement, {_AWAY} as distance from px e", "px pl2"),
+    "parent_neighbor_expansion": D.sql(f"select doc_id, chunk, supplement, {_AWAY} as distance from (select * from px union select * from nx) e", "px nx pl2"),
     "sibling_headings": D.sql("select page_id as doc_id, ordinal, lag(unit_id) over w as before, lead(unit_id) over w as after from pu where node_type = 'list_item' window w as (partition by page_id, heading order by ordinal)", "pu"),
 }

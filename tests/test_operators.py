@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.operators import cards, chunking, metrics, pooling, retrieval, statistics
+from evidentia.operators import cards, chunking, intervals, metrics, pooling, retrieval, statistics
 from evidentia.operators import extraction as X
 from evidentia.sources import trec
 
@@ -150,16 +150,69 @@ def test_sentence_stops(spark):
 
 
 def test_expansion(spark):
-    chunks = spark.createDataFrame([(1, i, i // 3, i, i) for i in range(6)] + [(2, 0, 0, 0, 0)], "doc_id long, chunk int, parent int, first_ordinal int, last_ordinal int")
-    pairs = {m: {(r["chunk"], r["supplement"], r["distance"]) for r in chunking.expand(chunks, m).collect()} for m in ("leaf", "neighbor", "parent", "parent_neighbor")}
-    near = {(a, b, 1) for a in range(6) for b in (a - 1, a + 1) if 0 <= b < 6 and a // 3 == b // 3}
-    assert pairs["leaf"] == set() and pairs["neighbor"] == near
-    assert pairs["parent"] == pairs["parent_neighbor"] == {(a, b, abs(a - b)) for a in range(6) for b in range(6) if a != b and a // 3 == b // 3}
+    # sections 0..5 of one chunk each under parents 0 and 3, a chunk in two sections, a document of its own, a chunk without a parent
+    chunks = spark.createDataFrame([(1, i, i // 3 * 3, i) for i in range(6)] + [(2, 0, 0, 0), (2, 1, None, 1)], "doc_id long, chunk int, parent int, first_ordinal int")
+    owned = spark.createDataFrame([(1, i, i) for i in range(6)] + [(1, 5, 3), (2, 0, 0), (2, 1, 0)], "doc_id long, chunk int, section int")
+    pairs = {m: {(r["doc_id"], r["chunk"], r["supplement"], r["distance"]) for r in chunking.expand(chunks, owned, m).collect()} for m in ("leaf", "neighbor", "parent", "parent_neighbor")}
+    near = {(1, a, b, 1) for a in range(6) for b in (a - 1, a + 1) if 0 <= b < 6 and a // 3 == b // 3}
+    above = {(1, a, b, abs(a - b)) for a in range(6) for b in ((0,) if a < 3 else (3, 5)) if a != b} | {(2, 0, 1, 1)}
+    assert pairs["leaf"] == set() and pairs["neighbor"] == near and pairs["parent"] == above and pairs["parent_neighbor"] == near | above
+    asked = spark.createDataFrame([(1, 4)], "doc_id long, chunk int")
+    assert {tuple(r) for r in chunking.expand(chunks, owned, "parent", asked).collect()} == {x for x in above if x[:2] == (1, 4)}
     fragments = spark.createDataFrame([(1, i, i // 2, 0, 5) for i in range(6)], "doc_id long, chunk int, ordinal int, unit_start int, unit_stop int")
-    got = chunking.expanded_fragments(fragments, chunking.expand(chunks, "neighbor")).where("chunk = 1").orderBy("place").collect()
+    got = chunking.expanded_fragments(fragments, chunking.expand(chunks, owned, "neighbor")).where("chunk = 1").orderBy("place").collect()
     assert [(r["place"], r["ordinal"]) for r in got] == [(0, 0), (1, 1)]
 
 
+def test_expansion_of_a_parent_with_many_chunks(spark):
+    chunks = spark.range(500).selectExpr("1L as doc_id", "cast(id as int) as chunk", "0 as parent", "cast(id as int) as first_ordinal")
+    owned = chunks.selectExpr("doc_id", "chunk", "0 as section")
+    got = chunking.expand(chunks, owned, "parent")
+    assert got.count() == got.distinct().count() == 500 * 499 and got.where("distance <> abs(chunk - supplement)").count() == 0
+
+
+def test_overlap_join_equals_all_pairs(spark):
+    rnd = random.Random(5)
+    make = lambda n, key: [(rnd.choice(key), i, (a := rnd.randint(-20, 400)), rnd.choice([a, a + 1, a + rnd.randint(-3, 9), a + rnd.randint(0, 150)])) for i in range(n)]
+    left, right = make(150, ["a", "b", None]) + [("a", 900, None, 3)], make(120, ["a", "a", "b"]) + [("hot", i, i % 7, 9) for i in range(200)]
+    left += [("hot", i, 3, 9) for i in range(1000, 1040)]
+    want = {(k, i, j) for k, i, a, b in left for m, j, c, d in right if k == m and a is not None and a < d and c < b}
+    schema = "unit string, id int, start int, stop int"
+    for width in (None, 1, 37, 10_000):
+        pairs = intervals.overlap_join(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), ["unit"], width)
+        got = [(r["unit"], r["left"]["id"], r["right"]["id"]) for r in pairs.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_blocks_of_vectors_equal_all_pairs(spark, monkeypatch):
+    rnd = random.Random(6)
+    for name, value in (("ITEM_BLOCK", 7), ("QUERY_BLOCK", 3)):
+        monkeypatch.setattr(retrieval, name, value)
+    rows = [(i, [float(rnd.randint(-2, 2)) for _ in range(4)] if i % 9 else [1.0, 1.0, 0.0, 0.0]) for i in range(60)]
+    items, queries = spark.createDataFrame(rows, "item_id long, vector array<float>"), spark.createDataFrame(rows[:20], "query_id long, vector array<float>")
+    full = {(q, i): sum(a * b for a, b in zip(u, v, strict=True)) for q, u in rows[:20] for i, v in rows if i != q}
+    assert {(r["query_id"], r["item_id"]): r["score"] for r in retrieval.dense_scores(items, queries).collect()} == full
+    best = retrieval.top_k(retrieval.dense_scores(items, queries, 5), 5)
+    want = {(q, i, n) for q, _ in rows[:20] for n, (i, _) in enumerate(sorted(((i, s) for (p, i), s in full.items() if p == q), key=lambda x: (-x[1], x[0]))[:5], 1)}
+    assert {(r["query_id"], r["item_id"], r["rank"]) for r in best.collect()} == want
+    assert retrieval.dense_scores(items, queries, 5).count() < 20 * 9 * 6
+    named = retrieval.dense_scores(items.selectExpr("struct(item_id, 1 as k) as item_id", "vector"), queries.selectExpr("struct(query_id as item_id, 1 as k) as query_id", "vector"), 5)
+    assert retrieval.top_k(named, 5).count() == 100
+
+
+def test_draws_are_hashes(spark):
+    import hashlib
+
+    got = statistics.draws("b", 3, 2, 4)
+    assert got.tolist() == [[int(hashlib.md5(f"b:{r}:{k}".encode()).hexdigest()[:13], 16) for k in range(4)] for r in (3, 4)]
+    deltas = spark.createDataFrame([(f"g{i % 7}", (i % 5 - 2) / 10) for i in range(60)], "group string, delta double")
+    few, many = (statistics.resample(deltas, n).first() for n in (100, 3000))
+    assert few["mean"] == many["mean"] and few["low"] <= few["mean"] <= few["high"] and 0 < many["p"] <= 1
+    assert statistics.resample(deltas.limit(0), 50).first()["mean"] is None
+
+
 def test_integrity_finds_faults(spark):
     units = spark.createDataFrame([(1, o, 0, 0, 10) for o in range(3)], "doc_id long, ordinal int, section int, parent int, n_tokens int")
     schema = "doc_id long, chunk int, ordinal int, section int, parent int, unit_start int, unit_stop int, chunk_start int"
