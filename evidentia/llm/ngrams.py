@@ -2,8 +2,9 @@
 
 The order is the same for all sets: by how often the corpus has a shingle, rare ones first, then by hash. How often is counted over all documents in a
 table of fixed size by hash; where two shingles share a counter the order changes, never a result. Two sets that are similar enough share
-a shingle among the first few of each, so rows of (shingle, set) for those few find all candidates: sets are streamed by shingle, in order,
-and each is paired with the first of its shingle. What remains unconnected after that is compared block by block.
+a shingle among the first few of each, so rows of (shingle, set, its size, the shingle's place) for those few find all candidates: they are streamed by
+shingle, in order, and two sets are candidates if what remains of both after the shingle allows the overlap that their sizes ask for. Each set is compared with the
+first candidate before it, then, once components are known, with all other candidates outside its own; shingles of very many sets are compared block by block.
 
 Sets that meet in a task are joined in a prefix tree: those of one side are stored in a trie, edges of several shingles, and the trie is traversed
 with the overlap of the path with every set of the other side, which all sets below share. A subtree is left as soon as no set of the other side
@@ -32,6 +33,8 @@ COUNTERS, SLICE, STEP = 20, 1 << 20, 64
 STRIP = 1 << 14
 #: A shingle counted this often, and so many times more often than the mean of all counters, is dealt into parts of about that size.
 HOT, OFTEN = 1 << 16, 4
+#: Rows of a shingle up to which all its pairs are looked at.
+RUN = 64
 #: Words and sets remembered by a worker.
 _KNOWN = 1 << 18
 
@@ -238,33 +241,69 @@ def _order(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(255, np.rint(8 * np.log2(1 + counts))).astype(np.uint8), np.where(hot, np.minimum(counts // HOT + 1, 1 << 15), 0).astype(np.int16)
 
 
-def _paired(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (key, part, node) in order to (key, part, node, pivot) of keys with several nodes, or dealt into parts; the pivot is the first node."""
-    open_: tuple | None = None  # (key, part, pivot, last node, whether the pivot's row is out)
+def may_match(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles whose first common shingle is at places `at` and `to` of their order can be similar: by their sizes, and by what remains of both."""
+    return (100 * np.minimum(n, m) >= LEAST * np.maximum(n, m)) & (np.minimum(n - at, m - to) >= needed(n, m))
+
+
+_MEMBERS = ("key", "part", "node", "n", "at")
+
+
+def _in_runs(blocks: Iterator[pd.DataFrame], columns: tuple[str, ...]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]:
+    """Rows in (key, part, node) order, whole runs of a (key, part) of RUN rows at most together: columns, each row's place in its run, and whether the run is longer.
+    Of a longer run the rows come some at a time, the first one before each of them."""
+    held: dict[str, np.ndarray] | None = None  # rows of the last run, or the first row of a longer one
+    long = False
     for block in blocks:
-        key, part, node = (block[c].to_numpy(np.int64) for c in ("key", "part", "node"))
-        if open_ is not None:
-            key, part, node = np.concatenate(([open_[0]], key)), np.concatenate(([open_[1]], part)), np.concatenate(([open_[3]], node))
-        if not len(key):
+        new = {c: block[c].to_numpy(np.int64) for c in columns}
+        rows = new if held is None else {c: np.concatenate((held[c], new[c])) for c in columns}
+        if not len(rows["key"]):
             continue
-        head = np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])))
-        fresh = head | np.concatenate(([True], node[1:] != node[:-1]))
-        key, part, node, head = key[fresh], part[fresh], node[fresh], head[fresh]
+        head = np.concatenate(([True], (rows["key"][1:] != rows["key"][:-1]) | (rows["part"][1:] != rows["part"][:-1])))
+        fresh = head | np.concatenate(([True], rows["node"][1:] != rows["node"][:-1]))
+        rows, head = {c: v[fresh] for c, v in rows.items()}, head[fresh]
         heads = np.flatnonzero(head)
-        sizes = np.diff(np.append(heads, len(key)))
-        pivot = np.repeat(node[heads], sizes)
-        shown = np.repeat((sizes > 1) | (part[heads] >= 0), sizes)
-        before = None
-        if open_ is not None:  # the first row stands for what came before
-            pivot[: sizes[0]] = open_[2]
-            before, shown[0] = open_, False
-            if not open_[4] and (sizes[0] > 1 or part[0] >= 0):
-                node = node.copy()
-                node[0], shown[0] = open_[2], True
-        out = (len(heads) == 1 and before is not None and before[4]) or bool(shown[heads[-1]])
-        open_ = (key[-1], part[-1], pivot[-1], node[-1], out)
-        if shown.any():
-            yield pd.DataFrame({"key": key[shown], "part": part[shown], "node": node[shown], "pivot": pivot[shown]})
+        sizes = np.diff(np.append(heads, len(head)))
+        longer = sizes > RUN
+        longer[0] |= long
+        end = heads[-1]  # the last run may go on
+        long = bool(longer[-1])
+        place = np.arange(len(head)) - np.repeat(heads, sizes)
+        out = np.ones(len(head), bool) if long else np.arange(len(head)) < end
+        held = {c: v[end : end + 1] if long else v[end:] for c, v in rows.items()}
+        if out.any():
+            yield {c: v[out] for c, v in rows.items()}, place[out], np.repeat(longer, sizes)[out]
+    if held is not None and not long:
+        n = len(held["key"])
+        yield held, np.arange(n), np.full(n, n > RUN)
+
+
+def _shared(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(key, part, node, n, at) in order to the rows that some other row of their key can match, with the first of those before them (or null), and all rows of
+    long runs and of keys in parts, with the run's first row if it can match."""
+    for rows, place, longer in _in_runs(blocks, _MEMBERS):
+        partner, kept = np.full(len(place), -1), longer | (rows["part"] >= 0)
+        for d in range(1, int(place[~longer].max(initial=0)) + 1):
+            i = np.flatnonzero((place >= d) & ~longer)
+            i = i[may_match(rows["n"][i], rows["at"][i], rows["n"][i - d], rows["at"][i - d])]
+            partner[i], kept[i], kept[i - d] = i - d, True, True
+        i = np.flatnonzero(longer & (place > 0))
+        first = i - place[i]
+        fits = may_match(rows["n"][i], rows["at"][i], rows["n"][first], rows["at"][first])
+        partner[i[fits]] = first[fits]
+        if kept.any():
+            pivot = np.where(partner >= 0, rows["node"][partner], 0)[kept]
+            yield pd.DataFrame({c: v[kept] for c, v in rows.items()} | {"pivot": pivot, "linked": partner[kept] >= 0, "long": longer[kept] | (rows["part"][kept] >= 0)})
+
+
+def _open(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(key, part, node, n, at, label) in order to all pairs (node, pivot) of a key that can match and are not connected yet."""
+    for rows, place, _ in _in_runs(blocks, (*_MEMBERS, "label")):
+        for d in range(1, int(place.max(initial=0)) + 1):
+            i = np.flatnonzero(place >= d)
+            i = i[(rows["label"][i] != rows["label"][i - d]) & may_match(rows["n"][i], rows["at"][i], rows["n"][i - d], rows["at"][i - d])]
+            if len(i):
+                yield pd.DataFrame({"node": rows["node"][i], "pivot": rows["node"][i - d]})
 
 
 @tidy
@@ -301,12 +340,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     prints = durable(_identified(docs).select("doc_id", "none", "id", "print", prefixes("text").alias("p")).select("doc_id", "none", "id", "print", "p.*"))
     nodes = durable(prints.where("n > 0").groupBy("node").agg(F.min(F.struct("none", "id", "print")).alias("first")))
-    keyed = prints.where("keys is not null").select("node", F.explode(F.arrays_zip("keys", "parts")).alias("k")).select(F.col("k.keys").alias("key"), F.col("k.parts").cast("long").alias("part"), "node")
-    members = durable(keyed.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInPandas(_paired, "key long, part long, node long, pivot long"))
-    tops = members.where("part >= 0").select("key", "pivot").distinct()
-    tops = tops.join(tops.groupBy("key").agg(F.min("pivot").alias("top")), "key").where("pivot <> top").select(F.col("pivot").alias("node"), F.col("top").alias("pivot"))
-    pairs = durable(members.where("node <> pivot").select("node", "pivot").unionByName(tops).distinct())
-    members_of = members.select("key", "node")
+    keyed = prints.where("keys is not null").select("node", "n", F.posexplode(F.arrays_zip("keys", "parts")).alias("at", "k")).select(F.col("k.keys").alias("key"), F.col("k.parts").cast("long").alias("part"), "node", "n", F.col("at").cast("long").alias("at"))
+    order_of = ["key", "part", "node"]
+    members = durable(keyed.repartition("key", "part").sortWithinPartitions(order_of).mapInPandas(_shared, "key long, part long, node long, n long, at long, pivot long, linked boolean, long boolean"))
+    firsts = members.where("part >= 0").groupBy("key", "part").agg(F.min("node").alias("node"))
+    tops = firsts.join(firsts.groupBy("key").agg(F.min("node").alias("pivot")), "key").where("node <> pivot").select("node", "pivot")
+    pairs = durable(members.where("linked").select("node", "pivot").unionByName(tops).distinct())
 
     @F.pandas_udf("binary")
     def packed(blocks: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -319,14 +358,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = _identified(docs).join(wanted, ["none", "id", "print"]).dropDuplicates(["none", "id", "print"])
     shingles = durable(texts.select("node", packed("text").alias("shingles")))
     found = durable(_star_links(pairs, shingles, _with_pivot))
-    labels = _labelled(members_of.select("node").distinct(), found)
-    rest = _rest_links(members_of.join(labels, "node"), shingles, _compare)
-    links = durable(found.unionByName(rest))
+    labels = _labelled(members.select("node").distinct(), found)
+    named = members.join(labels, "node")
+    open_ = durable(named.where("not long").select(*_MEMBERS, "label").repartition("key", "part").sortWithinPartitions(order_of).mapInPandas(_open, "node long, pivot long").distinct())
+    more = durable(_star_links(open_, shingles, _with_pivot))
+    rest = _rest_links(named.where("long").select("node", "key", "label"), shingles, _compare)
+    links = durable(found.unionByName(more).unionByName(rest))
     roots = components(links)
     named = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
     smallest = named.groupBy("root").agg(F.min("first").alias("least"))
     classes = durable(named.join(smallest, "root").select("node", F.when(~F.col("least.none"), F.col("least.id")).alias("component_id")))
-    forget(nodes, members, pairs, shingles, found, labels, rest, links, roots)
+    forget(nodes, members, pairs, shingles, found, labels, open_, more, rest, links, roots)
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return prints.join(classes, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 

@@ -930,8 +930,36 @@ def test_shingle_slices_equal_whole(monkeypatch):
         assert np.array_equal(ngrams.shingle_set(t, ngrams._Hashes()), w)
 
 
-@pytest.mark.parametrize("hot", [None, 3])
+def test_runs_of_a_stream_stay_together(monkeypatch):
+    """Every pair of a short run that can match is looked at, wherever blocks are cut; a long run's rows come with its first one."""
+    import pandas as pd
+
+    monkeypatch.setattr(ngrams, "RUN", 5)
+    rnd = random.Random(8)
+    for _ in range(60):
+        rows = sorted({(rnd.randint(0, 6), -1, rnd.randint(0, 9)) for _ in range(rnd.randint(0, 40))})
+        more = [(k, p, node, 20 + node % 3, k % 2, node % 2) for k, p, node in rows]
+        copies = sorted(more * rnd.randint(1, 2))
+        cuts = sorted(rnd.randint(0, len(copies)) for _ in range(4))
+        frames = lambda columns: iter([pd.DataFrame([r[: len(columns)] for r in copies[a:b]], columns=columns) for a, b in zip([0, *cuts], [*cuts, len(copies)], strict=True)])
+        runs = defaultdict(list)
+        for r in more:
+            runs[r[0]].append(r)
+        want = {(y[2], x[2], k) for k, run in runs.items() if len(run) <= 5 for i, y in enumerate(run) for x in run[:i] if ngrams.may_match(np.int64(y[3]), np.int64(y[4]), np.int64(x[3]), np.int64(x[4]))}
+        shared = pd.concat([pd.DataFrame(columns=["key", "node", "pivot", "linked", "long"]), *ngrams._shared(frames(list(ngrams._MEMBERS)))])
+        short = shared[shared["long"] == False]  # noqa: E712
+        assert {(k, n) for k, n in zip(short["key"], short["node"], strict=True)} == {(k, n) for a, b, k in want for n in (a, b)}
+        assert all((n, p, k) in want for k, n, p, l in zip(short["key"], short["node"], short["pivot"], short["linked"], strict=True) if l)
+        assert {(k, n) for k, n in zip(shared["key"], shared["node"], strict=True) if len(runs[k]) > 5} == {(k, r[2]) for k, run in runs.items() if len(run) > 5 for r in run}
+        ends = [(a, b) for f in ngrams._open(iter([pd.DataFrame([r for r in copies if len(runs[r[0]]) <= 5], columns=[*ngrams._MEMBERS, "label"])])) for a, b in zip(f["node"], f["pivot"], strict=True)]
+        assert set(ends) == {(a, b) for a, b, _ in want if a % 2 != b % 2}
+
+
+@pytest.mark.parametrize("hot", [None, 3, "run"])
 def test_ngram_join_equals_brute_force(spark, monkeypatch, hot):
+    if hot == "run":  # runs of more than two sets are compared block by block
+        monkeypatch.setattr(ngrams, "RUN", 2)
+        hot = None
     if hot:  # every shingle of many texts is dealt into parts
         monkeypatch.setattr(ngrams, "HOT", hot)
         monkeypatch.setattr(ngrams, "OFTEN", 0)
