@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
+from evidentia.functions.html import walk
 
 #: Lines in a section and in a parent section of a plain document.
 SECTION, PARENT = 8, 32
-#: Nodes of a page that become units, in document order; the texts of scripts, styles and comments are left out.
-NODE = r"(?i)<(h[1-6]|p|li|td|pre|figcaption)(?:[\s/][^>]*)?>([^<]*)"
-#: Tags that end a node's text; all others are inside it.
-BLOCKS = "address article aside blockquote body caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
-#: Entities that are decoded, the ampersand last.
-ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "nbsp": "\u00a0", "middot": "\u00b7", "copy": "\u00a9", "amp": "&"}
+
+_LINKS = "array<struct<text:string,target:string>>"
+_PAGE = f"units array<struct<tag:string,node_type:string,text:string,anchors:array<string>,tab:string,links:{_LINKS}>>, links {_LINKS}"
 
 
 def source_lines(text: Column | str) -> Column:
@@ -36,30 +37,34 @@ def units_from_documents(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "ordinal", F.floor(F.col("ordinal") / SECTION).cast("int").alias("section"), F.floor(F.col("ordinal") / PARENT).cast("int").alias("parent"), "text", F.size(T.analyze("text", [])).alias("n_tokens"))
 
 
+def _walked(html: str) -> Column:
+    """struct<units, links> of a column of pages."""
+    names = ("tag", "node_type", "text", "anchors", "tab")
+    linked = lambda found: [{"text": t, "target": to} for t, to in found]
+
+    @F.pandas_udf(_PAGE)
+    def walked(blocks: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for pages in blocks:
+            rows = [walk(html) for html in pages]
+            yield pd.DataFrame({"units": [[dict(zip(names, u[:5], strict=True)) | {"links": linked(u[5])} for u in units] for units, _ in rows], "links": [linked(links) for _, links in rows]})
+
+    return walked(html)
+
+
 def units_from_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, ordinal, node_type, heading, heading_path, section_id, parent_id, text, unit_id): headings, paragraphs, items, cells and code of each page, in order.
+    """(page_id, ordinal, node_type, heading, heading_path, section_id, parent_id, text, unit_id, anchors, tab, links): the units of each page, in order.
 
-    A node's text goes to its end tag or the next block tag; tags inside it are left out, a line break is a space, entities
-    are decoded. heading is the nearest heading at or before the unit; heading_path are those open there, a heading being open
+    Every character of text outside scripts, styles and comments is in one unit, that of the innermost tag that makes one (functions/html.py): headings, paragraphs, list
+    items less their nested lists, rows as their cells joined by " | ", terms and definitions, quotes, captions, code, admonitions by kind; images give their alternative text, text in no
+    such tag is a paragraph up to the next block tag. White space is collapsed, units without text are left out. anchors are ids in the unit, or on blocks before it; tab is the label
+    of the panel that the unit is in. heading is the nearest heading at or before the unit; heading_path are those open there, a heading being open
     until one of its level or above comes. A section's id hashes its heading's place, the place -1 standing for the page itself.
     """
-    clean = F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->", "")
-    clean = F.regexp_replace(F.regexp_replace(clean, "<(?![A-Za-z/!?])", "&lt;"), r"(?i)<br\b[^>]*>", " ")
-    clean = F.regexp_replace(clean, rf"(?i)</?(?!/?(?:{'|'.join(BLOCKS)})[\s/>])[^>]*>", "")
-    tags, texts = F.regexp_extract_all(clean, F.lit(NODE), F.lit(1)), F.regexp_extract_all(clean, F.lit(NODE), F.lit(2))
-    nodes = pages.select("page_id", F.posexplode(F.arrays_zip(tags.alias("tag"), texts.alias("text"))).alias("ordinal", "node"))
-    tag = F.lower("node.tag")
-    rows = nodes.select("page_id", "ordinal", tag.alias("tag"), node_type(tag).alias("node_type"), T.collapse(decoded(F.col("node.text"))).alias("text")).where("text <> ''")
+    nodes = pages.select("page_id", F.posexplode(_walked("html")["units"]).alias("ordinal", "node")).select("page_id", "ordinal", "node.*")
+    rows = nodes.withColumn("text", T.collapse("text")).where("text <> ''")
     return _sections(rows).withColumn("unit_id", T.stable_id("page_id", "ordinal", "text"))
 
 
-def decoded(text: Column) -> Column:
-    """Text with its ENTITIES decoded; others stay as they are."""
-    for name, char in ENTITIES.items():
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    return text
-
-
 def _sections(rows: DataFrame) -> DataFrame:
     """`rows` (page_id, ordinal, tag, node_type, text) with the headings open at each row."""
     before = Window.partitionBy("page_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
@@ -71,24 +76,18 @@ def _sections(rows: DataFrame) -> DataFrame:
     open_ = F.array_compact(F.array(*[F.when(F.col(f"_o{k}") > last(k), F.struct(F.col(f"_o{k}").alias("at"), F.col(f"_t{k}").alias("text"))) for k in range(1, 7)]))
     place = lambda i: F.coalesce(F.get(F.reverse(F.col("_open")), F.lit(i))["at"], F.lit(-1))
     placed = seen.withColumn("_open", open_).withColumn("heading_path", F.when(F.size("_open") > 0, F.array_join(F.transform("_open", lambda h: h["text"]), " > ")))
-    return placed.withColumn("section_id", T.stable_id("page_id", place(0))).withColumn("parent_id", T.stable_id("page_id", place(1))).select("page_id", "ordinal", "node_type", "text", "heading", "heading_path", "section_id", "parent_id")
-
-
-def node_type(tag: Column) -> Column:
-    return F.when(tag.rlike("^h[1-6]$"), "heading").when(tag == "li", "list_item").when(tag == "td", "table_row").when(tag == "pre", "code").when(tag == "figcaption", "image_alt").otherwise("paragraph")
+    return placed.withColumn("section_id", T.stable_id("page_id", place(0))).withColumn("parent_id", T.stable_id("page_id", place(1))).select("page_id", "ordinal", "node_type", "text", "heading", "heading_path", "section_id", "parent_id", "anchors", "tab", "links")
 
 
 def cross_references(pages: DataFrame) -> DataFrame:
-    """(page_id, position, text, target) of every link."""
-    link = r"<a href=\"([^\"]*)\">([^<]*)</a>"
-    pairs = F.arrays_zip(F.regexp_extract_all("html", F.lit(link), F.lit(2)).alias("text"), F.regexp_extract_all("html", F.lit(link), F.lit(1)).alias("target"))
-    return pages.select("page_id", F.posexplode(pairs).alias("position", "link")).select("page_id", "position", "link.text", "link.target")
+    """(page_id, position, text, target) of every link, its text with white space collapsed."""
+    return pages.select("page_id", F.posexplode(_walked("html")["links"]).alias("position", "link")).select("page_id", "position", T.collapse("link.text").alias("text"), "link.target")
 
 
 def include_sites(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, target) of include directives, lines counted from one; quotes around a target go."""
+    """(doc_id, line, target) of include and literalinclude directives, lines counted from one. A target goes to the line's end, blanks in it included; quotes around it go."""
     lines = docs.select("doc_id", F.posexplode(source_lines("text")).alias("line", "text"))
-    target = F.regexp_replace(F.regexp_extract("text", r"^[ \t]*\.\.[ \t]+include::[ \t]*([^ \t]+)", 1), "^[\"']+|[\"']+$", "")
+    target = F.regexp_replace(F.regexp_extract("text", r"^[ \t]*\.\.[ \t]+(?:literal)?include::[ \t]*([^ \t].*?)[ \t]*$", 1), "^[\"']+|[\"']+$", "")
     return lines.select("doc_id", (F.col("line") + 1).alias("line"), target.alias("target")).where("target <> ''")
 
 

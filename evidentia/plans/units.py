@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import numeric as N
 from evidentia.functions import text as T
+from evidentia.functions.html import BLOCKS
 from evidentia.operators import chunking as C
 from evidentia.operators import extraction as X
 from evidentia.operators import intervals as I
@@ -23,7 +24,7 @@ def units_from_documents(spark, d):
 
 
 def units_from_pages(spark, d):
-    return X.units_from_pages(D.table(spark, d, "pages"))
+    return X.units_from_pages(D.table(spark, d, "pages")).drop("anchors", "tab", "links")
 
 
 def cross_references(spark, d):
@@ -144,18 +145,25 @@ def policy_overlap(spark, d):
 
 
 def sibling_headings(spark, d):
-    """Each page's units of one type with those before and after them."""
-    u = X.units_from_pages(D.table(spark, d, "pages")).where("node_type = 'list_item'")
-    return X.sibling_headings(u.select(F.col("page_id").alias("doc_id"), F.col("heading").alias("parent"), "ordinal", F.col("unit_id").alias("heading_id"))).select("doc_id", "ordinal", "before", "after")
+    """Each page's units with those before and after them in their section."""
+    u = X.units_from_pages(D.table(spark, d, "pages"))
+    return X.sibling_headings(u.select(F.col("page_id").alias("doc_id"), F.col("section_id").alias("parent"), "ordinal", F.col("unit_id").alias("heading_id"))).select("doc_id", "ordinal", "before", "after")
 
 
 QUERIES = {f.__name__: f for f in [units_from_documents, units_from_pages, cross_references, family_histogram, context_header, analyzer_term_stats, token_set_overlap, normalized_text, windows_c0, sections_c1, c1_scoring_windows, packed_c2, merged_c3, chunk_token_stats, chunk_integrity, unit_token_counts, interval_overlap, policy_overlap, neighbor_expansion, parent_expansion, parent_neighbor_expansion, sibling_headings]}
 
 _ID = "substr(sha256({}), 1, {})"
-_BLOCKS = ", ".join(f"'{b}'" for b in X.BLOCKS)
-_DECODED = "raw"
-for _name, _char in X.ENTITIES.items():
-    _DECODED = f"replace({_DECODED}, '&{_name};', chr({ord(_char)}))"
+#: Block tags and entities of the tables' pages, for their SQL.
+_BLOCKS = ", ".join(f"'{b}'" for b in sorted(BLOCKS))
+_ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "nbsp": "\u00a0", "middot": "\u00b7", "copy": "\u00a9", "amp": "&"}
+
+
+def _decoded(text: str) -> str:
+    for name, char in _ENTITIES.items():
+        text = f"replace({text}, '&{name};', chr({ord(char)}))"
+    return text
+
+
 D.CTES |= {
     # a page as its text between tags: pieces begin with a tag's name; a block tag opens a segment, tags inside add their text to it
     "pc": (
@@ -167,12 +175,12 @@ D.CTES |= {
     ),
     "nd": (
         "pc",
-        f"""select page_id, (row_number() over (partition by page_id order by seg) - 1)::int as ordinal, tag, {_DECODED} as raw
+        f"""select page_id, seg, case when opens then tag else '' end as tag, {_decoded("raw")} as raw
         from (select page_id, seg, arg_min(name, i) as tag, arg_min(opens, i) as opens, string_agg(after, '' order by i) as raw from (select *, sum(block::int) over (partition by page_id order by i) as seg from pc) group by page_id, seg)
-        where seg > 0 and opens and regexp_matches(tag, '^(h[1-6]|p|li|td|pre|figcaption)$')""",
+        where seg > 0""",
     ),
-    "nt": ("nd", f"""select page_id, ordinal, case when tag[1] = 'h' and length(tag) = 2 then 'heading' when tag = 'li' then 'list_item' when tag = 'td' then 'table_row' when tag = 'pre' then 'code' when tag = 'figcaption' then 'image_alt' else 'paragraph' end as node_type,
-        case when regexp_matches(tag, '^h[1-6]$') then tag[2]::int end as level, text from (select page_id, ordinal, tag, {D.collapsed("raw")} as text from nd) where text <> ''"""),
+    "nt": ("nd", f"""select page_id, (row_number() over (partition by page_id order by seg) - 1)::int as ordinal, case when regexp_matches(tag, '^h[1-6]$') then 'heading' when tag = 'li' then 'list_item' when tag = 'title' then 'title' else 'paragraph' end as node_type,
+        case when regexp_matches(tag, '^h[1-6]$') then tag[2]::int end as level, text from (select page_id, seg, tag, {D.collapsed("raw")} as text from nd) where text <> ''"""),
     # a heading is open at a unit unless one of its level or above has come since
     "pu": (
         "nt",
@@ -215,7 +223,8 @@ _WORDS = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'))"
 ORACLE = {
     "units_from_documents": D.sql(f"select doc_id, ordinal, section, parent, n_tokens, {_ID.format('doc_id || chr(0) || ordinal || chr(0) || text', 32)} as unit_id, sha256(text) as text_sha256 from units", "units"),
     "units_from_pages": D.sql("select * from pu", "pu"),
-    "cross_references": r"""select page_id, position::int as position, text, target from (select page_id, unnest(range(len(ts))) as position, unnest(ts) as text, unnest(gs) as target from (select page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) as ts, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) as gs from pages))""",
+    "cross_references": f"""select page_id, position::int as position, {D.collapsed(_decoded("text"))} as text, {_decoded("target")} as target from (select page_id, unnest(range(len(ts))) as position, unnest(ts) as text, unnest(gs) as target
+      from (select page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) as ts, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) as gs from pages))""",
     "family_histogram": "select regexp_extract(url, '^[a-z]+://[^/]+/([^/?#]+)', 1) as family, regexp_extract(url, '^([a-z]+)://', 1) as scheme, count(*) as pages from pages group by all",
     "context_header": D.sql(
         r"""select page_id, 'corpus | module=' || array_to_string(string_split(page, '/')[1:2], '/') || ' | page=' || page || ' | types=' || types as header from (select page_id, regexp_replace(regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1), '\.html$', '') as page from pages)
@@ -251,5 +260,5 @@ ORACLE = {
     "neighbor_expansion": D.sql(f"select doc_id, chunk, supplement, {_AWAY} as distance from nx e", "nx pl2"),
     "parent_expansion": D.sql(f"select doc_id, chunk, supplement, {_AWAY} as distance from px e", "px pl2"),
     "parent_neighbor_expansion": D.sql(f"select doc_id, chunk, supplement, {_AWAY} as distance from (select * from px union select * from nx) e", "px nx pl2"),
-    "sibling_headings": D.sql("select page_id as doc_id, ordinal, lag(unit_id) over w as before, lead(unit_id) over w as after from pu where node_type = 'list_item' window w as (partition by page_id, heading order by ordinal)", "pu"),
+    "sibling_headings": D.sql("select page_id as doc_id, ordinal, lag(unit_id) over w as before, lead(unit_id) over w as after from pu window w as (partition by page_id, section_id order by ordinal)", "pu"),
 }

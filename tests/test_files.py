@@ -134,7 +134,7 @@ def test_records_that_break_rules(spark):
 def test_extraction_checks_find_faults(spark):
     from evidentia.operators import extraction as X
 
-    pages = spark.createDataFrame([(1, "<h1>One two</h1><p>x</p>"), (2, "<div>no units</div>"), (3, "<i>none</i>")], "page_id long, html string")
+    pages = spark.createDataFrame([(1, "<h1>One two</h1><p>x</p>"), (2, "<div><!-- no units --></div>"), (3, "<script>none</script>")], "page_id long, html string")
     units = X.units_from_pages(pages)
     faulty = units.unionByName(units.where("ordinal = 1")).unionByName(units.where("ordinal = 0").withColumn("page_id", F.lit(9)).withColumn("unit_id", F.lit("u"))).unionByName(units.where("ordinal = 0").withColumn("ordinal", F.lit(7)).withColumn("unit_id", F.lit("v")).withColumn("text", F.lit("other words")))
     check = lambda u: {r["rule"]: r["broken"] for r in V.extraction_checks(pages, u, spark.createDataFrame([(3,)], "page_id long"), ["heading", "code"]).collect() if r["broken"]}

@@ -310,6 +310,71 @@ def test_page_units_hold_the_text_of_inline_tags(spark):
     assert [tuple(r)[1:] for r in rows] == [("list_item", "x"), ("list_item", "a b c"), ("paragraph", "y. z"), ("paragraph", "one two 1 < 2 &lt;"), ("code", "q")]
 
 
+PAGE = """<!doctype html><title>T &amp; x</title><body id=top>bare <b>bold</b><div id=s1><h2 id=h>Head</h2>text in div<p>para <a class=x href="/a?b&amp;c"><i>link</i> one</a></div>
+<table><caption>Cap</caption><tr><th>A<th>B<tr><td><p>1</p><p>2</p></td><td>3 <img src=x alt="an image"></td></tr></table>
+<ul><li>one<ul><li>inner a<li>inner b</ul> after<li><p>two</p><pre>code
+ here</pre></ul><dl><dt>term<dd>def <p>more</dl><blockquote><p>q1<p>q2</blockquote>
+<div class="admonition warning"><p>Warning</p><p>Mind &#8364; &eacute;</p></div><div role=tablist><span role=tab id=t1>First tab</span></div><div role=tabpanel aria-labelledby=t1><p>in tab</div>
+<script>var x="<p>no</p>"</script>tail<br>end 1 < 2"""
+
+
+def test_page_units_of_nested_tags(spark):
+    page = spark.createDataFrame([(1, PAGE), (2, None), (3, ""), (4, "<p")], "page_id long, html string")
+    got = [tuple(r) for r in X.units_from_pages(page).orderBy("page_id", "ordinal").select("node_type", "text", "anchors", "tab").collect()]
+    want = [("title", "T & x"), ("paragraph", "bare bold", ["top"]), ("heading", "Head", ["s1", "h"]), ("paragraph", "text in div"), ("paragraph", "para link one"), ("caption", "Cap")]
+    want += [("table_row", "A | B"), ("table_row", "1 2 | 3"), ("image_alt", "an image"), ("list_item", "one after"), ("list_item", "inner a"), ("list_item", "inner b"), ("list_item", "two"), ("code", "code here")]
+    want += [("term", "term"), ("definition", "def more"), ("quote", "q1 q2"), ("admonition:warning", "Warning Mind € é"), ("paragraph", "First tab", ["t1"]), ("paragraph", "in tab", [], "First tab"), ("paragraph", "tail end 1 < 2"), ("paragraph", "<p")]
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [(g[2], g[3]) for g in got] == [((*w, [], None)[2:4] if len(w) == 2 else (w[2], w[3] if len(w) > 3 else None)) for w in want]
+    assert [tuple(r) for r in X.cross_references(page).collect()] == [(1, 0, "link one", "/a?b&c")]
+
+
+def test_page_text_is_in_one_unit_each():
+    """The units' characters are the page's, as a parser that knows no units reads them, whatever is nested or left open."""
+    from collections import Counter
+    from html.parser import HTMLParser
+
+    from evidentia.functions.html import walk
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.text, self.silent = [], False
+
+        def handle_starttag(self, tag, attrs):
+            self.silent = self.silent or tag in ("script", "style")
+            self.text += [v for k, v in attrs if tag == "img" and k == "alt" and v]
+
+        def handle_endtag(self, tag):
+            self.silent = self.silent and tag not in ("script", "style")
+
+        def handle_data(self, data):
+            self.text += [] if self.silent else [data]
+
+    rnd = random.Random(9)
+    tags = "p div li ul ol table tr td th dl dt dd blockquote pre h1 h3 section a b i span figure figcaption caption".split()
+    for _ in range(1500):
+        parts, n = [], 0
+        for _ in range(rnd.randint(1, 40)):
+            roll = rnd.random()
+            tag = rnd.choice(tags)
+            if roll < 0.4:
+                parts.append(f"<{tag}{rnd.choice(['', ' class=note', ' id=x', ' role=tabpanel aria-labelledby=x'])}>")
+            elif roll < 0.6:
+                parts.append(f"</{tag}>")
+            elif roll < 0.65:
+                parts.append(rnd.choice(["<br>", "<img alt=pic>", "<script>no</script>", "<!-- no -->", "&amp;", "<style>no</style>", "<hr>"]))
+            else:
+                n += 1
+                parts.append(f" w{n} ")
+        plain = Plain()
+        plain.feed("".join(parts))
+        plain.close()
+        letters = lambda text: Counter("".join(text.split()))
+        units = "".join(u[2].replace(" | ", " ") for u in walk("".join(parts))[0])
+        assert letters(units) == letters("".join(plain.text)), "".join(parts)
+
+
 def test_sections_of_nested_headings(spark):
     html = "<p>o</p><h1>A</h1><p>a</p><h3>B</h3><p>b</p><h2>C</h2><p>c</p><h1>D</h1><p>d</p>"
     rows = {r["text"]: r for r in X.units_from_pages(spark.createDataFrame([(1, html)], "page_id long, html string")).collect()}
