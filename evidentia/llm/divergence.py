@@ -24,7 +24,7 @@ from evidentia.llm._common import durable, forget, give_back, tidy
 #: Documents of a language that a kept term is in, the smoothing count, the unit of a share, terms given for a source.
 LEAST_DOCS, SMOOTH, SCALE, TOP = 30, 5, 1_000_000_000, 50
 #: Distinct (source, term) counters of a partition until its tries are emitted, bytes of text split at once, leaves of a batch, terms of a dict in a trie.
-COUNTERS, SLICE, BATCH, FEW = 1 << 17, 1 << 20, 1 << 13, 1 << 10
+COUNTERS, SLICE, BATCH, FEW = 1 << 20, 1 << 20, 1 << 13, 1 << 10
 #: Rows whose texts are taken out of a batch at once.
 ROWS = 256
 #: Sources compared with all others in one task; a task holds that many times the sources of a language, 8 bytes each.
@@ -64,8 +64,25 @@ class Node:
         self.label, self.leaf, self.children = label, None, {}
 
 
+def count_in(leaf: list, source: str, n: int) -> None:
+    """Add occurrences to a leaf: none yet is None, one source's are a pair, and several sources' a dict, as most terms have one source."""
+    held = leaf[1]
+    if held is None:
+        leaf[1] = (source, n)
+    elif type(held) is dict:
+        held[source] = held.get(source, 0) + n
+    else:
+        leaf[1] = {held[0]: held[1]}
+        leaf[1][source] = leaf[1].get(source, 0) + n
+
+
+def counts_of(leaf: list) -> dict[str, int]:
+    held = leaf[1]
+    return {} if held is None else held if type(held) is dict else {held[0]: held[1]}
+
+
 class RadixTrie:
-    """Terms by their bytes, with edges of several bytes, and unordered dicts for subtries of few terms. A term's leaf is [documents, {source: occurrences}]."""
+    """Terms by their bytes, with edges of several bytes, and unordered dicts for subtries of few terms. A term's leaf is [documents, occurrences by source], see count()."""
 
     def __init__(self) -> None:
         self.root, self.size = Node(b""), 0
@@ -79,7 +96,7 @@ class RadixTrie:
             at += len(node.label)
             if at == len(term):
                 if node.leaf is None:
-                    node.leaf = [0, {}]
+                    node.leaf = [0, None]
                     self.size += 1
                 return node.leaf
             above, byte = node, term[at]
@@ -90,7 +107,7 @@ class RadixTrie:
         rest = term[at:]
         found = node.get(rest)
         if found is None:
-            found = node[rest] = [0, {}]
+            found = node[rest] = [0, None]
             self.size += 1
             if len(node) > FEW:
                 above.children[byte] = _grown(node)
@@ -99,14 +116,14 @@ class RadixTrie:
     def add(self, term: bytes, source: str, count: int, docs: int = 0) -> None:
         leaf = self.leaf(term)
         leaf[0] += docs
-        leaf[1][source] = leaf[1].get(source, 0) + count
+        count_in(leaf, source, count)
 
     def merge(self, other: RadixTrie) -> None:
-        for term, (docs, counts) in other.walk():
+        for term, found in other.walk():
             leaf = self.leaf(term)
-            leaf[0] += docs
-            for source, n in counts.items():
-                leaf[1][source] = leaf[1].get(source, 0) + n
+            leaf[0] += found[0]
+            for source, n in counts_of(found).items():
+                count_in(leaf, source, n)
 
     def walk(self) -> Iterator[tuple[bytes, list]]:
         """Terms and leaves by bytes, ascending: the order of their code points too."""
@@ -153,7 +170,7 @@ def _grown(rests: dict[bytes, list]) -> Node:
 
 
 def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    """Leaves (lang, term, [docs, {source: count}]) as Arrow batches of _LEAVES."""
+    """Leaves (lang, term, leaf) as Arrow batches of _LEAVES."""
     langs, terms, docs, sources, counts, ends = [], [], [], [], [], [0]
 
     def batch() -> pa.RecordBatch:
@@ -161,10 +178,11 @@ def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         lists = [pa.ListArray.from_arrays(at, pa.array(values, kind)) for values, kind in ((sources, pa.string()), (counts, pa.int64()))]
         return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(terms, pa.binary()), pa.array(docs, pa.int64()), *lists], names=["lang", "term", "docs", "sources", "counts"])
 
-    for lang, term, (n, held) in rows:
+    for lang, term, leaf in rows:
+        held = counts_of(leaf)
         langs.append(lang)
         terms.append(term)
-        docs.append(n)
+        docs.append(leaf[0])
         sources.extend(held)
         counts.extend(held.values())
         ends.append(len(sources))
@@ -184,7 +202,7 @@ def _emptied(terms: dict, docs: dict) -> Iterator[tuple]:
             leaf[0] = n
         for key in sorted(k for k in terms if k[0] == lang):
             for term, n in terms.pop(key).items():
-                leaves[term][1][key[1]] = n
+                count_in(leaves[term], key[1], n)
         for term, leaf in trie.walk():
             yield lang, term, leaf
 
@@ -229,7 +247,7 @@ def _merge(least: int):
                 leaf, last = trie.leaf(term), term
                 leaf[0] += docs
                 for source, n in zip(sources, counts, strict=True):
-                    leaf[1][source] = leaf[1].get(source, 0) + n
+                    count_in(leaf, source, n)
             if last is not None:  # the stream has passed all but its last term
                 kept = RadixTrie()
                 for term, leaf in trie.walk():
