@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
 from evidentia.functions.numeric import rounded
+from evidentia.operators import chunking as C
 from evidentia.operators import extraction as X
 from evidentia.operators import metrics as M
 from evidentia.operators import pooling as P
+from evidentia.operators import schema as S
 from evidentia.operators import validation as V
 from evidentia.plans import _data as D
 from evidentia.plans.evaluation import metrics_sql
@@ -27,9 +29,35 @@ def ranking_violations(spark, d):
     return V.violations(D.bm25(spark, d, 10), "ranking")
 
 
+def _records(spark, d):
+    """Chunks of all documents as records, with faults planted by document number: a digest in capitals, no fragments, a fragment before its unit, too many tokens, no text."""
+    units = X.units_from_documents(D.table(spark, d, "documents"))
+    fragments = C.packed(units)
+    k = lambda n, wrong, right: F.when(F.col("doc_id") % n == 0, wrong).otherwise(right)
+    held = fragments.join(units.select("doc_id", "ordinal", "text"), ["doc_id", "ordinal"]).groupBy("doc_id", "chunk").agg(
+        F.array_sort(F.collect_list(F.struct("ordinal", "unit_start", "unit_stop", "chunk_start", "text"))).alias("f"), F.sum(F.col("unit_stop") - F.col("unit_start")).alias("n")
+    )
+    text = F.array_join(F.transform("f", lambda f: f["text"]), "\n")
+    parts = F.transform("f", lambda f: F.struct(F.concat_ws(":", F.col("doc_id").cast("string"), f["ordinal"].cast("string")).alias("evidence_unit_id"), k(13, f["unit_start"] - 1, f["unit_start"]).alias("unit_token_start"), f["unit_stop"].alias("unit_token_end"), f["chunk_start"].alias("chunk_token_start")))
+    return held.select(
+        F.concat_ws("-", F.col("doc_id").cast("string"), F.col("chunk").cast("string")).alias("id"),
+        F.col("doc_id").cast("string").alias("source_document_id"),
+        k(19, F.lit(None), text).alias("text"),
+        k(7, F.upper(F.sha2(text, 256)), F.sha2(text, 256)).alias("text_sha256"),
+        k(17, F.col("n") + 512, F.col("n")).alias("token_count"),
+        k(11, F.slice(parts, 1, 0), parts).alias("span_fragments"),
+    )
+
+
+def record_schema(spark, d):
+    """How many chunk records break each rule of their schema, nested fragments included."""
+    return S.broken(_records(spark, d), S.KINDS["chunk"], S.KINDS)
+
+
 def include_sites(spark, d):
-    """Include directives of all documents; every fifth document is given one more."""
-    planted = F.concat("text", F.lit("\n.. include:: part/"), F.col("doc_id").cast("string"), F.lit(".rst"))
+    """Include directives of all documents; every fifth document is given one more, every other one of these with a blank and quotes."""
+    number = F.col("doc_id").cast("string")
+    planted = F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("\n.. include:: part/"), number, F.lit(".rst"))).otherwise(F.concat("text", F.lit("\n  .. literalinclude:: \"my part/"), number, F.lit(".rst\" ")))
     docs = D.table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, planted).otherwise(F.col("text")).alias("text"))
     return X.include_sites(docs)
 
@@ -76,7 +104,7 @@ def pool_stability(spark, d):
     return pairs.groupBy(F.col("x.held").alias("held_out")).agg(rounded(F.avg(sign)).alias("tau"))
 
 
-QUERIES = {f.__name__: f for f in [table_digest, ranking_violations, include_sites, quote_lines, source_refs, pool_stability]}
+QUERIES = {f.__name__: f for f in [table_digest, ranking_violations, include_sites, quote_lines, source_refs, pool_stability, record_schema]}
 
 
 def _stability() -> str:
@@ -104,7 +132,16 @@ ORACLE = {
     "table_digest": "select count(*) as n, coalesce(sum(('0x' || substr(md5(doc_id || chr(31) || quality || chr(31) || toxic), 1, 12))::hugeint) % 2305843009213693951, 0)::bigint as digest from labels",
     "ranking_violations": "select unnest(['rank', 'item', 'score']) as rule, 0::bigint as broken",
     "include_sites": r"""select doc_id, line::int as line, regexp_replace(target, '^["'']+|["'']+$', '', 'g') as target
-      from (select doc_id, line, regexp_extract(x, '^[ \t]*\.\.[ \t]+include::[ \t]*([^ \t]+)', 1) as target from (select doc_id, unnest(ls) as x, unnest(range(1, len(ls) + 1)) as line from (select doc_id, string_split(text || case when doc_id % 5 = 0 then chr(10) || '.. include:: part/' || doc_id || '.rst' else '' end, chr(10)) as ls from documents))) where target <> ''""",
+      from (select doc_id, line, regexp_extract(x, '^[ \t]*\.\.[ \t]+(literal)?include::[ \t]*([^ \t].*?)[ \t]*$', 2) as target from (select doc_id, unnest(ls) as x, unnest(range(1, len(ls) + 1)) as line
+        from (select doc_id, string_split(text || case when doc_id % 10 = 0 then chr(10) || '.. include:: part/' || doc_id || '.rst' when doc_id % 5 = 0 then chr(10) || '  .. literalinclude:: "my part/' || doc_id || '.rst" ' else '' end, chr(10)) as ls from documents))) where target <> ''""",
+    "record_schema": D.sql(
+        """select unnest(['id.required', 'id.minLength', 'source_document_id.required', 'source_document_id.minLength', 'text.required', 'text_sha256.required', 'text_sha256.pattern', 'token_count.required', 'token_count.minimum', 'token_count.maximum', 'span_fragments.required', 'span_fragments.minItems',
+          'span_fragments[].required', 'span_fragments[].evidence_unit_id.required', 'span_fragments[].evidence_unit_id.minLength', 'span_fragments[].unit_token_start.required', 'span_fragments[].unit_token_start.minimum', 'span_fragments[].unit_token_end.required', 'span_fragments[].unit_token_end.minimum', 'span_fragments[].chunk_token_start.required', 'span_fragments[].chunk_token_start.minimum']) as rule,
+          unnest([0, 0, 0, 0, count(*) filter (doc_id % 19 = 0), 0, count(*) filter (doc_id % 7 = 0), 0, 0, count(*) filter (n + case when doc_id % 17 = 0 then 512 else 0 end > 512), 0, count(*) filter (doc_id % 11 = 0),
+          0, 0, 0, 0, count(*) filter (doc_id % 11 <> 0 and doc_id % 13 = 0 and low = 0), 0, count(*) filter (doc_id % 11 <> 0 and stop < 1), 0, count(*) filter (doc_id % 11 <> 0 and start < 0)]) as broken
+        from (select doc_id, chunk, sum(unit_stop - unit_start) as n, min(unit_start) as low, min(unit_stop) as stop, min(chunk_start) as start from c2 group by all)""",
+        "c2",
+    ),
     # a whole line is found at each line that contains it
     "quote_lines": _FOUND + "select doc_id, quote, hint, line from found",
     "source_refs": _FOUND + """, r as (select distinct doc_id, line as a, line + 1 as b from found),

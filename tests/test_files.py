@@ -1,6 +1,9 @@
 """Files, bundles, gates, load and extension points."""
 
 import json
+import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,6 +134,55 @@ def test_records_that_break_rules(spark):
     assert {r["rule"]: r["broken"] for r in V.violations(queries, "query").collect()} == {"id": 1, "text": 1, "answerability": 0, "reason": 1}
 
 
+def plain_faults(schema, value, defs, name="", required=True):
+    """Rules that a value breaks, by the words of the schema."""
+    while "$ref" in schema:
+        schema = defs[schema["$ref"].rpartition("/")[2]]
+    kinds = schema.get("type", "string")
+    at = lambda k: f"{name}.{k}".lstrip(".")
+    if value is None:
+        return {at("required")} if required and name and "null" not in kinds else set()
+    tests = {"enum": lambda v: value in v, "const": lambda v: value == v, "minimum": lambda v: value >= v, "maximum": lambda v: value <= v, "minLength": lambda v: len(value) >= v, "pattern": lambda v: re.search(v, value), "minItems": lambda v: len(value) >= v, "uniqueItems": lambda v: not v or len(set(value)) == len(value)}
+    found = {at(k) for k, ok in tests.items() if k in schema and not ok(schema[k])}
+    for part, of in schema.get("properties", {}).items():
+        found |= plain_faults(of, value.get(part), defs, at(part), part in schema.get("required", []))
+    for x in value if "items" in schema else []:
+        found |= plain_faults(schema["items"], x, defs, f"{name}[]")
+    return found
+
+
+def test_schemas_equal_a_plain_validator(spark):
+    """Random records of every kind, right and wrong in every field, break the rules that a validator by the schema's words finds."""
+    from evidentia.operators import schema as S
+
+    rnd = random.Random(12)
+
+    def value(of):
+        while "$ref" in of:
+            of = S.KINDS[of["$ref"].rpartition("/")[2]]
+        kinds = of.get("type", "integer" if of.get("const") == 0 else "string")
+        if rnd.random() < 0.15:
+            return None
+        if "array" in kinds:
+            return [value(of["items"]) for _ in range(rnd.randint(0, 3))]
+        if "object" in kinds:
+            return {k: value(p) for k, p in of["properties"].items()}
+        if "integer" in kinds:
+            return rnd.choice([-1, 0, 1, 3, 4, 512, 513, 2048, 2049])
+        return rnd.choice([True, False]) if "boolean" in kinds else rnd.choice(["", "x", "ab" * 32, "AB" * 32, "y\n", *of.get("enum", [])])
+
+    for kind, schema in S.KINDS.items():
+        records = [{k: value(p) for k, p in schema["properties"].items()} for _ in range(60)]
+        want = Counter(rule for r in records for rule in plain_faults(schema, r, S.KINDS))
+        got = {r["rule"]: r["broken"] for r in S.broken(spark.createDataFrame(records, S.spark_type(schema, S.KINDS)), schema, S.KINDS).collect()}
+        assert {k: n for k, n in got.items() if n} == dict(want) and set(want) <= set(got), kind
+    rows = spark.createDataFrame([("a", 1)], "id string, more int")
+    assert {r["rule"] for r in S.broken(rows, S.KINDS["nugget"]).where("broken > 0").collect()} == {f"{c}.required" for c in ("query_id", "text", "required", "source_span_ids")}
+    assert S.broken(rows.limit(0), S.KINDS["nugget"]).where("broken > 0").count() == 0
+    with pytest.raises(ValueError, match="query_id.required: 1 rows"):
+        S.require(rows, S.KINDS["nugget"])
+
+
 def test_extraction_checks_find_faults(spark):
     from evidentia.operators import extraction as X
 
