@@ -62,12 +62,13 @@ def stable_id(*parts: Column | str, length: int = 32) -> Column:
 
 
 def strip_ansi(text: Column | str) -> Column:
+    """Text without terminal colours. Fixed value: the pattern of their escapes."""
     return F.regexp_replace(text, "\x1b\\[[0-9;]*m", "")
 
 
 def substitutions(text: Column | str) -> Column:
     """Names between bars, as in `|name|`."""
-    return F.regexp_extract_all(text, F.lit(r"\|([^|\s][^|\n]*)\|"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(r"\|([^|\n]+)\|"), F.lit(1))
 
 
 def duplicate_key(text: Column | str) -> Column:

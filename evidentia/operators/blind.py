@@ -25,13 +25,13 @@ def canonical_reviews(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return groups.join(reasons, "id", "left").fillna("", ["reasons"]), named.select("id", "item_id").distinct()
 
 
-def calibration(rows: DataFrame, quotas: dict[str, int], allowed: dict[str, Column]) -> DataFrame:
+def calibration(rows: DataFrame, quotas: dict[str, int], allowed: dict[str, Column] | None = None) -> DataFrame:
     """(bucket, id) picked from rows (id, reasons array, stratum): for each bucket in the given order as many as its quota says, one of each stratum
     in turn, by id within a stratum; a row picked for one bucket is no candidate for the next. `allowed` restricts a bucket further.
     """
     used, picks = rows.select("id").limit(0), []
     for bucket, n in quotas.items():
-        fit = rows.where(F.array_contains("reasons", bucket) & allowed.get(bucket, F.lit(True))).join(used, "id", "left_anti")
+        fit = rows.where(F.array_contains("reasons", bucket) & (allowed or {}).get(bucket, F.lit(True))).join(used, "id", "left_anti")
         turn = F.row_number().over(Window.partitionBy("stratum").orderBy("id"))
         chosen = fit.withColumn("turn", turn).where(F.col("turn") <= n).orderBy("turn", "stratum").limit(n).select(F.lit(bucket).alias("bucket"), "id")
         picks.append(chosen)

@@ -97,7 +97,7 @@ def hard_negatives(candidates: DataFrame, per_query: int = 3) -> DataFrame:
 def round_robin(rows: DataFrame, stratum: Column, key: str, n: int) -> DataFrame:
     """`n` rows, one of each stratum in order of strata, then the next of each; within a stratum by `key`."""
     turn = F.row_number().over(Window.partitionBy("_stratum").orderBy(key))
-    turned = rows.withColumn("_stratum", stratum).withColumn("_turn", turn)
+    turned = rows.withColumn("_stratum", stratum).withColumn("_turn", turn).where(F.col("_turn") <= n)  # a limit of each stratum before it is shuffled
     return turned.orderBy("_turn", "_stratum").limit(n).drop("_turn").withColumnRenamed("_stratum", "stratum")
 
 

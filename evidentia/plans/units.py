@@ -134,6 +134,14 @@ def parent_neighbor_expansion(spark, d):
     return _expansion(spark, d, "parent_neighbor")
 
 
+def marked_texts(spark, d):
+    """Documents with a coloured word and two names between bars, one of them with a blank: colours stripped, names listed, and the lexical text under two headings."""
+    k = F.col("doc_id").cast("string")
+    docs = D.table(spark, d, "documents").select("doc_id", F.concat(F.lit("\x1b[1;31mred\x1b[0m |name "), k, F.lit("| | "), k, F.lit("|\n"), "text").alias("text"), F.array("source", "lang").alias("path"))
+    names = F.array_join(F.slice(T.substitutions("text"), 1, 2), ";")
+    return docs.select("doc_id", F.sha2(T.strip_ansi("text"), 256).alias("plain_sha256"), names.alias("names"), F.sha2(T.lexical("path", T.strip_ansi("text")), 256).alias("lexical_sha256"))
+
+
 def policy_overlap(spark, d):
     """Tokens that each window of the fixed policy shares with each packed chunk, as ranges of the document's tokens."""
     units = _units(spark, d)
@@ -150,7 +158,7 @@ def sibling_headings(spark, d):
     return X.sibling_headings(u.select(F.col("page_id").alias("doc_id"), F.col("section_id").alias("parent"), "ordinal", F.col("unit_id").alias("heading_id"))).select("doc_id", "ordinal", "before", "after")
 
 
-QUERIES = {f.__name__: f for f in [units_from_documents, units_from_pages, cross_references, family_histogram, context_header, analyzer_term_stats, token_set_overlap, normalized_text, windows_c0, sections_c1, c1_scoring_windows, packed_c2, merged_c3, chunk_token_stats, chunk_integrity, unit_token_counts, interval_overlap, policy_overlap, neighbor_expansion, parent_expansion, parent_neighbor_expansion, sibling_headings]}
+QUERIES = {f.__name__: f for f in [units_from_documents, units_from_pages, cross_references, family_histogram, context_header, analyzer_term_stats, token_set_overlap, normalized_text, windows_c0, sections_c1, c1_scoring_windows, packed_c2, merged_c3, chunk_token_stats, chunk_integrity, unit_token_counts, interval_overlap, marked_texts, policy_overlap, neighbor_expansion, parent_expansion, parent_neighbor_expansion, sibling_headings]}
 
 _ID = "substr(sha256({}), 1, {})"
 #: Block tags and entities of the tables' pages, for their SQL.
@@ -254,6 +262,8 @@ ORACLE = {
         "select doc_id, merged, plain, coalesce(shared, 0)::bigint as shared from (select doc_id, sum(n_tokens)::bigint as merged from units where n_tokens > 0 group by doc_id) join (select doc_id, sum(n_tokens)::bigint as plain from ct0 group by doc_id) using (doc_id) left join (select a.doc_id, sum(greatest(0, least(a.unit_stop, b.unit_stop) - greatest(a.unit_start, b.unit_start))) as shared from c0 a join c0 b on a.doc_id = b.doc_id and a.ordinal = b.ordinal and b.chunk = a.chunk + 1 group by a.doc_id) using (doc_id)",
         "units ct0 c0",
     ),
+    "marked_texts": f"""select doc_id, sha256(t) as plain_sha256, 'name ' || doc_id || '; ' || doc_id as names, sha256({D.collapsed("source || ' > ' || lang || ' ' || t")}) as lexical_sha256
+      from (select doc_id, source, lang, 'red |name ' || doc_id || '| | ' || doc_id || '|' || chr(10) || text as t from documents)""",
     "policy_overlap": D.sql(
         "select a.doc_id, a.chunk as window, b.chunk, least(a.stop, b.stop) - greatest(a.start, b.start) as shared from wr0 a join wr2 b on a.doc_id = b.doc_id and a.start < b.stop and b.start < a.stop", "wr0 wr2"
     ),

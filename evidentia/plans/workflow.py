@@ -205,7 +205,7 @@ def calibration_picks(spark, d):
     """Review items for calibration: agreed ones, then some without an answer, then disagreements, each in turn over intents."""
     groups = materialize(V.canonical_reviews(_reviews(spark, d, D.matched(spark, d)))[0])
     rows = groups.select("id", F.split("reasons", ",").alias("reasons"), _of(INTENTS, F.col("query_id")).alias("stratum"), "query_id")
-    return V.calibration(rows, {"agreed_sample": 12, "no_answer": 9, "agent_disagreement": 15}, {"agent_disagreement": F.col("query_id") % 2 == 0})
+    return V.calibration(rows, {"agreed_sample": 12, "no_answer": 9, "agent_disagreement": 15})
 
 
 def review_packets(spark, d):
@@ -287,7 +287,7 @@ def _pick(bucket: str, n: int, used: str, more: str = "") -> str:
 D.CTES |= {
     "c1": ("rg", _pick("agreed_sample", 12, "select ''")),
     "c2p": ("rg c1", _pick("no_answer", 9, "select id from c1")),
-    "c3p": ("rg c1 c2p", _pick("agent_disagreement", 15, "select id from c1 union all select id from c2p", "and query_id % 2 = 0")),
+    "c3p": ("rg c1 c2p", _pick("agent_disagreement", 15, "select id from c1 union all select id from c2p")),
     "sys": ("bm100 ov100 rf100", "select query_id, item_id, rank, 'bm25' as name from bm100 where rank <= 50 union all select query_id, item_id, rank, 'dense' from ov100 where rank <= 50 union all select query_id, item_id, rank, 'hybrid' from rf100 where rank <= 50"),
     "dp": ("", "select unnest([20, 30, 40, 50]) as depth, ['none', 'bm25', 'dense', 'hybrid'] as helds, ['bm25', 'dense', 'hybrid'] as names"),
     "al": ("sys dp", "select depth, query_id, item_id, min(name) as alone from sys join dp on rank <= depth group by depth, query_id, item_id having count(*) = 1"),

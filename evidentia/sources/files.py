@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from evidentia.operators.validation import digest
 from evidentia.sources import trec
+from evidentia.sources.publish import publish
 
 
 class PathBoundaryError(ValueError):
@@ -43,7 +44,7 @@ def identity(*parts: object, length: int = 40) -> str:
 
 def write_json(spark: SparkSession, record: object, path: str) -> None:
     """One file of canonical JSON; the commit of the job makes it appear whole or not at all."""
-    spark.createDataFrame([(canonical(record),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    publish(spark, path, spark.createDataFrame([(canonical(record),)], "value string").coalesce(1).write.text)
 
 
 def read_json(spark: SparkSession, path: str) -> dict:
@@ -76,23 +77,30 @@ def check_snapshot(spark: SparkSession, root: str, expected: dict[str, dict]) ->
         raise ValueError(f"{root} differs from its manifest: {', '.join(wrong[:5])}")
 
 
-def write_run_bundle(run: DataFrame, qrels: DataFrame, metrics: DataFrame, config: dict, system: str, root: str) -> dict:
-    """Write a run's configuration, TREC file, first ten items with their grades, and metrics below `root`/<run id>, and return its manifest.
+def write_run_bundle(run: DataFrame, qrels: DataFrame, metrics: DataFrame, config: dict, system: str, root: str, cards: DataFrame | None = None) -> dict:
+    """Write a run's configuration, TREC file, first ten items with their grades, metrics and, if given, cards (query_id, ..) below `root`/<run id>, and return its manifest.
 
-    The id hashes the configuration and the digests of run and judgments, so the same inputs give the same folder.
+    The id hashes the configuration and the digests of run and judgments, so the same inputs give the same folder. The folder appears as a whole, once all in it
+    has been read back.
     """
     spark = run.sparkSession
     rows = run.select("query_id", "item_id", "rank", "score")
     inputs = {"run": digest(rows).first().asDict(), "qrels": digest(qrels.select("query_id", "item_id", "grade")).first().asDict()}
     run_id = identity(system, config, inputs)
-    at = f"{root.rstrip('/')}/{run_id}"
-    write_json(spark, config, f"{at}/config")
-    trec.write_run(rows, f"{at}/run.trec", system)
     top = rows.where("rank <= 10").join(qrels.select("query_id", "item_id", "grade"), ["query_id", "item_id"], "left")
-    trec.write_json_lines(top, f"{at}/top10", "query_id")
-    trec.write_json_lines(metrics, f"{at}/metrics", metrics.columns[0])
-    manifest = {"id": run_id, "system": system, "inputs": inputs, "outputs": {n: _lines_digest(spark, f"{at}/{n}") for n in ("config", "run.trec", "top10", "metrics")}}
-    write_json(spark, manifest, f"{at}/manifest")
+    manifest: dict = {"id": run_id, "system": system, "inputs": inputs}
+
+    def write(at: str) -> None:
+        write_json(spark, config, f"{at}/config")
+        trec.write_run(rows, f"{at}/run.trec", system)
+        trec.write_json_lines(top, f"{at}/top10", "query_id")
+        trec.write_json_lines(metrics, f"{at}/metrics", metrics.columns[0])
+        if cards is not None:
+            trec.write_json_lines(cards, f"{at}/cards", "query_id")
+        manifest["outputs"] = {n: _lines_digest(spark, f"{at}/{n}") for n in ("config", "run.trec", "top10", "metrics", *(["cards"] if cards is not None else []))}
+        write_json(spark, manifest, f"{at}/manifest")
+
+    publish(spark, f"{root.rstrip('/')}/{run_id}", write, lambda at: read_json(spark, f"{at}/manifest"))
     return manifest
 
 

@@ -6,17 +6,26 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions.text import canonical_json
+from evidentia.sources.publish import publish
 
 
 def nine_digits(score: Column) -> Column:
-    """A score as text of at most nine significant digits."""
-    return F.format_string("%.8e", score.cast("double")).cast("double").cast("string")
+    """A score (a normal number) as text of at most nine significant digits: fixed from 1e-4 up to 1e9, with an exponent of two digits or more beyond; trailing zeros go."""
+    text = F.format_string("%.8e", score.cast("double"))
+    minus, digits = F.regexp_extract(text, "^(-?)", 1), F.regexp_replace(F.regexp_extract(text, r"([0-9.]+)e", 1), r"\.", "")
+    power = F.regexp_extract(text, r"e([+-][0-9]+)$", 1).cast("int")
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    large = F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.lit(9)))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    far = F.concat(bare(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 8))), F.lit("e"), F.regexp_extract(text, r"e([+-][0-9]+)$", 1))
+    number = F.when(power.between(0, 8), bare(large)).when(power.between(-4, -1), bare(small)).otherwise(far)
+    return F.when(F.isnan(score.cast("double")) | (F.abs(score.cast("double")) == float("inf")), F.lower(score.cast("string"))).otherwise(F.concat(minus, number))
 
 
 def write_run(run: DataFrame, path: str, tag: str) -> None:
     """`query Q0 item rank score tag` lines of (query_id, item_id, rank, score), in order of query and rank, in as many files as there are partitions."""
     line = F.concat_ws(" ", F.col("query_id").cast("string"), F.lit("Q0"), F.col("item_id").cast("string"), F.col("rank").cast("string"), nine_digits(F.col("score")), F.lit(tag))
-    run.repartitionByRange("query_id").sortWithinPartitions("query_id", "rank").select(line).write.mode("overwrite").text(path)
+    publish(run.sparkSession, path, run.repartitionByRange("query_id").sortWithinPartitions("query_id", "rank").select(line).write.text)
 
 
 def read_run(spark: SparkSession, path: str) -> DataFrame:
@@ -31,7 +40,7 @@ def read_run(spark: SparkSession, path: str) -> DataFrame:
 
 def write_qrels(qrels: DataFrame, path: str) -> None:
     """`query 0 item grade` lines."""
-    qrels.select(F.concat_ws(" ", F.col("query_id").cast("string"), F.lit("0"), F.col("item_id").cast("string"), F.col("grade").cast("string"))).write.mode("overwrite").text(path)
+    publish(qrels.sparkSession, path, qrels.select(F.concat_ws(" ", F.col("query_id").cast("string"), F.lit("0"), F.col("item_id").cast("string"), F.col("grade").cast("string"))).write.text)
 
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
@@ -43,9 +52,14 @@ def read_qrels(spark: SparkSession, path: str) -> DataFrame:
 
 def write_beir(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, path: str) -> None:
     """corpus (_id, title, text) and queries (_id, text) as JSON lines, qrels as tab-separated values with a header."""
-    corpus.select("_id", "title", "text").write.mode("overwrite").json(f"{path}/corpus")
-    queries.select("_id", "text").write.mode("overwrite").json(f"{path}/queries")
-    qrels.select(F.col("query_id").alias("query-id"), F.col("item_id").alias("corpus-id"), F.col("grade").alias("score")).write.mode("overwrite").option("sep", "\t").option("header", True).csv(f"{path}/qrels")
+    judged = qrels.select(F.col("query_id").alias("query-id"), F.col("item_id").alias("corpus-id"), F.col("grade").alias("score"))
+
+    def write(at: str) -> None:
+        corpus.select("_id", "title", "text").write.json(f"{at}/corpus")
+        queries.select("_id", "text").write.json(f"{at}/queries")
+        judged.write.option("sep", "\t").option("header", True).csv(f"{at}/qrels")
+
+    publish(corpus.sparkSession, path, write)
 
 
 def read_beir(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -74,7 +88,7 @@ def json_lines(rows: DataFrame) -> DataFrame:
 def write_json_lines(rows: DataFrame, path: str, sort_key: str) -> None:
     """Canonical JSON lines in order of `sort_key` as text, then of the line, in one or more files in that order."""
     lines = rows.select(F.col(sort_key).cast("string").alias("k"), canonical_json(**{c: F.col(c) for c in rows.columns}).alias("value"))
-    lines.repartitionByRange("k").sortWithinPartitions("k", "value").select("value").write.mode("overwrite").text(path)
+    publish(rows.sparkSession, path, lines.repartitionByRange("k").sortWithinPartitions("k", "value").select("value").write.text)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:

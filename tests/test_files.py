@@ -134,6 +134,37 @@ def test_records_that_break_rules(spark):
     assert {r["rule"]: r["broken"] for r in V.violations(queries, "query").collect()} == {"id": 1, "text": 1, "answerability": 0, "reason": 1}
 
 
+def test_outputs_appear_whole(spark, tmp_path):
+    from evidentia.sources.publish import publish
+
+    path = f"file://{tmp_path}/out/lines"
+    held = lambda: sorted(r["value"] for r in spark.read.text(path).collect())
+    rows = spark.createDataFrame([(i, f"x{i}") for i in range(20)], "k int, text string").repartition(4)
+    trec.write_json_lines(rows, path, "k")
+    first = held()
+    failing = rows.withColumn("text", F.when(F.col("k") < 15, F.col("text")).otherwise(F.raise_error(F.lit("late"))))
+    with pytest.raises(Exception, match="late"):
+        trec.write_json_lines(failing, path, "k")
+    with pytest.raises(ValueError, match="wrong"):
+        publish(spark, path, rows.select("text").write.text, lambda at: (_ for _ in ()).throw(ValueError("wrong")))
+    assert held() == first and len(first) == 20
+    trec.write_json_lines(rows.where("k < 3"), path, "k")
+    assert len(held()) == 3 and [p.name for p in (tmp_path / "out").iterdir()] == ["lines"]
+
+
+def test_scores_have_nine_digits(spark):
+    rnd = random.Random(3)
+    values = [0.0, -0.0, 1.0, -2.5, 1e-4, 1e-5, 123456789.0, 1e9, 999999999.6, 0.1 + 0.2, 1.7e308, *[rnd.uniform(-1, 1) * 10 ** rnd.randint(-12, 14) for _ in range(400)]]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", trec.nine_digits(F.col("x")).alias("t")).collect()
+    assert [r["t"] for r in got] == [f"{r['x']:.9g}" for r in got]
+
+
+def test_quotas_add_up():
+    from evidentia.operators import benchmark
+
+    assert benchmark.quota_sums({"a": {"x": 2, "y": 3}, "b": {"z": 4}}, {"a": 5, "b": 5}) == [("b", 5, 4)]
+
+
 def plain_faults(schema, value, defs, name="", required=True):
     """Rules that a value breaks, by the words of the schema."""
     while "$ref" in schema:
