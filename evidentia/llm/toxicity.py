@@ -24,7 +24,7 @@ from evidentia.llm._sample import labelled
 #: Labelled documents trained on at most, hash bits, letters of the prefix features, passes.
 TRAIN_DOCS, HASH_BITS, STEMS, PASSES = 8000, 20, (4, 5), 5
 #: Bytes of the sample's features that are in the driver at once, about.
-PART_BYTES = 32 << 20
+PART_BYTES = 8 << 20
 #: FTRL-proximal: rate, its smoothing, L1, L2.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.0
 #: Folds of crc32(doc_id as text); the first is held out.
