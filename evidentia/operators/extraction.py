@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -97,29 +99,45 @@ def sibling_headings(headings: DataFrame) -> DataFrame:
     return headings.withColumn("before", F.lag("heading_id").over(order)).withColumn("after", F.lead("heading_id").over(order))
 
 
+def _lines_of(text: str, quotes: list[tuple[str, int]]) -> list[int | None]:
+    """The line of each quote (text, hint), the text's lines and their starts looked up once for all of them."""
+    lines = text.split("\n")
+    starts = [0, *accumulate(len(x) + 1 for x in lines)]
+    bare = [x.strip() for x in lines]
+    by_line: dict[str, list[int]] = {}
+    for i, x in enumerate(bare):
+        by_line.setdefault(x, []).append(i)
+    found: list[int | None] = []
+    for quote, hint in quotes:
+        at, places = text.find(quote), []
+        while at >= 0:
+            line = bisect_right(starts, at)
+            places.append(line)
+            # the next that matters starts after this one, as a plain search from left to right finds it
+            at = text.find(quote, at + len(quote))
+        if not places:
+            wanted = [x.strip() for x in quote.split("\n")]
+            places = [i + 1 for i in by_line.get(wanted[0], ()) if bare[i : i + len(wanted)] == wanted]
+        found.append(min(places, key=lambda x: (abs(x - hint), x), default=None))
+    return found
+
+
 def locate_lines(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     """(doc_id, quote, hint, line): for each quote (doc_id, quote, hint) the line on which its text starts that is nearest to the hint, counted from one.
 
-    Where the exact text is nowhere, runs of lines that equal the quote's but for white space at their ends count. Of two equally
-    near lines the first wins. Empty quotes and those found nowhere are left out. Several quotes of a document go over its text one by one.
+    Where the exact text is nowhere, runs of lines that equal the quote's but for white space at their ends count, found by their first line. Of two equally
+    near lines the first wins. Empty quotes and those found nowhere are left out. A document's text travels and is cut into lines once for all its quotes, which are one row.
     """
-    asked = quotes.where("quote <> ''").distinct().join(docs.select("doc_id", F.array_join(source_lines("text"), "\n").alias("text")), "doc_id")
-    breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    # a quote starts where a piece before it ends: the line is one more than the breaks in pieces and quotes so far
-    pieces = F.split("text", F.concat(F.lit(r"\Q"), F.replace("quote", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")), -1)
-    starts = F.aggregate(
-        F.slice(pieces, F.lit(1), F.size(pieces) - 1),
-        F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("lines")),
-        lambda s, p: F.struct((s["at"] + breaks(p) + breaks(F.col("quote"))).alias("at"), F.concat(s["lines"], F.array(s["at"] + breaks(p))).alias("lines")),
-        lambda s: s["lines"],
-    )
-    bare = lambda c: F.transform(F.split(c, "\n"), lambda x: F.regexp_replace(x, f"^{T.SPACE}+|{T.SPACE}+$", ""))
-    rows, wanted = F.col("_rows"), F.col("_wanted")
-    loose = F.filter(F.sequence(F.lit(1), F.size(rows) - F.size(wanted) + 1), lambda i: F.slice(rows, i, F.size(wanted)) == wanted)
-    exact = asked.withColumn("_exact", starts).withColumn("_rows", F.when(F.size("_exact") == 0, bare("text"))).withColumn("_wanted", F.when(F.size("_exact") == 0, bare("quote")))
-    lines = F.when(F.size("_exact") > 0, F.col("_exact")).when(F.size(rows) >= F.size(wanted), loose).otherwise(F.array().cast("array<int>"))
-    near = F.array_min(F.transform(lines, lambda x: F.struct(F.abs(x - F.col("hint")).alias("off"), x.alias("line"))))
-    return exact.select("doc_id", "quote", "hint", near["line"].alias("line")).where("line is not null")
+    asked = quotes.where("quote <> ''").groupBy("doc_id").agg(F.collect_set(F.struct("quote", "hint")).alias("quotes"))
+    rows = asked.join(docs.select("doc_id", F.array_join(source_lines("text"), "\n").alias("text")), "doc_id")
+
+    @F.pandas_udf("array<int>")
+    def located(blocks: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, asked_of in blocks:
+            yield pd.Series([_lines_of(t or "", [(q["quote"], q["hint"]) for q in some]) for t, some in zip(texts, asked_of, strict=True)], dtype=object)
+
+    found = rows.withColumn("lines", located("text", "quotes")).select("doc_id", F.explode(F.arrays_zip("quotes", "lines")).alias("f"))
+    return found.select("doc_id", "f.quotes.quote", "f.quotes.hint", F.col("f.lines").alias("line")).where("line is not null")
 
 
 def source_refs(docs: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -73,8 +73,10 @@ def _quotes(spark, d):
 
 
 def quote_lines(spark, d):
-    """Where the quotes of every document are found, nearest to the line they were taken from."""
-    return X.locate_lines(D.table(spark, d, "documents"), _quotes(spark, d))
+    """Where the quotes of every document are found, nearest to the line they were taken from; each once more with other white space around it, which is found loosely."""
+    quotes = _quotes(spark, d)
+    loose = quotes.withColumn("quote", F.concat(F.lit("\t "), "quote", F.lit("  ")))
+    return X.locate_lines(D.table(spark, d, "documents"), quotes.unionByName(loose))
 
 
 def source_refs(spark, d):
@@ -143,7 +145,12 @@ ORACLE = {
         "c2",
     ),
     # a whole line is found at each line that contains it
-    "quote_lines": _FOUND + "select doc_id, quote, hint, line from found",
+    "quote_lines": (
+        _FOUND
+        + """select doc_id, quote, hint, line from found union all
+      select q.doc_id, chr(9) || ' ' || quote || '  ' as quote, hint::int as hint, arg_min(l.n, abs(l.n - hint) * 1000000000 + l.n)::int as line
+      from q join (select doc_id, n, regexp_replace(x, '^SPACE+|SPACE+$', '', 'g') as y from l) l on l.doc_id = q.doc_id and l.y = regexp_replace(q.quote, '^SPACE+|SPACE+$', '', 'g') group by all""".replace("SPACE", T.SPACE)
+    ),
     "source_refs": _FOUND + """, r as (select distinct doc_id, line as a, line + 1 as b from found),
       o as (select *, coalesce(a > max(b) over (partition by doc_id order by a rows between unbounded preceding and 1 preceding) + 1, true) as new from r),
       m as (select doc_id, min(a) as a, max(b) as b from (select *, sum(new::int) over (partition by doc_id order by a) as run from o) group by doc_id, run),
