@@ -84,4 +84,4 @@ def test_include_sites_of_all_documents(spark, tmp_path):
     from evidentia.plans import checks
 
     spark.createDataFrame([(1, "a\n.. include:: x.rst\nb"), (5, "c")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    assert sorted(map(tuple, checks.include_sites(spark, str(tmp_path)).collect())) == [(1, 2, "x.rst"), (5, 2, "part/5.rst")]
+    assert sorted(map(tuple, checks.include_sites(spark, str(tmp_path)).collect())) == [(1, 2, "x.rst"), (5, 2, "my part/5.rst")]
