@@ -355,8 +355,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         give_back()
 
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "first.*")
-    texts = _identified(docs).join(wanted, ["none", "id", "print"]).dropDuplicates(["none", "id", "print"])
-    shingles = durable(texts.select("node", packed("text").alias("shingles")))
+    # both joins shuffle at every size: a table that is broadcast while it is small would hide what a large one costs
+    texts = _identified(docs).join(wanted.hint("merge"), ["none", "id", "print"]).dropDuplicates(["none", "id", "print"])
+    shingles = durable(texts.select("node", packed("text").alias("shingles"))).hint("merge")
     found = durable(_star_links(pairs, shingles, _with_pivot))
     labels = _labelled(members.select("node").distinct(), found)
     named = members.join(labels, "node")
