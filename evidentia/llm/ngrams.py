@@ -279,7 +279,7 @@ def _in_runs(blocks: Iterator[pd.DataFrame], columns: tuple[str, ...]) -> Iterat
 
 
 def _shared(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(key, part, node, n, at) in order to the rows that some other row of their key can match, with the first of those before them (or null), and all rows of
+    """(key, part, node, n, at) in order to the rows that some other row of their key can match, with the first of those before them as pivot where linked, and all rows of
     long runs and of keys in parts, with the run's first row if it can match."""
     for rows, place, longer in _in_runs(blocks, _MEMBERS):
         partner, kept = np.full(len(place), -1), longer | (rows["part"] >= 0)
