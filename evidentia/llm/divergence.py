@@ -179,12 +179,16 @@ def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(terms, pa.binary()), pa.array(docs, pa.int64()), *lists], names=["lang", "term", "docs", "sources", "counts"])
 
     for lang, term, leaf in rows:
-        held = counts_of(leaf)
+        held = leaf[1]
         langs.append(lang)
         terms.append(term)
         docs.append(leaf[0])
-        sources.extend(held)
-        counts.extend(held.values())
+        if type(held) is tuple:
+            sources.append(held[0])
+            counts.append(held[1])
+        elif held:
+            sources.extend(held)
+            counts.extend(held.values())
         ends.append(len(sources))
         if len(terms) >= BATCH:
             yield batch()
