@@ -310,6 +310,15 @@ def test_page_units_hold_the_text_of_inline_tags(spark):
     assert [tuple(r)[1:] for r in rows] == [("list_item", "x"), ("list_item", "a b c"), ("paragraph", "y. z"), ("paragraph", "one two 1 < 2 &lt;"), ("code", "q")]
 
 
+def test_only_whole_references_are_decoded():
+    """A title cut off inside a reference keeps what is left of it, as the SQL of units_from_pages does."""
+    from evidentia.functions.html import walk
+
+    units, links = walk('<title>a &amp; b&amp</title><h1>c&am</h1><p>d &lt e &copy;&copyx; &#65;&#66 &nope; &amp;lt; &</p><a href="?a=1&copy=2&amp;d">l</a>')
+    assert [u[2] for u in units] == ["a & b&amp", "c&am", "d &lt e \u00a9&copyx; A&#66 &nope; &lt; &", "l"]
+    assert links == [("l", "?a=1&copy=2&d")]
+
+
 PAGE = """<!doctype html><title>T &amp; x</title><body id=top>bare <b>bold</b><div id=s1><h2 id=h>Head</h2>text in div<p>para <a class=x href="/a?b&amp;c"><i>link</i> one</a></div>
 <table><caption>Cap</caption><tr><th>A<th>B<tr><td><p>1</p><p>2</p></td><td>3 <img src=x alt="an image"></td></tr></table>
 <ul><li>one<ul><li>inner a<li>inner b</ul> after<li><p>two</p><pre>code
