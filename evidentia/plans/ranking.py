@@ -11,6 +11,7 @@ from evidentia.operators import extraction as X
 from evidentia.operators import metrics as M
 from evidentia.operators import retrieval as R
 from evidentia.plans import _data as D
+from evidentia.sources.tables import materialize
 
 
 def bm25_top10(spark, d):
@@ -27,9 +28,8 @@ def _window_texts(spark, d, policy=C.fixed):
 
 
 def bm25_window_max(spark, d):
-    windows = _window_texts(spark, d)
-    scores = R.bm25_scores(windows.select(F.col("window_id").alias("item_id"), "text"), D.queries(spark, d))
-    return R.top_k(R.max_over_windows(scores, windows.select("window_id", "item_id")), 10)
+    found = R.matches(_window_texts(spark, d).select(F.col("window_id").alias("item_id"), "text"), D.queries(spark, d))
+    return R.top_k(R.best_of(found, 10, owner=F.col("item_id.doc_id")), 10)
 
 
 def _fields(spark, d):
@@ -69,17 +69,18 @@ def nway_rrf_top10(spark, d):
 
 def tmm_convex_top10(spark, d):
     m = D.matched(spark, d)
-    return R.top_k(R.tmm(R.bm25_of(m), R.overlap_of(m), 0.8), 10)
+    union = materialize(D.bm25(spark, d, R.DEPTH, m).select("query_id", "item_id").union(D.overlap(spark, d, R.DEPTH, m).select("query_id", "item_id")).distinct())
+    return R.top_k(R.tmm(R.bm25_of(m, union), R.overlap_of(m, union), 0.8, union=union), 10)
 
 
 def rerank_top50(spark, d):
     m = D.matched(spark, d)
-    return R.rerank(D.bm25(spark, d, 100, m), R.overlap_of(m), 50)
+    return R.rerank(D.bm25(spark, d, 100, m), R.overlap_of(m, D.bm25(spark, d, 50, m)), 50)
 
 
 def rerank_with_tail(spark, d):
     m = D.matched(spark, d)
-    return R.rerank(D.bm25(spark, d, 100, m), R.overlap_of(m), 20, True)
+    return R.rerank(D.bm25(spark, d, 100, m), R.overlap_of(m, D.bm25(spark, d, 20, m)), 20, True)
 
 
 def query_decomposition(spark, d):
@@ -91,7 +92,7 @@ def decomposed_bm25_top10(spark, d):
     """BM25 for each part of a decomposed query, the whole included, the first list counting as much as the others together."""
     asked = D.queries(spark, d).select("query_id", F.posexplode(T.subqueries("text")).alias("position", "text"))
     key = F.struct("query_id", "position").alias("key")
-    scores = R.bm25_scores(D.items(spark, d), asked.select(key.alias("query_id"), "text"))
+    scores = R.best_of(R.matches(D.items(spark, d), asked.select(key.alias("query_id"), "text")), 100)
     n = asked.groupBy("query_id").agg(F.count("*").alias("parts"))
     ranked = R.top_k(scores, 100).select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.position").alias("position"), "item_id", "rank").join(R.near(n), "query_id")
     weight = F.when(F.col("position") == 0, 1.0).otherwise(1.0 / F.greatest(F.col("parts") - 1, F.lit(1)))
@@ -102,7 +103,7 @@ def decomposed_bm25_top10(spark, d):
 def contextual_bm25_top10(spark, d):
     """BM25 over documents with a header of where they come from."""
     docs = D.table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.concat(F.lit("corpus | module="), "source", F.lit(" | page="), "lang", F.lit("\n"), "text").alias("text"))
-    return R.top_k(R.bm25_scores(docs, D.queries(spark, d)), 10)
+    return R.top_k(R.best_of(R.matches(docs, D.queries(spark, d)), 10), 10)
 
 
 def rank_agreement(spark, d):
@@ -117,8 +118,8 @@ def ranking_features(spark, d):
 def source_doc_ranking(spark, d):
     """A chunk ranking as a document ranking, each document at its first chunk."""
     windows = _window_texts(spark, d)
-    run = R.top_k(R.bm25_scores(windows.select(F.col("window_id").alias("item_id"), "text"), D.queries(spark, d)), 20)
-    return M.first_by_document(run, windows.select(F.col("window_id").alias("item_id"), F.col("item_id").alias("document_id")))
+    run = R.top_k(R.best_of(R.matches(windows.select(F.col("window_id").alias("item_id"), "text"), D.queries(spark, d)), 20), 20)
+    return M.first_by_document(run, run.select("item_id", F.col("item_id.doc_id").alias("document_id")).distinct())
 
 
 QUERIES = {f.__name__: f for f in [bm25_top10, bm25_window_max, bm25f_top10, dense_top10, dense_int8_agreement, rrf_top10, weighted_rrf_top10, nway_rrf_top10, tmm_convex_top10, rerank_top50, rerank_with_tail, query_decomposition, decomposed_bm25_top10, contextual_bm25_top10, rank_agreement, ranking_features, source_doc_ranking]}

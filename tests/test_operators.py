@@ -202,6 +202,39 @@ def test_blocks_of_vectors_equal_all_pairs(spark, monkeypatch):
     assert retrieval.top_k(named, 5).count() == 100
 
 
+def test_blocks_of_items_equal_all_pairs(spark, monkeypatch):
+    """Tasks give their best items alone, ties and owners included; repeated items take the way of rows."""
+    rnd = random.Random(8)
+    monkeypatch.setattr(retrieval, "BLOCK_SCORES", 60)
+    words = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(rnd.choice([0, 1, 2, 2, 3, 30])))) for i in range(200)] + [(None, "w1 w2"), (900, None)]
+    items = spark.createDataFrame(rows, "item_id long, text string").repartition(3)
+    queries = spark.createDataFrame([(q, " ".join(rnd.sample([*words, "nowhere"], 4))) for q in range(6)] + [(7, "unknown")], "query_id long, text string")
+    m = retrieval.matches(items, queries)
+    plain = lambda df: sorted(map(tuple, df.select("query_id", "item_id", "score", "rank").collect()), key=repr)
+    for kind, every in (("bm25", retrieval.bm25_of(m)), ("overlap", retrieval.overlap_of(m))):
+        best = retrieval.best_of(m, 5, kind)
+        assert plain(retrieval.top_k(best, 5)) == plain(retrieval.top_k(every, 5))
+        assert best.count() <= 6 * 5 * m.rows.rdd.getNumPartitions() < every.count()
+        owner = F.col("item_id") % 7
+        owners = every.groupBy("query_id", owner.alias("item_id")).agg(F.max("score").alias("score"))
+        assert plain(retrieval.top_k(retrieval.best_of(m, 3, kind, owner), 3)) == plain(retrieval.top_k(owners, 3))
+    some = retrieval.top_k(retrieval.best_of(m, 4), 4).select("query_id", "item_id").where("item_id is not null")
+    wanted = retrieval.bm25_of(m).join(some, ["query_id", "item_id"], "left_semi")
+    assert sorted(map(tuple, retrieval.bm25_of(m, some).collect())) == sorted(map(tuple, wanted.select("query_id", "item_id", "score").collect()))
+    twice = retrieval.matches(items.union(items.limit(3)), queries)
+    assert twice.rows is None and plain(retrieval.top_k(retrieval.best_of(twice, 5), 5)) == plain(retrieval.top_k(retrieval.bm25_of(twice), 5))
+
+
+def test_a_task_gives_its_best_vectors_alone(spark, monkeypatch):
+    """What leaves a task does not grow with the blocks of items that it sees."""
+    monkeypatch.setattr(retrieval, "ITEM_BLOCK", 10)
+    rnd = random.Random(9)
+    rows = [(i, [rnd.random(), rnd.random()]) for i in range(2000)]
+    items, queries = spark.createDataFrame(rows, "item_id long, vector array<float>"), spark.createDataFrame(rows[:10], "query_id long, vector array<float>")
+    assert retrieval.dense_scores(items, queries, 5).count() <= 10 * 5 * 4 * spark.sparkContext.defaultParallelism
+
+
 def test_draws_are_hashes(spark):
     import hashlib
 

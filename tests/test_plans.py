@@ -66,6 +66,20 @@ def test_dense_search_takes_every_twentieth_row_against_all(spark):
     assert grades == {(q, i): (3 - i % 2 if label[i] == label[q] else 0) for q in wanted for i in label if i != q}
 
 
+def test_label_judgments_are_counted_without_pairs(spark, tmp_path):
+    """Numbers of judged items by grade, and grades of a run's items, equal those of all pairs; labels may be null. No pair is a row."""
+    from evidentia.plans import _data as D
+    from evidentia.plans import evaluation
+
+    spark.createDataFrame([(i, [float(i % 5), float(i % 3)], None if i % 7 == 0 else i % 4) for i in range(100)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    pairs = D.label_qrels(spark, str(tmp_path))
+    assert sorted(map(tuple, D.label_counts(spark, str(tmp_path)).collect())) == sorted(map(tuple, pairs.groupBy("query_id", "grade").count().collect()))
+    run = D.dense(spark, str(tmp_path), 10)
+    assert sorted(map(tuple, D.label_graded(spark, str(tmp_path), run).select("query_id", "item_id", "grade").collect())) == sorted(map(tuple, pairs.join(run, ["query_id", "item_id"], "left_semi").select("query_id", "item_id", "grade").collect()))
+    for plan in (evaluation.ir_metrics(spark, str(tmp_path)), evaluation.hard_negative_exposure(spark, str(tmp_path))):
+        assert "NestedLoop" not in plan._jdf.queryExecution().toString().replace("BroadcastNestedLoopJoin BuildRight, Cross", "")
+
+
 def test_evidence_cards_reach_later_chunks(spark, tmp_path):
     """A term that stands only after a document's first section gets a card of the chunk that holds it."""
     from evidentia.plans import _data as D
