@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from bisect import bisect_right
-from itertools import accumulate
+from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -133,21 +134,19 @@ def merged(chunks: DataFrame) -> DataFrame:
     """(doc_id, chunk, parent, component): components (a packed policy's chunk_table) merged under each parent as best_partition() says.
 
     Components of one parent that follow each other and share a unit are never merged: they start new segments.
-    A segment is a parent section's chunks, a few dozen rows.
+    A segment is a parent section's chunks, a few dozen; segments are rows, of which a call in Python takes a whole batch.
     """
     order = Window.partitionBy("doc_id", "parent").orderBy("chunk")
     breaks = (F.lag("last_ordinal").over(order) == F.col("first_ordinal")) | (F.row_number().over(order) == 1)
     segmented = chunks.withColumn("segment", F.sum(breaks.cast("int")).over(order))
 
-    def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("chunk")
-        out, start = [], 0
-        for n, end in enumerate(best_partition(rows["n_tokens"].tolist())):
-            out += [n] * (end - start)
-            start = end
-        return pd.DataFrame({"doc_id": rows["doc_id"], "parent": rows["parent"], "segment": rows["segment"], "component": rows["chunk"], "bin": out, "n_tokens": rows["n_tokens"]})
+    @F.pandas_udf("array<int>")
+    def cut(blocks: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for segments in blocks:
+            yield pd.Series([[n for n, (start, end) in enumerate(pairwise([0, *best_partition(list(map(int, sizes)))])) for _ in range(start, end)] for sizes in segments], dtype=object)
 
-    bins = segmented.groupBy("doc_id", "parent", "segment").applyInPandas(cut, "doc_id long, parent int, segment long, component int, bin int, n_tokens int")
+    held = segmented.groupBy("doc_id", "parent", "segment").agg(F.array_sort(F.collect_list(F.struct("chunk", F.col("n_tokens").cast("int").alias("n_tokens")))).alias("c"))
+    bins = held.withColumn("bins", cut("c.n_tokens")).select("doc_id", "parent", "segment", F.explode(F.arrays_zip(F.col("c.chunk").alias("component"), F.col("c.n_tokens").alias("n_tokens"), F.col("bins").alias("bin"))).alias("e")).select("doc_id", "parent", "segment", "e.component", "e.bin", "e.n_tokens")
     chunk = (F.dense_rank().over(Window.partitionBy("doc_id").orderBy("parent", "segment", "bin")) - 1).cast("int")
     return bins.withColumn("chunk", chunk).select("doc_id", "chunk", "parent", "component", "n_tokens")
 

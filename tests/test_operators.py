@@ -235,6 +235,22 @@ def test_a_task_gives_its_best_vectors_alone(spark, monkeypatch):
     assert retrieval.dense_scores(items, queries, 5).count() <= 10 * 5 * 4 * spark.sparkContext.defaultParallelism
 
 
+def test_segments_are_cut_in_batches(spark):
+    """Components merged as best_partition() says, segment by segment; no segment is a call of its own."""
+    rnd = random.Random(10)
+    rows = [(d, c, c // 9, 3 * c - (c % 4 == 3), 3 * c + 2, rnd.randint(1, 512)) for d in range(40) for c in range(rnd.choice([1, 5, 30]))]
+    got = chunking.merged(spark.createDataFrame(rows, "doc_id long, chunk int, parent int, first_ordinal int, last_ordinal int, n_tokens int"))
+    assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
+    want, place = [], {}
+    for (d, parent, _), segment in itertools.groupby(((r, n) for r, n in zip(rows, itertools.accumulate(int(i == 0 or rows[i - 1][0] != r[0] or rows[i - 1][2] != r[2] or rows[i - 1][4] == r[3]) for i, r in enumerate(rows)), strict=True)), lambda x: (x[0][0], x[0][2], x[1])):
+        held, start = [r for r, _ in segment], 0
+        for end in chunking.best_partition([r[5] for r in held]):
+            place[d] = place.get(d, -1) + 1
+            want += [(d, place[d], parent, r[1], r[5]) for r in held[start:end]]
+            start = end
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_draws_are_hashes(spark):
     import hashlib
 
