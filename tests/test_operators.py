@@ -1,8 +1,10 @@
 """Golden values and small brute-force checks of the operators."""
 
 import itertools
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -484,3 +486,20 @@ def test_fixed_coverage_and_gates(spark):
     assert got["fixed_errors"] == sum(1 - r[3] for r in best) and 0 <= got["low"] <= got["high"] <= 1
     m = spark.createDataFrame([("a", 0.1, -0.3), ("b", -0.2, 0.4)], "candidate string, gain double, loss double")
     assert rows(statistics.backend_gate(m, {"loss": -0.1})) == [("a", False, False), ("b", True, True)]
+
+
+def test_a_task_takes_each_block_of_queries_once(spark, monkeypatch):
+    """With many blocks of queries a task gives its best of each query once for a group of item blocks, and a query block without queries gives nothing."""
+    monkeypatch.setattr(retrieval, "ITEM_BLOCK", 10)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    rnd = random.Random(10)
+    rows = [(i, [rnd.random(), rnd.random()]) for i in range(2000)]
+    items, queries = spark.createDataFrame(rows, "item_id long, vector array<float>"), spark.createDataFrame(rows[:40], "query_id long, vector array<float>")
+    found, groups = retrieval.dense_scores(items, queries, 5), max(1, 4 * spark.sparkContext.defaultParallelism // 20)
+    assert found.count() <= 40 * 5 * groups
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()  # a block of queries does not go with every block of items
+    want = {(q, i) for q, u in rows[:40] for i, _ in sorted(((i, float(np.float32(u[0])) * float(np.float32(v[0])) + float(np.float32(u[1])) * float(np.float32(v[1]))) for i, v in rows if i != q), key=lambda x: (-math.floor(x[1] * 1e6 + 0.5), x[0]))[:5]}
+    assert {(r["query_id"], r["item_id"]) for r in retrieval.top_k(found, 5).collect()} == want
+    assert retrieval.dense_scores(items, queries.limit(0), 5).count() == 0 == retrieval.dense_scores(items.limit(0), queries, 5).count()
+    empty = spark.createDataFrame([(i, None if i % 2 else []) for i in range(4)], "item_id long, vector array<double>")
+    assert {r["score"] for r in retrieval.dense_scores(empty, queries.limit(1)).collect()} == {0.0}
