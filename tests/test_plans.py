@@ -99,3 +99,14 @@ def test_include_sites_of_all_documents(spark, tmp_path):
 
     spark.createDataFrame([(1, "a\n.. include:: x.rst\nb"), (5, "c")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert sorted(map(tuple, checks.include_sites(spark, str(tmp_path)).collect())) == [(1, 2, "x.rst"), (5, 2, "my part/5.rst")]
+
+
+def test_determinism_check_uses_all_cores(spark, monkeypatch):
+    """Both runs deal documents into more partitions than there are cores, into different ones."""
+    from evidentia.plans import catalog
+    from evidentia.plans.judging import R
+
+    parts, matches = [], R.matches
+    monkeypatch.setattr(R, "matches", lambda items, queries: parts.append(items.rdd.getNumPartitions()) or matches(items, queries))
+    assert {r["different"] for r in catalog.queries()["determinism_check"](spark, DATA).collect()} == {1}
+    assert len(set(parts)) == 2 and min(parts) > spark.sparkContext.defaultParallelism
