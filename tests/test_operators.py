@@ -503,3 +503,20 @@ def test_a_task_takes_each_block_of_queries_once(spark, monkeypatch):
     assert retrieval.dense_scores(items, queries.limit(0), 5).count() == 0 == retrieval.dense_scores(items.limit(0), queries, 5).count()
     empty = spark.createDataFrame([(i, None if i % 2 else []) for i in range(4)], "item_id long, vector array<double>")
     assert {r["score"] for r in retrieval.dense_scores(empty, queries.limit(1)).collect()} == {0.0}
+
+
+def test_an_index_gives_each_task_its_best_items(spark, tmp_path):
+    """Postings of the queries' terms meet by item, and no pair of a query and an item is a row; items that repeat take the way of rows."""
+    from evidentia.operators import index
+
+    rnd = random.Random(12)
+    data = [(i, " ".join(rnd.choice(["apple", "pear", "tree", "red"]) for _ in range(rnd.choice([0, 1, 3, 9])))) for i in range(50)]
+    items = spark.createDataFrame(data, "item_id long, text string")
+    queries = spark.createDataFrame([(7, "the red apple"), (8, "tree nothing"), (9, "")], "query_id long, text string")
+    for name, some in (("once", items), ("twice", items.union(items.limit(9)))):
+        index.save(some, path := str(tmp_path / name))
+        m = index.matches(index.load(spark, path), queries)
+        assert (m.rows is None) == (name == "twice")
+        best = retrieval.top_k(retrieval.best_of(m, 5), 5)
+        assert best.count() == 10 and rows(best) == rows(retrieval.top_k(retrieval.bm25_scores(some, queries), 5))
+    assert retrieval.best_of(index.matches(index.load(spark, path), queries.where("query_id = 9")), 5).count() == 0
